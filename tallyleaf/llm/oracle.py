@@ -1,3 +1,49 @@
 """SQL that DuckDB runs over the same tables, by other routes than the operators'."""
 
-SQL: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op5_warc_zstd": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, (i // 4) * 5 + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h""",
+    "op7_preference_format": """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, max(i) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+r AS (SELECT t.conv_id, text AS reply FROM t JOIN a ON t.conv_id = a.conv_id AND i = last),
+b AS (SELECT t.conv_id, i, t.role, t.text AS chosen, CASE WHEN i = last THEN reply ELSE t.text END AS rejected, last, reply IS NOT DISTINCT FROM (CASE WHEN i = last THEN t.text ELSE reply END) AS same
+  FROM t JOIN a ON t.conv_id = a.conv_id JOIN r ON r.conv_id = xor(t.conv_id, 1)),
+n AS (SELECT conv_id, CASE WHEN bool_and(same) THEN max(i) ELSE any_value(last) - 1 END AS n FROM b GROUP BY conv_id),
+m AS (SELECT b.*, n, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS head, replace(coalesce(chosen, ''), '<|', '< |') || '<|end|>' || chr(10) AS x, replace(coalesce(rejected, ''), '<|', '< |') || '<|end|>' || chr(10) AS y FROM b JOIN n ON b.conv_id = n.conv_id),
+s AS (SELECT *, sum(CASE WHEN i > n THEN length(head) + length(x) ELSE 0 END) OVER w - length(x) AS sx, sum(CASE WHEN i > n THEN length(head) + length(y) ELSE 0 END) OVER w - length(y) AS sy FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY i))
+SELECT conv_id, any_value(n) AS n_prefix, coalesce(string_agg(head || x, '' ORDER BY i) FILTER (i <= n), '') AS prompt,
+  coalesce(string_agg(head || x, '' ORDER BY i) FILTER (i > n), '') AS chosen_text, coalesce(string_agg(CAST(sx AS VARCHAR) || '+' || CAST(length(x) AS VARCHAR), ',' ORDER BY i) FILTER (i > n AND role = 'assistant'), '') AS chosen_learnt,
+  coalesce(string_agg(head || y, '' ORDER BY i) FILTER (i > n), '') AS rejected_text, coalesce(string_agg(CAST(sy AS VARCHAR) || '+' || CAST(length(y) AS VARCHAR), ',' ORDER BY i) FILTER (i > n AND role = 'assistant'), '') AS rejected_learnt
+FROM s GROUP BY conv_id""",
+    "op8_line_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+w AS (SELECT r, doc_id, host, text, regexp_extract_all(text, '{WORD}') AS w FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i+7], ' ') AS g FROM w, unnest(range(1, len(w) - 6)) AS u(i) WHERE len(w) >= 8),
+f AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM f, (SELECT unnest(range(8)) AS k) GROUP BY r),
+l AS (SELECT r, host, text, p, line, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM (SELECT r, host, text, generate_subscripts(string_split(text, chr(10)), 1) AS p, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}')),
+u AS (SELECT host, norm FROM l GROUP BY host, norm HAVING count(DISTINCT text) > 20),
+x AS (SELECT r, sum(len(regexp_extract_all(line, '{WORD}'))) AS lost FROM l JOIN u ON l.host = u.host AND l.norm = u.norm GROUP BY r),
+y AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM l GROUP BY r),
+z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_words FROM w LEFT JOIN c ON w.r = c.r LEFT JOIN x ON w.r = x.r LEFT JOIN y ON w.r = y.r)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_words <= 0.8 * n_words AS kept FROM z""",
+    "op9_bottom_k": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 2, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+v AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT c.node, v.b FROM c JOIN v ON c.reached = v.a),
+m AS (SELECT node, min(reached) AS component_id FROM c GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m ON d.doc_id = m.node LEFT JOIN n ON d.doc_id = n.doc_id""",
+}
