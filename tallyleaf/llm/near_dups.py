@@ -6,11 +6,13 @@
    at least REQUIRED of their retained values (but for odds below 1e-5), so it is enough to list a
    class under its rarest values, all but REQUIRED - 1 of them: values of passages that many
    texts share come last and make no lists.
-3. In each list every class meets the list's pivot; a union sketch, the k smallest of both, estimates
-   the similarity and filters; exact Jaccard of the full sets decides. Classes linked to one pivot
-   are connected, so their pairs need not be looked at.
-4. Pairs of a list that are still unconnected are looked at next, unless the triangle inequality
-   of the Jaccard distance rules them out by their distances to the pivot; again estimate, then exact.
+3. In each list every class meets the list's pivot, the one whose retained values are the most
+   common; a union sketch, the k smallest of both, estimates the similarity and filters; exact
+   Jaccard of the full sets decides. Classes linked to one pivot are connected, so their pairs
+   need not be looked at.
+4. What is left are lists whose members aren't all connected. Their full sets are put in order from
+   the rarest shingle; a similar pair has its first common shingle so early in both that enough others
+   can follow. Pairs of different components that meet so are candidates, again decided exactly.
 5. Connected components of the links, by large-star and small-star steps.
 """
 
@@ -119,17 +121,18 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 
 def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """Rows (value, rep, n): the lists under which a class has to be looked for, where others are too.
+    """Rows (value, rep, n, central): the lists under which a class has to be looked for, where others are too.
 
     The order of values is by number of classes, then by value; it is the same for all classes.
+    ``central`` is larger the more common a class's values are.
     """
     each = classes.select("rep", "n", F.explode("sketch").alias("value"))
     counts = each.groupBy("value").agg(F.count("*").alias("classes")).where("classes > 1")
     counted = each.join(counts, "value", "left").select("rep", "n", F.struct(F.coalesce("classes", F.lit(1)).alias("classes"), "value").alias("v"))
-    grouped = counted.groupBy("rep", "n").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    grouped = counted.groupBy("rep", "n").agg(F.array_sort(F.collect_list("v")).alias("v"), F.avg(F.log("v.classes")).alias("central"))
     required = F.least(F.ceil(F.col("n") * percent / 100), F.lit(REQUIRED)).cast("int")
-    listed = grouped.select("rep", "n", F.explode(F.slice("v", F.lit(1), F.size("v") - required + 1)).alias("v"))
-    return listed.where("v.classes > 1").select("v.value", "rep", "n")
+    listed = grouped.select("rep", "n", "central", F.explode(F.slice("v", F.lit(1), F.size("v") - required + 1)).alias("v"))
+    return listed.where("v.classes > 1").select("v.value", "rep", "n", "central")
 
 
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -137,17 +140,34 @@ def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, size: int, key: str, text: str, folder: str) -> DataFrame:
-    """Pairs (a, b) with similarity: the exact Jaccard similarity of the full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
-    sets = common.kept(full_sets(chosen, size, "key", "text"), f"{folder}/sets")
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the number of shared shingles and of all."""
     side = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     return both.select("a", "b", shared.alias("shared"), (F.size("a_set") + F.size("b_set") - shared).alias("all"))
 
 
+def early_meetings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among members (rep, component) of different components, by full sets; none that is similar is missed.
+
+    Shingles that one member has alone come first in every order and meet nothing, so they are only
+    counted; the others are ranked by number of members, then by value.
+    """
+    each = sets.join(members.withColumnRenamed("rep", "key"), "key").select(F.col("key").alias("rep"), "component", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+    counts = each.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
+    shared = each.join(counts, "value").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("v"))
+    alone = F.col("n") - F.size("v")
+    latest = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    early = F.slice("v", F.lit(1), F.greatest(F.lit(0), latest - alone + 1).cast("int"))
+    placed = shared.select("rep", "component", "n", alone.alias("alone"), F.posexplode(early).alias("i", "v")).select(F.col("v.value").alias("value"), "rep", "component", "n", (F.col("alone") + F.col("i")).alias("place"))
+    side = lambda c: placed.select("value", *[F.col(x).alias(f"{c}_{x}") for x in ("rep", "component", "n", "place")])
+    needed = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
+    in_time = (F.col("a_place") <= F.col("a_n") - needed) & (F.col("b_place") <= F.col("b_n") - needed)
+    met = side("a").join(side("b"), "value").where((F.col("a_component") > F.col("b_component")) & in_time & _sizes_fit(F.col("a_n"), F.col("b_n"), percent))
+    return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for all nodes of links.
 
@@ -191,35 +211,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     classes = common.kept(usable.groupBy("set_id").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), f"{folder}/classes")
     lists = common.kept(postings(classes, percent), f"{folder}/lists")
 
+    listed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(lists.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
+    sets = common.kept(full_sets(listed, size, "key", "text"), f"{folder}/sets")
+
     # Every class of a list meets the list's pivot.
-    pivots = lists.groupBy("value").agg(F.min_by(F.struct("rep", "n"), "rep").alias("p"), F.max("rep").alias("last")).where("p.rep < last").select("value", F.col("p.rep").alias("b"), F.col("p.n").alias("b_n"))
+    central = F.struct("central", -F.col("rep"))
+    pivots = lists.groupBy("value").agg(F.max_by(F.struct("rep", "n"), central).alias("p"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("value", F.col("p.rep").alias("b"), F.col("p.n").alias("b_n"))
     met = lists.join(pivots, "value").where((F.col("rep") != F.col("b")) & _sizes_fit(F.col("n"), F.col("b_n"), percent)).select(F.col("rep").alias("a"), "b").distinct()
-    least = percent / 100 * ESTIMATE_SLACK
-    likely = _with_sketches(met, classes).where(union_sketch_estimate(F.col("a_sketch"), F.col("b_sketch")) >= least).select("a", "b")
-    first = common.kept(_exact(common.kept(likely, f"{folder}/likely-1"), docs, size, key, text, f"{folder}/exact-1"), f"{folder}/first")
-    linked = 100 * F.col("shared") >= percent * F.col("all")
-    links = first.where(linked).select("a", "b")
-    if not links.isEmpty():
-        joined = common.kept(components(links, f"{folder}/components-1"), f"{folder}/joined-1")
-    else:
-        joined = spark.createDataFrame([], "node long, component long")
-
-    # What is left: members of one list that aren't connected yet.
-    labelled = lists.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("pivot")).where("low != high").select("value", "pivot")
-    to_pivot = first.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), (F.col("shared") / F.col("all")).alias("near"))
-    rest = labelled.join(mixed, "value").where("rep != pivot").join(to_pivot, ["rep", "pivot"], "left").join(classes.select("rep", "sketch"), "rep")
-    rest = common.kept(rest, f"{folder}/rest")
-    one = rest.select("value", *[F.col(c).alias(f"a_{c}") for c in ("rep", "n", "component", "near", "sketch")])
-    two = rest.select("value", *[F.col(c).alias(f"b_{c}") for c in ("rep", "n", "component", "near", "sketch")])
-    apart = 1 - percent / 100
-    reachable = F.coalesce(F.abs(F.col("a_near") - F.col("b_near")) <= apart + 1e-9, F.lit(True))
-    pairs = one.join(two, "value").where((F.col("a_rep") > F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & _sizes_fit(F.col("a_n"), F.col("b_n"), percent) & reachable & (union_sketch_estimate(F.col("a_sketch"), F.col("b_sketch")) >= least))
-    second = common.kept(pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct(), f"{folder}/likely-2")
-    if not second.isEmpty():
-        more = _exact(second, docs, size, key, text, f"{folder}/exact-2").where(linked).select("a", "b")
+    likely = _with_sketches(met, classes).where(union_sketch_estimate(F.col("a_sketch"), F.col("b_sketch")) >= percent / 100 * ESTIMATE_SLACK).select("a", "b")
+    similar = 100 * F.col("shared") >= percent * F.col("all")
+    links = common.kept(_exact(likely, sets).where(similar).select("a", "b"), f"{folder}/links")
+    joined = common.kept(components(links, f"{folder}/components-1"), f"{folder}/joined-1")
+
+    # What is left: lists whose members aren't all connected.
+    labelled = lists.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
+    members = common.kept(labelled.join(mixed, "value", "left_semi").select("rep", "component").distinct(), f"{folder}/members")
+    more = common.kept(_exact(early_meetings(members, sets, percent), sets).where(similar).select("a", "b"), f"{folder}/more")
+    if not more.isEmpty():
         tree = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = common.kept(components(common.kept(tree.union(more), f"{folder}/all"), f"{folder}/components-2"), f"{folder}/joined-2")
+        joined = common.kept(components(tree.union(more), f"{folder}/components-2"), f"{folder}/joined-2")
 
     of_class = classes.select("set_id", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(of_class, "set_id", "left").select("key", "n_shingles", F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "key")).alias("component_id"))
