@@ -16,7 +16,7 @@ from tallyleaf.sources import manifest, runs
 
 def read_object(value: str, flag: str) -> str:
     """JSON text of an object, given inline or as a file."""
-    text = value if value.lstrip().startswith("{") else Path(value).read_text(encoding="utf-8-sig")
+    text = value if value.lstrip()[:1] in ("{", "[") else Path(value).read_text(encoding="utf-8-sig")
     try:
         found = json.loads(text)
     except ValueError as e:

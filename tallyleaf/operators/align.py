@@ -184,14 +184,21 @@ def nested_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered) ->
     return both.groupBy(DOC, "array").applyInArrow(solve, _typed(gold))
 
 
-def level_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered) -> tuple[DataFrame, DataFrame]:
-    """(pairs, arrays of both sides) of one level."""
-    kinds = _kinds(gold, pred, ordered)
-    of = lambda df, kind: df.join(kinds.where(F.col("kind") == kind).select(DOC, "array"), [DOC, "array"], "left_semi")
-    scalars = scalar_pairs(of(gold, "scalar"), of(pred, "scalar")).withColumn("large", F.lit(None).cast("int"))
-    flat = flat_pairs(weights(of(gold, "flat"), of(pred, "flat")), scale)
-    nested = nested_pairs(of(gold, "nested"), of(pred, "nested"), scale, ordered)
-    return scalars.union(flat).union(nested), kinds.select(DOC, "array")
+def level_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, folder: str) -> tuple[DataFrame | None, DataFrame]:
+    """(pairs, arrays of both sides) of one level. Only the ways that some array needs are taken."""
+    kinds = tables.kept(_kinds(gold, pred, ordered), folder)
+    present = {r.kind for r in kinds.select("kind").distinct().collect()}
+    of = lambda df, kind: df if present == {kind} and ordered is False else df.join(kinds.where(F.col("kind") == kind).select(DOC, "array"), [DOC, "array"], "left_semi")
+    ways = {
+        "scalar": lambda g, p: scalar_pairs(g, p).withColumn("large", F.lit(None).cast("int")),
+        "flat": lambda g, p: flat_pairs(weights(g, p), scale),
+        "nested": lambda g, p: nested_pairs(g, p, scale, ordered),
+    }
+    found = [way(of(gold, kind), of(pred, kind)) for kind, way in ways.items() if kind in present]
+    pairs = found[0] if found else None
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    return pairs, kinds.select(DOC, "array")
 
 
 def aligned(gold: DataFrame, pred: DataFrame, ordered: bool | Sequence[Sequence[str]] = False, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -208,7 +215,9 @@ def aligned(gold: DataFrame, pred: DataFrame, ordered: bool | Sequence[Sequence[
     folder = tables.work_folder(spark, "align")
     scale = pred.groupBy(DOC).agg((F.count("*") + 1).alias("scale"))
     for level in range(1, levels + 1):
-        pairs, both = level_pairs(at_level(gold, level), at_level(pred, level), scale, ordered)
+        pairs, both = level_pairs(at_level(gold, level), at_level(pred, level), scale, ordered, f"{folder}/kinds-{level}")
+        if pairs is None:
+            continue
         pairs = tables.kept(pairs, f"{folder}/pairs-{level}")
         blocks = blocks.union(pairs.where("large is not null").select(DOC, "large"))
         place = A.index_place(F.col("address"), level)
