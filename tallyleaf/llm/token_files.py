@@ -39,7 +39,7 @@ def train_dictionary(docs: DataFrame, key: str, text: str, vocabulary: str, widt
     rows = docs.count()
     share = max(1, rows // SAMPLE_ROWS)
     sample = docs.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_ROWS)
-    ids = word_ids.WordEncoder(vocabulary).encode([(r.t or "").encode() for r in sample.collect()])
+    ids = word_ids.encoder(vocabulary).encode([(r.t or "").encode() for r in sample.collect()])
     arrays = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids if x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
@@ -55,7 +55,7 @@ def _tools(dictionary: bytes):
 
 
 def _id_bytes(vocabulary: str, end_id: int | None) -> int:
-    top = max(word_ids.WordEncoder(vocabulary).library.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
+    top = max(word_ids.encoder(vocabulary).library.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
     return 2 if top < 1 << 16 else 4
 
 
@@ -141,8 +141,9 @@ def _checked(dictionary: bytes, digest: bytes) -> None:
         raise ValueError("the shard was written with another dictionary")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of a token folder: key, start (ids before it), n_tokens, ids (packed, unsigned 32 bits).
+def read(spark: SparkSession, folder: str, content: str = "ids") -> DataFrame:
+    """Documents of a token folder: key, start (ids before it), n_tokens, and ids (packed, unsigned 32
+    bits) or, with content "crc", their checksum instead (ids_crc32).
 
     One row per shard says where each begins; that table has as many rows as there were partitions.
     """
@@ -153,6 +154,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         plan.append((r.file, before))
         before += r.ids
 
+    last = "ids" if content == "ids" else "ids_crc32"
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         dictionary = _load_dictionary(fs, root)
@@ -175,11 +178,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                             raw = np.frombuffer(decompressor.decompress(block[a : a + int(r["bytes"])]), f"<u{width}")
                             if len(raw) != r["ids"]:
                                 raise ValueError(f"{name}: a frame has {len(raw)} ids, its index says {r['ids']}")
-                            ids.append(raw.astype("<u4").tobytes())
-                        yield pa.RecordBatch.from_arrays([pa.array(part["id"].astype(np.int64), mask=part["null"].astype(bool)), pa.array(starts[at : at + len(part)]), pa.array(part["ids"].astype(np.int64)), pa.array(ids, pa.binary())], names=["key", "start", "n_tokens", "ids"])
+                            packed = raw.astype("<u4").tobytes()
+                            ids.append(packed if content == "ids" else zlib.crc32(packed))
+                        yield pa.RecordBatch.from_arrays([pa.array(part["id"].astype(np.int64), mask=part["null"].astype(bool)), pa.array(starts[at : at + len(part)]), pa.array(part["ids"].astype(np.int64)), pa.array(ids, pa.binary() if content == "ids" else pa.int64())], names=["key", "start", "n_tokens", last])
 
     files = spark.createDataFrame(plan, "file string, start long").repartition(max(1, len(plan)))
-    return files.mapInArrow(load, "key long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(load, f"key long, start long, n_tokens long, {'ids binary' if content == 'ids' else 'ids_crc32 long'}")
 
 
 def read_document(spark: SparkSession, folder: str, key: int) -> list[list[int]]:
@@ -199,12 +203,7 @@ def read_document(spark: SparkSession, folder: str, key: int) -> list[list[int]]
     return found
 
 
-def crc_of_ids(ids: pa.Array) -> pa.Array:
-    return pa.array([zlib.crc32(x) for x in ids.to_pylist()], pa.int64())
-
-
 def digest_rows(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
     """Write documents as token files, read them back, and describe what was read."""
     write(docs, folder, vocabulary, end_id)
-    crc = F.arrow_udf(crc_of_ids, "long")
-    return read(docs.sparkSession, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return read(docs.sparkSession, folder, "crc").withColumnRenamed("key", "doc_id")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common, word_ids
 
 NO_LIMIT = 1 << 60
+#: Words a worker remembers.
+MAX_WORDS = 700_000
 
 
 class TrieBpe:
@@ -183,12 +185,12 @@ class TrieBpe:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit integers) of whole UTF-8 texts; null: none."""
-        cut = [self.cutter._cut(t) if t else [] for t in texts]
+        cut = [self.cutter.cut(t) if t else [] for t in texts]
         known, extra = self.words, {}
         missing = list({w for words in cut if words for w in words if w not in known})
         if missing:
-            for w, ids in zip(missing, self._plain([self.cutter._spelled(w).decode() for w in missing]), strict=True):
-                keep = known if len(known) < word_ids.MAX_WORDS and len(w) <= word_ids.MAX_WORD_BYTES else extra
+            for w, ids in zip(missing, self._plain([self.cutter.spelled(w).decode() for w in missing]), strict=True):
+                keep = known if len(known) < MAX_WORDS and len(w) <= word_ids.MAX_WORD_BYTES else extra
                 keep[w] = array("I", ids).tobytes()
         at = (lambda w: extra[w] if w in extra else known[w]) if extra else known.__getitem__
         return [array("I", self._whole_texts([texts[i].decode()])[0]).tobytes() if words is None else b"".join(map(at, words)) for i, words in enumerate(cut)]
@@ -207,7 +209,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         tool = codec(vocabulary)
         for batch in batches:
             texts = batch["text"].cast(pa.binary())
-            for start, end in word_ids.batches(texts):
+            for start, end in word_ids.batches(texts, 4 << 20):
                 ids = tool.encode(texts.slice(start, end - start).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch["key"].slice(start, end - start), pa.array(ids, pa.binary())], names=["key", "ids"])
 

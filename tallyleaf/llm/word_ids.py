@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words a worker remembers, and the longest of them; others are encoded again when they come again.
-MAX_WORDS, MAX_WORD_BYTES = 700_000, 48
+MAX_WORDS, MAX_WORD_BYTES = 450_000, 48
 
-#: Whitespace other than blank and line feed, in UTF-8.
-_OTHER_SPACE = rb"[\t\v\f\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80"
+#: Whitespace other than blank and line feed, in UTF-8: in ASCII, and lead bytes and patterns of the rest.
+_ASCII_SPACE = b"\t\v\f\r\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
+_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
 
 def vocabulary_path(name: str) -> str:
@@ -32,6 +34,20 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Packed ids by word; a word that isn't there is encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.encode(word)
+        if len(self) < MAX_WORDS and len(word) <= MAX_WORD_BYTES:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes UTF-8 texts to packed ids (little-endian unsigned 32-bit integers)."""
 
@@ -41,17 +57,21 @@ class WordEncoder:
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.library.no_truncation()
         self.library.no_padding()
-        added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         #: The kind of pre-tokenizer says how texts may be cut.
         self.keeps_blanks = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
-        self.odd = re.compile(b"|".join([_OTHER_SPACE, *map(re.escape, added)]))
-        self.words: dict[bytes, bytes] = {}
+        self.known = _Known(lambda word: self.whole(self.spelled(word)))
+
+    def whole(self, text: bytes) -> bytes:
+        return array("I", self.library.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
-    def whole(self, texts: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _odd(self, text: bytes) -> bool:
+        """Whether blanks and line feeds alone don't show the pre-tokens."""
+        if len(text.translate(None, _ASCII_SPACE)) != len(text) or any(t in text for t in self.added):
+            return True
+        return not text.isascii() and any(x in text for x in _LEADS) and _OTHER_SPACE.search(text) is not None
 
-    def _cut(self, text: bytes) -> list[bytes] | None:
+    def cut(self, text: bytes) -> list[bytes] | None:
         """Words of a text, or None if it has to be encoded whole.
 
         Word-end vocabularies drop whitespace: any ASCII whitespace parts two words. Byte-level ones
@@ -60,7 +80,7 @@ class WordEncoder:
         """
         if not self.keeps_blanks:
             return text.split()
-        if self.odd.search(text):
+        if self._odd(text):
             return None
         words = text.replace(b"\n", b" \n").split(b" ")
         if b"" in words or b"\n" in words:
@@ -68,28 +88,18 @@ class WordEncoder:
         words[0] = b"\n\n" + words[0]
         return words
 
-    def _spelled(self, word: bytes) -> bytes:
+    def spelled(self, word: bytes) -> bytes:
         if not self.keeps_blanks:
             return word
         return word[2:] if word[:2] == b"\n\n" else word if word[:1] == b"\n" else b" " + word
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids of each text; null and empty texts have none."""
-        cut = [self._cut(t) if t else [] for t in texts]
-        known = self.words
-        missing = list({w for words in cut if words for w in words if w not in known})
-        extra: dict[bytes, bytes] = {}
-        if missing:
-            for word, ids in zip(missing, self.whole([self._spelled(w) for w in missing]), strict=True):
-                keep = known if len(known) < MAX_WORDS and len(word) <= MAX_WORD_BYTES else extra
-                keep[word] = ids
-        odd = [i for i, words in enumerate(cut) if words is None]
-        whole = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True)) if odd else {}
-        if extra:
-            at = lambda w: extra[w] if w in extra else known[w]
-        else:
-            at = known.__getitem__
-        return [whole[i] if words is None else b"".join(map(at, words)) for i, words in enumerate(cut)]
+        out, at = [], self.known.__getitem__
+        for text in texts:
+            words = self.cut(text) if text else []
+            out.append(self.whole(text) if words is None else b"".join(map(at, words)))
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -98,7 +108,7 @@ def encoder(vocabulary: str) -> WordEncoder:
     return WordEncoder(vocabulary)
 
 
-def batches(column, most: int = 4 << 20):
+def batches(column, most: int = 1 << 20):
     """Runs (start, end) of an Arrow binary column with about that many bytes each."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = size = 0
