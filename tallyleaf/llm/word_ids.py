@@ -1,8 +1,8 @@
 """Whole texts to token ids with the tokenizers library, each distinct word encoded once per worker.
 
 A byte-pair tokenizer never merges across its pre-tokens, so a text's ids are those of its words in
-a row. A worker cuts texts at blanks, asks the library for words it hasn't met, and joins the
-packed ids. A text where blanks alone don't show the pre-tokens goes through the library whole.
+a row. A worker cuts texts at blanks, asks the library for words it hasn't met, many in one call, and
+joins the packed ids. A text where blanks alone don't show the pre-tokens goes through the library whole.
 """
 
 from __future__ import annotations
@@ -11,13 +11,17 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import filterfalse
 
+import numpy as np
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words a worker remembers, and the longest of them; others are encoded again when they come again.
 MAX_WORDS, MAX_WORD_BYTES = 450_000, 48
+#: Words in one call of the library.
+CALL_WORDS = 8_000
 
 #: Whitespace other than blank and line feed, in UTF-8: in ASCII, and lead bytes and patterns of the rest.
 _ASCII_SPACE = b"\t\v\f\r\x1c\x1d\x1e\x1f"
@@ -35,17 +39,12 @@ def vocabulary_path(name: str) -> str:
 
 
 class _Known(dict):
-    """Packed ids by word; a word that isn't there is encoded, and kept while there is room."""
+    """Packed ids by word; ``passing`` has words of the texts at hand that found no room."""
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    passing: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word)
-        if len(self) < MAX_WORDS and len(word) <= MAX_WORD_BYTES:
-            self[word] = ids
-        return ids
+        return self.passing[word]
 
 
 class WordEncoder:
@@ -57,10 +56,13 @@ class WordEncoder:
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.library.no_truncation()
         self.library.no_padding()
-        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder()
+        self.added = [t.content.encode() for t in added.values()]
+        #: An added token (content, id) that takes nothing from its neighbours can part words in one call.
+        self.parting = next(((t.content.encode(), i) for i, t in sorted(added.items()) if not (t.lstrip or t.rstrip or t.single_word)), None)
         #: The kind of pre-tokenizer says how texts may be cut.
         self.keeps_blanks = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
-        self.known = _Known(lambda word: self.whole(self.spelled(word)))
+        self.known = _Known()
 
     def whole(self, text: bytes) -> bytes:
         return array("I", self.library.encode(text.decode(), add_special_tokens=False).ids).tobytes()
@@ -93,13 +95,39 @@ class WordEncoder:
             return word
         return word[2:] if word[:2] == b"\n\n" else word if word[:1] == b"\n" else b" " + word
 
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word, from one call of the library with the parting token between words.
+
+        Where that token doesn't come out once between any two words, every word is encoded alone.
+        """
+        spelled = list(map(self.spelled, words))
+        if self.parting is None or len(words) < 2:
+            return list(map(self.whole, spelled))
+        content, token = self.parting
+        joined = content.join(spelled).decode()
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * np.flatnonzero(ids == token)
+        if len(ends) != len(words) - 1:
+            return list(map(self.whole, spelled))
+        packed, ends = ids.tobytes(), ends.tolist()
+        return [packed[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(packed)], strict=True)]
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids of each text; null and empty texts have none."""
-        out, at = [], self.known.__getitem__
-        for text in texts:
-            words = self.cut(text) if text else []
-            out.append(self.whole(text) if words is None else b"".join(map(at, words)))
-        return out
+        known, missing = self.known, set()
+        cut = [self.cut(t) if t else [] for t in texts]
+        for words in cut:
+            if words:
+                missing.update(filterfalse(known.__contains__, words))
+        known.passing = {}
+        new = list(missing)
+        for low in range(0, len(new), CALL_WORDS):
+            some = new[low : low + CALL_WORDS]
+            for word, ids in zip(some, self.each(some), strict=True):
+                keep = known if len(known) < MAX_WORDS and len(word) <= MAX_WORD_BYTES else known.passing
+                keep[word] = ids
+        at = known.__getitem__
+        return [self.whole(t) if words is None else b"".join(map(at, words)) for t, words in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=4)
