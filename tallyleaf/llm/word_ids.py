@@ -28,6 +28,18 @@ _ASCII_SPACE = b"\t\v\f\r\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 _LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
+#: Words of Latin letters alone, which no pre-tokenizer cuts; and some to try on a vocabulary.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+PROBES = [w.encode() for w in ("a", "Word", "Straße", "ÉTÉ", "übergrößenträger", "llll", "ſŒŁ")]
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies use for each byte: printable Latin-1 characters
+    stand for themselves, the others get letters from U+0100 on in ascending order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
 
 def vocabulary_path(name: str) -> str:
     """Where a public vocabulary file is; a path stays as it is."""
@@ -63,6 +75,10 @@ class WordEncoder:
         #: The kind of pre-tokenizer says how texts may be cut.
         self.keeps_blanks = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
         self.known = _Known()
+        self.model, self.normalizer, self.table = self.library.model, self.library.normalizer, dict(enumerate(byte_letters()))
+        self.head = self.table[0x20] if self.keeps_blanks else ""
+        #: Whether words of letters may go to the model at once, past normalizer and pre-tokenizer.
+        self.direct = all(self.letters([w]) == {w: self.whole(self.spelled(w))} for w in PROBES)
 
     def whole(self, text: bytes) -> bytes:
         return array("I", self.library.encode(text.decode(), add_special_tokens=False).ids).tobytes()
@@ -95,7 +111,24 @@ class WordEncoder:
             return word
         return word[2:] if word[:2] == b"\n\n" else word if word[:1] == b"\n" else b" " + word
 
-    def each(self, words: list[bytes]) -> list[bytes]:
+    def letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of those words that are Latin letters alone, from the library's model."""
+        plain = [(w, t) for w in words if LATIN(t := w.decode())]
+        if self.normalizer is not None and plain:
+            normal = self.normalizer.normalize_str(" ".join(t for _, t in plain)).split(" ")
+            plain = [(w, t) for (w, _), t in zip(plain, normal, strict=True) if LATIN(t)]
+        out, tokenize, table = {}, self.model.tokenize, self.table
+        for w, t in plain:
+            out[w] = array("I", [x.id for x in tokenize(self.head + t.encode().decode("latin-1").translate(table))]).tobytes()
+        return out
+
+    def each(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of distinct words; those that aren't plain letters go through one call of the library."""
+        found = self.letters(words) if self.direct else {}
+        others = [w for w in words if w not in found]
+        return found | dict(zip(others, self._parted(others), strict=True))
+
+    def _parted(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each word, from one call of the library with the parting token between words.
 
         Where that token doesn't come out once between any two words, every word is encoded alone.
@@ -122,8 +155,7 @@ class WordEncoder:
         known.passing = {}
         new = list(missing)
         for low in range(0, len(new), CALL_WORDS):
-            some = new[low : low + CALL_WORDS]
-            for word, ids in zip(some, self.each(some), strict=True):
+            for word, ids in self.each(new[low : low + CALL_WORDS]).items():
                 keep = known if len(known) < MAX_WORDS and len(word) <= MAX_WORD_BYTES else known.passing
                 keep[word] = ids
         at = known.__getitem__
