@@ -57,22 +57,15 @@ class TrieBpe:
         self.text = [""] * size
         for t, i in self.ids.items():
             self.text[i] = t
-        byte_of = {c: b for b, c in enumerate(self._byte_letters())}
+        byte_of = {c: b for b, c in enumerate(word_ids.byte_letters())}
         self.raw = [bytes(byte_of[c] for c in t) for t in self.text]
+        self.letters = dict(enumerate(word_ids.byte_letters()))
         for t, i in self.added.items():
             self.raw[i] = t.encode()
         self.apart: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
 
-    @staticmethod
-    def _byte_letters() -> list[str]:
-        """The letter that byte-level vocabularies use for each byte: printable Latin-1 characters
-        stand for themselves, the others get letters from U+0100 on in ascending order."""
-        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        rest = iter(range(0x100, 0x200))
-        return [chr(b if b in plain else next(rest)) for b in range(256)]
-
     def stays_apart(self, a: int, b: int) -> bool:
         """Whether no merge across the border of two tokens comes before those that make them.
 
@@ -162,7 +155,7 @@ class TrieBpe:
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         """Ids of stretches without added tokens: pre-tokens through one trie."""
-        cut = [[w for w, _ in self.pre.pre_tokenize_str(t)] for t in texts]
+        cut = [[w for w, _ in self.pre.pre_tokenize_str(t)] if not word_ids.LATIN(t[1:]) or t[0] != " " else [t.encode().decode("latin-1").translate(self.letters)] for t in texts]
         found = self.encode_words({w for words in cut for w in words})
         return [[i for w in words for i in found[w]] for words in cut]
 
