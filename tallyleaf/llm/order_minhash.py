@@ -37,12 +37,15 @@ FUNCTIONS = _mixed(np.arange(1, ENTRIES + 1, dtype=np.uint64) * R) | np.uint64(1
 def kmers(text: str) -> np.ndarray:
     """Hashes of a text's k-mers, by place; a shorter text is one k-mer, an empty one has none."""
     h = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    if 0 < len(h) < KMER:
+        total = np.array([len(h)], dtype=np.uint64)
+        for i in range(len(h)):
+            total = _mixed(total * R + h[i : i + 1])
+        return total
     n, power = 1, R
-    while n < KMER and len(h) > n:
+    while n < KMER and len(h):
         h = h[:-n] + h[n:] * power
         n, power = 2 * n, power * power
-    if n < KMER and len(h):
-        h = h[:1] + np.uint64(len(text))
     return _mixed(h)
 
 

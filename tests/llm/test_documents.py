@@ -222,6 +222,37 @@ def test_signature_is_its_definition_and_falls_with_edits():
     assert order_minhash.likeness(order_minhash.signature(text), order_minhash.signature(text[half:] + text[:half])) < 0.9  # order counts
 
 
+def brute_kmers(text):
+    """From the text itself, one k-mer at a time; a shorter text is one, of all its code points."""
+    mask, r = 2**64 - 1, int(order_minhash.R)
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * int(order_minhash.MIX_A) & mask
+        x = (x ^ (x >> 27)) * int(order_minhash.MIX_B) & mask
+        return x ^ (x >> 31)
+
+    points = [ord(c) + 1 for c in text]
+    if 0 < len(points) < 8:
+        total = len(points)
+        for p in points:
+            total = mixed((total * r + p) & mask)
+        return [total]
+    return [mixed(sum(p * r**j for j, p in enumerate(points[i : i + 8])) & mask) for i in range(len(points) - 7)]
+
+
+def test_short_texts_are_read_to_their_end():
+    r = random.Random(7)
+    for n in range(10):
+        text = "".join(r.choice("ab é🙂") for _ in range(n))
+        assert order_minhash.kmers(text).tolist() == brute_kmers(text), n
+    for n in range(2, 10):
+        text = "".join(r.choice("ab é🙂") for _ in range(n))
+        for place in range(n):
+            other = text[:place] + "z" + text[place + 1 :]
+            assert order_minhash.likeness(order_minhash.signature(text), order_minhash.signature(other)) < 1, (n, place)
+    assert order_minhash.likeness(order_minhash.signature("Ereaea."), order_minhash.signature("EreaEnb")) == 0
+
+
 def test_order_buckets(spark):
     df = spark.range(1000).select(F.col("id").alias("key"))
     bounds = common.order_bounds(df, "key", 8)
