@@ -2,11 +2,11 @@
 
 Each language has a codeword; for each bit a binary classifier over hashed byte n-grams says on
 which side a text is. A text gets the language whose codeword has the least weighted exponential
-loss, where a bit weighs for a language as much as it was right on a calibration sample. If the
+loss, where a bit weighs for a language as much as it was right on the labelled rows. If the
 best two losses are close, the text is flagged as ambiguous.
 
-Learning is one pass over all labelled rows, which sums n-gram counts per language; only the
-bit weights come from a bounded sample (CALIBRATION_ROWS).
+Learning is two passes over all labelled rows: one sums n-gram counts per language, the other sums
+for each bit how large its margins are and how often it is right.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from . import common, word_ids
 
 UNKNOWN = "und"
-#: Hash buckets, longest n-gram in bytes, smoothing, rows of the calibration sample.
-BUCKETS, LONGEST, SMOOTHING, CALIBRATION_ROWS = 1 << 13, 3, 0.5, 2_000
+#: Hash buckets, longest n-gram in bytes, smoothing.
+BUCKETS, LONGEST, SMOOTHING = 1 << 13, 3, 0.5
+#: Margins are summed as whole multiples of 1 / MARGIN_UNIT, so that the sum doesn't depend on the order of rows.
+MARGIN_UNIT = 1 << 24
 #: Margin of a text halfway sure, in units of a bit's mean margin; share by which the second best loss has to be larger.
 SHARPNESS, AMBIGUITY = 3.0, 0.1
 MIX = np.uint32(0x9E3779B1)
@@ -147,18 +149,34 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model |
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """Scale of each bit, and its weight for each language, from a bounded sample."""
-    n = rows.select("lang").count()
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // CALIBRATION_ROWS))) == 0).limit(CALIBRATION_ROWS).toArrow()
-    if not sample.num_rows:
-        return
-    margins = model.margins(sample["text"].combine_chunks().cast(pa.binary()))
-    model.scales = np.maximum(np.abs(margins).mean(axis=0), 1e-9)
-    names = np.array([model.languages.index(x) for x in sample["lang"].to_pylist()])
-    right = np.ones(model.codes.shape)
-    for i in range(len(model.languages)):
-        if (names == i).any():
-            right[i] = ((margins[names == i] > 0) == (model.codes[i] > 0)).mean(axis=0)
+    """Scale of each bit, and its weight for each language, from all rows; only sums leave the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        at = {name: i for i, name in enumerate(m.languages)}
+        shape = m.codes.shape
+        seen, size, right = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        for batch in batches:
+            texts, names = batch["text"].cast(pa.binary()), batch["lang"].to_pylist()
+            for low in range(0, len(texts), 256):
+                margins = m.margins(texts.slice(low, 256))
+                # A language whose texts are all empty isn't in the model.
+                here = np.array([at.get(x, -1) for x in names[low : low + 256]])
+                for i in np.unique(here[here >= 0]):
+                    mine = margins[here == i]
+                    seen[i] += len(mine)
+                    size[i] += np.rint(np.abs(mine) * MARGIN_UNIT).astype(np.int64).sum(axis=0)
+                    right[i] += ((mine > 0) == (m.codes[i] > 0)).sum(axis=0)
+        lang, bit = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bit.astype(np.int32)), *(pa.array(x[lang, bit]) for x in (seen, size, right))], names=["lang", "bit", "n", "size", "good"])
+
+    summed = rows.mapInArrow(sums, "lang int, bit int, n long, size long, good long").groupBy("lang", "bit").agg(*[F.sum(c).alias(c) for c in ("n", "size", "good")])
+    n, size, right = np.zeros(model.codes.shape), np.zeros(model.codes.shape), np.ones(model.codes.shape)
+    # One row for each language and bit.
+    for r in summed.collect():
+        n[r.lang, r.bit], size[r.lang, r.bit], right[r.lang, r.bit] = r.n, r["size"], r.good / r.n
+    model.scales = np.maximum(size.sum(axis=0) / MARGIN_UNIT / np.maximum(n.sum(axis=0), 1), 1e-9)
     right = np.where(right > 0.5, right, 1e-3)
     model.trust = right / right.sum(axis=1, keepdims=True)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,20 @@ def test_nothing_and_one_language_to_learn_from(spark):
     assert {x.lang_pred for x in language_id.digest_rows(one).collect()} == {"aa"}
 
 
+def test_calibration_is_over_all_rows(spark):
+    r = random.Random(12)
+    rows = [("The and the ing", "aa")] * 2_000 + [(prose(r, SYLLABLES[lang], 12), lang) for lang in SYLLABLES for _ in range(60)] + [("", "zz")]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").coalesce(1))
+    plain = language_id.Model(model.languages, model.codes, model.weights, np.ones(model.codes.shape[1]), model.trust)
+    used = [(t, lang) for t, lang in rows if t]
+    margins = plain.margins(pa.array([t.lower().encode() for t, _ in used], pa.binary()))
+    assert model.languages == list(SYLLABLES) and np.allclose(model.scales, np.abs(margins).mean(axis=0), rtol=1e-5)
+    names = np.array([lang for _, lang in used])
+    right = np.stack([((margins[names == x] > 0) == (model.codes[i] > 0)).mean(axis=0) for i, x in enumerate(model.languages)])
+    right = np.where(right > 0.5, right, 1e-3)
+    assert np.allclose(model.trust, right / right.sum(axis=1, keepdims=True))
+
+
 def test_a_wrong_bit_is_corrected_and_a_tie_is_flagged():
     codes = language_id.codewords(5)
     bits = codes.shape[1]
