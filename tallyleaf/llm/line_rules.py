@@ -1,7 +1,7 @@
 """Quality rules by cross-document line frequency. DataFrame functions only.
 
 Lines are normalised and hashed; for every host the documents that have a line are counted, where
-exact copies of a text count as one document. Lines in more documents than the limit are removed, and
+exact copies of a text count as one document, and on demand those whose normalised lines are equal. Lines in more documents than the limit are removed, and
 documents that lose most of their words to that are rejected, as are those that fail base rules.
 """
 
@@ -70,11 +70,16 @@ def _line_word_count(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Hashed normalised lines (lower case, blanks as one) of documents: key, host, text_hash, place, line, words."""
+def document_lines(docs: DataFrame, host: str = "source", normal_copies: bool = False) -> DataFrame:
+    """Hashed normalised lines (lower case, blanks as one) of documents: key, host, text_hash, place, line, words.
+
+    With normal_copies texts of equal normalised lines have one text_hash.
+    """
     normal = lambda x: F.trim(F.regexp_replace(F.lower(x), f"{SPACE}+", " "))
     hashed = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), _line_word_count(x).alias("words")))
-    rows = docs.select("key", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64("text").alias("text_hash"), F.posexplode(hashed).alias("place", "l"))
+    listed = docs.select("key", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text", hashed.alias("_l"))
+    text_hash = F.xxhash64("_l.line") if normal_copies else F.xxhash64("text")
+    rows = listed.select("key", "host", text_hash.alias("text_hash"), F.posexplode("_l").alias("place", "l"))
     return rows.select("key", "host", "text_hash", "place", "l.line", "l.words")
 
 
@@ -84,12 +89,12 @@ def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     return distinct.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > limit)
 
 
-def lost_words(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
+def lost_words(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, normal_copies: bool = False) -> DataFrame:
     """Words (key, lost) that documents lose with the removed lines; only documents that lose any.
 
     Each place of a key counts once, however often its row is repeated.
     """
-    lines = document_lines(docs, host)
+    lines = document_lines(docs, host, normal_copies)
     hit = lines.select("key", "host", "place", "line", "words").join(frequent_lines(lines, limit).select("host", "line"), ["host", "line"])
     once = hit.groupBy("key", "place").agg(F.max("words").alias("words"))
     return once.groupBy("key").agg(F.sum("words").alias("lost"))
@@ -100,16 +105,17 @@ def _row_key(key: str, host: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(host), F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT, lost_share: float = LOST_SHARE) -> DataFrame:
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT, lost_share: float = LOST_SHARE, normal_copies: bool = False) -> DataFrame:
     """Key (its own name), measures, lost, base_failed, kept, and _key (of the row) of every document.
 
     Null texts are empty. Rows with equal keys (or none) are told apart by their text; repeated
     rows are judged alike and all returned. Null hosts are one host. Columns other than these three are not read.
+    With normal_copies texts that differ in case and blanks alone count as one, as exact copies do.
     """
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(host).alias("_host"))
     rows = rows.withColumn("key", _row_key("_id", "_host", "text"))
     measured = base_measures(rows).drop("text", "_host")
-    lost = lost_words(rows.select("key", "text", "_host"), "_host", limit)
+    lost = lost_words(rows.select("key", "text", "_host"), "_host", limit, normal_copies)
     joined = measured.join(lost, "key", "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= lost_share * F.col("n_words"))).withColumnsRenamed({"key": "_key", "_id": key})
 
@@ -119,7 +125,7 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that the rules keep, with their own columns and whole texts."""
+    """Documents that the rules keep, with their own columns and whole texts; copies by normalised lines count once."""
     rows = docs.withColumn("_key", _row_key("doc_id", "source", "text"))
-    bad = judged(docs).where(~F.col("kept")).select(F.col("_key")).distinct()
+    bad = judged(docs, normal_copies=True).where(~F.col("kept")).select(F.col("_key")).distinct()
     return rows.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -127,6 +127,21 @@ def test_frequent_lines_deplete_documents(spark):
     assert line_rules.digest_rows(docs(spark, [])).count() == 0
 
 
+def test_copies_that_differ_in_case_and_blanks_count_once(spark):
+    r = random.Random(8)
+    lines = [" ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(4)]
+    shapes = [lambda x, i: x + "\t" * i, lambda x, i: x.upper() + " " * i, lambda x, i: x.replace(" ", " " * (2 + i)), lambda x, i: " " * (i + 1) + x, lambda x, i: "\t" * (i + 1) + x]
+    rows = [(i, "\n".join(shapes[i % 5](x, i // 5) for x in lines) + "\n" * (i // 10), "en", "hot") for i in range(25)]
+    assert len({t for _, t, *_ in rows}) > line_rules.LINE_LIMIT
+    kept = line_rules.keep_good(docs(spark, rows))
+    assert {x.doc_id for x in kept.collect()} == set(range(25))
+    # The query counts distinct raw texts, as its SQL does.
+    assert {x.kept for x in line_rules.digest_rows(docs(spark, rows)).collect()} == {False}
+    # Near copies with a word of their own are other texts, to both.
+    near = [(i, "\n".join([*lines, f"own{i}"]), "en", "hot") for i in range(25)]
+    assert line_rules.keep_good(docs(spark, near)).count() == 0
+
+
 def shingles(text, size):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
