@@ -221,5 +221,6 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is known and not ambiguous, with their own columns."""
-    found = predict(docs, fit_on(docs), into="_language")
-    return found.where((F.col("_language.lang") != UNKNOWN) & ~F.col("_language.ambiguous")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = common.free_name(docs, "_language")
+    found = predict(docs, fit_on(docs), into=name)
+    return found.where((F.col(f"{name}.lang") != UNKNOWN) & ~F.col(f"{name}.ambiguous")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -126,6 +126,7 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that the rules keep, with their own columns and whole texts; copies by normalised lines count once."""
-    rows = docs.withColumn("_key", _row_key("doc_id", "source", "text"))
-    bad = judged(docs, normal_copies=True).where(~F.col("kept")).select(F.col("_key")).distinct()
-    return rows.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = common.free_name(docs, "_key")
+    rows = docs.withColumn(name, _row_key("doc_id", "source", "text"))
+    bad = judged(docs, normal_copies=True).where(~F.col("kept")).select(F.col("_key").alias(name)).distinct()
+    return rows.join(bad, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -142,6 +142,17 @@ def test_copies_that_differ_in_case_and_blanks_count_once(spark):
     assert line_rules.keep_good(docs(spark, near)).count() == 0
 
 
+def test_stages_leave_columns_named_as_their_helpers_alone(spark):
+    r = random.Random(13)
+    rows = [(i, prose(r, SYLLABLES[lang], 40), lang, "s", f"l{i}", f"k{i}", i) for i in range(60) for lang in [r.choice(["aa", "bb"])]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _language string, _KEY string, __key int")
+    for stage in (language_id.keep_identified, line_rules.keep_good, near_dups.keep_first):
+        kept = stage(table)
+        assert kept.columns == table.columns
+        found = {tuple(x) for x in kept.collect()}
+        assert len(found) > 50 and found <= set(rows), stage
+
+
 def shingles(text, size):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
