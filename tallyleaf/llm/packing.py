@@ -2,8 +2,9 @@
 
 Every partition packs its own items best-fit, largest first. Bins that are nearly full are final;
 the others become items themselves, as large as their contents, and meet in fewer partitions,
-where the same is done again, until one partition has seen them all or MAX_ROUNDS is reached. A
-task never gets more than about ITEMS_PER_TASK bins, whatever the size of the corpus.
+where the same is done again, in tasks of about ITEMS_PER_TASK bins, until one partition has seen
+them all. If a round leaves nearly all of them, or after MAX_ROUNDS, those that can still be merged
+meet in one last partition, so that no two open bins that fit together stay apart.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, word_ids
@@ -93,17 +95,33 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, k
     return rows.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long" + ", ids binary" * with_ids)
 
 
+def mergeable(bins: DataFrame, capacity: int) -> DataFrame:
+    """Of the bins that a round left, as many as merging them further can need.
+
+    No two bins of one task fit together, so each task leaves at most one that is no more than half
+    full, and one of any two bins that fit together is such a bin. Each of these needs one partner
+    at most: of the fuller bins, as many of each fill as there are half-full ones do.
+    """
+    half = bins.where(2 * F.col("fill") <= capacity)
+    found = half.agg(F.count("*").alias("n"), F.min("fill").alias("least")).first()
+    if not found.n:
+        return bins.limit(0)
+    nth = F.row_number().over(W.partitionBy("fill").orderBy("bin"))
+    partners = bins.where((2 * F.col("fill") > capacity) & (F.col("fill") <= capacity - found.least))
+    return half.union(partners.withColumn("_nth", nth).where(F.col("_nth") <= found.n).drop("_nth"))
+
+
 def merge_bins(bins: DataFrame, capacity: int, folder: str) -> DataFrame | None:
     """Where bins (bin, fill) go: rows (bin, sequence, shift), for those that move at all.
 
     Each round's rows are written to the folder, so that later rounds read one fixed outcome.
     """
-    moved = None
+    moved, last = None, False
     n = bins.count()
-    for round_no in range(1, MAX_ROUNDS + 1):
+    for round_no in range(1, MAX_ROUNDS + 2):
         if n < 2:
             break
-        groups = -(-n // ITEMS_PER_TASK)
+        groups = 1 if last else -(-n // ITEMS_PER_TASK)
 
         def run(batches: Iterator[pa.RecordBatch], round_no: int = round_no) -> Iterator[pa.RecordBatch]:
             got = [(b["bin"].to_numpy(), b["fill"].to_numpy()) for b in batches]
@@ -128,8 +146,10 @@ def merge_bins(bins: DataFrame, capacity: int, folder: str) -> DataFrame | None:
             break
         bins = step.where((F.col("shift") == 0) & (F.col("fill") < capacity - SLACK)).select(F.col("sequence").alias("bin"), "fill")
         left = bins.count()
-        if left > 0.9 * n:
-            break
+        last = left > ITEMS_PER_TASK and (left > 0.9 * n or round_no == MAX_ROUNDS)
+        if last:
+            bins = mergeable(bins, capacity)
+            left = bins.count()
         n = left
     return moved
 

@@ -139,6 +139,22 @@ def test_merging_bins_in_several_rounds(spark, tmp_path, monkeypatch):
         assert at <= 100
 
 
+@pytest.mark.parametrize("fulls", [20, 200])
+def test_no_two_bins_that_fit_together_stay_apart(spark, tmp_path, monkeypatch, fulls):
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 10)
+    sizes = dict(enumerate([80] * fulls + [60] * 15 + [40] * 15))
+    moved = packing.merge_bins(spark.createDataFrame(list(sizes.items()), "bin long, fill long"), 100, f"file://{tmp_path}").collect()
+    assert sorted(m.bin for m in moved) == list(sizes)
+    places = {}
+    for m in moved:
+        places.setdefault(m.sequence, []).append((m.shift, sizes[m.bin]))
+    for parts in places.values():
+        parts.sort()
+        assert [shift for shift, _ in parts] == [sum(size for _, size in parts[:i]) for i in range(len(parts))]
+    least = sorted(sum(size for _, size in parts) for parts in places.values())
+    assert least[0] + least[1] > 100 and least[-1] <= 100
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offsets, fill = packing.best_fit([5, 9, 4, 1, 10], 10)
     assert fill == [10, 9, 10] and bins == [2, 1, 2, 2, 0] and offsets == [0, 0, 5, 9, 0]
