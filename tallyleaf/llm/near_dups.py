@@ -12,8 +12,12 @@
    need not be looked at.
 4. What is left are lists whose members aren't all connected. Their full sets are put in order from
    the rarest shingle; a similar pair has its first common shingle so early in both that enough others
-   can follow. Pairs of different components that meet so are candidates, again decided exactly.
+   can follow. Under each such shingle all meet one pivot first, as above; then pairs that are still in
+   different components meet, if parity marks of their sets allow so small a difference. Exact
+   Jaccard decides again.
 5. Connected components of the links, by large-star and small-star steps.
+
+With ``retained=None`` all hashes are retained: then steps 2 to 4 miss no pair at all.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from . import common, word_ids
 
 #: Sketch size; retained values that two similar sets surely share; an estimate below this share of the threshold drops a pair (five standard errors).
 K, REQUIRED, ESTIMATE_SLACK = 48, 24, 0.6
+#: 64-bit words of a set's parity marks.
+MARK_WORDS = 16
 RADIX, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -81,8 +87,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def sketches(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_shingles, set_id (hash of the whole set; null if empty) and sketch of every whole text."""
+def sketches(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text", retained: int | None = K) -> DataFrame:
+    """Key, n_shingles, set_id (hash of the whole set; null if empty) and sketch (the smallest hashes) of every whole text."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,28 +97,39 @@ def sketches(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text"
             for start, end in word_ids.batches(texts):
                 sets = _set_column(texts.slice(start, end - start).to_pylist(), size)
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch["key"].slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), _lists([s[:K] for s in sets])], names=["key", "n_shingles", "set_id", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch["key"].slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), _lists([s[:retained] for s in sets])], names=["key", "n_shingles", "set_id", "sketch"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "key long, n_shingles long, set_id binary, sketch array<bigint>")
 
 
+def parity_marks(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each residue: whether an odd number of a set's hashes has it.
+
+    One more or one less hash flips one bit, so two sets differ in at least as many hashes as their marks in bits.
+    """
+    bits = np.bincount(hashes.view(np.uint64) % np.uint64(64 * MARK_WORDS), minlength=64 * MARK_WORDS).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def full_sets(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and all shingle hashes of every whole text."""
+    """Key, all shingle hashes and parity marks of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].cast(pa.binary())
             for start, end in word_ids.batches(texts):
-                yield pa.RecordBatch.from_arrays([batch["key"].slice(start, end - start), _lists(_set_column(texts.slice(start, end - start).to_pylist(), size))], names=["key", "shingles"])
+                sets = _set_column(texts.slice(start, end - start).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([batch["key"].slice(start, end - start), _lists(sets), _lists(list(map(parity_marks, sets)))], names=["key", "shingles", "marks"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, shingles array<bigint>")
+    return rows.mapInArrow(run, "key long, shingles array<bigint>, marks array<bigint>")
 
 
-def union_sketch_estimate(a: Column, b: Column) -> Column:
-    """Share of the K smallest hashes of both sets that are in both."""
-    smallest = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
+def union_sketch_estimate(a: Column, b: Column, retained: int | None = K) -> Column:
+    """Share of the smallest hashes of both sets, as many as are retained, that are in both."""
+    every = F.array_sort(F.array_union(a, b))
+    smallest = every if retained is None else F.slice(every, 1, retained)
     return common.let(smallest, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
 
 
@@ -120,17 +137,19 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def postings(classes: DataFrame, percent: int) -> DataFrame:
+def postings(classes: DataFrame, percent: int, folder: str, retained: int | None = K) -> DataFrame:
     """Rows (value, rep, n, central): the lists under which a class has to be looked for, where others are too.
 
     The order of values is by number of classes, then by value; it is the same for all classes.
-    ``central`` is larger the more common a class's values are.
+    ``central`` is larger the more common a class's values are. The numbers are written first, so that
+    Spark can split the join's part for a very common value.
     """
     each = classes.select("rep", "n", F.explode("sketch").alias("value"))
-    counts = each.groupBy("value").agg(F.count("*").alias("classes")).where("classes > 1")
+    counts = common.kept(each.groupBy("value").agg(F.count("*").alias("classes")).where("classes > 1"), f"{folder}/counts")
     counted = each.join(counts, "value", "left").select("rep", "n", F.struct(F.coalesce("classes", F.lit(1)).alias("classes"), "value").alias("v"))
     grouped = counted.groupBy("rep", "n").agg(F.array_sort(F.collect_list("v")).alias("v"), F.avg(F.log("v.classes")).alias("central"))
-    required = F.least(F.ceil(F.col("n") * percent / 100), F.lit(REQUIRED)).cast("int")
+    shared = F.ceil(F.col("n") * percent / 100)
+    required = (shared if retained is None else F.least(shared, F.lit(REQUIRED))).cast("int")
     listed = grouped.select("rep", "n", "central", F.explode(F.slice("v", F.lit(1), F.size("v") - required + 1)).alias("v"))
     return listed.where("v.classes > 1").select("v.value", "rep", "n", "central")
 
@@ -148,23 +167,51 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", shared.alias("shared"), (F.size("a_set") + F.size("b_set") - shared).alias("all"))
 
 
-def early_meetings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) among members (rep, component) of different components, by full sets; none that is similar is missed.
+def early_places(members: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Rows (value, rep, n, alone, place, mark words) of the members' shingles that come early enough for a similar set.
 
     Shingles that one member has alone come first in every order and meet nothing, so they are only
     counted; the others are ranked by number of members, then by value.
     """
-    each = sets.join(members.withColumnRenamed("rep", "key"), "key").select(F.col("key").alias("rep"), "component", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
-    counts = each.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
-    shared = each.join(counts, "value").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("v"))
+    mine = sets.join(members.withColumnRenamed("rep", "key"), "key").select(F.col("key").alias("rep"), "shingles", "marks")
+    each = mine.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+    counts = common.kept(each.groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), f"{folder}/times")
+    shared = each.join(counts, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("v"))
     alone = F.col("n") - F.size("v")
     latest = F.col("n") - F.ceil(F.col("n") * percent / 100)
     early = F.slice("v", F.lit(1), F.greatest(F.lit(0), latest - alone + 1).cast("int"))
-    placed = shared.select("rep", "component", "n", alone.alias("alone"), F.posexplode(early).alias("i", "v")).select(F.col("v.value").alias("value"), "rep", "component", "n", (F.col("alone") + F.col("i")).alias("place"))
-    side = lambda c: placed.select("value", *[F.col(x).alias(f"{c}_{x}") for x in ("rep", "component", "n", "place")])
+    placed = shared.select("rep", "n", alone.alias("alone"), F.posexplode(early).alias("i", "v"))
+    words = [F.col("marks")[i].alias(f"m{i}") for i in range(MARK_WORDS)]
+    return placed.join(mine.select("rep", *words), "rep").select(F.col("v.value").alias("value"), "rep", "n", "alone", (F.col("alone") + F.col("i")).alias("place"), *[f"m{i}" for i in range(MARK_WORDS)])
+
+
+def _may_be_similar(percent: int) -> Column:
+    """Of rows with columns a_... and b_... of early_places, those that enough shared shingles can follow,
+    and whose marks don't differ in more bits than similar sets do in shingles."""
     needed = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
     in_time = (F.col("a_place") <= F.col("a_n") - needed) & (F.col("b_place") <= F.col("b_n") - needed)
-    met = side("a").join(side("b"), "value").where((F.col("a_component") > F.col("b_component")) & in_time & _sizes_fit(F.col("a_n"), F.col("b_n"), percent))
+    differ = F.bit_count(F.col("a_m0").bitwiseXOR(F.col("b_m0")))
+    for i in range(1, MARK_WORDS):
+        differ = differ + F.bit_count(F.col(f"a_m{i}").bitwiseXOR(F.col(f"b_m{i}")))
+    return in_time & _sizes_fit(F.col("a_n"), F.col("b_n"), percent) & (differ <= F.col("a_n") + F.col("b_n") - 2 * needed)
+
+
+def _side(placed: DataFrame, c: str) -> DataFrame:
+    return placed.select("value", *[F.col(x).alias(f"{c}_{x}") for x in placed.columns if x != "value"])
+
+
+def pivot_meetings(placed: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Candidates (a, b): members of mixed lists with the list's pivot, the one with the fewest shingles of its own."""
+    every = F.struct(*[c for c in placed.columns if c != "value"])
+    pivots = placed.groupBy("value").agg(F.min_by(every, F.struct("alone", "rep")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    pivots = common.kept(_side(pivots.select("value", "p.*"), "b"), f"{folder}/early-pivots")
+    met = _side(placed, "a").join(pivots, "value").where((F.col("a_component") != F.col("b_component")) & _may_be_similar(percent))
+    return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+
+
+def early_meetings(placed: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components that share an early shingle; none that is similar is missed."""
+    met = _side(placed, "a").join(_side(placed, "b"), "value").where((F.col("a_component") > F.col("b_component")) & _may_be_similar(percent))
     return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
 
 
@@ -172,7 +219,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for all nodes of links.
 
     Alternates large-star and small-star until the links don't change. Each step is an aggregate and a
-    join on the node, written to the folder.
+    join on the node, both written to the folder: so Spark can split the join's part for the centre of a large star.
     """
     edges = common.kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{folder}/links-0")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -180,10 +227,10 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     while before[0]:
         step += 1
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = common.kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{folder}/least-{step}")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = common.kept(large, f"{folder}/large-{step}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.kept(large.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/smallest-{step}")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = common.kept(small, f"{folder}/small-{step}")
         after = mark(edges)
@@ -194,43 +241,51 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     return found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", retained: int | None = K) -> DataFrame:
     """Rows (key, n_shingles, component_id) for every row: the smallest key reachable over links.
 
     Sets are linked if 100 * intersection >= percent * union. Null and empty texts, and those without
     words, have an empty set and are linked with nothing; nor are rows without a key, whose component
     is null. Rows with equal sets are linked; rows that share a key are one document, which is
-    linked with whatever any of them is linked with. Other columns aren't read.
+    linked with whatever any of them is linked with. Keys are integers, or texts of integers. Other
+    columns aren't read. ``retained=None`` retains whole sets: exact, at the cost of listing them all.
     """
     if not 80 <= percent <= 100:
         raise ValueError("the candidate search is made for similarities from 0.8 on")
+    if retained is not None and retained < K:
+        raise ValueError(f"at least {K} values have to be retained")
     spark = common.ready(docs.sparkSession)
     folder = common.shared_folder(spark, "near-dups")
-    rows = common.kept(sketches(docs, size, key, text), f"{folder}/sketches")
+    rows = common.kept(sketches(docs, size, key, text, retained), f"{folder}/sketches")
     usable = rows.where("set_id is not null and key is not null")
     classes = common.kept(usable.groupBy("set_id").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), f"{folder}/classes")
-    lists = common.kept(postings(classes, percent), f"{folder}/lists")
+    lists = common.kept(postings(classes, percent, folder, retained), f"{folder}/lists")
 
     listed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(lists.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
     sets = common.kept(full_sets(listed, size, "key", "text"), f"{folder}/sets")
 
     # Every class of a list meets the list's pivot.
     central = F.struct("central", -F.col("rep"))
-    pivots = lists.groupBy("value").agg(F.max_by(F.struct("rep", "n"), central).alias("p"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("value", F.col("p.rep").alias("b"), F.col("p.n").alias("b_n"))
+    pivots = lists.groupBy("value").agg(F.max_by(F.struct("rep", "n"), central).alias("p"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    pivots = common.kept(pivots.select("value", F.col("p.rep").alias("b"), F.col("p.n").alias("b_n")), f"{folder}/pivots")
     met = lists.join(pivots, "value").where((F.col("rep") != F.col("b")) & _sizes_fit(F.col("n"), F.col("b_n"), percent)).select(F.col("rep").alias("a"), "b").distinct()
-    likely = _with_sketches(met, classes).where(union_sketch_estimate(F.col("a_sketch"), F.col("b_sketch")) >= percent / 100 * ESTIMATE_SLACK).select("a", "b")
+    likely = _with_sketches(met, classes).where(union_sketch_estimate(F.col("a_sketch"), F.col("b_sketch"), retained) >= percent / 100 * ESTIMATE_SLACK).select("a", "b")
     similar = 100 * F.col("shared") >= percent * F.col("all")
     links = common.kept(_exact(likely, sets).where(similar).select("a", "b"), f"{folder}/links")
-    joined = common.kept(components(links, f"{folder}/components-1"), f"{folder}/joined-1")
+    joined = common.kept(components(links, f"{folder}/components"), f"{folder}/joined")
 
     # What is left: lists whose members aren't all connected.
     labelled = lists.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-    members = common.kept(labelled.join(mixed, "value", "left_semi").select("rep", "component").distinct(), f"{folder}/members")
-    more = common.kept(_exact(early_meetings(members, sets, percent), sets).where(similar).select("a", "b"), f"{folder}/more")
-    if not more.isEmpty():
-        tree = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = common.kept(components(tree.union(more), f"{folder}/components-2"), f"{folder}/joined-2")
+    mixed = common.kept(labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value"), f"{folder}/mixed")
+    members = common.kept(labelled.join(mixed, "value", "left_semi").select("rep").distinct(), f"{folder}/members")
+    placed = common.kept(early_places(members, sets, percent, folder), f"{folder}/placed")
+    for way in ("pivot", "early"):
+        now = placed.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        met = pivot_meetings(now, percent, folder) if way == "pivot" else early_meetings(now, percent)
+        more = common.kept(_exact(met, sets).where(similar).select("a", "b"), f"{folder}/more-{way}")
+        if not more.isEmpty():
+            tree = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            joined = common.kept(components(tree.union(more), f"{folder}/components-{way}"), f"{folder}/joined-{way}")
 
     of_class = classes.select("set_id", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(of_class, "set_id", "left").select("key", "n_shingles", F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "key")).alias("component_id"))
