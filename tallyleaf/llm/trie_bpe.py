@@ -5,6 +5,10 @@ encoding of the rest. So a string's state is its last token, and the state of a
 those of its prefixes: the last token is the vocabulary suffix that is an encoding by itself and
 stays apart from the last token of the prefix before it. Distinct words go into a trie; one
 depth-first walk gives the state of every node, so prefixes that words share are encoded once.
+
+The trie is kept as the sorted words: going through them is its depth-first walk, and a word's
+common prefix with the one before it is the path to the node where it branches off. Only the states
+of one path are held, so a word of many megabytes takes a few bytes per letter.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from . import common, word_ids
 
 NO_LIMIT = 1 << 60
-#: Words a worker remembers.
-MAX_WORDS = 700_000
+#: Words and pairs of tokens that a worker remembers: some 150 and 100 bytes each.
+MAX_WORDS, MAX_PAIRS = 400_000, 300_000
+#: Bytes of texts encoded at a time.
+BLOCK = 4 << 20
 
 
 class TrieBpe:
@@ -34,16 +40,17 @@ class TrieBpe:
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        path = word_ids.vocabulary_path(vocabulary)
-        with open(path, encoding="utf-8") as f:
+        with open(word_ids.vocabulary_path(vocabulary), encoding="utf-8") as f:
             spec = json.load(f)
-        library = Tokenizer.from_file(path)
-        self.pre = library.pre_tokenizer
         self.cutter = word_ids.encoder(vocabulary)
+        self.pre = self.cutter.library.pre_tokenizer
         self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.longest = max(map(len, self.ids), default=1)
+        #: Lengths, from the longest, of the tokens of three and more letters that end in three certain letters.
+        ends: dict[str, set[int]] = {}
+        for t in self.ids:
+            if len(t) > 2:
+                ends.setdefault(t[-3:], set()).add(len(t))
+        self.ends = {x: tuple(sorted(n, reverse=True)) for x, n in ends.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         size = max([*self.ids.values(), *self.added.values()]) + 1
@@ -62,7 +69,8 @@ class TrieBpe:
         self.letters = dict(enumerate(word_ids.byte_letters()))
         for t, i in self.added.items():
             self.raw[i] = t.encode()
-        self.apart: dict[tuple[int, int], bool] = {}
+        #: By first token times size plus second.
+        self.size, self.apart = size, {}
         self.whole: dict[int, bool] = {}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
 
@@ -72,10 +80,7 @@ class TrieBpe:
         Merges are undone from the last: at each step the border pair is looked up, and its merge
         wins if it ranks before everything undone so far. Of equal ranks the left one came first.
         """
-        known = self.apart.get((a, b))
-        if known is not None:
-            return known
-        key, limit, result = (a, b), NO_LIMIT, True
+        key, limit, result = a * self.size + b, NO_LIMIT, True
         while True:
             r = self.merge_rank.get((a, b))
             if r is not None and r < limit:
@@ -87,7 +92,7 @@ class TrieBpe:
                 limit, a = self.rank[a], self.right[a]
             else:
                 limit, b = self.rank[b] + 1, self.left[b]
-        if len(self.apart) < 2_000_000:
+        if len(self.apart) < MAX_PAIRS:
             self.apart[key] = result
         return result
 
@@ -107,50 +112,48 @@ class TrieBpe:
             ids = [*ids[:i], self.ids[self.text[ids[i]] + self.text[ids[i + 1]]], *ids[i + 2 :]]
         return ids
 
-    def _last(self, tail: str, depth: int, states: list[int]) -> int:
-        """State of a prefix of that depth, from those of shorter ones; tail: its last letters."""
-        ids, apart = self.ids, self.apart
-        for n in range(len(tail), 0, -1):
-            t = ids.get(tail[-n:])
-            if t is None:
-                continue
-            if n < depth:
-                before = states[depth - n]
-                ok = apart.get((before, t))
-                if not (self.stays_apart(before, t) if ok is None else ok):
-                    continue
-            if self.is_whole(t):
-                return t
+    def _fits(self, t: int, before: int) -> bool:
+        """Whether a token can be the last one after another (-1: it is all there is)."""
+        if before >= 0:
+            ok = self.apart.get(before * self.size + t)
+            if not (self.stays_apart(before, t) if ok is None else ok):
+                return False
+        known = self.whole.get(t)
+        return self.is_whole(t) if known is None else known
+
+    def _last(self, word: str, depth: int, states: list[int]) -> int:
+        """State of a word's prefix of that length, from those of the shorter ones: the longest token that fits."""
+        ids, fits = self.ids, self._fits
+        for n in self.ends.get(word[max(0, depth - 3) : depth], ()):
+            if n <= depth:
+                t = ids.get(word[depth - n : depth])
+                if t is not None and fits(t, states[depth - n]):
+                    return t
+        for n in (2, 1):
+            if n <= depth:
+                t = ids.get(word[depth - n : depth])
+                if t is not None and fits(t, states[depth - n]):
+                    return t
         raise ValueError("the vocabulary lacks a byte")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, spelled in the vocabulary's letters, by one walk through their trie."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
         out: dict[str, list[int]] = {}
-        states, path = [-1], [""]
-        stack = [(0, "", root)]
-        while stack:
-            depth, letter, node = stack.pop()
-            if depth:
-                del states[depth:], path[depth:]
-                path.append(letter)
-                # Only as many letters as a token can have matter for the state.
-                tail = "".join(path[max(1, depth - self.longest + 1) :])
-                states.append(self._last(tail, depth, states))
-            for c, child in node.items():
-                if c:
-                    stack.append((depth + 1, c, child))
-                else:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(states[at])
-                        at -= len(self.text[states[at]])
-                    out[child] = ids[::-1]
+        states, before, last = [-1], "", self._last
+        for word in sorted(words):
+            depth = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                depth += 1
+            del states[depth + 1 :]
+            for d in range(depth + 1, len(word) + 1):
+                states.append(last(word, d, states))
+            ids, at = [], len(word)
+            while at:
+                ids.append(states[at])
+                at -= len(self.text[states[at]])
+            out[word], before = ids[::-1], word
         return out
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
@@ -194,20 +197,34 @@ def codec(vocabulary: str) -> TrieBpe:
     return TrieBpe(vocabulary)
 
 
-def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and ids (packed, unsigned 32 bits) of every whole text; null: empty. No shuffle."""
+def _each_block(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes], TrieBpe]]:
+    """Keys and packed ids, about BLOCK bytes of texts at a time."""
+    tool = codec(vocabulary)
+    for batch in batches:
+        texts = batch["text"].cast(pa.binary())
+        for start, end in word_ids.batches(texts, BLOCK):
+            yield batch["key"].slice(start, end - start), tool.encode(texts.slice(start, end - start).to_pylist()), tool
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     common.ready(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows, rows.schema["key"].dataType.simpleString()
+
+
+def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and ids (packed, unsigned 32 bits) of every whole text. No shuffle.
+
+    Null and empty texts have no ids. Every row gives one row, also where keys are null or repeated;
+    an empty table gives none. Words of any length are encoded whole. Other columns aren't read.
+    """
+    rows, kind = _rows(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(vocabulary)
-        for batch in batches:
-            texts = batch["text"].cast(pa.binary())
-            for start, end in word_ids.batches(texts, 4 << 20):
-                ids = tool.encode(texts.slice(start, end - start).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch["key"].slice(start, end - start), pa.array(ids, pa.binary())], names=["key", "ids"])
+        for keys, ids, _ in _each_block(vocabulary, batches):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary())], names=["key", "ids"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(run, f"key {kind}, ids binary")
 
 
 def decode_array(vocabulary: str):
@@ -221,15 +238,16 @@ def decode_array(vocabulary: str):
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Number and hash of the ids of every text, and hash of what they decode to."""
+    """Number and hash of the ids of every text, and hash of what they decode to; rows as with encode.
+
+    Both are done in one pass, so a task has one Python worker and one copy of the vocabulary.
+    """
+    rows, kind = _rows(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(vocabulary)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
-            ids = batch["ids"].to_pylist()
+        for keys, ids, tool in _each_block(vocabulary, batches):
             decoded = [sha(tool.decode(array("I", x)).encode()) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    encoded = encode(docs, vocabulary)
-    return encoded.mapInArrow(run, f"doc_id {encoded.schema['key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
