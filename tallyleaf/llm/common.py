@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_FOLDER: list[str] = []
+_MADE: list[str] = []
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -26,14 +28,17 @@ def ready(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a local temporary folder serves.
+    Only on one machine, as in tests, a local temporary folder serves where that setting is missing.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="tallyleaf-"))
         root = _OWN_FOLDER[0]
-    return f"{root.rstrip('/')}/tallyleaf/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{root.rstrip('/')}/tallyleaf/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def kept(df: DataFrame, path: str) -> DataFrame:
@@ -42,11 +47,17 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete folders through Spark's own file system layer."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all folders that operators made in this session; results that aren't written elsewhere can't be read after that."""
+    while _MADE:
+        dropped(spark, _MADE.pop())
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -66,6 +77,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def text_sample(df: DataFrame, key: str, text: str, rows: int, chars: int) -> list[str]:
+    """At most so many texts, those whose keys have the smallest hashes, and of each at most so many
+    characters in a row from a place that the hash gives; empty ones go.
+
+    The first pass reads keys alone and sends so many hashes from each task; the second cuts the texts.
+    """
+    mark = F.xxhash64(F.col(key))
+    marks = df.select(mark.alias("mark")).orderBy("mark").limit(rows).collect()
+    if not marks:
+        return []
+    place = F.pmod(mark, F.greatest(F.lit(1), F.length(text) - chars + 1)).cast("int") + 1
+    cut = df.where((mark <= marks[-1].mark) & (F.length(text) > 0)).select(mark.alias("mark"), F.substring(F.col(text), place, F.lit(chars)).alias("t"))
+    return [r.t for r in cut.orderBy("mark", "t").limit(rows).collect()]
+
+
 def order_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     """At most n - 1 splitting values of an integer key; reads that column alone."""
     if n < 2:

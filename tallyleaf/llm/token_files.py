@@ -27,7 +27,7 @@ from . import common, word_ids
 
 MAGIC, END = b"TLTOK001", b"TLTOKEND"
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
-#: The dictionary: its size, and how many documents and leading characters of each it is trained on.
+#: The dictionary: its size, and how many documents, and characters in a row from a place in each, it is trained on.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 64 << 10, 400, 8_000
 LEVEL = 3
 
@@ -36,10 +36,8 @@ def train_dictionary(docs: DataFrame, key: str, text: str, vocabulary: str, widt
     """Train on id arrays of a bounded sample; empty when there are too few of them."""
     import zstandard
 
-    rows = docs.count()
-    share = max(1, rows // SAMPLE_ROWS)
-    sample = docs.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_ROWS)
-    ids = word_ids.encoder(vocabulary).encode([(r.t or "").encode() for r in sample.collect()])
+    sample = common.text_sample(docs, key, text, SAMPLE_ROWS, SAMPLE_CHARS)
+    ids = word_ids.encoder(vocabulary).encode([t.encode() for t in sample])
     arrays = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids if x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
@@ -62,9 +60,10 @@ def _id_bytes(vocabulary: str, end_id: int | None) -> int:
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts and write them as a token folder; returns the manifest.
 
-    Null and empty texts are documents with the end id alone. Rows with a null key come first; rows
-    with equal keys stay apart, in the order of their texts. Other columns are not read. An empty
-    table makes a folder whose manifest has no rows.
+    Null and empty texts are documents with the end id alone. Keys are integers, or texts of integers. Rows
+    with a null key come first; rows with equal keys stay apart, in the order of their ids. Texts are encoded
+    where they are read, and only ids are shuffled. Other columns are not read. An empty table makes a
+    folder whose manifest has no rows.
     """
     spark = common.ready(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
@@ -77,36 +76,44 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
         out.write(dictionary)
     last = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, (compressor, _) = word_ids.encoder(vocabulary).encode, _tools(dictionary)
-        out = None
+    n = common.partitions(spark)
+    bounds = np.array(common.order_bounds(rows, "key", n), dtype=np.int64)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = word_ids.encoder(vocabulary).encode
         for batch in batches:
             texts = batch["text"].cast(pa.binary())
             for start, end in word_ids.batches(texts):
+                keys = batch["key"].slice(start, end - start)
+                place = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+                ids = [np.frombuffer(x + last, "<u4").astype(f"<u{width}").tobytes() for x in encode(texts.slice(start, end - start).to_pylist())]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(place), pa.array(ids, pa.binary())], names=["key", "bucket", "ids"])
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor, out = _tools(dictionary)[0], None
+        for batch in batches:
+            for i, k in enumerate(batch["key"].to_pylist()):
                 if out is None:
-                    bucket = batch["bucket"][start].as_py()
+                    bucket = batch["bucket"][i].as_py()
                     name = f"shard-{bucket:06d}-{uuid.uuid4().hex}"
                     here, base = pafs.FileSystem.from_uri(folder)
                     out = here.open_output_stream(f"{base}/{name}")
                     out.write(MAGIC + digest + bytes([width]))
                     at, index, total = len(MAGIC) + 33, [], 0
-                keys = batch["key"].slice(start, end - start).to_pylist()
-                for k, ids in zip(keys, encode(texts.slice(start, end - start).to_pylist()), strict=True):
-                    ids += last
-                    frame = compressor.compress(np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes())
-                    out.write(frame)
-                    index.append((k or 0, k is None, at, len(frame), len(ids) // 4))
-                    at += len(frame)
-                    total += len(ids) // 4
+                ids = batch["ids"][i].as_buffer()
+                frame = compressor.compress(ids)
+                out.write(frame)
+                index.append((k or 0, k is None, at, len(frame), len(ids) // width))
+                at += len(frame)
+                total += len(ids) // width
         if out is not None:
             packed = np.array(index, INDEX).tobytes()
             out.write(packed + len(packed).to_bytes(8, "little") + END)
             out.close()
             yield pa.RecordBatch.from_pydict({"bucket": [bucket], "file": [name], "docs": [len(index)], "ids": [total]}, schema=_MANIFEST)
 
-    n = common.partitions(spark)
-    bounds = common.order_bounds(rows, "key", n)
-    ordered = rows.withColumn("bucket", common.order_bucket(F.col("key"), bounds)).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions(F.asc_nulls_first("key"), "text")
+    placed = rows.mapInArrow(encoded, "key long, bucket int, ids binary").repartitionById(len(bounds) + 1, "bucket")
+    ordered = placed.sortWithinPartitions(F.asc_nulls_first("key"), "ids")
     ordered.mapInArrow(shard, "bucket int, file string, docs long, ids long").write.mode("overwrite").parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 

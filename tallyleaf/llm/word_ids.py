@@ -1,8 +1,8 @@
 """Whole texts to token ids with the tokenizers library, each distinct word encoded once per worker.
 
 A byte-pair tokenizer never merges across its pre-tokens, so a text's ids are those of its words in
-a row. A worker cuts texts at blanks, asks the library for words it hasn't met, many in one call, and
-joins the packed ids. A text where blanks alone don't show the pre-tokens goes through the library whole.
+a row. A worker cuts texts at blanks, asks the library for words it hasn't met, and joins the packed
+ids. A text where blanks alone don't show the pre-tokens goes through the library whole.
 """
 
 from __future__ import annotations
@@ -11,26 +11,25 @@ import os
 import re
 from array import array
 from functools import lru_cache
-from itertools import filterfalse
 
-import numpy as np
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words a worker remembers, and the longest of them; others are encoded again when they come again.
-MAX_WORDS, MAX_WORD_BYTES = 450_000, 48
-#: Words in one call of the library.
-CALL_WORDS = 8_000
+#: Words and runs of signs that a worker remembers, and the longest of them; others are encoded again when they come again.
+MAX_WORDS, MAX_SIGNS, MAX_WORD_BYTES = 800_000, 10_000, 48
 
 #: Whitespace other than blank and line feed, in UTF-8: in ASCII, and lead bytes and patterns of the rest.
 _ASCII_SPACE = b"\t\v\f\r\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 _LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
-#: Words of Latin letters alone, which no pre-tokenizer cuts; and some to try on a vocabulary.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
-PROBES = [w.encode() for w in ("a", "Word", "Straße", "ÉTÉ", "übergrößenträger", "llll", "ſŒŁ")]
+#: Words of Latin letters alone, which no pre-tokenizer cuts; those with ASCII signs after them, which
+#: every one parts from the letters; and some words to try on a vocabulary.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+LATIN = re.compile(_LETTERS).fullmatch
+SIGNED = re.compile(rf"({_LETTERS})([!-/:-@\[-`{{-~]*)").fullmatch
+PROBES = ["a", "Word", "Straße", "ÉTÉ", "übergrößenträger", "llll", "ſŒŁ", "Word,", "a.", "Çe?", "x$$$", "so.***", "it')", "a_-"]
 
 
 def byte_letters() -> list[str]:
@@ -51,12 +50,17 @@ def vocabulary_path(name: str) -> str:
 
 
 class _Known(dict):
-    """Packed ids by word; ``passing`` has words of the texts at hand that found no room."""
+    """Packed ids by word; those of a new word are made when it is asked for, and stay if there is room."""
 
-    passing: dict[bytes, bytes] = {}
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
     def __missing__(self, word: bytes) -> bytes:
-        return self.passing[word]
+        ids = self.make(word)
+        if len(self) < MAX_WORDS and len(word) <= MAX_WORD_BYTES:
+            self[word] = ids
+        return ids
 
 
 class WordEncoder:
@@ -68,17 +72,18 @@ class WordEncoder:
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.library.no_truncation()
         self.library.no_padding()
-        added = self.library.get_added_tokens_decoder()
-        self.added = [t.content.encode() for t in added.values()]
-        #: An added token (content, id) that takes nothing from its neighbours can part words in one call.
-        self.parting = next(((t.content.encode(), i) for i, t in sorted(added.items()) if not (t.lstrip or t.rstrip or t.single_word)), None)
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         #: The kind of pre-tokenizer says how texts may be cut.
         self.keeps_blanks = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
-        self.known = _Known()
+        self.known = _Known(self.word)
         self.model, self.normalizer, self.table = self.library.model, self.library.normalizer, dict(enumerate(byte_letters()))
         self.head = self.table[0x20] if self.keeps_blanks else ""
+        self.line_feed = self.whole(b"\n")
+        self.signs: dict[str, bytes] = {}
         #: Whether words of letters may go to the model at once, past normalizer and pre-tokenizer.
-        self.direct = all(self.letters([w]) == {w: self.whole(self.spelled(w))} for w in PROBES)
+        self.direct = False
+        shapes = [*PROBES, *(x + w for w in PROBES for x in ("\n", "\n\n") if self.keeps_blanks)]
+        self.direct = all(self.letters(w.encode()) == self.whole(self.spelled(w.encode())) for w in shapes)
 
     def whole(self, text: bytes) -> bytes:
         return array("I", self.library.encode(text.decode(), add_special_tokens=False).ids).tobytes()
@@ -111,55 +116,43 @@ class WordEncoder:
             return word
         return word[2:] if word[:2] == b"\n\n" else word if word[:1] == b"\n" else b" " + word
 
-    def letters(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of those words that are Latin letters alone, from the library's model."""
-        plain = [(w, t) for w in words if LATIN(t := w.decode())]
-        if self.normalizer is not None and plain:
-            normal = self.normalizer.normalize_str(" ".join(t for _, t in plain)).split(" ")
-            plain = [(w, t) for (w, _), t in zip(plain, normal, strict=True) if LATIN(t)]
-        out, tokenize, table = {}, self.model.tokenize, self.table
-        for w, t in plain:
-            out[w] = array("I", [x.id for x in tokenize(self.head + t.encode().decode("latin-1").translate(table))]).tobytes()
-        return out
-
-    def each(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of distinct words; those that aren't plain letters go through one call of the library."""
-        found = self.letters(words) if self.direct else {}
-        others = [w for w in words if w not in found]
-        return found | dict(zip(others, self._parted(others), strict=True))
-
-    def _parted(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of each word, from one call of the library with the parting token between words.
-
-        Where that token doesn't come out once between any two words, every word is encoded alone.
-        """
-        spelled = list(map(self.spelled, words))
-        if self.parting is None or len(words) < 2:
-            return list(map(self.whole, spelled))
-        content, token = self.parting
-        joined = content.join(spelled).decode()
-        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = 4 * np.flatnonzero(ids == token)
-        if len(ends) != len(words) - 1:
-            return list(map(self.whole, spelled))
-        packed, ends = ids.tobytes(), ends.tolist()
-        return [packed[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(packed)], strict=True)]
+    def letters(self, word: bytes) -> bytes | None:
+        """Packed ids, from the library's model, of a word of Latin letters, with signs after them or not; else None."""
+        lead, head, body = b"", self.head, word
+        if self.keeps_blanks and word[:1] == b"\n":
+            head = ""
+            lead, body = (b"", word[2:]) if word[1:2] == b"\n" else (self.line_feed, word[1:])
+        text = body.decode()
+        if self.normalizer is not None:
+            text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
+        found = SIGNED(text)
+        if found is None:
+            return None
+        text, signs = found.groups()
+        tail = b""
+        if signs:
+            if any(t in word for t in self.added):
+                return None
+            tail = self.signs.get(signs)
+            if tail is None:
+                tail = self.whole(signs.encode())
+                if len(self.signs) < MAX_SIGNS and len(signs) <= MAX_WORD_BYTES:
+                    self.signs[signs] = tail
+            known = self.known.get(word[: -len(signs)])
+            if known is not None:
+                return known + tail
+        spelling = head + (text if text.isascii() else text.encode().decode("latin-1").translate(self.table))
+        return lead + array("I", [x.id for x in self.model.tokenize(spelling)]).tobytes() + tail
+
+    def word(self, word: bytes) -> bytes:
+        """Packed ids of a word as cut() gives it."""
+        ids = self.letters(word) if self.direct else None
+        return self.whole(self.spelled(word)) if ids is None else ids
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids of each text; null and empty texts have none."""
-        known, missing = self.known, set()
-        cut = [self.cut(t) if t else [] for t in texts]
-        for words in cut:
-            if words:
-                missing.update(filterfalse(known.__contains__, words))
-        known.passing = {}
-        new = list(missing)
-        for low in range(0, len(new), CALL_WORDS):
-            for word, ids in self.each(new[low : low + CALL_WORDS]).items():
-                keep = known if len(known) < MAX_WORDS and len(word) <= MAX_WORD_BYTES else known.passing
-                keep[word] = ids
-        at = known.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(at, words)) for t, words in zip(texts, cut, strict=True)]
+        at = self.known.__getitem__
+        return [self.whole(t) if (words := self.cut(t) if t else []) is None else b"".join(map(at, words)) for t in texts]
 
 
 @lru_cache(maxsize=4)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -56,6 +57,28 @@ def test_trie_against_the_library(library):
         assert tool.decode(ids) == library[BYTE].decode(ids, skip_special_tokens=False)
 
 
+def test_words_of_megabytes(library):
+    """A word of 5 MB takes the states of one path: some bytes a letter, and seconds."""
+    r = random.Random(6)
+    tool, began = trie_bpe.codec(BYTE), time.process_time()
+    words = ["a" * 5_000_000, "".join(r.choice("etaoinshr") for _ in range(1_000_000)), "中文" * 100_000]
+    got = tool.encode([w.encode() for w in words])
+    assert time.process_time() - began < 120
+    assert got == [packed(ids_of(library, BYTE, w)) for w in words]
+    assert not any(len(w) > word_ids.MAX_WORD_BYTES for w in tool.words)
+    for vocabulary in (BYTE, WORD):
+        assert word_ids.encoder(vocabulary).encode([words[1].encode()]) == [packed(ids_of(library, vocabulary, words[1]))]
+
+
+@pytest.mark.parametrize("vocabulary", [BYTE, WORD])
+def test_words_with_signs_and_line_feeds(library, vocabulary):
+    r = random.Random(16)
+    parts = ["a", "The", "É", "don't", "12", ")", ",", ".", "!", "!!", "?", ":", " ", " ", " ", "\n", "x,", "foo.\n", "ſ"]
+    values = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    got = word_ids.WordEncoder(vocabulary).encode([t.encode() for t in values])
+    assert got == [packed(ids_of(library, vocabulary, t)) for t in values]
+
+
 def test_round_trip_rows(spark, library):
     values = texts()
     rows = {r.doc_id: r for r in trie_bpe.round_trip(table(spark, values), BYTE).collect()}
@@ -64,6 +87,8 @@ def test_round_trip_rows(spark, library):
         assert (rows[i].n_tokens, rows[i].ids_sha256) == (len(ids), hashlib.sha256(packed(ids)).hexdigest())
         assert rows[i].decoded_sha256 == hashlib.sha256(library[BYTE].decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert trie_bpe.round_trip(table(spark, []), BYTE).count() == 0
+    twice = spark.createDataFrame([(5, "a b"), (5, "a b"), (None, "a b"), (5, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in trie_bpe.round_trip(twice, BYTE).collect()) == [("5", 0), ("5", 2), ("5", 2), ("None", 2)]
 
 
 def test_token_files(spark, library, tmp_path):
