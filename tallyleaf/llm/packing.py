@@ -2,9 +2,9 @@
 
 Every partition packs its own items best-fit, largest first. Bins that are nearly full are final;
 the others become items themselves, as large as their contents, and meet in fewer partitions,
-where the same is done again, in tasks of about ITEMS_PER_TASK bins, until one partition has seen
-them all. If a round leaves nearly all of them, or after MAX_ROUNDS, those that can still be merged
-meet in one last partition, so that no two open bins that fit together stay apart.
+where the same is done again, in tasks of about ITEMS_PER_TASK bins. After a round, bins that no
+other open bin can need are final too; the rest goes up the tree, to at most half as many tasks,
+until one has seen all that is left. So no two open bins that fit together stay apart.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common, word_ids
 
-#: Free tokens that a final bin may have before the last round; bins per task, and rounds, of the tree.
-SLACK, ITEMS_PER_TASK, MAX_ROUNDS = 16, 200_000, 4
+#: Free tokens that a nearly full bin has at most; bins per task of the tree.
+SLACK, ITEMS_PER_TASK = 16, 200_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, k
 
     Rows: key, piece, start, length, ids_crc32, bin, offset, fill (of the whole bin), with ``ids``
     (packed, unsigned 32 bits) if asked for. Documents of one key and text that come twice are
-    packed twice.
+    packed twice, and those without a key like any other.
     """
     common.ready(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -116,12 +116,11 @@ def merge_bins(bins: DataFrame, capacity: int, folder: str) -> DataFrame | None:
 
     Each round's rows are written to the folder, so that later rounds read one fixed outcome.
     """
-    moved, last = None, False
+    moved, round_no = None, 0
     n = bins.count()
-    for round_no in range(1, MAX_ROUNDS + 2):
-        if n < 2:
-            break
-        groups = 1 if last else -(-n // ITEMS_PER_TASK)
+    groups = -(-n // ITEMS_PER_TASK)
+    while n > 1:
+        round_no += 1
 
         def run(batches: Iterator[pa.RecordBatch], round_no: int = round_no) -> Iterator[pa.RecordBatch]:
             got = [(b["bin"].to_numpy(), b["fill"].to_numpy()) for b in batches]
@@ -144,13 +143,9 @@ def merge_bins(bins: DataFrame, capacity: int, folder: str) -> DataFrame | None:
             moved = common.kept(moved.join(onward, "sequence", "left").select("bin", F.coalesce("next", "sequence").alias("sequence"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), f"{folder}/moved-{round_no}")
         if groups == 1:
             break
-        bins = step.where((F.col("shift") == 0) & (F.col("fill") < capacity - SLACK)).select(F.col("sequence").alias("bin"), "fill")
-        left = bins.count()
-        last = left > ITEMS_PER_TASK and (left > 0.9 * n or round_no == MAX_ROUNDS)
-        if last:
-            bins = mergeable(bins, capacity)
-            left = bins.count()
-        n = left
+        bins = mergeable(step.where((F.col("shift") == 0) & (F.col("fill") < capacity - SLACK)).select(F.col("sequence").alias("bin"), "fill"), capacity)
+        n = bins.count()
+        groups = min(-(-n // ITEMS_PER_TASK), (groups + 1) // 2)
     return moved
 
 
