@@ -25,7 +25,7 @@ SKIPPABLE, ZSTD = (0x184D2A5D).to_bytes(4, "little"), (0xFD2FB528).to_bytes(4, "
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
 NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
-#: The dictionary's size, the rows it is trained on and how much of each; bytes read at a time; size at which a new archive begins.
+#: The dictionary's size, the rows it is trained on and how many characters in a row of each; bytes read at a time; size at which a new archive begins.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS, BLOCK, ROLL_BYTES = 64 << 10, 300, 16_000, 1 << 20, 1 << 30
 DATE = "2020-01-01T00:00:00Z"
 
@@ -51,10 +51,9 @@ def _dictionary(pages: DataFrame) -> bytes:
     """Trained on a bounded sample of payloads; empty when there are too few."""
     import zstandard
 
-    share = max(1, pages.count() // SAMPLE_ROWS)
-    sample = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0).select(F.substring("html", 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_ROWS).collect()
+    sample = common.text_sample(pages, "page_id", "html", SAMPLE_ROWS, SAMPLE_CHARS)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [r.t.encode() for r in sample if r.t]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [t.encode() for t in sample]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -72,9 +71,10 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     spark = common.ready(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     dictionary = _dictionary(rows)
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    again = rows.select("page_id", "digest").join(first.select("digest", "first"), "digest").where("page_id > first").distinct()
-    placed = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "first")
+    # Written first, so that Spark can split the join's part for a very common payload.
+    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
+    first = common.kept(first, f"{folder}/first")
+    placed = rows.join(first, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("first"))
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
 
