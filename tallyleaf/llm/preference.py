@@ -15,6 +15,8 @@ from . import common
 #: Fixed values of the template. In texts and roles the opening of a mark is parted by a blank.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 LEARNT = "assistant"
+#: Numbers that are summed in one go.
+BLOCK = 256
 
 
 def _plain(x: Column) -> Column:
@@ -40,32 +42,50 @@ def common_prefix(a: Column, b: Column) -> Column:
     return common.let(same, lambda s: F.coalesce(F.nullif(F.array_position(s, F.lit(False)), F.lit(0)) - 1, F.size(s).cast("long")))
 
 
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it: by blocks, so that the work grows about as the array does."""
+
+    def running(block: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(block, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def over(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int")), lambda b: F.slice(n, b * BLOCK + 1, F.lit(BLOCK)))
+        starts = lambda x: running(F.transform(x, lambda y: F.aggregate(y, F.lit(0).cast("bigint"), lambda acc, z: acc + z)), F.lit(0).cast("bigint"))
+        return common.let(blocks, lambda x: common.let(starts(x), lambda s: F.flatten(F.transform(x, lambda y, i: running(y, F.get(s, i))))))
+
+    return common.let(numbers, lambda n: F.when(F.size(n) > 0, over(n)).otherwise(F.array().cast("array<bigint>")))
+
+
 def spans(turns: Column) -> Column:
     """Array of (start, length) in characters of the rendered turns, for what is learnt."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    sizes = F.transform(turns, lambda t: F.struct(F.length(_head(t)).cast("bigint").alias("head"), F.length(_body(t)).cast("bigint").alias("body"), t["role"].eqNullSafe(F.lit(LEARNT)).alias("learnt")))
 
-    def step(acc: Column, t: Column) -> Column:
-        head, body = F.length(_head(t)).cast("long"), F.length(_body(t)).cast("long")
-        mine = F.struct((acc["at"] + head).alias("start"), body.alias("length"))
-        return F.struct((acc["at"] + head + body).alias("at"), F.when(t["role"].eqNullSafe(F.lit(LEARNT)), F.array_append(acc["spans"], mine)).otherwise(acc["spans"]).alias("spans"))
+    def placed(x: Column) -> Column:
+        starts = sums_before(F.transform(x, lambda y: y["head"] + y["body"]))
+        every = common.let(starts, lambda at: F.transform(x, lambda y, i: F.struct((F.get(at, i) + y["head"]).alias("start"), y["body"].alias("length"), y["learnt"].alias("learnt"))))
+        return F.transform(F.filter(every, lambda y: y["learnt"]), lambda y: F.struct(y["start"].alias("start"), y["length"].alias("length")))
 
-    return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+    return common.let(sizes, placed)
 
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Replace the two turn arrays by n_prefix, prompt, and text and spans of both completions.
 
-    Null arrays count as empty. Equal conversations give two empty completions. Other columns stay,
-    except those named as a new one.
+    Null arrays count as empty, null roles and texts too. Equal conversations give two empty completions, and
+    turns that repeat are turns like others. Other columns stay, except those named as a new one; repeated rows
+    and an empty table stay what they are.
     """
     turns = "array<struct<role:string,text:string>>"
-    others = [c for c in pairs.columns if c not in {chosen, rejected, "n_prefix", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans"}]
+    new = {"n_prefix", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans"}
+    others = [c for c in pairs.columns if c not in {chosen, rejected, *new}]
+    a, b, n, p, ra, rb = (common.free_name(pairs, x) for x in ("_a", "_b", "_n", "_p", "_ra", "_rb"))
     empty = F.array().cast(turns)
-    both = pairs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(chosen).cast(turns), empty).alias("_a"), F.coalesce(F.col(rejected).cast(turns), empty).alias("_b"))
-    cut = both.withColumn("n_prefix", common_prefix(F.col("_a"), F.col("_b")))
-    rest = lambda c: F.slice(F.col(c), F.col("n_prefix").cast("int") + 1, F.size(c))
-    parts = cut.withColumns({"_p": F.slice("_a", F.lit(1), F.col("n_prefix").cast("int")), "_ra": rest("_a"), "_rb": rest("_b")})
-    return parts.select(*[F.col(f"`{c}`") for c in others], "n_prefix", render(F.col("_p")).alias("prompt"), render(F.col("_ra")).alias("chosen_text"), spans(F.col("_ra")).alias("chosen_spans"), render(F.col("_rb")).alias("rejected_text"), spans(F.col("_rb")).alias("rejected_spans"))
+    both = pairs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(chosen).cast(turns), empty).alias(a), F.coalesce(F.col(rejected).cast(turns), empty).alias(b))
+    cut = both.withColumn(n, common_prefix(F.col(a), F.col(b)))
+    rest = lambda c: F.slice(F.col(c), F.col(n).cast("int") + 1, F.size(c))
+    parts = cut.withColumns({p: F.slice(a, F.lit(1), F.col(n).cast("int")), ra: rest(a), rb: rest(b)})
+    return parts.select(*[F.col(f"`{c}`") for c in others], F.col(n).alias("n_prefix"), render(F.col(p)).alias("prompt"), render(F.col(ra)).alias("chosen_text"), spans(F.col(ra)).alias("chosen_spans"), render(F.col(rb)).alias("rejected_text"), spans(F.col(rb)).alias("rejected_spans"))
 
 
 def conversations_to_turns(conversations: DataFrame) -> DataFrame:
@@ -78,14 +98,26 @@ def conversations_to_turns(conversations: DataFrame) -> DataFrame:
 def swapped_replies(conversations: DataFrame) -> DataFrame:
     """Preference pairs (conv_id, chosen, rejected): in the rejected one the last reply comes from the neighbour.
 
-    Conversations 2n and 2n + 1 are neighbours. Those without a reply, or whose neighbour has none, make no pair.
+    Conversations 2n and 2n + 1 are neighbours, gathered by one shuffle. Those without a reply, or whose
+    neighbour has none, make no pair. Turns are in the order of turn, role and text; repeated rows are repeated turns.
     """
-    turns = conversations_to_turns(conversations)
-    numbered = turns.withColumn("at", F.aggregate("turns", F.struct(F.lit(0).alias("i"), F.lit(0).alias("last")), lambda acc, t: F.struct((acc["i"] + 1).alias("i"), F.when(t["role"].eqNullSafe(F.lit(LEARNT)), acc["i"] + 1).otherwise(acc["last"]).alias("last")), lambda acc: acc["last"])).where("at > 0")
-    theirs = numbered.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.element_at("turns", F.col("at"))["text"].alias("reply"))
-    pairs = numbered.join(theirs, "conv_id")
+    rows = conversations.where("conv_id is not null").select("conv_id", F.struct("turn", "role", "text").alias("t"))
+    grouped = rows.groupBy(F.shiftright("conv_id", 1).alias("_pair")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "t"))).alias("x"))
+
+    def side(odd: int) -> Column:
+        mine = F.filter("x", lambda y: F.pmod(y["conv_id"], F.lit(2)) == odd)
+        turns = F.transform(mine, lambda y: F.struct(y["t"]["role"].alias("role"), y["t"]["text"].alias("text")))
+        return common.let(mine, lambda m: F.struct(F.get(m, 0)["conv_id"].alias("conv_id"), turns.alias("turns")))
+
+    def with_reply(s: Column) -> Column:
+        last = F.array_max(F.transform(s["turns"], lambda t, i: F.when(t["role"].eqNullSafe(F.lit(LEARNT)), i + 1)))
+        return F.struct(s["conv_id"].alias("conv_id"), s["turns"].alias("turns"), last.alias("at"))
+
+    sides = grouped.select(with_reply(side(0)).alias("a"), with_reply(side(1)).alias("b")).where("a.at is not null and b.at is not null")
+    each = sides.select(F.explode(F.array(F.struct(F.col("a").alias("mine"), F.col("b").alias("other")), F.struct(F.col("b").alias("mine"), F.col("a").alias("other")))).alias("p"))
+    shown = each.select("p.mine.conv_id", F.col("p.mine.turns").alias("turns"), F.col("p.mine.at").alias("at"), F.element_at("p.other.turns", F.col("p.other.at"))["text"].alias("reply"))
     swapped = F.transform("turns", lambda t, i: F.when(i + 1 == F.col("at"), F.struct(t["role"].alias("role"), F.col("reply").alias("text"))).otherwise(t))
-    return pairs.select("conv_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))
+    return shown.select("conv_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))
 
 
 def digest_rows(conversations: DataFrame) -> DataFrame:

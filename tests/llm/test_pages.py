@@ -4,6 +4,7 @@ import io
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,26 @@ def test_mined_rules_against_brute_force(spark):
     assert url_rules.mine(lists.limit(0)).count() == 0
 
 
+def test_long_and_repeated_urls_are_mined_in_bounded_time(spark):
+    """A URL of 40 parts on 5 % of the pages, where each part also comes elsewhere: 2 ** 40 frequent combinations."""
+    r = random.Random(3)
+    long = "http://long.net/" + "/".join(f"part{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(40))
+    rows = [(i, long, int(i % 5 != 0)) for i in range(30)]  # 80 % bad
+    rows += [(100 + i, f"http://h{i % 9}.net/part{chr(97 + i % 26)}{'x' * (i % 2)}/z{i}", int(i % 7 == 0)) for i in range(570)]
+    rows += [(900, "http://w.net/" + "q/" * 20_000 + "?" + "k=1&" * 5_000, 0)]
+    r.shuffle(rows)
+    p = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, _, b in rows], "doc_id long, quality int, toxic int")
+    began = time.time()
+    rules = url_rules.mine(url_rules.transactions(p, labels), min_share=0.002, min_pages=5).collect()
+    assert time.time() - began < 60
+    data = [(set(x["items"])) for x in url_rules.transactions(p, labels).collect()]
+    assert {("host=long.net",), ("label:long",)} <= {tuple(x.tokens) for x in rules}
+    for x in rules:  # counted over all pages' whole tokens
+        having = [d for d in data if d >= set(x.tokens)]
+        assert x.pages == sum(url_rules.BAD in d for d in having) and abs(x.confidence - x.pages / len(having)) < 1e-9 and x.confidence >= 0.8
+
+
 def rendered(turns):
     out, spans = "", []
     for role, text in turns:
@@ -149,6 +170,29 @@ def test_preference_pairs(spark):
         assert (g.rejected_text, [tuple(s) for s in g.rejected_spans]) == rendered(r[n:])
 
 
+def test_long_conversations_and_clashing_columns(spark):
+    r = random.Random(11)
+    turns = [(r.choice(["user", "assistant", None]), r.choice(["a", "bc <|", None, "é🙂"])) for _ in range(3000)]
+    other = [*turns[:700], ("assistant", "another"), *turns[701:]]
+    rows = spark.createDataFrame([(1, "x", "y", 2, turns, other), (1, "x", "y", 2, turns, other)], "n_prefix int, _a string, _B string, _n int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    got = preference.format_pairs(rows).collect()
+    assert len(got) == 2 and got[0] == got[1] and (got[0]._a, got[0]._B, got[0]._n, got[0].n_prefix) == ("x", "y", 2, 700)
+    assert (got[0].chosen_text, [tuple(s) for s in got[0].chosen_spans]) == rendered(turns[700:])
+    assert (got[0].rejected_text, [tuple(s) for s in got[0].rejected_spans]) == rendered(other[700:])
+    assert preference.format_pairs(rows.limit(0)).count() == 0
+    for n in (0, 1, 255, 256, 257, 1000):
+        numbers = [r.randint(0, 9) for _ in range(n)]
+        found = spark.createDataFrame([(numbers,)], "x array<bigint>").select(preference.sums_before(F.col("x"))).first()[0]
+        assert found == [sum(numbers[:i]) for i in range(n)]
+
+
+def test_swapped_replies_with_ties_and_repeats(spark):
+    rows = [(-2, 0, "assistant", "m"), (-1, 0, "assistant", "n"), (4, 1, "assistant", "b"), (4, 1, "assistant", "a"), (4, 0, "user", "q"), (4, 0, "user", "q"), (5, None, "assistant", None), (5, 3, None, "t"), (7, 0, "assistant", "alone")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: [tuple(t) for t in x.rejected] for x in preference.swapped_replies(c).collect()}
+    assert got == {-2: [("assistant", "n")], -1: [("assistant", "m")], 4: [("user", "q"), ("user", "q"), ("assistant", "a"), ("assistant", None)], 5: [("assistant", "b"), (None, "t")]}
+
+
 def test_swapped_replies(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (1, 0, "user", "p"), (1, 1, "assistant", "a1"), (1, 2, "user", "thanks"), (2, 0, "user", "alone"), (3, 0, "assistant", "a3"), (None, 0, "assistant", "x")]
     c = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, chosen string")
