@@ -6,12 +6,14 @@ import os
 import re
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SMALLEST = int(np.iinfo(np.int64).min)
 _OWN_FOLDER: list[str] = []
 _MADE: list[str] = []
 
@@ -92,13 +94,27 @@ def text_sample(df: DataFrame, key: str, text: str, rows: int, chars: int) -> li
     return [r.t for r in cut.orderBy("mark", "t").limit(rows).collect()]
 
 
-def order_bounds(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 splitting values of an integer key; reads that column alone."""
+def order_bounds(df: DataFrame, key: str, n: int, repeats: bool = False) -> list[int]:
+    """At most n - 1 splitting values of an integer key; reads that column alone.
+
+    With repeats null counts as the smallest value, and a value that holds many rows comes as often as it
+    has n-ths of them, so that its rows can be dealt to as many buckets.
+    """
     if n < 2:
         return []
     at = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(key), F.array(*map(F.lit, at)), F.lit(max(10_000, 4 * n))).alias("b")).first()
-    return sorted(set(row.b or []))
+    values = F.coalesce(F.col(key), F.lit(SMALLEST)) if repeats else F.col(key)
+    row = df.agg(F.percentile_approx(values, F.array(*map(F.lit, at)), F.lit(max(10_000, 4 * n))).alias("b")).first()
+    return sorted(row.b or []) if repeats else sorted(set(row.b or []))
+
+
+def dealt_buckets(keys: pa.Array, bounds: np.ndarray, contents: list[bytes]) -> np.ndarray:
+    """Buckets, from 0 and in the order of keys, by order_bounds with repeats; rows of a repeated bound are dealt by their contents."""
+    values = keys.fill_null(SMALLEST).to_numpy(zero_copy_only=False)
+    low, place = (np.searchsorted(bounds, values, side=s) for s in ("left", "right"))
+    for i in np.flatnonzero(place - low > 1).tolist():
+        place[i] = low[i] + 1 + zlib.crc32(contents[i]) % (place[i] - low[i])
+    return place.astype(np.int32)
 
 
 def order_bucket(key: Column, bounds: list[int]) -> Column:
@@ -107,7 +123,7 @@ def order_bucket(key: Column, bounds: list[int]) -> Column:
 
     @F.arrow_udf("int")
     def bucket(ids: pa.Array) -> pa.Array:
-        values = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        values = ids.fill_null(SMALLEST).to_numpy(zero_copy_only=False)
         return pa.array(np.searchsorted(edges, values, side="right").astype(np.int32))
 
     return bucket(key.cast("long"))

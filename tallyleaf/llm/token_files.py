@@ -61,7 +61,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
     """Encode whole texts and write them as a token folder; returns the manifest.
 
     Null and empty texts are documents with the end id alone. Keys are integers, or texts of integers. Rows
-    with a null key come first; rows with equal keys stay apart, in the order of their ids. Texts are encoded
+    with a null key come first; rows with equal keys stay apart, in the order of their ids (a key that holds
+    a large share of all rows is dealt to several shards, and in that order within each). Texts are encoded
     where they are read, and only ids are shuffled. Other columns are not read. An empty table makes a
     folder whose manifest has no rows.
     """
@@ -77,7 +78,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
     last = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     n = common.partitions(spark)
-    bounds = np.array(common.order_bounds(rows, "key", n), dtype=np.int64)
+    bounds = np.array(common.order_bounds(rows, "key", n, repeats=True), dtype=np.int64)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids.encoder(vocabulary).encode
@@ -85,8 +86,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
             texts = batch["text"].cast(pa.binary())
             for start, end in word_ids.batches(texts):
                 keys = batch["key"].slice(start, end - start)
-                place = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
                 ids = [np.frombuffer(x + last, "<u4").astype(f"<u{width}").tobytes() for x in encode(texts.slice(start, end - start).to_pylist())]
+                place = common.dealt_buckets(keys, bounds, ids)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(place), pa.array(ids, pa.binary())], names=["key", "bucket", "ids"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

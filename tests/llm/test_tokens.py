@@ -4,9 +4,12 @@ import struct
 import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tallyleaf.llm import packing, token_files, trie_bpe, word_ids
+from tallyleaf.llm import common, packing, token_files, trie_bpe, word_ids
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 PARTS = ["a", "the", " ", " ", " ", "  ", "\n", "\n\n", "\t", "'s", "12", "é", "ß", "中文", "🙂", " ", "\x1c", "\r\n", "<|endoftext|>", "aaaa", "!!", "--", "é", "Σ", "İ", "\x00", "​"]
@@ -122,6 +125,18 @@ def test_token_files_order_of_nulls_ties_and_repeats(spark, tmp_path):
     assert token_files.write(docs.limit(0), empty, BYTE, 2).count() == 0 and token_files.read(spark, empty).count() == 0
 
 
+def test_a_common_key_is_dealt_to_several_shards(spark, tmp_path):
+    rows = [(7, f"text {i}") for i in range(60)] + [(None, f"none {i}") for i in range(60)] + [(i, "x") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = f"file://{tmp_path}/t"
+    made = [r.docs for r in token_files.write(docs.withColumn("shard", F.lit(1)), folder, BYTE, 2).collect()]
+    got = sorted(token_files.read(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.key for r in got] == [None] * 60 + [7] * 60 + list(range(100, 160)) and sum(made) == 180
+    keys = pa.array([None] * 300 + [5] * 300 + [9], pa.int64())
+    place = common.dealt_buckets(keys, np.array([common.SMALLEST, common.SMALLEST, 5, 5, 5]), [str(i).encode() for i in range(601)])
+    assert set(place[:300]) == {1, 2} and set(place[300:600]) == {3, 4, 5} and place[600] == 5
+
+
 def test_packing(spark, library):
     values = [*texts(), "word " * 500, "word " * 500]
     got = packing.pack(table(spark, values), WORD, 0, 256, with_ids=True).collect()
