@@ -1,8 +1,9 @@
 """Quality rules by cross-document line frequency. DataFrame functions only.
 
-Lines are normalised and hashed; for every host the documents that have a line are counted, where
-exact copies of a text count as one document, and on demand those whose normalised lines are equal. Lines in more documents than the limit are removed, and
-documents that lose most of their words to that are rejected, as are those that fail base rules.
+Lines are normalised and hashed; for every host the distinct documents that have a line are counted,
+and the different texts among them. Lines above both limits are removed, and documents that lose
+most of their words to that are rejected, as are those that fail base rules. The limit on texts keeps
+apart what is boilerplate and what is one page's copies, which near-duplicate removal is there for.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A line that more documents of one host have is removed; a document is rejected if it loses a larger share of its words.
-LINE_LIMIT, LOST_SHARE = 20, 0.8
+#: A line is removed if more documents of one host have it, of more different texts (copies that differ in
+#: case and blanks are one text). A document is rejected if it loses a larger share of its words. Both limits
+#: are numbers at any size of a host: what 21 documents of different texts say alike is boilerplate in a large host too.
+LINE_LIMIT, TEXT_LIMIT, LOST_SHARE = 20, 10, 0.8
 #: Base rules: least number of words, largest share of words in repeated windows, words in a window.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 0.3, 8
 #: What parts words, and symbols.
@@ -70,63 +73,100 @@ def _line_word_count(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def document_lines(docs: DataFrame, host: str = "source", normal_copies: bool = False) -> DataFrame:
-    """Hashed normalised lines (lower case, blanks as one) of documents: key, host, text_hash, place, line, words.
+def _normal(line: Column) -> Column:
+    """Lower case, blanks as one."""
+    return F.trim(F.regexp_replace(F.lower(line), f"{SPACE}+", " "))
 
-    With normal_copies texts of equal normalised lines have one text_hash.
-    """
-    normal = lambda x: F.trim(F.regexp_replace(F.lower(x), f"{SPACE}+", " "))
-    hashed = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), _line_word_count(x).alias("words")))
-    listed = docs.select("key", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text", hashed.alias("_l"))
-    text_hash = F.xxhash64("_l.line") if normal_copies else F.xxhash64("text")
-    rows = listed.select("key", "host", text_hash.alias("text_hash"), F.posexplode("_l").alias("place", "l"))
-    return rows.select("key", "host", "text_hash", "place", "l.line", "l.words")
 
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
-def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """Lines (host, line, documents) of more documents than the limit."""
-    distinct = lines.select("host", "line", "text_hash").distinct()
-    return distinct.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > limit)
 
+def document_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Measures of every row, with what its lines need: k1, k2 (which tell rows apart: equal rows have
+    the same), id, measures, base_failed, host, text_hash, lines (array of line, words, place), no texts."""
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(host).cast("string").alias("_host"))
+    placed = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("place"))), lambda y: _has_word(y["x"]))
+    hashed = F.transform(placed, lambda y: F.struct(F.xxhash64(_normal(y["x"])).alias("line"), _line_word_count(y["x"]).alias("words"), y["place"].alias("place")))
+    k1, k2 = _row_key("id", "_host", "text")
+    measured = base_measures(rows.withColumns({"k1": k1, "k2": k2, "lines": hashed}))
+    host_hash = F.xxhash64(F.col("_host").isNull(), F.coalesce("_host", F.lit("")))
+    return measured.withColumns({"host": host_hash, "text_hash": F.xxhash64("lines.line")}).drop("text", "_host")
 
-def lost_words(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, normal_copies: bool = False) -> DataFrame:
-    """Words (key, lost) that documents lose with the removed lines; only documents that lose any.
 
-    Each place of a key counts once, however often its row is repeated.
-    """
-    lines = document_lines(docs, host, normal_copies)
-    hit = lines.select("key", "host", "place", "line", "words").join(frequent_lines(lines, limit).select("host", "line"), ["host", "line"])
-    once = hit.groupBy("key", "place").agg(F.max("words").alias("words"))
-    return once.groupBy("key").agg(F.sum("words").alias("lost"))
+def frequent_lines(rows: DataFrame, limit: int = LINE_LIMIT, text_limit: int = TEXT_LIMIT) -> DataFrame:
+    """Lines (host, line, documents, texts) above both limits, from document_rows. Repeated rows are one document."""
+    once = rows.select("k1", "k2", "host", "text_hash", F.array_distinct("lines.line").alias("lines")).dropDuplicates(["k1", "k2"])
+    each = once.select("host", "text_hash", F.explode("lines").alias("line"))
+    by_text = each.groupBy("host", "line", "text_hash").agg(F.count("*").alias("documents"))
+    counted = by_text.groupBy("host", "line").agg(F.sum("documents").alias("documents"), F.count("*").alias("texts"))
+    return counted.where((F.col("documents") > limit) & (F.col("texts") > text_limit))
+
+
+def removed_lines(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """What documents lose: k1, k2, places (of lines in the text), lost (words); only documents that lose any."""
+    lines = rows.select("k1", "k2", "host", F.explode("lines").alias("l")).select("k1", "k2", "host", "l.place", "l.line", "l.words")
+    hit = lines.join(frequent.select("host", "line"), ["host", "line"])
+    once = hit.groupBy("k1", "k2", "place").agg(F.max("words").alias("words"))
+    return once.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("place")).alias("places"), F.sum("words").alias("lost"))
+
+
+def _row_key(key: str, host: str, text: str) -> tuple[Column, Column]:
+    """Two hashes that tell rows apart: repeated rows have the same."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    parts = [F.col(key), F.col(host).cast("string"), F.length(whole), F.xxhash64(whole)]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts, F.crc32(whole))
 
 
-def _row_key(key: str, host: str, text: str) -> Column:
-    """Tells rows apart: repeated ones have the same."""
-    return F.xxhash64(F.col(key), F.col(host), F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+def _judged(docs: DataFrame, key: str, text: str, host: str, limit: int, text_limit: int, lost_share: float) -> DataFrame:
+    folder = common.shared_folder(docs.sparkSession, "line-rules")
+    rows = common.kept(document_rows(docs, key, text, host), f"{folder}/rows")
+    frequent = common.kept(frequent_lines(rows, limit, text_limit), f"{folder}/frequent")
+    joined = rows.drop("lines", "host", "text_hash").join(removed_lines(rows, frequent), ["k1", "k2"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= lost_share * F.col("n_words")))
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT, lost_share: float = LOST_SHARE, normal_copies: bool = False) -> DataFrame:
-    """Key (its own name), measures, lost, base_failed, kept, and _key (of the row) of every document.
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT, text_limit: int = TEXT_LIMIT, lost_share: float = LOST_SHARE) -> DataFrame:
+    """Key (its own name), measures, lost, places (of removed lines), base_failed and kept of every document.
 
     Null texts are empty. Rows with equal keys (or none) are told apart by their text; repeated
-    rows are judged alike and all returned. Null hosts are one host. Columns other than these three are not read.
-    With normal_copies texts that differ in case and blanks alone count as one, as exact copies do.
+    rows are judged alike, count as one document and are all returned. Null hosts are one host, another
+    than that of an empty name. Very long lines and texts are read whole. An empty table gives no rows.
+    Columns other than these three are not read.
     """
-    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(host).alias("_host"))
-    rows = rows.withColumn("key", _row_key("_id", "_host", "text"))
-    measured = base_measures(rows).drop("text", "_host")
-    lost = lost_words(rows.select("key", "text", "_host"), "_host", limit, normal_copies)
-    joined = measured.join(lost, "key", "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= lost_share * F.col("n_words"))).withColumnsRenamed({"key": "_key", "_id": key})
+    common.ready(docs.sparkSession)
+    return _judged(docs, key, text, host, limit, text_limit, lost_share).drop("k1", "k2").withColumnRenamed("id", key)
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lost").alias("lost_words"))
+    found = judged(docs)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lost").alias("lost_words"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("removed_lines"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that the rules keep, with their own columns and whole texts; copies by normalised lines count once."""
-    name = common.free_name(docs, "_key")
-    rows = docs.withColumn(name, _row_key("doc_id", "source", "text"))
-    bad = judged(docs, normal_copies=True).where(~F.col("kept")).select(F.col("_key").alias(name)).distinct()
-    return rows.join(bad, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def without_lines(text: Column, places: Column) -> Column:
+    """A text without its lines at those places; a null or empty array removes none."""
+
+    def left(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        gone = F.transform(places, lambda p: F.struct(p.alias("i"), F.get(lines, p).alias("x")))
+        return F.array_join(F.transform(F.array_except(numbered, gone), lambda y: y["x"]), "\n")
+
+    return F.when(F.coalesce(F.size(places), F.lit(0)) > 0, common.let(F.split(text, "\n"), left)).otherwise(text)
+
+
+def keep_good(docs: DataFrame, limit: int = LINE_LIMIT, text_limit: int = TEXT_LIMIT, lost_share: float = LOST_SHARE) -> DataFrame:
+    """Documents that the rules keep, with their own columns, their texts without the removed lines.
+
+    An integer column n_chars, where there is one, is set anew for texts that lose lines.
+    """
+    common.ready(docs.sparkSession)
+    names = [common.free_name(docs, x) for x in ("_k1", "_k2", "_kept", "_places")]
+    judged_rows = _judged(docs, "doc_id", "text", "source", limit, text_limit, lost_share)
+    changed = judged_rows.where(~F.col("kept") | (F.col("lost") > 0)).groupBy("k1", "k2").agg(F.first("kept").alias("kept"), F.first("places").alias("places"))
+    changed = changed.select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1]), F.col("kept").alias(names[2]), F.col("places").alias(names[3]))
+    rows = docs.withColumns(dict(zip(names[:2], _row_key("doc_id", "source", "text"), strict=True)))
+    good = rows.join(changed, names[:2], "left").where(F.coalesce(names[2], F.lit(True)))
+    cleaned = good.withColumn("text", without_lines(F.col("text"), F.col(names[3])))
+    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
+        cleaned = cleaned.withColumn("n_chars", F.when(F.size(names[3]) > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])

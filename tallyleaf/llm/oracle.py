@@ -24,17 +24,18 @@ SELECT conv_id, any_value(n) AS n_prefix, coalesce(string_agg(head || x, '' ORDE
   coalesce(string_agg(head || y, '' ORDER BY i) FILTER (i > n), '') AS rejected_text, coalesce(string_agg(CAST(sy AS VARCHAR) || '+' || CAST(length(y) AS VARCHAR), ',' ORDER BY i) FILTER (i > n AND role = 'assistant'), '') AS rejected_learnt
 FROM s GROUP BY conv_id""",
     "op8_line_rules": f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce('s' || source, '') AS host FROM documents),
 w AS (SELECT r, doc_id, host, text, regexp_extract_all(text, '{WORD}') AS w FROM d),
 g AS (SELECT r, i, array_to_string(w[i:i+7], ' ') AS g FROM w, unnest(range(1, len(w) - 6)) AS u(i) WHERE len(w) >= 8),
 f AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 c AS (SELECT r, count(DISTINCT i + k) AS n FROM f, (SELECT unnest(range(8)) AS k) GROUP BY r),
-l AS (SELECT r, host, text, p, line, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM (SELECT r, host, text, generate_subscripts(string_split(text, chr(10)), 1) AS p, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}')),
-u AS (SELECT host, norm FROM l GROUP BY host, norm HAVING count(DISTINCT text) > 20),
-x AS (SELECT r, sum(len(regexp_extract_all(line, '{WORD}'))) AS lost FROM l JOIN u ON l.host = u.host AND l.norm = u.norm GROUP BY r),
+l AS (SELECT r, doc_id, host, text, p, line, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM (SELECT r, doc_id, host, text, generate_subscripts(string_split(text, chr(10)), 1) AS p, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}')),
+o AS (SELECT r, md5(string_agg(norm, chr(10) ORDER BY p)) AS lines FROM l GROUP BY r),
+u AS (SELECT host, norm FROM l JOIN o ON l.r = o.r GROUP BY host, norm HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT lines) > 10),
+x AS (SELECT r, sum(len(regexp_extract_all(line, '{WORD}'))) AS lost, count(*) AS gone FROM l JOIN u ON l.host = u.host AND l.norm = u.norm GROUP BY r),
 y AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM l GROUP BY r),
 z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_words FROM w LEFT JOIN c ON w.r = c.r LEFT JOIN x ON w.r = x.r LEFT JOIN y ON w.r = y.r)
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_words, CAST(coalesce(gone, 0) AS BIGINT) AS removed_lines FROM w LEFT JOIN c ON w.r = c.r LEFT JOIN x ON w.r = x.r LEFT JOIN y ON w.r = y.r)
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_words <= 0.8 * n_words AS kept FROM z""",
     "op9_bottom_k": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
