@@ -6,7 +6,8 @@ loss, where a bit weighs for a language as much as it was right on the labelled
 best two losses are close, the text is flagged as ambiguous.
 
 Learning is two passes over all labelled rows: one sums n-gram counts per language, the other sums
-for each bit how large its margins are and how often it is right.
+for each bit how large its margins are and how often it is right. At most MAX_LANGUAGES languages are
+learnt, those of the most rows, so that a column of dirty labels can't fill the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from . import common, word_ids
 UNKNOWN = "und"
 #: Hash buckets, longest n-gram in bytes, smoothing.
 BUCKETS, LONGEST, SMOOTHING = 1 << 13, 3, 0.5
+#: Most languages that a model has: the driver holds BUCKETS numbers for each.
+MAX_LANGUAGES = 500
 #: Margins are summed as whole multiples of 1 / MARGIN_UNIT, so that the sum doesn't depend on the order of rows.
 MARGIN_UNIT = 1 << 24
 #: Margin of a text halfway sure, in units of a bit's mean margin; share by which the second best loss has to be larger.
@@ -111,8 +114,15 @@ def _text(text: str) -> Column:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
-    """Learn from all rows with a text and a language; None if there are none."""
+    """Learn from all rows with a text and a language; None if there are none.
+
+    Repeated rows count each time. Of equally common languages the first by name are learnt.
+    """
     common.ready(labelled.sparkSession)
+    rows = labelled.select(_text(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    common_most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(common_most) > MAX_LANGUAGES:
+        rows = rows.where(F.col("lang").isin([r.lang for r in common_most[:MAX_LANGUAGES]]))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -126,7 +136,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model |
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
-    rows = labelled.select(_text(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     summed = rows.mapInArrow(sums, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # One vector of BUCKETS counts for each language.
     vectors = {r.lang: r for r in summed.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).collect()}
@@ -215,6 +224,10 @@ def fit_on(docs: DataFrame) -> Model | None:
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of every row, repeated ones too; an empty table gives none.
+
+    Texts of any length are read whole; columns other than doc_id, text and lang aren't read.
+    """
     found = predict(docs.select("doc_id", "text"), fit_on(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous"))
 

@@ -233,6 +233,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         least = common.kept(large.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/smallest-{step}")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = common.kept(small, f"{folder}/small-{step}")
+        common.dropped(edges.sparkSession, *(f"{folder}/{x}-{step}" for x in ("least", "large", "smallest")), f"{folder}/links-0" if step == 1 else f"{folder}/small-{step - 1}")
         after = mark(edges)
         if after == before:
             break
@@ -287,6 +288,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
             tree = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
             joined = common.kept(components(tree.union(more), f"{folder}/components-{way}"), f"{folder}/joined-{way}")
 
+    common.dropped(spark, *(f"{folder}/{x}" for x in ("counts", "lists", "sets", "pivots", "mixed", "times", "placed", "early-pivots")))
+
     of_class = classes.select("set_id", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(of_class, "set_id", "left").select("key", "n_shingles", F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "key")).alias("component_id"))
 

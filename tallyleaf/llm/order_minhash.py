@@ -30,6 +30,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: R to the powers 1, 2, 4: of stretches of so many code points.
+POWERS = [np.uint64(pow(int(R), n, 1 << 64)) for n in (1, 2, 4)]
 #: One odd multiplier per function: on mixed values each gives another order.
 FUNCTIONS = _mixed(np.arange(1, ENTRIES + 1, dtype=np.uint64) * R) | np.uint64(1)
 
@@ -42,18 +44,26 @@ def kmers(text: str) -> np.ndarray:
         for i in range(len(h)):
             total = _mixed(total * R + h[i : i + 1])
         return total
-    n, power = 1, R
-    while n < KMER and len(h):
+    n = 1
+    for power in POWERS if len(h) else []:
         h = h[:-n] + h[n:] * power
-        n, power = 2 * n, power * power
+        n *= 2
     return _mixed(h)
 
 
 def numbered(h: np.ndarray) -> np.ndarray:
-    """Hashes of (k-mer, how many equal ones stand before it)."""
+    """Hashes of (k-mer, how many equal ones stand before it).
+
+    Sorting place and leading bits of the hash in one number is the fast way; where these bits make
+    unequal hashes look alike, as in very long texts, whole hashes are sorted.
+    """
     bits = np.uint64(max(1, int(len(h)).bit_length()))
     keys = np.sort((h >> bits << bits) | np.arange(len(h), dtype=np.uint64))
-    order, group = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), keys >> bits
+    order, lead = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), keys >> bits
+    group = h[order]
+    if ((lead[1:] == lead[:-1]) & (group[1:] != group[:-1])).any():
+        order = np.argsort(h, kind="stable")
+        group = h[order]
     at = np.arange(len(h))
     starts = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), at, 0))
     times = np.empty(len(h), dtype=np.uint64)
@@ -131,7 +141,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Fingerprints of every text and of its edited form, whose last half begins the next document.
 
     Rows: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A
-    table of one row is followed by itself. Repeated rows all come back.
+    table of one row is followed by itself, an empty one gives none. Repeated rows all come back.
+    Keys are integers, or texts of integers. Texts of any length are read whole. Other columns aren't read.
     """
     common.ready(docs.sparkSession)
     placed = with_next(docs, key, text)

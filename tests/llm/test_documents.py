@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -72,6 +73,70 @@ def test_calibration_is_over_all_rows(spark):
     assert np.allclose(model.trust, right / right.sum(axis=1, keepdims=True))
 
 
+def brute_languages(rows, learn):
+    """Predictions (language, score, ambiguous) of rows (text, lang), one n-gram at a time."""
+    from collections import Counter
+
+    def grams(text):
+        raw, out = text.lower().encode(), Counter()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                out[(int.from_bytes(raw[i : i + n], "big") + n) * 0x9E3779B1 % 2**32 >> 19] += 1
+        return out
+
+    of = {}
+    for (t, lang), use in zip(rows, learn, strict=True):
+        if use and t is not None and lang is not None:
+            of.setdefault(lang, Counter()).update(grams(t))
+    names = sorted(k for k, v in of.items() if v)
+    codes = language_id.codewords(len(names))
+    share = [{b: (of[x][b] + 0.5) / (sum(of[x].values()) + 0.5 * 8192) for b in range(8192)} for x in names]
+    weights = []
+    for j in range(codes.shape[1]):
+        sides = [[share[i] for i in range(len(names)) if codes[i, j] == s] for s in (1, -1)]
+        weights.append([math.log(sum(p[b] for p in sides[0]) / len(sides[0]) + 1e-9) - math.log(sum(p[b] for p in sides[1]) / len(sides[1]) + 1e-9) for b in range(8192)])
+
+    def margins(text):
+        g = grams(text)
+        return [sum(n * w[b] for b, n in g.items()) / max(1, sum(g.values())) for w in weights]
+
+    learnt = [(margins(t), names.index(lang)) for (t, lang), use in zip(rows, learn, strict=True) if use and t is not None and lang in names]
+    scales = [sum(abs(m[j]) for m, _ in learnt) / len(learnt) for j in range(len(weights))]
+    trust = []
+    for i in range(len(names)):
+        mine = [m for m, k in learnt if k == i]
+        right = [sum((m[j] > 0) == (codes[i, j] > 0) for m in mine) / len(mine) for j in range(len(weights))]
+        right = [x if x > 0.5 else 1e-3 for x in right]
+        trust.append([x / sum(right) for x in right])
+    out = []
+    for t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0, False))
+            continue
+        m = margins(t)
+        loss = [sum(w * math.exp(min(20, max(-20, -3 * m[j] / scales[j] * codes[i, j]))) for j, w in enumerate(trust[i])) for i in range(len(names))]
+        best = min(range(len(names)), key=loss.__getitem__)
+        second = sorted(loss)[1]
+        out.append((names[best], 1 / sum(math.exp(-(x - loss[best])) for x in loss), second - loss[best] < 0.1 * second))
+    return out
+
+
+def test_predictions_against_brute_force(spark):
+    r = random.Random(21)
+    rows = [(i, prose(r, SYLLABLES[lang], r.randint(1, 30)), lang, "s") for i in range(90) for lang in [r.choice(list(SYLLABLES))]]
+    rows += [(200, None, "aa", "s"), (201, "", "aa", "s"), (202, "12 !", "bb", "s"), (203, "the que sch", None, "s"), (204, "x", None, "s"), rows[0], (None, "the and", "aa", None)]
+    learn = [not (i is None or __import__("zlib").crc32(str(i).encode()) % 4 == 2) for i, *_ in rows]
+    want = brute_languages([(t, lang) for _, t, lang, _ in rows], learn)
+    got = sorted((str(x.doc_id), x.lang_pred, round(x.score, 4), x.ambiguous) for x in language_id.digest_rows(docs(spark, rows)).collect())
+    assert got == sorted((str(i), lang, round(score, 4), unsure) for (i, *_), (lang, score, unsure) in zip(rows, want, strict=True))
+
+
+def test_dirty_labels_do_not_fill_the_model(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    rows = [("the and", x) for x in ["a"] * 4 + ["b"] * 3 + ["c"] * 2 + ["d", "e", "f"] + ["c2"] * 2]
+    assert language_id.fit(spark.createDataFrame(rows, "text string, lang string")).languages == ["a", "b", "c"]
+
+
 def test_a_wrong_bit_is_corrected_and_a_tie_is_flagged():
     codes = language_id.codewords(5)
     bits = codes.shape[1]
@@ -115,19 +180,53 @@ def test_frequent_lines_deplete_documents(spark):
     rows += [(30, f"{common_line}\n{own(3)}", "en", "other"), (31, f"{common_line}\n{own(3)}", "en", None)]  # not frequent there
     rows += [(40 + i, f"{(copy := own(40)) if i == 0 else copy}", "en", "hot") for i in range(9)]  # copies of one text count once
     rows += [rows[9], rows[9], (None, None, None, None)]
-    got = line_rules.judged(docs(spark, rows), limit=5).collect()
+    got = line_rules.judged(docs(spark, rows), limit=5, text_limit=5).collect()
     assert len(got) == len(rows)
     lost = {}
     for x in got:
         lost.setdefault(x.doc_id, set()).add((x.lost, x.kept))
     assert lost[0] == {(30, True)} and lost[20] == lost[21] == {(30, False)}
     assert lost[30] == lost[31] == {(0, True)} and lost[40] == {(0, True)} and lost[None] == {(0, False)}
-    kept = line_rules.keep_good(docs(spark, rows))
-    assert kept.columns == docs(spark, []).columns and kept.where("doc_id = 0").first().text == rows[0][1]
-    assert line_rules.digest_rows(docs(spark, [])).count() == 0
+    kept = line_rules.keep_good(docs(spark, rows), limit=5, text_limit=5)
+    assert kept.columns == docs(spark, []).columns
+    cleaned = {x.doc_id: x for x in kept.collect()}
+    assert cleaned[0].text == rows[0][1].split("\n")[1] and cleaned[0].n_chars == len(cleaned[0].text)  # the line is gone
+    assert cleaned[30].text == rows[10][1] and cleaned[30].n_chars == 0 and {20, 21, None}.isdisjoint(cleaned)
+    assert line_rules.digest_rows(docs(spark, [])).count() == 0 and line_rules.keep_good(docs(spark, [])).count() == 0
+
+
+def brute_lines(rows, limit, text_limit):
+    """Lost words and cleaned text of rows (doc_id, text, lang, source), one document at a time."""
+    lines = lambda t: [(i, x, re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")) for i, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+    has, out = {}, []
+    for i, t, _, host in set(rows):
+        for _, _, n in lines(t):
+            has.setdefault((host, n), set()).add((i, t))
+    texts = {k: {tuple(n for *_, n in lines(t)) for _, t in v} for k, v in has.items()}
+    for _, t, _, host in rows:
+        gone = {i: x for i, x, n in lines(t) if len(has[host, n]) > limit and len(texts[host, n]) > text_limit}
+        out.append((sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in gone.values()), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone)))
+    return out
 
 
-def test_copies_that_differ_in_case_and_blanks_count_once(spark):
+def test_lines_against_brute_force(spark):
+    r = random.Random(15)
+    pool = [" ".join(f"w{r.randrange(50)}" for _ in range(r.randint(1, 9))) for _ in range(30)] + ["", " ", "\t x ", "X", "\x0b"]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 8))), "en", r.choice(["a", "b", "", None])) for i in range(150)]
+    rows += [(200 + i, rows[3][1], "en", rows[3][3]) for i in range(30)] + [rows[0], rows[0], (None, rows[1][1], None, None), (None, None, None, None), (400, "line\n" * 5_000 + "x" * 50_000, "en", "a")]
+    got = {}
+    for x in line_rules.judged(docs(spark, rows), limit=6, text_limit=3).collect():
+        got.setdefault((x.doc_id, x.n_words), set()).add(x.lost)
+    want = brute_lines(rows, 6, 3)
+    for (i, t, *_), (lost, _) in zip(rows, want, strict=True):
+        assert lost in got[i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))]
+    assert sum(lost > 0 for lost, _ in want) > 50
+    kept = {x.doc_id: x.text for x in line_rules.keep_good(docs(spark, rows), limit=6, text_limit=3).collect()}
+    cleaned = {i: text for (i, *_), (_, text) in zip(rows, want, strict=True)}
+    assert len(kept) > 20 and all(text == cleaned[i] for i, text in kept.items())
+
+
+def test_copies_are_no_boilerplate(spark):
     r = random.Random(8)
     lines = [" ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(4)]
     shapes = [lambda x, i: x + "\t" * i, lambda x, i: x.upper() + " " * i, lambda x, i: x.replace(" ", " " * (2 + i)), lambda x, i: " " * (i + 1) + x, lambda x, i: "\t" * (i + 1) + x]
@@ -135,9 +234,11 @@ def test_copies_that_differ_in_case_and_blanks_count_once(spark):
     assert len({t for _, t, *_ in rows}) > line_rules.LINE_LIMIT
     kept = line_rules.keep_good(docs(spark, rows))
     assert {x.doc_id for x in kept.collect()} == set(range(25))
-    # The query counts distinct raw texts, as its SQL does.
-    assert {x.kept for x in line_rules.digest_rows(docs(spark, rows)).collect()} == {False}
-    # Near copies with a word of their own are other texts, to both.
+    assert {x.kept for x in line_rules.digest_rows(docs(spark, rows)).collect()} == {True}
+    # Copies and other pages: 21 documents have the line, of more different texts than the limit.
+    mixed = [(i, lines[0] if i < 10 else f"{lines[0]}\nown{i}", "en", "hot") for i in range(21)]
+    assert {x.kept for x in line_rules.digest_rows(docs(spark, mixed)).collect()} == {False}
+    # Near copies with a word of their own are other texts: their common lines go.
     near = [(i, "\n".join([*lines, f"own{i}"]), "en", "hot") for i in range(25)]
     assert line_rules.keep_good(docs(spark, near)).count() == 0
 
@@ -145,7 +246,7 @@ def test_copies_that_differ_in_case_and_blanks_count_once(spark):
 def test_stages_leave_columns_named_as_their_helpers_alone(spark):
     r = random.Random(13)
     rows = [(i, prose(r, SYLLABLES[lang], 40), lang, "s", f"l{i}", f"k{i}", i) for i in range(60) for lang in [r.choice(["aa", "bb"])]]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _language string, _KEY string, __key int")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _language string, _K1 string, _places int")
     for stage in (language_id.keep_identified, line_rules.keep_good, near_dups.keep_first):
         kept = stage(table)
         assert kept.columns == table.columns
@@ -204,6 +305,93 @@ def test_near_duplicates_against_brute_force(spark, size, percent):
     assert {x.doc_id for x in kept.collect()} == {None, *want.values()} and kept.columns == docs(spark, []).columns
 
 
+def edited(r, words, edits):
+    """A copy with so many words replaced, left out, doubled or swapped."""
+    out = list(words)
+    for _ in range(edits):
+        i = r.randrange(len(out) - 1)
+        kind = r.randrange(4)
+        out[i : i + 2] = [[f"e{r.randrange(10**6)}", out[i + 1]], [out[i + 1]], [out[i], out[i], out[i + 1]], [out[i + 1], out[i]]][kind]
+    return out
+
+
+@pytest.mark.parametrize("structured", [False, True])
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, structured):
+    """Copies of one text of 40 words with two edits each, most of which aren't similar to it."""
+    exact, counted = near_dups._exact, []
+    monkeypatch.setattr(near_dups, "_exact", lambda pairs, sets: counted.append(pairs.count()) or exact(pairs, sets))
+    total = {}
+    for n in (400, 1600):
+        r = random.Random(31)
+        base = [f"w{i}" for i in range(40)]
+        texts = []
+        for _ in range(n):
+            if structured:
+                texts.append(" ".join(edited(r, base, 2)))
+            else:
+                copy = list(base)
+                for i in r.sample(range(40), 2):
+                    copy[i] = f"e{r.randrange(10**6)}"
+                texts.append(" ".join(copy))
+        rows = list(enumerate(texts))
+        counted.clear()
+        found = near_dups.near_duplicates(docs(spark, [(k, t, "en", "s") for k, t in rows]), 4).collect()
+        total[n] = sum(counted)
+        assert {x.key: x.component_id for x in found} == fast_components(rows, 4)
+    assert total[1600] < 5 * total[400] and total[1600] < 6 * 1600
+
+
+def fast_components(rows, size):
+    """As components_of at 80 %, from the smallest possible differences up: sets as bit masks of numbered shingles."""
+    number, masks = {}, []
+    for k, t in rows:
+        masks.append((k, sum(1 << number.setdefault(s, len(number)) for s in shingles(t, size))))
+    head = {k: k for k, _ in rows}
+
+    def top(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for i, (a, x) in enumerate(masks):
+        for b, y in masks[:i]:
+            if 100 * (x & y).bit_count() >= 80 * (x | y).bit_count():
+                p, q = top(a), top(b)
+                head[max(p, q)] = min(p, q)
+    return {k: top(k) for k in head}
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs at 0.80 to 0.82, of equal sizes and one inside the other, from 30 to 2,000 shingles: all are found, by sketches and by whole sets."""
+    r = random.Random(41)
+    rows, links = [], 0
+    for n in (30, 60, 150, 400, 1000, 2000):
+        for _ in range(20):
+            words = [f"w{r.randrange(10**7)}" for _ in range(n + 3)]
+            if r.random() < 0.5:
+                other = words[: int((n + 3) * r.choice([0.8, 0.81, 0.82])) + 1]
+            else:
+                cut = int(n * r.choice([0.1, 0.105, 0.11]))
+                other = words[cut:] + [f"x{r.randrange(10**7)}" for _ in range(cut)]
+            a, b = shingles(" ".join(words), 4), shingles(" ".join(other), 4)
+            links += 100 * len(a & b) >= 80 * len(a | b)
+            rows += [(2 * len(rows), " ".join(words)), (2 * len(rows) + 1, " ".join(other))]
+    want = components_of(rows, 4, 80)
+    table = docs(spark, [(k, t, "en", "s") for k, t in rows])
+    for retained in (near_dups.K, None):
+        assert {x.key: x.component_id for x in near_dups.near_duplicates(table, 4, retained=retained).collect()} == want
+    assert links > 90
+
+
+def test_marks_differ_by_no_more_than_sets():
+    r = np.random.default_rng(5)
+    for n in (3, 40, 700):
+        a = np.unique(r.integers(-(2**63), 2**63 - 1, n))
+        b = np.unique(np.concatenate([a[n // 10 :], r.integers(-(2**63), 2**63 - 1, n // 7)]))
+        bits = int(np.unpackbits((near_dups.parity_marks(a) ^ near_dups.parity_marks(b)).view(np.uint8)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (bits > 0 or n < 10)
+
+
 def test_no_documents_and_components(spark, tmp_path):
     assert near_dups.near_duplicates(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
@@ -263,6 +451,15 @@ def test_signature_is_its_definition_and_falls_with_edits():
     assert order_minhash.likeness(order_minhash.signature(text), order_minhash.signature(text[half:] + text[:half])) < 0.9  # order counts
 
 
+def test_equal_leading_bits_are_no_equal_hashes():
+    """Hashes that differ in their last bits alone are other k-mers, however long the text is."""
+    h = np.array([1 << 40, (1 << 40) + 1, 1 << 40, (1 << 40) + 2, 5, 5], dtype=np.uint64)
+    got = order_minhash.numbered(h)
+    assert (got[[0, 1, 3, 4]] == h[[0, 1, 3, 4]]).all() and (got[[2, 5]] != h[[2, 5]]).all()
+    again = order_minhash._mixed(h[[2, 5]] + order_minhash.R)
+    assert (got[[2, 5]] == again).all()
+
+
 def brute_kmers(text):
     """From the text itself, one k-mer at a time; a shorter text is one, of all its code points."""
     mask, r = 2**64 - 1, int(order_minhash.R)
