@@ -11,9 +11,11 @@ only pairs that compete go to the solver. Rows with arrays inside: a group per a
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -107,11 +109,21 @@ def _typed(df: DataFrame) -> str:
 
 def _solve(table: pa.Table) -> pa.Table:
     """Pairs of one array from its weighted pairs. Rows are ordered by content, so the outcome doesn't depend on their order."""
-    rows = table.to_pylist()
-    left = {x: i for i, (_, x) in enumerate(sorted({(r["pred_content"], r["pred"]) for r in rows}))}
-    right = {x: i for i, (_, x) in enumerate(sorted({(r["gold_content"], r["gold"]) for r in rows}))}
-    pairs, inexact = assignment.assign({(left[r["pred"]], right[r["gold"]]): r["weight"] for r in rows})
-    return _pair_table(table, list(left), list(right), pairs, inexact)
+
+    def numbered(name: str) -> tuple[list[str], np.ndarray]:
+        """Elements in the order of content, and the place of each pair's element."""
+        coded = table[name].combine_chunks().dictionary_encode()
+        known, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        content = np.zeros(len(known), dtype=np.int64)
+        content[codes] = table[f"{name}_content"].to_numpy()
+        order = sorted(range(len(known)), key=lambda i: (content[i], known[i]))
+        place = np.empty(len(known), dtype=np.int64)
+        place[order] = np.arange(len(known))
+        return [known[i] for i in order], place[codes]
+
+    (left, p), (right, g) = numbered("pred"), numbered("gold")
+    pairs, inexact = assignment.assign(dict(zip(zip(p.tolist(), g.tolist(), strict=True), table["weight"].to_pylist(), strict=True)))
+    return _pair_table(table, left, right, pairs, inexact)
 
 
 def _pair_table(table: pa.Table, left: list, right: list, pairs: list[tuple[int, int]], inexact: list[int]) -> pa.Table:
@@ -153,13 +165,30 @@ def _price(p: _Row, g: _Row, scale: int, inexact: list[int]) -> tuple[int, int]:
     return matched, shared
 
 
+def _said(row: _Row, above: tuple[str, ...] = ()) -> set:
+    """All values of a row, those of the arrays inside it without their places: rows that have none in common match nothing."""
+    out = {(above, rel, canon) for rel, canon in row.named.items()}
+    for path, rows in row.inside.items():
+        for r in rows.values():
+            out |= _said(r, (*above, *path, A.INDEX))
+    return out
+
+
 def _best(pred: dict[str, _Row], gold: dict[str, _Row], scale: int, inexact: list[int]) -> tuple[list[tuple[str, str]], int, int]:
-    """Pairs of elements, and what they match and share."""
+    """Pairs of elements, and what they match and share. Only pairs of rows with a value in common are priced."""
     left, right = sorted(pred, key=lambda x: (pred[x].content(), x)), sorted(gold, key=lambda x: (gold[x].content(), x))
+    having = defaultdict(list)
+    for j, g in enumerate(right):
+        for v in _said(gold[g]):
+            having[v].append(j)
     prices = {}
     for i, p in enumerate(left):
-        for j, g in enumerate(right):
-            m, s = _price(pred[p], gold[g], scale, inexact)
+        row = pred[p]
+        common = Counter(chain.from_iterable(having[v] for v in _said(row) if v in having))
+        for j, n in common.items():
+            other = gold[right[j]]
+            # Without arrays inside, the values in common are those that match.
+            m, s = _price(row, other, scale, inexact) if row.inside and other.inside else (n, len(row.named.keys() & other.named.keys()))
             if m:
                 prices[i, j] = (m, s)
     pairs, large = assignment.assign({k: m * scale + s for k, (m, s) in prices.items()})

@@ -1,11 +1,13 @@
 """Pairing of rows with the largest total weight: exact per connected component, or best-first.
 
 Weights are positive integers; pairs that aren't listed are worth nothing and are never made, so
-components of listed pairs can be solved apart without a loss.
+components of listed pairs can be solved apart without a loss. A component that lists a good part
+of its cells is solved as a matrix, a thin one over its lists.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 import numpy as np
@@ -13,6 +15,9 @@ import numpy as np
 # The limits within which a block is solved exactly.
 MAX_EXACT_SIDE, MAX_CELLS, MAX_CELLS_DENSE, BYTES_PER_CELL, BYTES_PER_PAIR = 20_000, 250_000_000, 500_000_000, 8, 72
 
+#: A component with more cells for each pair than this is thin.
+THIN = 64
+
 Edges = dict[tuple[int, int], int]
 
 
@@ -45,13 +50,15 @@ def parts(edges: Edges) -> list[Edges]:
 
 
 def dense(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of the heaviest matching of a matrix with no more rows than columns.
+    """Pairs of the heaviest matching of a matrix with no more rows than columns. A matrix of doubles is used up.
 
     Rows enter one by one; each finds the shortest augmenting path under prices that keep all
     reduced costs at zero or above (Jonker and Volgenant 1987).
     """
     n, m = weight.shape
-    cost = (weight.max() - weight).astype(np.float64)
+    # In place where it can be: a cell takes 8 bytes.
+    cost = np.asarray(weight, dtype=np.float64)
+    cost = np.subtract(cost.max(), cost, out=cost)
     row_price, column_price = np.zeros(n), np.zeros(m)
     owner = np.full(m, -1)
     for row in range(n):
@@ -80,6 +87,71 @@ def dense(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[c]), int(c)) for c in range(m) if owner[c] >= 0]
 
 
+def thin(edges: Edges) -> list[tuple[int, int]]:
+    """Pairs of the heaviest matching, over lists of pairs: rows enter one by one, as in dense().
+
+    Each looks for the cheapest way to a free partner, or to a row that rather stays without one, by
+    Dijkstra's algorithm under prices that keep all reduced costs at zero or above.
+    """
+    partners: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for (p, g), w in edges.items():
+        partners[p].append((g, w))
+    top = max(edges.values())
+    row_price = {p: min(top - w for _, w in each) for p, each in partners.items()}
+    column_price: dict[int, int] = defaultdict(int)
+    owner: dict[int, int] = {}
+    partner: dict[int, int] = {}
+    for start in partners:
+        distance, before, done = {start: 0}, {}, {}
+        reach: dict[int, int] = {}
+        heap = [(0, 0, start)]  # (distance, 0 for a row and 1 for a column, number)
+        best, stay, last = None, None, None
+        while heap:
+            d, kind, x = heapq.heappop(heap)
+            if best is not None and d >= best:
+                break
+            if kind == 0:
+                if d > distance[x]:
+                    continue
+                done[x] = d
+                alone = d + top - row_price[x]  # without a partner
+                if best is None or alone < best:
+                    best, stay, last = alone, x, None
+                for g, w in partners[x]:
+                    if partner.get(x) == g:
+                        continue
+                    to = d + top - w - row_price[x] - column_price[g]
+                    if to < reach.get(g, to + 1) and to < best:
+                        reach[g], before[g] = to, x
+                        heapq.heappush(heap, (to, 1, g))
+            elif d == reach[x]:
+                if x not in owner:
+                    best, stay, last = d, None, x
+                    break
+                row = owner[x]
+                if d < distance.get(row, d + 1):
+                    distance[row] = d
+                    heapq.heappush(heap, (d, 0, row))
+        for x, d in done.items():
+            if d < best:
+                row_price[x] += best - d
+        for g, d in reach.items():
+            if d < best and g in owner:
+                column_price[g] -= best - d
+        if last is None:
+            last = partner.pop(stay, None)
+            if last is not None:
+                del owner[last]
+                if stay == start:
+                    continue
+        while last is not None:
+            row = before[last]
+            previous = partner.get(row)
+            owner[last], partner[row] = row, last
+            last = previous
+    return list(partner.items())
+
+
 def greedy(edges: Edges) -> list[tuple[int, int]]:
     """Heaviest first, then by position; a pair is made if both rows are free."""
     left, right, out = set(), set(), []
@@ -103,13 +175,14 @@ def assign(edges: Edges, limit=solvable) -> tuple[list[tuple[int, int]], list[in
             inexact.append(max(len(left), len(right)))
             pairs += greedy(part)
             continue
+        if len(left) * len(right) > THIN * len(part):
+            pairs += thin(part)
+            continue
+        wide = len(left) <= len(right)
         row, column = {p: i for i, p in enumerate(left)}, {g: i for i, g in enumerate(right)}
-        weight = np.zeros((len(left), len(right)), dtype=np.int64)
+        weight = np.zeros((len(left), len(right)) if wide else (len(right), len(left)))
         for (p, g), w in part.items():
-            weight[row[p], column[g]] = w
-        wide = len(left) <= len(right)
-        for i, j in dense(weight if wide else weight.T):
-            i, j = (i, j) if wide else (j, i)
-            if weight[i, j] > 0:
-                pairs.append((left[i], right[j]))
+            weight[(row[p], column[g]) if wide else (column[g], row[p])] = w
+        found = ((left[i], right[j]) if wide else (left[j], right[i]) for i, j in dense(weight))
+        pairs += [x for x in found if x in part]
     return sorted(pairs), inexact

@@ -3,32 +3,43 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
+from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyleaf.functions.addresses import INDEX, key_step
+
 COLUMNS = ("pages", "scanned", "gold_chars", "table_rows", "num_values", "num_null", "max_depth")
 #: A document is scanned if its first pages have fewer characters of text than this, on average.
 SCANNED_CHARS, PAGES_LOOKED_AT = 50, 3
 
 
-def _walk(node: Any) -> tuple[dict[str, int], int, int, int]:
-    tables: dict[str, int] = {}
-    values = nulls = deepest = 0
-    todo: list[tuple[Any, str, int]] = [(node, "", 0)]
-    while todo:
-        x, path, depth = todo.pop()
-        if isinstance(x, dict):
-            todo += [(v, f"{path}.{k}" if path else k, depth + 1) for k, v in x.items()]
-        elif isinstance(x, list):
-            if x and all(isinstance(r, dict) for r in x):
-                tables[path] = tables.get(path, 0) + len(x)
-            todo += [(v, f"{path}[*]", depth) for v in x]
-        else:
-            values, nulls, deepest = values + 1, nulls + (x is None), max(deepest, depth)
-    return tables, values, nulls, deepest
+def _places(node: Any, at: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], Any]]:
+    """Every value below a node, containers too, with its node key."""
+    yield at, node
+    if isinstance(node, dict):
+        for k, v in node.items():
+            yield from _places(v, (*at, key_step(k)))
+    elif isinstance(node, list):
+        for v in node:
+            yield from _places(v, (*at, INDEX))
+
+
+def _profile(node: Any) -> dict:
+    """Counts over the places of a document: rows by table, scalars, nulls, and most names on the way to a scalar."""
+    tables: Counter = Counter()
+    depths, nulls = [0], 0
+    for at, x in _places(node):
+        if isinstance(x, list) and x and all(isinstance(r, dict) for r in x):
+            tables[at] += len(x)
+        elif not isinstance(x, dict | list):
+            depths.append(sum(step != INDEX for step in at))
+            nulls += x is None
+    return {"table_rows": sorted(tables.values(), reverse=True), "num_values": len(depths) - 1, "num_null": nulls, "max_depth": max(depths)}
 
 
 def gold_stats(gold: Column) -> Column:
@@ -43,8 +54,7 @@ def gold_stats(gold: Column) -> Column:
                 out.append(None)
                 continue
             node = json.loads(t)
-            tables, values, nulls, deepest = _walk(node)
-            out.append({"gold_chars": len(json.dumps(node, ensure_ascii=False, separators=(",", ":"))), "table_rows": sorted(tables.values(), reverse=True), "num_values": values, "num_null": nulls, "max_depth": deepest})
+            out.append({"gold_chars": len(json.dumps(node, ensure_ascii=False, separators=(",", ":")))} | _profile(node))
         return pa.array(out, kind)
 
     return run(gold)

@@ -11,9 +11,14 @@ MEANS = ("accuracy", "precision", "recall")
 DEFAULT_SUITE = "other"
 
 
+def mean(x: Column) -> Column:
+    """Mean of ratios as a double, from their first twelve decimals: such sums are exact, so the order of rows doesn't matter."""
+    return F.avg(x.cast("decimal(18,12)")).cast("double")
+
+
 def means() -> list[Column]:
     """Aggregates: number of documents, mean ratios, mean rate of each kind of error."""
-    return [F.count("*").alias("rows"), *[F.avg(m).alias(m) for m in MEANS], *[F.avg(ratio(F.col(e), F.col("total"))).alias(f"{e}_rate") for e in ERRORS]]
+    return [F.count("*").alias("rows"), *[mean(F.col(m)).alias(m) for m in MEANS], *[mean(ratio(F.col(e), F.col("total"))).alias(f"{e}_rate") for e in ERRORS]]
 
 
 def summary(scores: DataFrame) -> DataFrame:
@@ -34,16 +39,17 @@ def checked_summary(scores: DataFrame) -> DataFrame:
 
 def unified(scores: DataFrame) -> DataFrame:
     """Mean over suites of their mean accuracy: a suite counts as much as any other."""
-    by_suite = scores.groupBy("suite").agg(F.avg("accuracy").alias("accuracy"))
-    return by_suite.agg(F.count("*").alias("suites"), F.avg("accuracy").alias("unified"))
+    by_suite = scores.groupBy("suite").agg(mean(F.col("accuracy")).alias("accuracy"))
+    return by_suite.agg(F.count("*").alias("suites"), mean(F.col("accuracy")).alias("unified"))
 
 
-def coverage(lines: DataFrame, failure: str = "failure") -> DataFrame:
-    """Documents, answers, share answered, and failures by cause; a null cause is an answer."""
+def coverage(lines: DataFrame, failure: str = "failure", unfinished: int = 0) -> DataFrame:
+    """Documents, answers, share answered, failures by cause (a null cause is an answer), and whether documents are unfinished."""
     c = F.col(failure)
-    return lines.agg(F.count("*").alias("documents"), F.count_if(c.isNull()).alias("answered"), ratio(F.count_if(c.isNull()), F.count("*")).alias("coverage"), *[F.count_if(c == x).alias(x) for x in ("system", "unusable", "no_answer", "not_scored")])
+    return lines.agg(F.count("*").alias("documents"), F.count_if(c.isNull()).alias("answered"), ratio(F.count_if(c.isNull()), F.count("*")).alias("coverage"), *[F.count_if(c == x).alias(x) for x in ("system", "unusable", "no_answer", "not_scored")], F.lit(unfinished > 0).alias("partial"))
 
 
 def total_cost(lines: DataFrame) -> DataFrame:
-    """Sums of what answers cost, unknown ones left out."""
-    return lines.agg(F.sum("usd").alias("usd"), F.count("usd").alias("known"), F.count_if(F.col("usd").isNull()).alias("unknown"))
+    """Sums of what answers cost and, where lines have them, of tokens; unknown ones left out."""
+    tokens = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens") if c in lines.columns]
+    return lines.agg(F.sum("usd").alias("usd"), F.count("usd").alias("known"), F.count_if(F.col("usd").isNull()).alias("unknown"), *tokens)
