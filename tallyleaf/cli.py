@@ -1,4 +1,7 @@
-"""Command line: score, grade, check, stats and dialects."""
+"""Command line: init, run, resume, grade, score, predict, check, stats, systems and dialects.
+
+A run's folder has ``run.json`` (its configuration), ``records``, ``scores``, ``details``, ``summary`` and ``coverage``.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from tallyleaf.operators import dialects, profile, schemas
-from tallyleaf.plans import grade
+from tallyleaf.plans import grade, predict
 from tallyleaf.sources import manifest, runs
 
 
@@ -40,11 +43,97 @@ def _score(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _documents(spark: SparkSession, a: argparse.Namespace):
-    docs = manifest.read(spark, a.dataset, a.manifest)
-    return manifest.with_golds(docs, manifest.json_files(spark, f"{a.dataset}/{a.golds}", "gold"))
+    docs = manifest.read(spark, a.dataset, a.manifest or CONFIG["manifest"])
+    return manifest.with_golds(docs, manifest.json_files(spark, f"{a.dataset}/{a.golds or CONFIG['golds']}", "gold"))
+
+
+CONFIG = {"system": None, "options": {}, "dataset": "dataset", "manifest": "manifest.parquet", "golds": "gold", "order": False}
+
+
+def configured(text: str, changes: list[str]) -> dict:
+    """A configuration with changes such as dataset=x or options.dialect="strict"; values are JSON or plain texts."""
+    config = CONFIG | json.loads(text)
+    for change in changes:
+        name, found, value = change.partition("=")
+        at, *path = config, *name.split(".")
+        if not found or path[0] not in CONFIG:
+            raise ValueError(f"--set takes NAME=VALUE with one of {', '.join(CONFIG)}, not {change!r}")
+        for step in path[:-1]:
+            at = at.setdefault(step, {})
+        try:
+            at[path[-1]] = json.loads(value)
+        except ValueError:
+            at[path[-1]] = value
+    if not config["system"]:
+        raise ValueError("the configuration names no system")
+    return config
+
+
+def _init(spark: SparkSession | None, a: argparse.Namespace) -> None:
+    predict.system(a.system)
+    show(CONFIG | {"system": a.system})
+
+
+def _systems(spark: SparkSession | None, a: argparse.Namespace) -> None:
+    if a.name is None:
+        show(sorted(predict.systems()))
+    else:
+        made = predict.system(a.name)
+        show({"name": a.name, "dialect": made.dialect, "reader": made.reader})
+
+
+def _predict(spark: SparkSession | None, a: argparse.Namespace) -> None:
+    made = predict.system(a.system, json.loads(read_object(a.options, "--options")))
+    sent = predict.question(read_object(a.schema, "--schema"), made.dialect)
+    show({"sent": sent, "raw": made.extract(a.doc, sent)})
+
+
+def _confirmed(a: argparse.Namespace, what: str) -> None:
+    if not a.yes and input(f"{what} [y/N] ").strip().lower() not in ("y", "yes"):
+        raise ValueError("nothing was done")
+
+
+def _asked(spark: SparkSession, a: argparse.Namespace, config: dict, folder: str, retry_failed: bool) -> None:
+    """Ask for what is missing, then grade everything."""
+    docs = manifest.read(spark, config["dataset"], config["manifest"])
+    done = predict.predict(docs, made := predict.system(config["system"], config["options"]), folder, retry_failed)
+    _graded(spark, config, folder, done, made.reader, False, not a.no_details)
+
+
+def _graded(spark: SparkSession, config: dict, folder: str, done, reader: str, partial: bool, details: bool) -> None:
+    docs = manifest.read(spark, config["dataset"], config["manifest"])
+    golds = manifest.json_files(spark, f"{config['dataset']}/{config['golds']}", "gold")
+    graded = predict.grade_run(docs, golds, done, reader, folder, config["order"], partial, details)
+    show([r.asDict() for r in graded.summary.collect()])
+
+
+def _config_of(folder: str) -> Path:
+    return Path(folder.removeprefix("file://")) / "run.json"
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> None:
+    config = configured(read_object(a.config, "--config"), a.set)
+    if _config_of(a.out).exists():
+        raise ValueError(f"{a.out} has a run; resume it")
+    _confirmed(a, f"Ask {config['system']} for the documents of {config['dataset']}?")
+    _config_of(a.out).parent.mkdir(parents=True, exist_ok=True)
+    _config_of(a.out).write_text(json.dumps(config, indent=2))
+    _asked(spark, a, config, a.out, False)
+
+
+def _resume(spark: SparkSession, a: argparse.Namespace) -> None:
+    _asked(spark, a, json.loads(_config_of(a.folder).read_text()), a.folder, a.retry_failed)
 
 
 def _grade(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.dataset is None or _config_of(a.folder).exists():
+        config = json.loads(_config_of(a.folder).read_text()) | {k: v for k in ("dataset", "manifest", "golds") if (v := getattr(a, k)) is not None}
+        config["order"] = config["order"] if a.order_matters is None else _order(a.order_matters)
+        done = predict.existing(spark, a.folder)
+        if done is None:
+            raise ValueError(f"{a.folder} has no records")
+        _graded(spark, config, a.folder, done, predict.system(config["system"], config["options"]).reader, a.partial, not a.no_details)
+        return
     docs = manifest.with_predictions(_documents(spark, a), manifest.json_files(spark, f"{a.folder}/predictions", "pred"))
     done = grade.grade(docs, _order(a.order_matters))
     runs.write_scores(done.scores, a.folder)
@@ -59,7 +148,7 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _stats(spark: SparkSession, a: argparse.Namespace) -> None:
-    source = f"{a.dataset.rstrip('/')}/{a.manifest}"
+    source = f"{a.dataset.rstrip('/')}/{a.manifest or CONFIG['manifest']}"
     docs = _documents(spark, a)
     manifest.write_new(profile.described(spark.read.parquet(source), docs.select("doc_id", "gold")), a.out, (source,))
 
@@ -83,15 +172,27 @@ def parser() -> argparse.ArgumentParser:
         if order:
             c.add_argument("--order-matters", nargs="*", metavar="ARRAY", help="arrays that keep their order; none named: all")
         if dataset:
-            c.add_argument("--dataset", required=True)
-            c.add_argument("--manifest", default="manifest.parquet")
-            c.add_argument("--golds", default="gold")
+            c.add_argument("--dataset", required=name != "grade", help="of a run's folder: that of its configuration, if none is given")
+            c.add_argument("--manifest")
+            c.add_argument("--golds")
         return c
 
     command("score", _score, "pred", "gold", "schema", order=True).add_argument("--details", action="store_true")
     c = command("grade", _grade, order=True, dataset=True)
     c.add_argument("folder")
     c.add_argument("--no-details", action="store_true")
+    c.add_argument("--partial", action="store_true", help="grade a run that isn't finished")
+    command("init", _init).add_argument("system")
+    command("systems", _systems).add_argument("name", nargs="?")
+    command("predict", _predict, "system", "doc", "schema").add_argument("--options", default="{}")
+    c = command("run", _run, "config", "out")
+    c.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
+    c.add_argument("-y", "--yes", action="store_true")
+    c.add_argument("--no-details", action="store_true")
+    c = command("resume", _resume)
+    c.add_argument("folder")
+    c.add_argument("--retry-failed", action="store_true")
+    c.add_argument("--no-details", action="store_true")
     command("check", _check, dataset=True)
     command("stats", _stats, "out", dataset=True)
     c = command("dialects", _dialects)
@@ -103,8 +204,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
-        a.run(None if a.run is _dialects else SparkSession.builder.appName("tallyleaf").getOrCreate(), a)
-    except (ValueError, TypeError, OSError) as e:
+        a.run(None if a.run in (_dialects, _init, _systems, _predict) else SparkSession.builder.appName("tallyleaf").getOrCreate(), a)
+    except (ValueError, TypeError, OSError, predict.SystemFailed) as e:
         print(e, file=sys.stderr)
         return 1
     except KeyboardInterrupt:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from typing import NamedTuple
+import json
+from collections.abc import Iterable, Iterator
+from typing import Any, NamedTuple, Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import addresses as A
 from tallyleaf.operators import align, flatten, schemas, summaries, verdicts
-from tallyleaf.sources import tables
+from tallyleaf.sources import runs, tables
 
 DOC = "doc_id"
+#: What scores depend on besides the texts; another version scores everything again.
+SCORER = "1"
 
 
 class Graded(NamedTuple):
@@ -76,6 +80,63 @@ def grade(docs: DataFrame, order: bool | Iterable[str] = False, absent="default"
     return Graded(verdicts.with_skipped(per_address, skipped), per_document, summaries.summary(per_document))
 
 
+def grade_cached(docs: DataFrame, cache: str, order: bool | Iterable[str] = False, absent: str = "default", levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scores, summary) of docs, where a score in the cache folder counts as long as gold, prediction, schema and
+    the way of scoring are the same. What is scored now is added to the cache."""
+    spark = docs.sparkSession
+    way = json.dumps([SCORER, order if isinstance(order, bool) else sorted(order), absent])
+    before = runs.newest(spark, cache)
+    todo = runs.marked(docs, way) if before is None else runs.stale(docs, before, way)
+    if not todo.isEmpty():
+        todo = tables.kept(todo, f"{tables.work_folder(spark, 'stale')}/docs")
+        scored = grade(todo.drop("fingerprint"), order, absent, levels).scores.drop("suite")
+        runs.add_call(scored.join(todo.select(DOC, "fingerprint"), DOC), cache, before)
+    cached = runs.newest(spark, cache)
+    found = runs.marked(docs, way).select(DOC, "suite", "fingerprint").join(cached, [DOC, "fingerprint"]).drop("fingerprint", "call")
+    return found, summaries.summary(found)
+
+
+class Scorer(Protocol):
+    """A scorer of one's own: each method sees one document, the summary sees the table of lines."""
+
+    #: Spark types of the numbers that score() gives, such as "keys_found double".
+    fields: str
+
+    def score(self, pred: Any, gold: Any) -> dict: ...
+
+    def score_failure(self, gold: Any) -> dict: ...
+
+    def summarize(self, lines: DataFrame) -> DataFrame: ...
+
+
+def grade_with(docs: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
+    """(lines, summary) of docs (doc_id, suite, gold, pred) by another scorer; a null prediction is a failure.
+
+    Documents are scored where they are, in Arrow batches, without a shuffle.
+    """
+    tables.ready(docs.sparkSession)
+    rows = docs.select(DOC, "suite", "gold", "pred")
+    lines = f"{DOC} {rows.schema[DOC].dataType.simpleString()}, suite string, {scorer.fields}"
+    kinds = docs.sparkSession.createDataFrame([], lines).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                gold = json.loads(r["gold"])
+                found = scorer.score_failure(gold) if r["pred"] is None else scorer.score(json.loads(r["pred"]), gold)
+                out.append({DOC: r[DOC], "suite": r["suite"]} | found)
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    scored = rows.mapInArrow(run, lines)
+    return scored, scorer.summarize(scored)
+
+
+def with_fields(scores: DataFrame, docs: DataFrame, *fields: str) -> DataFrame:
+    """Scores, or verdicts, with further columns of the documents' table."""
+    return scores.join(docs.select(DOC, *fields), DOC, "left")
+
+
 def score_one(spark, pred: str | None, gold: str, schema: str, order: bool | Iterable[str] = False, absent="default", suite: str = summaries.DEFAULT_SUITE) -> tuple[dict, list[dict]]:
     """Scores and verdicts, in reading order, of one document."""
     docs = spark.createDataFrame([("document", suite, gold, pred, schema)], "doc_id string, suite string, gold string, pred string, schema string")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from importlib.metadata import entry_points
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import answers
-from tallyleaf.operators import dialects, schemas
+from tallyleaf.operators import dialects, schemas, summaries
 from tallyleaf.sources import manifest, runs, tables
 
 from . import grade
@@ -28,6 +30,19 @@ class SystemFailed(Exception):
         self.kind, self.status = kind, status
 
 
+class DialectError(SystemFailed):
+    """A schema that a system's dialect can't express: the document fails for good, without a call."""
+
+    def __init__(self, message: str):
+        super().__init__(message, "dialect")
+
+
+def unreachable(what: str, error: BaseException) -> SystemFailed:
+    """The failure for a request that got no answer: timed out, or unreachable."""
+    late = isinstance(error, TimeoutError) or isinstance(getattr(error, "reason", None), TimeoutError)
+    return SystemFailed(f"{what}: {type(error).__name__}: {error}", "timeout" if late else "unreachable")
+
+
 class Extractor(Protocol):
     """A system: its dialect, where its answers have the extraction, and the call itself."""
 
@@ -51,6 +66,38 @@ class Echo:
         return {"extraction": self.known[doc_path]}
 
 
+#: Systems by name: what makes one from its options. Packages add theirs as entry points of this group.
+PLUGINS = "tallyleaf.systems"
+SYSTEMS: dict[str, Callable[[dict], Extractor]] = {"echo": lambda options: Echo(options.get("known", {}), options.get("dialect", "identity"), options.get("reader", "plain"))}
+
+
+def systems() -> dict[str, Callable[[dict], Extractor]]:
+    """All systems that can be named here; built-in ones can't be replaced."""
+    return {p.name: (lambda options, p=p: p.load()(options)) for p in entry_points(group=PLUGINS)} | SYSTEMS
+
+
+def system(name: str, options: dict | None = None) -> Extractor:
+    """A system by name; what follows a slash is its model."""
+    base, _, model = name.partition("/")
+    known = systems()
+    if base not in known:
+        raise ValueError(f"no system is named {base!r}; there are: {', '.join(sorted(known))}")
+    return known[base]((options or {}) | ({"model": model} if model else {}))
+
+
+def analyzer_name(prefix: str, **parts: Any) -> str:
+    """A name that says all that a stored analyzer is made of: it changes with any part."""
+    spelled = json.dumps(parts, sort_keys=True)
+    return f"{prefix}-{hashlib.sha256(spelled.encode()).hexdigest()[:16]}"
+
+
+def job_payload(document: str, schema: dict, model: str, prompt: str = "", tables_by: str = "accurate") -> dict:
+    """A request for a deep extraction as a job: the document, what is wanted of it, and how."""
+    wanted = {"schema": schema} | ({"system_prompt": prompt} if prompt else {})
+    how = {"deep_extract": True, "citations": {"enabled": False}, "alpha": {"deep_extract_model": model}}
+    return {"input": document, "instructions": wanted, "settings": how, "async": {"priority": False}, "parsing": {"enhance": {"agentic": [{"scope": "table", "mode": tables_by}]}}}
+
+
 def records(documents: DataFrame, system: Extractor) -> DataFrame:
     """One record per document (doc_id, doc_path, schema): what was sent, the raw answer, or the error.
 
@@ -65,15 +112,28 @@ def records(documents: DataFrame, system: Extractor) -> DataFrame:
             for r in batch.to_pylist():
                 row = dict.fromkeys(("sent", "raw", "error_type", "error_status", "error_message")) | {"doc_id": r["doc_id"]}
                 try:
-                    sent = dialects.DIALECTS[system.dialect](schemas.stripped(schemas.overlaid(json.loads(r["schema"]))))
+                    sent = question(r["schema"], system.dialect)
                     row["sent"] = json.dumps(sent, ensure_ascii=False)
                     row["raw"] = json.dumps(system.extract(r["doc_path"], sent), ensure_ascii=False)
-                except SystemFailed as e:
-                    row |= {"error_type": e.kind, "error_status": e.status, "error_message": str(e)}
+                except (SystemFailed, TimeoutError, ConnectionError) as e:
+                    failed = e if isinstance(e, SystemFailed) else unreachable("the system", e)
+                    row |= {"error_type": failed.kind, "error_status": failed.status, "error_message": str(failed)}
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, pa.schema([(n, pa.int32() if n == "error_status" else pa.string()) for n in ("doc_id", "sent", "raw", "error_type", "error_status", "error_message")]))
 
-    made = documents.select("doc_id", "doc_path", "schema").mapInArrow(run, RECORD)
+    return _finished(documents.select("doc_id", "doc_path", "schema").mapInArrow(run, RECORD))
+
+
+def question(schema: str, dialect: str) -> Any:
+    """A schema as it is sent; DialectError if the dialect has no form for it."""
+    try:
+        return dialects.DIALECTS[dialect](schemas.stripped(schemas.overlaid(json.loads(schema))))
+    except (ValueError, TypeError, AttributeError, RecursionError) as e:
+        raise DialectError(f"{dialect}: {type(e).__name__}: {e}") from e
+
+
+def _finished(made: DataFrame) -> DataFrame:
+    """Records with the error as a struct and the cost."""
     error = F.struct(F.col("error_type").alias("type"), F.col("error_status").alias("status"), runs.transient(F.col("error_type"), F.col("error_status")).alias("transient"), F.col("error_message").alias("message"))
     return made.select("doc_id", "sent", "raw", F.when(F.col("error_type").isNotNull(), error).alias("error"), answers.cost(F.col("raw")).alias("cost"))
 
@@ -86,18 +146,13 @@ def predict(documents: DataFrame, system: Extractor, folder: str, retry_failed:
     spark = documents.sparkSession
     old = existing(spark, folder)
     todo = documents if old is None else runs.pending(documents, old, retry_failed)
-    number = 0 if old is None else old.agg(F.max("call")).first()[0] + 1
-    records(todo, system).write.mode("overwrite").parquet(f"{folder}/records/call={number}")
+    runs.add_call(records(todo, system), f"{folder}/records", old)
     return existing(spark, folder)
 
 
 def existing(spark, folder: str) -> DataFrame | None:
     """The newest record of each document, or None if there is no run yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/records")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    rows = spark.read.parquet(f"{folder}/records")
-    return rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "call").alias("r")).select("doc_id", "r.*")
+    return runs.newest(spark, f"{folder}/records")
 
 
 def predictions(done: DataFrame, reader: str) -> DataFrame:
@@ -105,8 +160,8 @@ def predictions(done: DataFrame, reader: str) -> DataFrame:
     return done.select("doc_id", answers.extraction(F.col("raw"), reader)["extraction"].alias("pred"))
 
 
-def grade_run(documents: DataFrame, golds: DataFrame, done: DataFrame, reader: str, folder: str, order=False, partial: bool = False) -> grade.Graded:
-    """Score all documents of a run and write scores, details and summary. A run that isn't finished is refused unless partial."""
+def grade_run(documents: DataFrame, golds: DataFrame, done: DataFrame, reader: str, folder: str, order=False, partial: bool = False, details: bool = True) -> grade.Graded:
+    """Score all documents of a run and write scores, details, summary and coverage. A run that isn't finished is refused unless partial."""
     missing = documents.join(done.select("doc_id"), "doc_id", "left_anti").count()
     if missing and not partial:
         raise ValueError(f"{missing} documents have no record yet")
@@ -114,6 +169,9 @@ def grade_run(documents: DataFrame, golds: DataFrame, done: DataFrame, reader: s
     docs = manifest.with_predictions(manifest.with_golds(asked, golds), predictions(done, reader))
     graded = grade.grade(docs, order)
     runs.write_scores(graded.scores, folder)
-    runs.write_details(graded.verdicts, docs, folder)
+    if details:
+        runs.write_details(graded.verdicts, docs, folder)
     runs.write_summary(graded.summary, folder)
+    causes = docs.join(done.select("doc_id", F.col("error").isNotNull().alias("_failed")), "doc_id").withColumn("failure", F.when(F.col("_failed"), "system").otherwise(F.col("failure")))
+    summaries.coverage(causes, unfinished=missing).coalesce(1).write.mode("overwrite").json(f"{folder}/coverage")
     return graded

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyleaf.functions.addresses import show
 
+#: Most files that the details of one suite are dealt to.
+DETAIL_FILES = 64
+
 
 def score_lines(scores: DataFrame) -> DataFrame:
     """Scores as lines: everything that identifies a document under ``row``."""
@@ -19,9 +22,29 @@ def write_scores(scores: DataFrame, folder: str) -> None:
 
 
 def write_details(verdicts: DataFrame, docs: DataFrame, folder: str) -> None:
-    """One verdict per address, with its document's suite, in one directory per document."""
-    rows = verdicts.join(docs.select("doc_id", "suite"), "doc_id").withColumn("address", show(F.col("address")))
-    rows.withColumn("document", F.col("doc_id")).write.mode("overwrite").partitionBy("document").json(f"{folder}/details")
+    """One verdict per address, with its document's suite, in directories by suite; a document's verdicts stand in a row."""
+    rows = verdicts.join(docs.select("doc_id", "suite"), "doc_id").withColumns({"address": show(F.col("address")), "document": F.col("doc_id"), "of_suite": F.col("suite")})
+    placed = rows.repartition("of_suite", F.pmod(F.xxhash64("doc_id"), F.lit(DETAIL_FILES)))
+    placed.sortWithinPartitions("of_suite", "doc_id", "address").write.mode("overwrite").partitionBy("of_suite").json(f"{folder}/details")
+
+
+def exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def newest(spark, path: str) -> DataFrame | None:
+    """Of a folder with one directory for each call, the newest row of each document; None if there is none yet."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    return rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "call").alias("r")).select("doc_id", "r.*")
+
+
+def add_call(df: DataFrame, path: str, before: DataFrame | None) -> None:
+    """Write rows as the next call of such a folder."""
+    number = 0 if before is None else before.agg(F.max("call")).first()[0] + 1
+    df.write.mode("overwrite").parquet(f"{path}/call={number}")
 
 
 def write_summary(summary: DataFrame, folder: str) -> None:
@@ -37,10 +60,14 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat(*marked), 256)
 
 
+def marked(docs: DataFrame, scorer: str = "1") -> DataFrame:
+    """Documents with the fingerprint of all that their score depends on."""
+    return docs.withColumn("fingerprint", fingerprint(F.col("gold"), F.col("pred"), F.col("schema"), F.lit(scorer)))
+
+
 def stale(docs: DataFrame, cache: DataFrame, scorer: str = "1") -> DataFrame:
     """Documents whose prediction, gold, schema or scorer isn't that of their cached score, with the fingerprint."""
-    marked = docs.withColumn("fingerprint", fingerprint(F.col("gold"), F.col("pred"), F.col("schema"), F.lit(scorer)))
-    return marked.join(cache.select("doc_id", "fingerprint"), ["doc_id", "fingerprint"], "left_anti")
+    return marked(docs, scorer).join(cache.select("doc_id", "fingerprint"), ["doc_id", "fingerprint"], "left_anti")
 
 
 def pending(manifest: DataFrame, records: DataFrame, retry_failed: bool = False) -> DataFrame:

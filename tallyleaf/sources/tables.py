@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -21,13 +23,23 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that isn't set."""
+    """A new folder below spark.checkpoint.dir; a local one only on one machine where that isn't set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tallyleaf-"))
         root = _LOCAL[0]
-    return f"{root.rstrip('/')}/tallyleaf/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{root.rstrip('/')}/tallyleaf/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all folders that were made in this session; results that aren't written elsewhere can't be read after that."""
+    while _MADE:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def kept(df: DataFrame, path: str) -> DataFrame:

@@ -34,3 +34,72 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["score", "--pred", "{}", "--gold", str(tmp_path / "no.json"), "--schema", SCHEMA]) == 1
     with pytest.raises(SystemExit):
         cli.main(["score", "--pred", "[]", "--gold", "{}", "--schema", SCHEMA])
+
+
+def dataset(spark, folder):
+    (folder / "gold").mkdir(parents=True)
+    for i, v in enumerate("xyz"):
+        (folder / f"gold/d{i}.json").write_text(json.dumps({"a": v}))
+    spark.createDataFrame([(f"d{i}", "s", f"p{i}", f"gold/d{i}.json", SCHEMA) for i in range(3)], "doc_id string, suite string, doc_path string, gt_path string, schema string").write.parquet(f"file://{folder}/manifest.parquet")
+
+
+def test_run_resume_and_grade_commands(spark, tmp_path, capsys):
+    dataset(spark, tmp_path / "data")
+    assert cli.main(["init", "echo"]) == 0
+    config = json.loads(capsys.readouterr().out) | {"dataset": f"file://{tmp_path}/data"}
+    out = f"file://{tmp_path}/run"
+    told = ["run", "--config", json.dumps(config), "--out", out, "-y", "--set", 'options.known={"p0": {"a": "X"}, "p1": {"a": "?"}}']
+    assert cli.main(told) == 0
+    overall = json.loads(capsys.readouterr().out)[0]
+    assert (overall["rows"], round(overall["accuracy"], 4)) == (3, 0.3333)
+    cause = spark.read.json(f"{out}/coverage").first()
+    assert (cause.documents, cause.answered, cause.system, cause.partial) == (3, 2, 1, False)
+    assert cli.main(told) == 1 and "resume" in capsys.readouterr().err
+    (tmp_path / "run/run.json").write_text(json.dumps(config | {"options": {"known": {"p2": {"a": "z"}}}}))
+    assert cli.main(["resume", out]) == 0  # the failure isn't asked for again
+    assert round(json.loads(capsys.readouterr().out)[0]["accuracy"], 4) == 0.3333
+    assert cli.main(["resume", out, "--retry-failed"]) == 0
+    assert round(json.loads(capsys.readouterr().out)[0]["accuracy"], 4) == 0.6667
+    assert cli.main(["grade", out, "--no-details"]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["rows"] == 3
+    assert cli.main(["run", "--config", "{}", "--out", f"{out}2", "-y"]) == 1
+    assert cli.main(["run", "--config", json.dumps(config), "--out", f"{out}2", "-y", "--set", "what"]) == 1
+
+
+def test_grading_an_unfinished_run(spark, tmp_path, capsys):
+    dataset(spark, tmp_path / "data")
+    out = f"file://{tmp_path}/run"
+    docs = cli.manifest.read(spark, f"file://{tmp_path}/data").where("doc_id < 'd2'")
+    predict.predict(docs, predict.Echo({"p0": {"a": "x"}, "p1": {"a": "y"}}), out)
+    (tmp_path / "run/run.json").write_text(json.dumps(cli.CONFIG | {"system": "echo", "dataset": f"file://{tmp_path}/data"}))
+    assert cli.main(["grade", out]) == 1
+    assert cli.main(["grade", out, "--partial"]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["rows"] == 2
+    assert spark.read.json(f"{out}/coverage").first().partial is True
+
+
+def test_systems_and_their_failures(spark, capsys):
+    assert cli.main(["systems"]) == 0 and "echo" in json.loads(capsys.readouterr().out)
+    assert cli.main(["systems", "echo/any"]) == 0 and json.loads(capsys.readouterr().out)["reader"] == "plain"
+    assert cli.main(["systems", "nobody"]) == 1
+    capsys.readouterr()
+    assert cli.main(["predict", "--system", "echo", "--doc", "p", "--schema", SCHEMA, "--options", '{"known": {"p": {"a": 1}}}']) == 0
+    assert json.loads(capsys.readouterr().out)["raw"] == {"extraction": {"a": 1}}
+    assert cli.main(["predict", "--system", "echo", "--doc", "q", "--schema", SCHEMA]) == 1
+
+    class Late(predict.Echo):
+        def extract(self, doc_path, schema):
+            raise TimeoutError("too late") if doc_path == "p0" else ConnectionRefusedError("no")
+
+    bad = json.dumps({"properties": {"a": []}, "items": {"properties": [1]}})
+    docs = spark.createDataFrame([("d0", "p0", SCHEMA), ("d1", "p1", SCHEMA), ("d2", "p2", bad), ("d3", "p3", "nothing")], "doc_id string, doc_path string, schema string")
+    got = {r.doc_id: r.error for r in predict.records(docs, Late({}, "fields")).collect()}
+    assert (got["d0"].type, got["d0"].transient, got["d1"].type, got["d1"].transient) == ("timeout", True, "unreachable", True)
+    assert got["d3"].type == "dialect" and got["d3"].transient is False
+
+
+def test_names_and_payloads():
+    one = predict.analyzer_name("a", fieldSchema={"x": 1, "y": 2}, completion="m", api_version="1")
+    assert one == predict.analyzer_name("a", api_version="1", completion="m", fieldSchema={"y": 2, "x": 1}) != predict.analyzer_name("a", fieldSchema={"x": 1, "y": 2}, completion="m", api_version="2")
+    assert len(one) == 18
+    assert predict.job_payload("f", {}, "m")["instructions"] == {"schema": {}} and predict.job_payload("f", {}, "m", "p")["instructions"]["system_prompt"] == "p"

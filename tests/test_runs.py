@@ -94,3 +94,43 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema("doc_id string, pred string").parquet(source)
         grading.grade_stream(stream, docs, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert {r.doc_id: r.accuracy for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"d": 1.0, "e": 0.0}
+
+
+def graded_documents(spark, *changes):
+    return spark.createDataFrame([(f"d{i}", "s", gold, pred, SCHEMA) for i, (gold, pred) in enumerate(changes)], "doc_id string, suite string, gold string, pred string, schema string")
+
+
+def test_score_cache(spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    docs = graded_documents(spark, ('{"a":"x"}', '{"a":"X"}'), ('{"a":"y"}', None), ('{"a":"z"}', "{}"))
+    first, summary = grade.grade_cached(docs, cache, levels=0)
+    want = {r.doc_id: r.accuracy for r in grade.grade(docs, levels=0).scores.collect()}
+    assert {r.doc_id: r.accuracy for r in first.collect()} == want and summary.where("grain = 'overall'").first().rows == 3
+    changed = graded_documents(spark, ('{"a":"x"}', '{"a":"X"}'), ('{"a":"y"}', '{"a":"Y"}'), ('{"a":"z"}', "{}"))
+    second, _ = grade.grade_cached(changed, cache, levels=0)
+    assert {r.doc_id: r.accuracy for r in second.collect()} == want | {"d1": 1.0}
+    assert [r["count"] for r in spark.read.parquet(cache).groupBy("call").count().orderBy("call").collect()] == [3, 1]
+    grade.grade_cached(changed, cache, levels=0)
+    assert spark.read.parquet(cache).count() == 4  # nothing was scored again
+    grade.grade_cached(changed, cache, order=True, levels=0)
+    assert spark.read.parquet(cache).count() == 7  # another way of scoring
+
+
+def test_own_scorer_and_fields(spark):
+    class KeysFound:
+        fields = "keys_found double"
+
+        def score(self, pred, gold):
+            return {"keys_found": sum(k in pred for k in gold) / len(gold)}
+
+        def score_failure(self, gold):
+            return {"keys_found": 0.0}
+
+        def summarize(self, lines):
+            return lines.agg(F.avg("keys_found").alias("keys_found"))
+
+    docs = graded_documents(spark, ('{"a":"x"}', '{"a":"q"}'), ('{"a":"y","b":1}', '{"b":2}'), ('{"a":"z"}', None))
+    lines, summary = grade.grade_with(docs, KeysFound())
+    assert {r.doc_id: r.keys_found for r in lines.collect()} == {"d0": 1.0, "d1": 0.5, "d2": 0.0} and summary.first().keys_found == 0.5
+    more = grade.with_fields(grade.grade(docs, levels=0).scores, docs.withColumn("mine", F.lit(7)), "mine")
+    assert {r.mine for r in more.collect()} == {7}
