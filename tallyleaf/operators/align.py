@@ -94,6 +94,18 @@ def weights(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return with_rows.select(DOC, "array", "pred", "gold", "matched", F.size(F.array_intersect("pred_rels", "gold_rels")).cast("long").alias("shared"), "pred_content", "gold_content")
 
 
+def pair_bounds(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """For arrays of flat rows of both sides the most pairs that can match anything: doc_id, array, pairs.
+
+    As many as equal values make, but no more than there are cells: known from counts alone, without a pair.
+    """
+    items = lambda df, name: df.groupBy(DOC, "array", "rel", "canon").agg(F.count("*").alias(name))
+    sizes = lambda df, name: df.groupBy(DOC, "array").agg(F.countDistinct("element").alias(name))
+    met = items(gold, "g").join(items(pred, "p"), [DOC, "array", "rel", "canon"]).groupBy(DOC, "array").agg(F.sum(F.col("g") * F.col("p")).alias("met"))
+    both = sizes(gold, "gold_rows").join(sizes(pred, "pred_rows"), [DOC, "array"]).join(met, [DOC, "array"], "left")
+    return both.select(DOC, "array", F.least(F.coalesce("met", F.lit(0)), F.col("gold_rows") * F.col("pred_rows")).alias("pairs"))
+
+
 def flat_pairs(weighted: DataFrame, scale: DataFrame) -> DataFrame:
     """Best pairs: rows that have one partner each are paired at once, the others by the solver."""
     w = weighted.join(scale, DOC).select(DOC, "array", "pred", "gold", "pred_content", "gold_content", (F.col("matched") * F.col("scale") + F.col("shared")).alias("weight"))

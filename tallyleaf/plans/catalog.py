@@ -260,6 +260,17 @@ def pair_weight_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.weights(gold, pred).groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum("matched").alias("matched"), F.sum("shared").alias("shared"))
 
 
+@query(f"""WITH {LINES}, v AS (SELECT o, kept, unnest(['tag', 'part', 'quantity', 'price', 'flag']) AS f, unnest([CAST(i AS VARCHAR), CAST(part AS VARCHAR), CAST(quantity AS VARCHAR), CAST(price AS VARCHAR), flag]) AS g,
+  unnest([CAST(i AS VARCHAR), CAST(part AS VARCHAR), CAST(CASE WHEN part % 5 = 0 THEN quantity + 1000 ELSE quantity END AS VARCHAR), CAST(price AS VARCHAR), flag]) AS p FROM k),
+a AS (SELECT o, f, g AS v, count(*) AS n FROM v GROUP BY ALL), b AS (SELECT o, f, p AS v, count(*) AS n FROM v WHERE kept GROUP BY ALL), m AS (SELECT a.o, sum(a.n * b.n) AS met FROM a JOIN b ON a.o = b.o AND a.f = b.f AND a.v = b.v GROUP BY a.o),
+s AS (SELECT o, any_value(n) * (count(*) FILTER (kept) + CASE WHEN o % 6 = 0 THEN 1 ELSE 0 END) AS cells FROM k GROUP BY o HAVING count(*) FILTER (kept) + CASE WHEN o % 6 = 0 THEN 1 ELSE 0 END > 0)
+SELECT CAST(s.o AS VARCHAR) AS doc_id, CAST(least(coalesce(met, 0), cells) AS BIGINT) AS pairs FROM s LEFT JOIN m ON s.o = m.o""")
+def pair_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fx.orders(spark, sf_dir)
+    gold, pred = (align.at_level(flatten.leaves(docs, side, "schema", side), 1) for side in ("gold", "pred"))
+    return align.pair_bounds(gold, pred).select("doc_id", "pairs")
+
+
 FLAGS = """f AS (SELECT l_orderkey AS o, l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem GROUP BY ALL),
 g AS (SELECT o, flag AS v, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY o, flag), p AS (SELECT o, status AS v, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY o, status)"""
 
