@@ -219,7 +219,8 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for all nodes of links.
 
     Alternates large-star and small-star until the links don't change. Each step is an aggregate and a
-    join on the node, both written to the folder: so Spark can split the join's part for the centre of a large star.
+    join on the node. For large-star the aggregate is written first, so that Spark can split the join's part
+    for the centre of a large star.
     """
     edges = common.kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{folder}/links-0")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -230,10 +231,11 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         least = common.kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{folder}/least-{step}")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = common.kept(large, f"{folder}/large-{step}")
-        least = common.kept(large.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/smallest-{step}")
+        # A node has few smaller ones by now: the centre of a star is on the other side.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = common.kept(small, f"{folder}/small-{step}")
-        common.dropped(edges.sparkSession, *(f"{folder}/{x}-{step}" for x in ("least", "large", "smallest")), f"{folder}/links-0" if step == 1 else f"{folder}/small-{step - 1}")
+        common.dropped(edges.sparkSession, *(f"{folder}/{x}-{step}" for x in ("least", "large")), f"{folder}/links-0" if step == 1 else f"{folder}/small-{step - 1}")
         after = mark(edges)
         if after == before:
             break
@@ -242,6 +244,15 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     return found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def merged_components(joined: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """(node, component) after further links (a, b): only components that these join are looked at."""
+    of = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    found = common.kept(components(between, folder), f"{folder}/found")
+    moved = joined.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.union(found.join(joined, "node", "left_anti").select("node", "component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", retained: int | None = K) -> DataFrame:
     """Rows (key, n_shingles, component_id) for every row: the smallest key reachable over links.
 
@@ -285,8 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         met = pivot_meetings(now, percent, folder) if way == "pivot" else early_meetings(now, percent)
         more = common.kept(_exact(met, sets).where(similar).select("a", "b"), f"{folder}/more-{way}")
         if not more.isEmpty():
-            tree = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            joined = common.kept(components(tree.union(more), f"{folder}/components-{way}"), f"{folder}/joined-{way}")
+            joined = common.kept(merged_components(joined, more, f"{folder}/components-{way}"), f"{folder}/joined-{way}")
 
     common.dropped(spark, *(f"{folder}/{x}" for x in ("counts", "lists", "sets", "pivots", "mixed", "times", "placed", "early-pivots")))
 

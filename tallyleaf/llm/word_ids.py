@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words and runs of signs that a worker remembers, and the longest of them; others are encoded again when they come again.
-MAX_WORDS, MAX_SIGNS, MAX_WORD_BYTES = 800_000, 10_000, 48
+MAX_WORDS, MAX_SIGNS, MAX_WORD_BYTES = 690_000, 10_000, 48
 
 #: Whitespace other than blank and line feed, in UTF-8: in ASCII, and lead bytes and patterns of the rest.
 _ASCII_SPACE = b"\t\v\f\r\x1c\x1d\x1e\x1f"
