@@ -87,8 +87,8 @@ def _blank(address: Address) -> Address:
     return tuple(s if s[0] == "k" else INDEX for s in address)
 
 
-def flattened(document: Column, schema: Column, side: str, absent: str | Callable[[Any], bool] = "default") -> Column:
-    """Struct (leaves, skipped, arrays) of JSON texts under schema texts.
+def flattened(document: Column, schema: Column, side: str, absent: str | Callable[[Any], bool] = "default", wanted: tuple[str, ...] = ("leaves", "skipped", "arrays")) -> Column:
+    """Struct (leaves, skipped, arrays) of JSON texts under schema texts; parts that aren't wanted are empty.
 
     ``absent`` says which values get no address: "default", "never", "null_only" or a function. Of equal
     keys in an object the last one counts. A null schema constrains nothing and offers nothing.
@@ -103,9 +103,9 @@ def flattened(document: Column, schema: Column, side: str, absent: str | Callabl
             spec, slots, _ = schemas.parsed(spec_text) if spec_text is not None else ({}, frozenset(), ())
             node = prepared(text, side)
             leaves, skipped = walk(node, spec, judge)
-            leaves_of.append([{"address": a, "raw": json.dumps(v, ensure_ascii=False), "canon": values.quick_key(v), "offered": (a in slots) or _blank(a) in slots} for a, v in leaves])
-            skipped_of.append(skipped)
-            arrays_of.append(sorted(document_arrays(node)))
+            leaves_of.append([{"address": a, "raw": json.dumps(v, ensure_ascii=False), "canon": values.quick_key(v), "offered": (a in slots) or _blank(a) in slots} for a, v in leaves] if "leaves" in wanted else [])
+            skipped_of.append(skipped if "skipped" in wanted else [])
+            arrays_of.append(sorted(document_arrays(node)) if "arrays" in wanted else [])
         return pa.StructArray.from_arrays([pa.array(leaves_of, _LEAF), pa.array(skipped_of, _PATHS), pa.array(arrays_of, _PATHS)], names=["leaves", "skipped", "arrays"])
 
     return run(document, schema)
@@ -114,13 +114,13 @@ def flattened(document: Column, schema: Column, side: str, absent: str | Callabl
 def leaves(docs: DataFrame, document: str, schema: str | None, side: str, absent="default", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows (keys, address, raw, canon, offered), one per leaf; documents without any give none."""
     spec = F.lit(None).cast("string") if schema is None else F.col(schema)
-    found = docs.select(*keys, flattened(F.col(document), spec, side, absent).alias("f"))
+    found = docs.select(*keys, flattened(F.col(document), spec, side, absent, ("leaves",)).alias("f"))
     return found.select(*keys, F.explode("f.leaves").alias("l")).select(*keys, "l.address", "l.raw", "l.canon", "l.offered")
 
 
 def skipped(docs: DataFrame, sides: dict[str, str], schema: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Distinct rows (keys, address) of open maps met on any side; sides: column by side."""
-    parts = [docs.select(*keys, F.explode(flattened(F.col(column), F.col(schema), side).getField("skipped")).alias("address")) for side, column in sides.items()]
+    parts = [docs.select(*keys, F.explode(flattened(F.col(column), F.col(schema), side, wanted=("skipped",)).getField("skipped")).alias("address")) for side, column in sides.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

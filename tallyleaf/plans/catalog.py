@@ -315,7 +315,7 @@ def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = nations.groupBy("n_regionkey").agg(side("g", True).alias("g"), side("p", False).alias("p")).join(fx.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     person = {"type": "object", "properties": {"name": fx.TEXT, "balance": fx.NUMBER}}
     spec = fx.schema({"region": fx.TEXT, "nations": {"type": "array", "items": {"type": "object", "properties": {"nation": fx.TEXT, "customers": {"type": "array", "items": person}}}}})
-    return regions.select(F.col("r_name").alias("doc_id"), F.lit("regions").alias("suite"), fx.document(region=F.col("r_name"), nations=F.col("g")).alias("gold"), fx.document(region=F.col("r_name"), nations=F.col("p")).alias("pred"), spec.alias("schema"))
+    return fx.dealt(regions.select(F.col("r_name").alias("doc_id"), F.lit("regions").alias("suite"), fx.document(region=F.col("r_name"), nations=F.col("g")).alias("gold"), fx.document(region=F.col("r_name"), nations=F.col("p")).alias("pred"), spec.alias("schema")))
 
 
 @query(f"""WITH {LINES}, d AS (SELECT o, any_value(n) AS n, count(*) FILTER (kept) AS kept, count(*) FILTER (kept AND part % 5 = 0) AS misread FROM k GROUP BY o)

@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents on as many tasks as there are cores: what is flattened in Python may come from one small file."""
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+
+
 def every(key: str, n: int) -> Column:
     return F.col(key) % n == 0
 
@@ -63,7 +68,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         phone=F.when(every(k, 11), F.lit("555-0100")),
         note=F.when(every(k, 13), F.lit("see reverse")),
     )
-    return c.select(F.col(k).cast("string").alias("doc_id"), F.col("n_name").alias("suite"), gold.alias("gold"), pred.alias("pred"), schema(CUSTOMER).alias("schema"))
+    return dealt(c.select(F.col(k).cast("string").alias("doc_id"), F.col("n_name").alias("suite"), gold.alias("gold"), pred.alias("pred"), schema(CUSTOMER).alias("schema")))
 
 
 def lines_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +101,4 @@ def orders(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame:
     spec = dict(ORDER, lines={"type": "array", "items": {"type": "object", "properties": {**({"tag": TEXT} if tagged else {}), **LINE}}})
     gold = document(order=F.col("o"), status=F.col("o_orderstatus"), total=money(F.col("o_totalprice")), date=F.date_format("o_orderdate", "yyyy-MM-dd"), lines=golds)
     pred = document(order=F.col("o"), status=F.col("o_orderstatus"), total=dollars(F.col("o_totalprice")), date=F.date_format("o_orderdate", "MM/dd/yyyy"), lines=preds)
-    return o.select(F.col("o").cast("string").alias("doc_id"), F.col("o_orderpriority").alias("suite"), gold.alias("gold"), pred.alias("pred"), schema(spec).alias("schema"))
+    return dealt(o.select(F.col("o").cast("string").alias("doc_id"), F.col("o_orderpriority").alias("suite"), gold.alias("gold"), pred.alias("pred"), schema(spec).alias("schema")))

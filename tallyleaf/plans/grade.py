@@ -28,7 +28,7 @@ class Graded(NamedTuple):
 def known_arrays(docs: DataFrame) -> DataFrame:
     """Distinct (node, name) of the arrays that schemas declare or documents hold, before and after preparation."""
     declared = docs.select("schema").distinct().select(F.explode(schemas.slots_and_arrays(F.col("schema"))["arrays"]).alias("node"))
-    held = [docs.select(F.explode(flatten.flattened(F.col(c), F.lit(None).cast("string"), side)["arrays"]).alias("node")) for c, side in (("gold", "gold"), ("pred", "pred"), ("pred", "gold"))]
+    held = [docs.select(F.explode(flatten.flattened(F.col(c), F.lit(None).cast("string"), side, wanted=("arrays",))["arrays"]).alias("node")) for c, side in (("gold", "gold"), ("pred", "pred"), ("pred", "gold"))]
     out = declared
     for h in held:
         out = out.union(h)
