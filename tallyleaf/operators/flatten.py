@@ -16,7 +16,7 @@ from tallyleaf.functions.addresses import INDEX, Address, index_step, key_step
 from . import schemas
 
 # What may stand beside "value" in an envelope, and endings of sidecar keys.
-ENVELOPE_KEYS = frozenset("citations citation confidence score reasoning evidence provenance source sources page pages bbox span spans offset offsets extraction_status status meta".split())
+ENVELOPE_KEYS = frozenset({"citations", "citation", "confidence", "score", "reasoning", "evidence", "provenance", "source", "sources", "page", "pages", "bbox", "span", "spans", "offset", "offsets", "extraction_status", "status", "meta"})
 SIDECARS = ("_citations", "_meta")
 
 LEAF = "array<struct<address:array<string>,raw:string,canon:string,offered:boolean>>"
