@@ -85,7 +85,8 @@ def signature(text: str) -> np.ndarray:
         values = x[None, :] * f[:, None]
         # About 14 values of each row are below the limit; a row with too few is looked at whole.
         limit = np.uint64(min(2**64 - 1, 2**64 // n * 14))
-        rows, places = np.nonzero(values <= limit) if n > 28 else (np.repeat(np.arange(len(f)), n), np.tile(np.arange(n), len(f)))
+        flat = np.flatnonzero(values.ravel() <= limit) if n > 28 else np.arange(len(f) * n)
+        rows, places = np.divmod(flat, n)
         counts = np.bincount(rows, minlength=len(f))
         if (counts < want).any():
             few = np.flatnonzero(counts < want)
