@@ -15,7 +15,6 @@ from collections import Counter, defaultdict
 from collections.abc import Sequence
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -122,19 +121,17 @@ def _typed(df: DataFrame) -> str:
 def _solve(table: pa.Table) -> pa.Table:
     """Pairs of one array from its weighted pairs. Rows are ordered by content, so the outcome doesn't depend on their order."""
 
-    def numbered(name: str) -> tuple[list[str], np.ndarray]:
+    def numbered(name: str) -> tuple[list[str], list[int]]:
         """Elements in the order of content, and the place of each pair's element."""
         coded = table[name].combine_chunks().dictionary_encode()
-        known, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        content = np.zeros(len(known), dtype=np.int64)
-        content[codes] = table[f"{name}_content"].to_numpy()
+        known, codes = coded.dictionary.to_pylist(), coded.indices.to_pylist()
+        content = dict(zip(codes, table[f"{name}_content"].to_pylist(), strict=True))
         order = sorted(range(len(known)), key=lambda i: (content[i], known[i]))
-        place = np.empty(len(known), dtype=np.int64)
-        place[order] = np.arange(len(known))
-        return [known[i] for i in order], place[codes]
+        place = {code: i for i, code in enumerate(order)}
+        return [known[i] for i in order], [place[c] for c in codes]
 
     (left, p), (right, g) = numbered("pred"), numbered("gold")
-    pairs, inexact = assignment.assign(dict(zip(zip(p.tolist(), g.tolist(), strict=True), table["weight"].to_pylist(), strict=True)))
+    pairs, inexact = assignment.assign(dict(zip(zip(p, g, strict=True), table["weight"].to_pylist(), strict=True)))
     return _pair_table(table, left, right, pairs, inexact)
 
 

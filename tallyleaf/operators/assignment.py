@@ -94,7 +94,7 @@ def thin(edges: Edges) -> list[tuple[int, int]]:
     Dijkstra's algorithm under prices that keep all reduced costs at zero or above.
     """
     partners: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for (p, g), w in edges.items():
+    for (p, g), w in sorted(edges.items()):  # the outcome doesn't depend on the order of pairs
         partners[p].append((g, w))
     top = max(edges.values())
     row_price = {p: min(top - w for _, w in each) for p, each in partners.items()}
