@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, line_rules, near_dups, order_minhash, packing, preference, token_files, trie_bpe, url_rules, warc
+from . import common, exact_dedup, language_id, line_rules, merkle, near_dups, order_minhash, packing, preference, ranked_search, token_files, trie_bpe, url_rules, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Production parameters.
@@ -58,10 +58,22 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.digest_rows(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest_rows(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.digest_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.digest_rows(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_token_files, op2_language_codes, op3_trie_bpe, op4_residual_packing, op5_warc_zstd, op6_url_rules, op7_preference_format, op8_line_rules, op9_bottom_k, op10_order_minhash)
+        for f in (op1_token_files, op2_language_codes, op3_trie_bpe, op4_residual_packing, op5_warc_zstd, op6_url_rules, op7_preference_format, op8_line_rules, op9_bottom_k, op10_order_minhash, op11_merkle_manifest, op12_ranked_search, op13_exact_dedup)
     }
 
 
