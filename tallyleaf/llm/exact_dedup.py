@@ -44,19 +44,20 @@ def _best() -> Column:
     return F.struct("n_chars", F.col("key").isNotNull().alias("keyed"), F.bitwise_not("key").alias("low"))
 
 
-def winners(contents: DataFrame) -> DataFrame:
+def winners(contents: DataFrame, folder: str) -> DataFrame:
     """Rows (digest, norm, size, best) of distinct contents; contents: digest, norm, salt, salts, n_chars, key.
 
     Tasks deduplicate their own rows first, then those of one digest and salt meet, then, for digests
     with several salts, the winners of salts.
     """
-    salted = contents.groupBy("digest", "norm", "salt", "salts").agg(F.count("*").alias("size"), F.max(_best()).alias("best"))
+    # Written, as both kinds of digests are read from it.
+    salted = common.kept(contents.groupBy("digest", "norm", "salt", "salts").agg(F.count("*").alias("size"), F.max(_best()).alias("best")), f"{folder}/salt-winners")
     one = salted.where("salts = 1").select("digest", "norm", "size", "best")
     several = salted.where("salts > 1").groupBy("digest", "norm").agg(F.sum("size").alias("size"), F.max("best").alias("best"))
     return one.union(several)
 
 
-def groups(docs: DataFrame, repeated: DataFrame, salted: DataFrame, filtered: bool, key: str, text: str) -> DataFrame:
+def groups(docs: DataFrame, repeated: DataFrame, salted: DataFrame, filtered: bool, folder: str, key: str, text: str) -> DataFrame:
     """Rows (digest, size, best), one for each repeated digest, from whole texts."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.length(whole).cast("long").alias("n_chars"), normal(F.col(text)).alias("norm")).withColumn("digest", _digest(F.col("norm")))
@@ -64,7 +65,7 @@ def groups(docs: DataFrame, repeated: DataFrame, salted: DataFrame, filtered: bo
         rows = rows.join(F.broadcast(repeated.select("digest")), "digest", "left_semi")
     spread = rows.join(F.broadcast(salted), "digest", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     # A task has one winner of a content, so its salt can be the task's.
-    found = winners(spread.withColumn("salt", F.when(F.col("salts") > 1, F.spark_partition_id() % F.col("salts")).otherwise(0)))
+    found = winners(spread.withColumn("salt", F.when(F.col("salts") > 1, F.spark_partition_id() % F.col("salts")).otherwise(0)), folder)
     once = found.groupBy("digest").agg(F.count("*").alias("contents"), F.first("size").alias("size"), F.first("best").alias("best"))
     clash = F.raise_error(F.lit("two contents have one digest"))
     return once.select("digest", F.when(F.col("contents") == 1, F.col("size")).otherwise(clash.cast("long")).alias("size"), "best")
@@ -89,7 +90,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", per_s
     salted = common.kept(repeated.where(F.col("n") > per_salt).select("digest", F.ceil(F.col("n") / per_salt).cast("int").alias("salts")), f"{folder}/salted")
     filtered = told.digests <= max_repeated
     # Without a filter, texts that are alone make groups too.
-    found = common.kept(groups(docs, repeated, salted, filtered, key, text), f"{folder}/groups")
+    found = common.kept(groups(docs, repeated, salted, filtered, folder, key, text), f"{folder}/groups")
 
     spread = rows.join(F.broadcast(salted), "digest", "left").withColumn("salt", F.when(F.col("salts") > 1, F.col("row") % F.col("salts")).otherwise(0)).drop("salts")
     by_salt = found.join(F.broadcast(salted), "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
