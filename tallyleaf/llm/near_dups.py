@@ -36,6 +36,8 @@ K, REQUIRED, ESTIMATE_SLACK = 48, 24, 0.6
 #: 64-bit words of a set's parity marks.
 MARK_WORDS = 16
 RADIX, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Bytes of a long text that are looked at in one go; all bits of a hash.
+BLOCK, _ALL = 1 << 20, (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,24 +55,58 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(n, RADIX))
 
 
-def shingle_hashes(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a UTF-8 text's shingles of ``size`` words, A-Z in lower case.
-
-    With fewer words, that of the whole sequence; with none, no hashes. A word's hash is a polynomial
-    of its bytes, from one running sum over the text, mixed with its length.
-    """
-    raw = _LOWER[np.frombuffer(text, dtype=np.uint8)]
+def _word_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """Polynomials and lengths of the words of a stretch of bytes, and whether it begins and ends inside a word."""
     inside = np.concatenate([[False], ~_SPACE[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), starts, False, False
     lengths = ends - starts
     # Places within the word, counted from its end, so that equal words have equal sums.
     place = np.repeat(ends, lengths) - np.arange(lengths.sum()) - np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) - 1
     letters = raw[~_SPACE[raw]].astype(np.uint64) + np.uint64(1)
     sums = np.add.reduceat(letters * _powers(int(lengths.max()) + 1)[place], np.cumsum(lengths) - lengths)
-    words = _mixed(sums + lengths.astype(np.uint64))
+    return sums, lengths, bool(inside[1]), bool(inside[-2])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hash of each word of a UTF-8 text, A-Z in lower case: a polynomial of its bytes, mixed with its length.
+
+    A long text is read in blocks; a word that lies across their edges is put together from its parts.
+    """
+    if len(text) <= BLOCK:
+        sums, lengths, _, _ = _word_sums(_LOWER[np.frombuffer(text, dtype=np.uint8)])
+        return _mixed(sums + lengths.astype(np.uint64))
+    out: list[np.ndarray] = []
+    open_sum, open_length = 0, 0
+    for at in range(0, len(text), BLOCK):
+        sums, lengths, begins, ends = _word_sums(_LOWER[np.frombuffer(text[at : at + BLOCK], dtype=np.uint8)])
+        if open_length and not begins:
+            out.append(_mixed(np.array([open_sum + open_length & _ALL], dtype=np.uint64)))
+            open_sum = open_length = 0
+        if open_length:
+            # R to the power of the part's length moves the part before it up.
+            sums[0] = np.uint64((open_sum * pow(int(RADIX), int(lengths[0]), 1 << 64) + int(sums[0])) & _ALL)
+            lengths[0] += open_length
+            open_sum = open_length = 0
+        if ends:
+            open_sum, open_length = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        out.append(_mixed(sums + lengths.astype(np.uint64)))
+    if open_length:
+        out.append(_mixed(np.array([open_sum + open_length & _ALL], dtype=np.uint64)))
+    return np.concatenate(out)
+
+
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a UTF-8 text's shingles of ``size`` words, A-Z in lower case.
+
+    With fewer words, that of the whole sequence; with none, no hashes.
+    """
+    words = word_hashes(text)
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
     n = max(1, len(words) - size + 1)
     total = np.zeros(n, dtype=np.uint64)
     for i in range(min(size, len(words))):
@@ -113,17 +149,19 @@ def parity_marks(hashes: np.ndarray) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, all shingle hashes and parity marks of every whole text."""
+    """Key, set_id, all shingle hashes and parity marks of every whole text."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].cast(pa.binary())
             for start, end in word_ids.batches(texts):
                 sets = _set_column(texts.slice(start, end - start).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([batch["key"].slice(start, end - start), _lists(sets), _lists(list(map(parity_marks, sets)))], names=["key", "shingles", "marks"])
+                ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch["key"].slice(start, end - start), pa.array(ids, pa.binary()), _lists(sets), _lists(list(map(parity_marks, sets)))], names=["key", "set_id", "shingles", "marks"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, shingles array<bigint>, marks array<bigint>")
+    return rows.mapInArrow(run, "key long, set_id binary, shingles array<bigint>, marks array<bigint>")
 
 
 def union_sketch_estimate(a: Column, b: Column, retained: int | None = K) -> Column:
@@ -253,13 +291,22 @@ def merged_components(joined: DataFrame, links: DataFrame, folder: str) -> DataF
     return moved.union(found.join(joined, "node", "left_anti").select("node", "component"))
 
 
+def _named_apart(classes: DataFrame, largest: int, folder: str) -> DataFrame:
+    """Names of classes where keys have several sets: set_id, key (the smallest), rep (a number of its own, above all keys if that key stands for another class)."""
+    shown = classes.select("set_id", F.col("rep").alias("key"))
+    first = common.kept(shown.groupBy("key").agg(F.min("set_id").alias("first")), f"{folder}/first-sets")
+    numbered = common.kept(shown.join(first, "key").select("set_id", "key", (F.col("set_id") == F.col("first")).alias("own"), F.monotonically_increasing_id().alias("i")), f"{folder}/class-numbers")
+    return common.kept(numbered.select("set_id", "key", F.when(F.col("own"), F.col("key")).otherwise(F.lit(largest) + 1 + F.col("i")).alias("rep")), f"{folder}/class-names")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", retained: int | None = K) -> DataFrame:
     """Rows (key, n_shingles, component_id) for every row: the smallest key reachable over links.
 
     Sets are linked if 100 * intersection >= percent * union. Null and empty texts, and those without
     words, have an empty set and are linked with nothing; nor are rows without a key, whose component
     is null. Rows with equal sets are linked; rows that share a key are one document, which is
-    linked with whatever any of them is linked with. Keys are integers, or texts of integers. Other
+    linked with whatever any of them is linked with. Keys are integers below 2 ** 62, or texts of integers. Long
+    texts are hashed in blocks; a text's set is held whole, 8 bytes for each distinct shingle. Other
     columns aren't read. ``retained=None`` retains whole sets: exact, at the cost of listing them all.
     """
     if not 80 <= percent <= 100:
@@ -271,10 +318,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     rows = common.kept(sketches(docs, size, key, text, retained), f"{folder}/sketches")
     usable = rows.where("set_id is not null and key is not null")
     classes = common.kept(usable.groupBy("set_id").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), f"{folder}/classes")
+    # Keys that rows with several sets share; usually there are none.
+    told = rows.where("key is not null").groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.count("set_id").alias("sets"), F.count("*").alias("rows"))
+    shared = common.kept(told.where("low < high or (sets > 0 and sets < rows)").select("key", "low"), f"{folder}/shared")
+    repeated = not shared.isEmpty()
+    names = _named_apart(classes, usable.agg(F.max("key")).first()[0], folder) if repeated else None
+    classes = classes if names is None else common.kept(classes.drop("rep").join(names.select("set_id", "rep"), "set_id"), f"{folder}/classes-apart")
     lists = common.kept(postings(classes, percent, folder, retained), f"{folder}/lists")
 
-    listed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(lists.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
-    sets = common.kept(full_sets(listed, size, "key", "text"), f"{folder}/sets")
+    wanted = lists.select("rep").distinct()
+    first = wanted.select(F.col("rep").alias("key")) if names is None else names.join(wanted, "rep", "left_semi").select("key").distinct()
+    listed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(first, "key", "left_semi")
+    sets = full_sets(listed, size, "key", "text")
+    if names is not None:
+        sets = sets.join(names, ["key", "set_id"]).dropDuplicates(["rep"]).select(F.col("rep").alias("key"), "shingles", "marks")
+    sets = common.kept(sets.select("key", "shingles", "marks"), f"{folder}/sets")
 
     # Every class of a list meets the list's pivot.
     central = F.struct("central", -F.col("rep"))
@@ -283,7 +341,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     met = lists.join(pivots, "value").where((F.col("rep") != F.col("b")) & _sizes_fit(F.col("n"), F.col("b_n"), percent)).select(F.col("rep").alias("a"), "b").distinct()
     likely = _with_sketches(met, classes).where(union_sketch_estimate(F.col("a_sketch"), F.col("b_sketch"), retained) >= percent / 100 * ESTIMATE_SLACK).select("a", "b")
     similar = 100 * F.col("shared") >= percent * F.col("all")
-    links = common.kept(_exact(likely, sets).where(similar).select("a", "b"), f"{folder}/links")
+    links = _exact(likely, sets).where(similar).select("a", "b")
+    if repeated:
+        # All classes that a key is in are connected through it.
+        through = usable.join(shared.select("key"), "key", "left_semi").select("key", "set_id").distinct().join(classes.select("set_id", "rep"), "set_id")
+        links = links.union(through.select(F.col("rep").alias("a"), F.col("key").alias("b")))
+    links = common.kept(links, f"{folder}/links")
     joined = common.kept(components(links, f"{folder}/components"), f"{folder}/joined")
 
     # What is left: lists whose members aren't all connected.
@@ -300,6 +363,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
     common.dropped(spark, *(f"{folder}/{x}" for x in ("counts", "lists", "sets", "pivots", "mixed", "times", "placed", "early-pivots")))
 
+    if repeated:
+        # A row without words belongs to the document that its key names.
+        rows = rows.join(shared, "key", "left").select("key", "n_shingles", F.coalesce("set_id", "low").alias("set_id"))
     of_class = classes.select("set_id", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(of_class, "set_id", "left").select("key", "n_shingles", F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "key")).alias("component_id"))
 

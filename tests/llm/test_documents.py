@@ -305,6 +305,46 @@ def test_near_duplicates_against_brute_force(spark, size, percent):
     assert {x.doc_id for x in kept.collect()} == {None, *want.values()} and kept.columns == docs(spark, []).columns
 
 
+def brute_shared(rows, size, percent):
+    """Component by key, where rows that share a key are one document; (key, text)."""
+    sets, head = [shingles(t, size) for _, t in rows], {k: k for k, _ in rows}
+
+    def top(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                p, q = top(a), top(b)
+                head[max(p, q)] = min(p, q)
+    return {k: top(k) for k in head}
+
+
+def test_rows_that_share_a_key_connect_what_they_are_like(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(12)) for c in "xyz")
+    rows = [(1, x), (2, x), (2, y), (3, y), (4, z), (4, None), (5, z), (6, ""), (6, y)]
+    got = near_dups.near_duplicates(docs(spark, [(k, t, "en", "s") for k, t in rows]), 4).collect()
+    assert {(r.key, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (6, 1), (4, 4), (5, 4)} and len(got) == len(rows)
+    r = random.Random(17)
+    base = [[f"b{b}w{i}" for i in range(30)] for b in range(25)]
+    rows = [(r.randrange(40), " ".join(edited(r, r.choice(base), r.choice([0, 0, 1, 2, 3])))) for _ in range(70)] + [(3, None), (3, "a b"), (9, ""), (100, None)]
+    for retained in (near_dups.K, None):
+        got = near_dups.near_duplicates(docs(spark, [(k, t, "en", "s") for k, t in rows]), 4, retained=retained).collect()
+        assert {(x.key, x.component_id) for x in got} == set(brute_shared(rows, 4, 80).items()) and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64])
+def test_words_across_blocks(monkeypatch, block):
+    r = random.Random(block)
+    texts = ["".join(r.choice("ab é \n🙂Z") for _ in range(n)) for n in (0, 1, 2, 3, 14, 15, 100, 300)] + ["x" * 50, " " * 50, "ab " * 20]
+    whole = [near_dups.word_hashes(t.encode()) for t in texts]
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    for t, want in zip(texts, whole, strict=True):
+        assert near_dups.word_hashes(t.encode()).tolist() == want.tolist() and len(want) == len(re.findall(r"[^\x20\x09-\x0D]+", t))
+
+
 def edited(r, words, edits):
     """A copy with so many words replaced, left out, doubled or swapped."""
     out = list(words)
