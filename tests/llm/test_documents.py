@@ -73,6 +73,42 @@ def test_calibration_is_over_all_rows(spark):
     assert np.allclose(model.trust, right / right.sum(axis=1, keepdims=True))
 
 
+def syllables_of(i):
+    """Some syllables that a made-up language has for itself."""
+    return [a + b for a in "bcdfghjklm" for b in "aeiou"][i % 50 : i % 50 + 1] + [chr(0x4E00 + 7 * i), chr(0x4E03 + 7 * i) + "n", chr(0x4E05 + 7 * i)]
+
+
+def test_more_languages_than_the_driver_holds_counts_of(spark):
+    """The rarest of 620 languages are learnt like the others."""
+    r = random.Random(8)
+    assert language_id.FEW < 620
+    rows = [(prose(r, syllables_of(i), 15), f"l{i}") for i in range(620) for _ in range(2 if i > 500 else 3)] + [("", "zz"), (None, "l1"), ("x", None)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 620 and model.codes.dtype == np.uint8
+    texts = [(prose(r, syllables_of(i), 30), f"l{i}") for i in range(0, 620, 3)]
+    best, score, _ = model.decide(pa.array([t.lower().encode() for t, _ in texts], pa.binary()))
+    assert np.mean([model.languages[b] == lang for b, (_, lang) in zip(best, texts, strict=True)]) > 0.97 and score.min() > 0 and score.max() <= 1
+
+
+def test_classifiers_are_the_same_from_the_table(spark):
+    r = random.Random(10)
+    rows = [(prose(r, SYLLABLES[lang], 12), lang) for lang in SYLLABLES for _ in range(9)]
+    counted = {lang: np.sum(list(language_id.counts(pa.array([t.encode() for t, x in rows if x == lang], pa.binary()))), axis=0) for lang in SYLLABLES}
+    table = spark.createDataFrame([(lang, int(b), int(c[b])) for lang, c in counted.items() for b in np.flatnonzero(c)], "lang string, bucket int, n long")
+    codes = language_id.packed_codewords(len(SYLLABLES))
+    plain = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
+    assert np.allclose(language_id._summed_weights(table, list(SYLLABLES), codes), language_id._held_weights(table, list(SYLLABLES), plain), rtol=1e-4, atol=1e-4)
+
+
+def test_long_texts_are_counted_in_blocks(monkeypatch):
+    r = random.Random(4)
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (9, 10, 11, 12, 13, 40)]
+    whole = [c.tolist() for c in language_id.counts(pa.array(texts, pa.binary()))]
+    monkeypatch.setattr(language_id, "BLOCK", 10)
+    for t, want in zip(texts, whole, strict=True):
+        assert next(language_id.counts(pa.array([t], pa.binary()))).tolist() == want
+
+
 def brute_languages(rows, learn):
     """Predictions (language, score, ambiguous) of rows (text, lang), one n-gram at a time."""
     from collections import Counter
