@@ -1,9 +1,9 @@
 """Quality rules by cross-document line frequency. DataFrame functions only.
 
-Lines are normalised and hashed; for every host the distinct documents that have a line are counted,
-and the different texts among them. Lines above both limits are removed, and documents that lose
-most of their words to that are rejected, as are those that fail base rules. The limit on texts keeps
-apart what is boilerplate and what is one page's copies, which near-duplicate removal is there for.
+Lines are normalised and hashed; for every host the distinct documents that have a line are counted.
+Lines above the limit are removed, and documents that lose most of their words to that are rejected,
+as are those that fail base rules. Where near-duplicates are removed later, a second limit on the
+different texts that have a line can keep apart what is boilerplate and what is one page's copies.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A line is removed if more documents of one host have it, of more different texts (copies that differ in
-#: case and blanks are one text). A document is rejected if it loses a larger share of its words. Both limits
-#: are numbers at any size of a host: what 21 documents of different texts say alike is boilerplate in a large host too.
-LINE_LIMIT, TEXT_LIMIT, LOST_SHARE = 20, 10, 0.8
+#: A line is removed if more distinct documents of one host have it, and, with a limit on texts, if these are of more
+#: different texts (copies that differ in case and blanks are one text). A document is rejected if it loses a larger share of its
+#: words. Both limits are numbers at any size of a host: what 21 documents say alike is boilerplate in a large host too.
+LINE_LIMIT, TEXT_LIMIT, LOST_SHARE = 20, 0, 0.8
 #: Base rules: least number of words, largest share of words in repeated windows, words in a window.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 0.3, 8
 #: What parts words, and symbols.
@@ -84,23 +84,25 @@ def _has_word(line: Column) -> Column:
 
 def document_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Measures of every row, with what its lines need: k1, k2 (which tell rows apart: equal rows have
-    the same), id, measures, base_failed, host, text_hash, lines (array of line, words, place), no texts."""
+    the same), id, measures, base_failed, host, doc (its id's hash; without an id the row's), text_hash, lines (array of line, words, place), no texts."""
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(host).cast("string").alias("_host"))
     placed = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("place"))), lambda y: _has_word(y["x"]))
     hashed = F.transform(placed, lambda y: F.struct(F.xxhash64(_normal(y["x"])).alias("line"), _line_word_count(y["x"]).alias("words"), y["place"].alias("place")))
     k1, k2 = _row_key("id", "_host", "text")
     measured = base_measures(rows.withColumns({"k1": k1, "k2": k2, "lines": hashed}))
     host_hash = F.xxhash64(F.col("_host").isNull(), F.coalesce("_host", F.lit("")))
-    return measured.withColumns({"host": host_hash, "text_hash": F.xxhash64("lines.line")}).drop("text", "_host")
+    return measured.withColumns({"host": host_hash, "text_hash": F.xxhash64("lines.line"), "doc": F.when(F.col("id").isNull(), F.xxhash64("k1", "k2")).otherwise(F.xxhash64("id"))}).drop("text", "_host")
 
 
 def frequent_lines(rows: DataFrame, limit: int = LINE_LIMIT, text_limit: int = TEXT_LIMIT) -> DataFrame:
-    """Lines (host, line, documents, texts) above both limits, from document_rows. Repeated rows are one document."""
-    once = rows.select("k1", "k2", "host", "text_hash", F.array_distinct("lines.line").alias("lines")).dropDuplicates(["k1", "k2"])
-    each = once.select("host", "text_hash", F.explode("lines").alias("line"))
-    by_text = each.groupBy("host", "line", "text_hash").agg(F.count("*").alias("documents"))
-    counted = by_text.groupBy("host", "line").agg(F.sum("documents").alias("documents"), F.count("*").alias("texts"))
-    return counted.where((F.col("documents") > limit) & (F.col("texts") > text_limit))
+    """Lines (host, line, documents) that more documents than the limit have, and, if there is a limit on texts, more
+    different texts; from document_rows. Rows that share an id are one document, and so are repeated rows without one."""
+    each = rows.select("host", "doc", "text_hash", F.explode(F.array_distinct("lines.line")).alias("line"))
+    frequent = each.select("host", "line", "doc").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > limit)
+    if not text_limit:
+        return frequent
+    texts = each.join(frequent, ["host", "line"]).select("host", "line", "documents", "text_hash").distinct().groupBy("host", "line", "documents").agg(F.count("*").alias("texts"))
+    return texts.where(F.col("texts") > text_limit).select("host", "line", "documents")
 
 
 def removed_lines(rows: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -122,15 +124,15 @@ def _judged(docs: DataFrame, key: str, text: str, host: str, limit: int, text_li
     folder = common.shared_folder(docs.sparkSession, "line-rules")
     rows = common.kept(document_rows(docs, key, text, host), f"{folder}/rows")
     frequent = common.kept(frequent_lines(rows, limit, text_limit), f"{folder}/frequent")
-    joined = rows.drop("lines", "host", "text_hash").join(removed_lines(rows, frequent), ["k1", "k2"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
+    joined = rows.drop("lines", "host", "doc", "text_hash").join(removed_lines(rows, frequent), ["k1", "k2"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= lost_share * F.col("n_words")))
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LINE_LIMIT, text_limit: int = TEXT_LIMIT, lost_share: float = LOST_SHARE) -> DataFrame:
     """Key (its own name), measures, lost, places (of removed lines), base_failed and kept of every document.
 
-    Null texts are empty. Rows with equal keys (or none) are told apart by their text; repeated
-    rows are judged alike, count as one document and are all returned. Null hosts are one host, another
+    Null texts are empty. Rows with equal keys are one document where lines are counted, and each is judged by its
+    own text; repeated rows are judged alike and all returned. Null hosts are one host, another
     than that of an empty name. Very long lines and texts are read whole. An empty table gives no rows.
     Columns other than these three are not read.
     """
@@ -139,6 +141,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, base measures, base_failed, kept, lost_words and removed_lines of every row; odd rows fare as in judged()."""
     found = judged(docs)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lost").alias("lost_words"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("removed_lines"))
 
@@ -155,7 +158,7 @@ def without_lines(text: Column, places: Column) -> Column:
 
 
 def keep_good(docs: DataFrame, limit: int = LINE_LIMIT, text_limit: int = TEXT_LIMIT, lost_share: float = LOST_SHARE) -> DataFrame:
-    """Documents that the rules keep, with their own columns, their texts without the removed lines.
+    """Documents that the rules keep, with their own columns, their texts without the removed lines; odd rows fare as in judged().
 
     An integer column n_chars, where there is one, is set anew for texts that lose lines.
     """

@@ -30,8 +30,7 @@ g AS (SELECT r, i, array_to_string(w[i:i+7], ' ') AS g FROM w, unnest(range(1, l
 f AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 c AS (SELECT r, count(DISTINCT i + k) AS n FROM f, (SELECT unnest(range(8)) AS k) GROUP BY r),
 l AS (SELECT r, doc_id, host, text, p, line, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM (SELECT r, doc_id, host, text, generate_subscripts(string_split(text, chr(10)), 1) AS p, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}')),
-o AS (SELECT r, md5(string_agg(norm, chr(10) ORDER BY p)) AS lines FROM l GROUP BY r),
-u AS (SELECT host, norm FROM l JOIN o ON l.r = o.r GROUP BY host, norm HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT lines) > 10),
+u AS (SELECT host, norm FROM l GROUP BY host, norm HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'no id: ' || text)) > 20),
 x AS (SELECT r, sum(len(regexp_extract_all(line, '{WORD}'))) AS lost, count(*) AS gone FROM l JOIN u ON l.host = u.host AND l.norm = u.norm GROUP BY r),
 y AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM l GROUP BY r),
 z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -237,27 +237,28 @@ def brute_lines(rows, limit, text_limit):
     has, out = {}, []
     for i, t, _, host in set(rows):
         for _, _, n in lines(t):
-            has.setdefault((host, n), set()).add((i, t))
+            has.setdefault((host, n), set()).add((i, t))  # rows of one id are one document
     texts = {k: {tuple(n for *_, n in lines(t)) for _, t in v} for k, v in has.items()}
     for _, t, _, host in rows:
-        gone = {i: x for i, x, n in lines(t) if len(has[host, n]) > limit and len(texts[host, n]) > text_limit}
+        gone = {i: x for i, x, n in lines(t) if len({k if k is not None else (k, y) for k, y in has[host, n]}) > limit and len(texts[host, n]) > text_limit}
         out.append((sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in gone.values()), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone)))
     return out
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("text_limit", [0, 3])
+def test_lines_against_brute_force(spark, text_limit):
     r = random.Random(15)
     pool = [" ".join(f"w{r.randrange(50)}" for _ in range(r.randint(1, 9))) for _ in range(30)] + ["", " ", "\t x ", "X", "\x0b"]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 8))), "en", r.choice(["a", "b", "", None])) for i in range(150)]
-    rows += [(200 + i, rows[3][1], "en", rows[3][3]) for i in range(30)] + [rows[0], rows[0], (None, rows[1][1], None, None), (None, None, None, None), (400, "line\n" * 5_000 + "x" * 50_000, "en", "a")]
+    rows += [(200 + i, rows[3][1], "en", rows[3][3]) for i in range(30)] + [rows[0], rows[0], (None, rows[1][1], None, None), (None, None, None, None), *[(77, f"{pool[0]}\nown {i}", "en", "a") for i in range(9)], (400, "line\n" * 5_000 + "x" * 50_000, "en", "a")]
     got = {}
-    for x in line_rules.judged(docs(spark, rows), limit=6, text_limit=3).collect():
+    for x in line_rules.judged(docs(spark, rows), limit=6, text_limit=text_limit).collect():
         got.setdefault((x.doc_id, x.n_words), set()).add(x.lost)
-    want = brute_lines(rows, 6, 3)
+    want = brute_lines(rows, 6, text_limit)
     for (i, t, *_), (lost, _) in zip(rows, want, strict=True):
         assert lost in got[i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))]
     assert sum(lost > 0 for lost, _ in want) > 50
-    kept = {x.doc_id: x.text for x in line_rules.keep_good(docs(spark, rows), limit=6, text_limit=3).collect()}
+    kept = {x.doc_id: x.text for x in line_rules.keep_good(docs(spark, rows), limit=6, text_limit=text_limit).collect()}
     cleaned = {i: text for (i, *_), (_, text) in zip(rows, want, strict=True)}
     assert len(kept) > 20 and all(text == cleaned[i] for i, text in kept.items())
 
@@ -268,15 +269,20 @@ def test_copies_are_no_boilerplate(spark):
     shapes = [lambda x, i: x + "\t" * i, lambda x, i: x.upper() + " " * i, lambda x, i: x.replace(" ", " " * (2 + i)), lambda x, i: " " * (i + 1) + x, lambda x, i: "\t" * (i + 1) + x]
     rows = [(i, "\n".join(shapes[i % 5](x, i // 5) for x in lines) + "\n" * (i // 10), "en", "hot") for i in range(25)]
     assert len({t for _, t, *_ in rows}) > line_rules.LINE_LIMIT
-    kept = line_rules.keep_good(docs(spark, rows))
+    kept = line_rules.keep_good(docs(spark, rows), text_limit=10)
     assert {x.doc_id for x in kept.collect()} == set(range(25))
-    assert {x.kept for x in line_rules.digest_rows(docs(spark, rows)).collect()} == {True}
+    judged = lambda rows, **limits: {x.kept for x in line_rules.judged(docs(spark, rows), **limits).collect()}
+    assert judged(rows, text_limit=10) == {True} and judged(rows) == {False}
     # Copies and other pages: 21 documents have the line, of more different texts than the limit.
     mixed = [(i, lines[0] if i < 10 else f"{lines[0]}\nown{i}", "en", "hot") for i in range(21)]
-    assert {x.kept for x in line_rules.digest_rows(docs(spark, mixed)).collect()} == {False}
+    assert judged(mixed, text_limit=10) == judged(mixed) == {False}
     # Near copies with a word of their own are other texts: their common lines go.
     near = [(i, "\n".join([*lines, f"own{i}"]), "en", "hot") for i in range(25)]
-    assert line_rules.keep_good(docs(spark, near)).count() == 0
+    assert line_rules.keep_good(docs(spark, near), text_limit=10).count() == 0
+    # The footer of a host with ten templates, and rows that are one document.
+    ten = [(i, f"{lines[0]} {i % 10}\nthe footer of all", "en", "hot") for i in range(100)]
+    assert {x.lost for x in line_rules.judged(docs(spark, ten)).collect()} == {4} and {x.lost for x in line_rules.judged(docs(spark, ten), text_limit=10).collect()} == {0}
+    assert {x.lost for x in line_rules.judged(docs(spark, [(5, t, lang, host) for _, t, lang, host in ten])).collect()} == {0}
 
 
 def test_stages_leave_columns_named_as_their_helpers_alone(spark):
