@@ -15,6 +15,8 @@ from tallyleaf.llm.queries import CAPACITY, PACK_END_ID, WORD_BPE
 
 #: Words in a shingle, and percent of the union that two near-duplicates share at least.
 SHINGLE_WORDS, PERCENT = 5, 80
+#: Different texts that have to have a line before it is boilerplate: copies are left for near-duplicate removal.
+TEXT_LIMIT = 10
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts go. Repeated rows are judged alike, and all stay or go.
     """
-    return line_rules.keep_good(docs)
+    return line_rules.keep_good(docs, text_limit=TEXT_LIMIT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
