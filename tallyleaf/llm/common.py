@@ -127,3 +127,17 @@ def order_bucket(key: Column, bounds: list[int]) -> Column:
         return pa.array(np.searchsorted(edges, values, side="right").astype(np.int32))
 
     return bucket(key.cast("long"))
+
+
+def spread_bucket(key: Column, content: Column, part: Column, bounds: list[int]) -> Column:
+    """As order_bucket, by order_bounds with repeats: rows of a repeated bound are dealt by content and part, which needn't tell them apart."""
+    edges = np.array(bounds, dtype=np.int64)
+
+    @F.arrow_udf("int")
+    def bucket(ids: pa.Array, contents: pa.Array, parts: pa.Array) -> pa.Array:
+        values = ids.fill_null(SMALLEST).to_numpy(zero_copy_only=False)
+        low, high = (np.searchsorted(edges, values, side=s) for s in ("left", "right"))
+        dealt = contents.to_numpy(zero_copy_only=False) + parts.to_numpy(zero_copy_only=False)
+        return pa.array(np.where(high - low > 1, low + 1 + dealt % np.maximum(high - low, 1), high).astype(np.int32))
+
+    return bucket(key.cast("long"), content.cast("long"), part.cast("long"))

@@ -20,6 +20,8 @@ from . import common
 
 #: Letters in a k-mer (a power of two), k-mers in a tuple, entries of a signature.
 KMER, TUPLE, ENTRIES = 8, 2, 48
+#: k-mers of a long text that are looked at in one go.
+BLOCK = 1 << 20
 R = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -37,18 +39,26 @@ FUNCTIONS = _mixed(np.arange(1, ENTRIES + 1, dtype=np.uint64) * R) | np.uint64(1
 
 
 def kmers(text: str) -> np.ndarray:
-    """Hashes of a text's k-mers, by place; a shorter text is one k-mer, an empty one has none."""
-    h = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-    if 0 < len(h) < KMER:
+    """Hashes of a text's k-mers, by place; a shorter text is one k-mer, an empty one has none. Long texts are hashed in blocks."""
+    if 0 < len(text) < KMER:
+        h = _points(text)
         total = np.array([len(h)], dtype=np.uint64)
         for i in range(len(h)):
             total = _mixed(total * R + h[i : i + 1])
         return total
-    n = 1
-    for power in POWERS if len(h) else []:
-        h = h[:-n] + h[n:] * power
-        n *= 2
-    return _mixed(h)
+    out = np.empty(max(0, len(text) - KMER + 1), dtype=np.uint64)
+    for at in range(0, len(out), BLOCK):
+        h = _points(text[at : at + BLOCK + KMER - 1])
+        n = 1
+        for power in POWERS:
+            h = h[:-n] + h[n:] * power
+            n *= 2
+        out[at : at + BLOCK] = _mixed(h)
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
 
 
 def numbered(h: np.ndarray) -> np.ndarray:
@@ -71,37 +81,80 @@ def numbered(h: np.ndarray) -> np.ndarray:
     return np.where(times == 0, h, _mixed(h + times * R))
 
 
+def _smallest(x: np.ndarray, places: np.ndarray, want: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(function, value, place) of those values x * f that can be among the ``want`` smallest of n, by function.
+
+    About 14 values of each function are below the limit; a function with too few is looked at whole.
+    """
+    limit = np.uint64(min(2**64 - 1, 2**64 // n * 14))
+    found, step = [], max(1, (1 << 21) // max(1, len(x)))
+    for low in range(0, ENTRIES, step):
+        f = FUNCTIONS[low : low + step]
+        values = x[None, :] * f[:, None]
+        flat = np.flatnonzero(values.ravel() <= limit) if n > 28 else np.arange(values.size)
+        rows, at = np.divmod(flat, len(x))
+        found.append((rows + low, values.ravel()[flat], places[at]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _candidates(h: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _smallest, of all numbered k-mers; those of a long text are numbered and looked at by ranges of their hash, which equal ones share."""
+    n = len(h)
+    if n <= BLOCK:
+        return _smallest(numbered(h), np.arange(n), want, n)
+    bits = (n // BLOCK).bit_length() + 1
+    parts = []
+    for b in range(1 << bits):
+        places = np.flatnonzero(h >> np.uint64(64 - bits) == np.uint64(b))
+        # One k-mer can make up a range: its numbers are dealt out without sorting it.
+        if len(places):
+            parts += [_smallest(x, places[at : at + BLOCK], want, n) for at, x in _numbered_blocks(h, places)]
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _numbered_blocks(h: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes at places, numbered as by numbered(), a block at a time; how often each k-mer came is carried on."""
+    seen: dict[int, int] = {}
+    for at in range(0, len(places), BLOCK):
+        mine = h[places[at : at + BLOCK]]
+        kinds, back = np.unique(mine, return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        sizes = np.bincount(back)
+        times = np.empty(len(mine), dtype=np.uint64)
+        times[order] = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        if len(places) > BLOCK:
+            before = np.array([seen.get(k, 0) for k in kinds.tolist()], dtype=np.uint64)
+            times += before[back]
+            seen.update(zip(kinds.tolist(), (before + sizes.astype(np.uint64)).tolist(), strict=True))
+        yield at, np.where(times == 0, mine, _mixed(mine + times * R))
+
+
 def signature(text: str) -> np.ndarray:
-    """ENTRIES unsigned 16-bit hashes. Texts without a k-mer have those of the empty tuple."""
+    """ENTRIES unsigned 16-bit hashes. Texts without a k-mer have those of the empty tuple.
+
+    A text of n letters takes about 10 n bytes besides itself.
+    """
     h = kmers(text)
     n = len(h)
     if n == 0:
         return np.zeros(ENTRIES, dtype=np.uint16)
-    x = numbered(h)
-    want, out = min(TUPLE, n), []
-    step = max(1, (1 << 21) // n)
-    for low in range(0, ENTRIES, step):
-        f = FUNCTIONS[low : low + step]
-        values = x[None, :] * f[:, None]
-        # About 14 values of each row are below the limit; a row with too few is looked at whole.
-        limit = np.uint64(min(2**64 - 1, 2**64 // n * 14))
-        flat = np.flatnonzero(values.ravel() <= limit) if n > 28 else np.arange(len(f) * n)
-        rows, places = np.divmod(flat, n)
-        counts = np.bincount(rows, minlength=len(f))
-        if (counts < want).any():
-            few = np.flatnonzero(counts < want)
-            keep = ~np.isin(rows, few)
-            rows = np.concatenate([rows[keep], np.repeat(few, n)])
-            places = np.concatenate([places[keep], np.tile(np.arange(n), len(few))])
-        order = np.lexsort((values[rows, places], rows))
-        rows, places = rows[order], places[order]
-        first = np.searchsorted(rows, np.arange(len(f)))
-        chosen = np.sort(places[first[:, None] + np.arange(want)], axis=1)
-        total = np.full(len(f), n if n < TUPLE else 0, dtype=np.uint64)
-        for i in range(want):
-            total = _mixed(total * R + h[chosen[:, i]])
-        out.append((total >> np.uint64(48)).astype(np.uint16))
-    return np.concatenate(out)
+    want = min(TUPLE, n)
+    rows, values, places = _candidates(h, want)
+    few = np.flatnonzero(np.bincount(rows, minlength=ENTRIES) < want)
+    if len(few):
+        whole = numbered(h)
+        keep = ~np.isin(rows, few)
+        rows = np.concatenate([rows[keep], np.repeat(few, n)])
+        values = np.concatenate([values[keep], *(whole * FUNCTIONS[i] for i in few)])
+        places = np.concatenate([places[keep], np.tile(np.arange(n), len(few))])
+    order = np.lexsort((places, values, rows))
+    rows, places = rows[order], places[order]
+    first = np.searchsorted(rows, np.arange(ENTRIES))
+    chosen = np.sort(places[first[:, None] + np.arange(want)], axis=1)
+    total = np.full(ENTRIES, n if n < TUPLE else 0, dtype=np.uint64)
+    for i in range(want):
+        total = _mixed(total * R + h[chosen[:, i]])
+    return (total >> np.uint64(48)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -119,23 +172,25 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows in buckets by descending key, each followed by a guest: the row after the bucket's last.
+    """Rows in buckets by descending key, each bucket followed by a guest: the first row of the next one.
 
-    Columns bucket, guest, key, text, sorted within partitions. Null keys come last, equal keys in
-    the order of their texts; after the last row of all comes the first.
+    Columns bucket, guest, key, text, sorted within partitions. Null keys come last; after the last row of all
+    comes the first. A key that holds many rows (or null) is dealt to several buckets, by the texts and by the
+    input's partitions; within a bucket equal keys are in the order of their texts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    bounds = common.order_bounds(rows, "key", common.partitions(spark))
-    rows = rows.withColumn("bucket", common.order_bucket(F.col("key"), bounds))
-    # One row per bucket: the largest key in it.
-    tops = sorted(rows.groupBy("bucket").agg(F.max("key").alias("key")).collect(), key=lambda r: -r.bucket)
-    hosts = [(int(tops[i - 1].bucket), t.key) for i, t in enumerate(tops)]
-    hosts = spark.createDataFrame(hosts, "host int, top long")
-    guests = rows.join(F.broadcast(hosts), F.col("key").eqNullSafe(F.col("top"))).select("key", "text", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+    bounds = common.order_bounds(rows, "key", common.partitions(spark), repeats=True)
+    heavy = len(set(bounds)) < len(bounds)
+    rows = rows.withColumn("bucket", common.spread_bucket(F.col("key"), F.crc32("text"), F.spark_partition_id(), bounds) if heavy else common.order_bucket(F.col("key"), bounds))
+    # One row of each bucket, its first: that with the largest key, and of these the smallest text.
+    tops = rows.groupBy("bucket").agg(F.max("key").alias("top"))
+    numbers = sorted(tops.collect(), key=lambda r: -r.bucket)
+    hosts = spark.createDataFrame([(numbers[i - 1].bucket, r.bucket, r.top) for i, r in enumerate(numbers)], "host int, bucket int, top long")
+    met = rows.join(F.broadcast(hosts), "bucket").where(F.col("key").eqNullSafe(F.col("top")))
+    guests = met.groupBy("host", "key").agg(F.min("text").alias("text")).select("key", "text", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
     both = rows.select("key", "text", "bucket", F.lit(False).alias("guest")).union(guests)
-    placed = both.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("key"), "text")
-    return placed
+    return both.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("key"), "text")
 
 
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,8 +210,6 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for batch in batches:
             columns = [batch[c].to_pylist() for c in ("bucket", "guest", "key")]
             for i, (bucket, guest, k) in enumerate(zip(*columns, strict=True)):
-                if guest and (waiting is None or waiting[0] != bucket):
-                    continue  # a further guest, of the same key
                 t = batch["text"][i].as_py()
                 mark = signature(t)
                 if waiting is not None and waiting[0] == bucket:

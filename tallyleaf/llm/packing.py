@@ -100,15 +100,17 @@ def mergeable(bins: DataFrame, capacity: int) -> DataFrame:
 
     No two bins of one task fit together, so each task leaves at most one that is no more than half
     full, and one of any two bins that fit together is such a bin. Each of these needs one partner
-    at most: of the fuller bins, as many of each fill as there are half-full ones do.
+    at most: of the fuller bins, as many of each fill as there are half-full ones do. These are taken
+    from shares of a fill first, as one fill can hold most bins.
     """
     half = bins.where(2 * F.col("fill") <= capacity)
     found = half.agg(F.count("*").alias("n"), F.min("fill").alias("least")).first()
     if not found.n:
         return bins.limit(0)
-    nth = F.row_number().over(W.partitionBy("fill").orderBy("bin"))
     partners = bins.where((2 * F.col("fill") > capacity) & (F.col("fill") <= capacity - found.least))
-    return half.union(partners.withColumn("_nth", nth).where(F.col("_nth") <= found.n).drop("_nth"))
+    first = lambda rows, *by: rows.withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy("bin"))).where(F.col("_nth") <= found.n).drop("_nth")
+    shares = F.pmod(F.xxhash64("bin"), F.lit(common.partitions(bins.sparkSession)))
+    return half.union(first(first(partners.withColumn("_share", shares), "fill", "_share").drop("_share"), "fill"))
 
 
 def merge_bins(bins: DataFrame, capacity: int, folder: str) -> DataFrame | None:

@@ -503,6 +503,40 @@ def test_fingerprints_of_edited_texts(spark):
     assert {x.fingerprint for x in order_minhash.fingerprints(docs(spark, rows)).collect()} == {w[3] for w in want}
 
 
+@pytest.mark.parametrize("kind", ["one id", "no id", "one row"])
+def test_equal_ids_are_dealt(spark, kind):
+    """All rows share an id (or have none): they still go to several tasks, and each is followed by another one."""
+    texts = [f"text number {0 if kind == 'one row' else i} of many" for i in range(90)]
+    table = docs(spark, [(None if kind == "no id" else 5, t, "en", "s") for t in texts]).repartition(5).cache()
+    placed = order_minhash.with_next(table, "doc_id", "text").groupBy("bucket").agg(F.count_if("guest").alias("guests"), F.count_if(~F.col("guest")).alias("rows")).collect()
+    assert len(placed) == 2 and {p.guests for p in placed} == {1} and max(p.rows for p in placed) < 60
+    got = order_minhash.digest_rows(table).collect()
+    edits = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a in texts for b in texts}
+    assert len(got) == 90 and {x.edited_sha256 for x in got} <= edits
+    assert sorted(x.fingerprint for x in got) == sorted(order_minhash.signature(t).tobytes().hex() for t in texts)
+
+
+def test_long_texts_are_signed_in_blocks(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab é🙂") for _ in range(n)) for n in (0, 5, 8, 63, 64, 65, 200, 999)] + ["a" * 700, "ab" * 300 + "".join(r.choice("xyz") for _ in range(90))]
+    whole = [order_minhash.signature(t).tolist() for t in texts]
+    monkeypatch.setattr(order_minhash, "BLOCK", 64)
+    for t, want in zip(texts, whole, strict=True):
+        assert order_minhash.signature(t).tolist() == want == brute_signature(t), len(t)
+
+
+def test_memory_of_long_texts():
+    import tracemalloc
+
+    r = random.Random(6)
+    text = " ".join(f"{r.randrange(10**6)}" for _ in range(1_000_000))
+    for run in (lambda: order_minhash.signature(text), lambda: near_dups.shingle_hashes(text.encode(), 5), lambda: list(language_id.counts(pa.array([text.encode()], pa.binary())))):
+        tracemalloc.start()
+        run()
+        assert tracemalloc.get_traced_memory()[1] < 20 * len(text) + (180 << 20)
+        tracemalloc.stop()
+
+
 def brute_signature(text):
     """The definition, one function at a time, without limits or blocks."""
     h = order_minhash.kmers(text)
