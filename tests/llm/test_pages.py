@@ -80,11 +80,80 @@ RULE_CASES = [
 
 def test_fixed_rules(spark):
     rows = spark.createDataFrame([(i, c[0], "x") for i, c in enumerate([*RULE_CASES, RULE_CASES[0]])], "page_id long, url string, host string")
-    none = spark.createDataFrame([], "tokens array<string>, key string, confidence double, pages double")
+    none = url_rules.Rules(spark.createDataFrame([], "parts array<string>, key string, confidence double, pages double"), spark.createDataFrame([], "part string, token string"))
     got = {r.page_id: tuple(r)[1:5] for r in url_rules.judge(rows, none).collect()}
     assert [got[i] for i in range(len(RULE_CASES))] == [c[1:] for c in RULE_CASES] and len(got) == len(RULE_CASES) + 1
 
 
+def written_out(rules):
+    """{tokens: (confidence, pages)} of rules, for every choice of tokens, but those of which a part is a rule."""
+    members = {}
+    for x in rules.members.collect():
+        members.setdefault(x.part, []).append(x.token)
+    out = {}
+    for x in rules.rules.collect():
+        for tokens in itertools.product(*(members[p] for p in x.parts)):
+            out[tuple(sorted(tokens))] = (round(x.confidence, 6), int(x.pages))
+    return {k: v for k, v in out.items() if not any(set(o) < set(k) for o in out)}
+
+
+def brute_rules(data, least, confidence, longest=99):
+    """The same from lists of items: all combinations, shortest first."""
+    good, tokens = {}, sorted({x for items in data for x in items} - {url_rules.BAD, url_rules.GOOD})
+    has = {t: sum(1 << i for i, d in enumerate(data) if t in d) for t in tokens}
+    bad = sum(1 << i for i, d in enumerate(data) if url_rules.BAD in d)
+    grown = [((), (1 << len(data)) - 1)]
+    for _ in range(longest):
+        grown = [((*c, t), m & has[t]) for c, m in grown for t in tokens if (not c or t > c[-1]) and (m & has[t] & bad).bit_count() >= least]
+        new = {c: (round((m & bad).bit_count() / m.bit_count(), 6), (m & bad).bit_count()) for c, m in grown if (m & bad).bit_count() >= confidence * m.bit_count()}
+        good |= {c: v for c, v in new.items() if not any(set(o) < set(c) for o in good)}
+        grown = [(c, m) for c, m in grown if c not in new]
+        if not grown:
+            break
+    return {c: v for c, v in good.items() if not any(set(o) < set(c) for o in good)}
+
+
+@pytest.mark.parametrize("others", [14, 40])
+def test_two_telling_tokens_among_many(spark, others):
+    """A and B are half bad each, together always bad; other tokens of the pages are more telling than either."""
+    r = random.Random(others)
+    rows = []
+    for _ in range(2_000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        bad = (a and b) or (r.random() < 0.33)
+        rows.append([x for x, there in (("A", a), ("B", b)) if there] + [f"t{i}" for i in range(others) if r.random() < (0.26 if bad else 0.2)] + [url_rules.BAD if bad else url_rules.GOOD])
+    rules = url_rules.mine(spark.createDataFrame([(x,) for x in rows], "items array<string>"), max_rule=3)
+    got = written_out(rules)
+    assert got[("A", "B")][0] == 1 and len(rows) > 12
+    assert got == brute_rules([set(x) for x in rows], 5, 0.8, 3)
+
+
+@pytest.mark.parametrize(("wide", "longest"), [(1, 4), (2, 5), (3, 3), (8, 5)])
+def test_databases_of_classes_against_brute_force(spark, wide, longest):
+    r = random.Random(wide)
+    rows = []
+    for _ in range(150):
+        x = [f"t{i}" for i in range(9) if r.random() < 0.45]
+        x += [f"{t}too" for t in x[:3] if t in ("t0", "t4")] + [f"{t}also" for t in x if t == "t5"] * (r.random() < 0.7)
+        rows.append([*x, url_rules.BAD if len({"t1", "t2", "t3"} & set(x)) > 1 and r.random() < 0.9 or r.random() < 0.3 else url_rules.GOOD])
+    rows += rows[:40] + [[url_rules.BAD]] * 3 + [None]
+    rules = url_rules.mine(spark.createDataFrame([(x,) for x in rows], "items array<string>"), 0.02, 4, 0.82, longest, wide)
+    want = brute_rules([set(x) for x in rows if x is not None], max(4, 0.02 * (len(rows) - 1)), 0.82, longest)
+    assert written_out(rules) == want and len(want) > 5 and max(map(len, want)) > 2
+
+
+def test_sections_of_many_parts_are_one_rule(spark):
+    for n in (50, 400):
+        section = lambda c, n=n: "/".join(f"{c}{'x' * (i // 26)}{chr(97 + i % 26)}" for i in range(n))
+        rows = [(i, f"http://h{i % 4}.net/{section('a')}/{section('b')}", 1) for i in range(40)]
+        rows += [(100 + i, f"http://h{i % 4}.net/{section('ab'[i // 4 % 2])}", 0) for i in range(60)]
+        p = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+        labels = spark.createDataFrame([(i, 1 - b, 0) for i, _, b in rows], "doc_id long, quality int, toxic int")
+        rules = url_rules.mine(url_rules.transactions(p, labels))
+        assert [len(x.parts) for x in rules.rules.collect()] == [2] and rules.members.count() == 2 * n
+        assert {x.url for x in url_rules.matches(p, rules).collect()} == {u for _, u, b in rows if b}
+
+
 def test_mined_rules_against_brute_force(spark):
     r = random.Random(6)
     rows = []
@@ -95,7 +164,7 @@ def test_mined_rules_against_brute_force(spark):
     p = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(900, None)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 1 - b, 0) for i, _, b in rows] + [(0, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     lists = url_rules.transactions(p, labels)
-    got = {(tuple(x.tokens), round(x.confidence, 6), int(x.pages)) for x in url_rules.mine(lists, min_share=0.05, min_pages=5, min_confidence=0.7).collect()}
+    got = {(k, *v) for k, v in written_out(url_rules.mine(lists, min_share=0.05, min_pages=5, min_confidence=0.7, max_rule=9)).items()}
     data = [set(x["items"]) for x in lists.collect()]
     need = max(0.05, 5 / len(data)) * len(data)
     good = {}
@@ -110,10 +179,10 @@ def test_mined_rules_against_brute_force(spark):
     rules = {c: v for c, v in good.items() if v}
     minimal = {(c, round(v[0], 6), v[1]) for c, v in rules.items() if not any(set(o) < set(c) for o in rules)}
     assert got == minimal and minimal
-    blocked = {x.url for x in url_rules.matches(p, url_rules.mine(lists, 0.05, 5, 0.7)).collect()}
+    blocked = {x.url for x in url_rules.matches(p, url_rules.mine(lists, 0.05, 5, 0.7, 9)).collect()}
     tokens = {x.url: set(x.t) for x in p.where("url is not null").select("url", url_rules.tokens(F.col("url")).alias("t")).collect()}
     assert blocked == {u for u, t in tokens.items() if any(set(c) <= t for c, _, _ in minimal)}
-    assert url_rules.mine(lists.limit(0)).count() == 0
+    assert url_rules.mine(lists.limit(0)).rules.count() == 0
 
 
 def test_long_and_repeated_urls_are_mined_in_bounded_time(spark):
@@ -127,13 +196,14 @@ def test_long_and_repeated_urls_are_mined_in_bounded_time(spark):
     p = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
     labels = spark.createDataFrame([(i, 1 - b, 0) for i, _, b in rows], "doc_id long, quality int, toxic int")
     began = time.time()
-    rules = url_rules.mine(url_rules.transactions(p, labels), min_share=0.002, min_pages=5).collect()
+    rules = written_out(url_rules.mine(url_rules.transactions(p, labels), min_share=0.002, min_pages=5))
     assert time.time() - began < 60
     data = [(set(x["items"])) for x in url_rules.transactions(p, labels).collect()]
-    assert {("host=long.net",), ("label:long",)} <= {tuple(x.tokens) for x in rules}
-    for x in rules:  # counted over all pages' whole tokens
-        having = [d for d in data if d >= set(x.tokens)]
-        assert x.pages == sum(url_rules.BAD in d for d in having) and abs(x.confidence - x.pages / len(having)) < 1e-9 and x.confidence >= 0.8
+    assert {("host=long.net",), ("label:long",)} <= set(rules)
+    for tokens, (confidence, pages) in rules.items():  # counted over all pages' whole tokens
+        having = [d for d in data if d >= set(tokens)]
+        assert pages == sum(url_rules.BAD in d for d in having) and abs(confidence - pages / len(having)) < 1e-6 and confidence >= 0.8
+    assert rules == brute_rules(data, 5, 0.8, 5)
 
 
 def rendered(turns):
