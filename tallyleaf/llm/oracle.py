@@ -14,8 +14,9 @@ FROM h""",
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text FROM conversations WHERE conv_id IS NOT NULL),
 a AS (SELECT conv_id, max(i) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
 r AS (SELECT t.conv_id, text AS reply FROM t JOIN a ON t.conv_id = a.conv_id AND i = last),
+o AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS following FROM r),
 b AS (SELECT t.conv_id, i, t.role, t.text AS chosen, CASE WHEN i = last THEN reply ELSE t.text END AS rejected, last, reply IS NOT DISTINCT FROM (CASE WHEN i = last THEN t.text ELSE reply END) AS same
-  FROM t JOIN a ON t.conv_id = a.conv_id JOIN r ON r.conv_id = xor(t.conv_id, 1)),
+  FROM t JOIN a ON t.conv_id = a.conv_id JOIN o ON t.conv_id = o.conv_id JOIN r ON r.conv_id = o.following),
 n AS (SELECT conv_id, CASE WHEN bool_and(same) THEN max(i) ELSE any_value(last) - 1 END AS n FROM b GROUP BY conv_id),
 m AS (SELECT b.*, n, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS head, replace(coalesce(chosen, ''), '<|', '< |') || '<|end|>' || chr(10) AS x, replace(coalesce(rejected, ''), '<|', '< |') || '<|end|>' || chr(10) AS y FROM b JOIN n ON b.conv_id = n.conv_id),
 s AS (SELECT *, sum(CASE WHEN i > n THEN length(head) + length(x) ELSE 0 END) OVER w - length(x) AS sx, sum(CASE WHEN i > n THEN length(head) + length(y) ELSE 0 END) OVER w - length(y) AS sy FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY i))

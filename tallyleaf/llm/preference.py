@@ -8,6 +8,7 @@ completion are to be learnt (what the assistant says, with its end mark) and whi
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -95,32 +96,38 @@ def conversations_to_turns(conversations: DataFrame) -> DataFrame:
     return grouped.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
-def swapped_replies(conversations: DataFrame) -> DataFrame:
-    """Preference pairs (conv_id, chosen, rejected): in the rejected one the last reply comes from the neighbour.
-
-    Conversations 2n and 2n + 1 are neighbours, gathered by one shuffle. Those without a reply, or whose
-    neighbour has none, make no pair. Turns are in the order of turn, role and text; repeated rows are repeated turns.
-    """
-    rows = conversations.where("conv_id is not null").select("conv_id", F.struct("turn", "role", "text").alias("t"))
-    grouped = rows.groupBy(F.shiftright("conv_id", 1).alias("_pair")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "t"))).alias("x"))
+def next_replies(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, reply) of conversations with a reply: the last one of the next conversation that has one, by id;
+    after the last conversation comes the first. By ranges of ids, which are ordered by themselves."""
+    spark = conversations.sparkSession
+    last = F.max(F.struct("turn", "text"))
+    mine = conversations.where(F.col("conv_id").isNotNull() & (F.col("role") == LEARNT)).groupBy("conv_id").agg(last.getField("text").alias("mine"))
+    folder = common.shared_folder(spark, "replies")
+    placed = common.kept(mine.repartitionByRange(common.partitions(spark), "conv_id").withColumn("part", F.spark_partition_id()), f"{folder}/placed")
+    # One row for each range.
+    heads = placed.groupBy("part").agg(F.min_by(F.struct("conv_id", "mine"), "conv_id").alias("head"))
+    order = W.orderBy("part")
+    heads = common.kept(heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("after")), f"{folder}/heads")
+    within = placed.withColumn("following", F.lead(F.struct("conv_id", "mine")).over(W.partitionBy("part").orderBy("conv_id")))
+    return within.join(F.broadcast(heads), "part").select("conv_id", F.coalesce("following", "after")["mine"].alias("reply"))
 
-    def side(odd: int) -> Column:
-        mine = F.filter("x", lambda y: F.pmod(y["conv_id"], F.lit(2)) == odd)
-        turns = F.transform(mine, lambda y: F.struct(y["t"]["role"].alias("role"), y["t"]["text"].alias("text")))
-        return common.let(mine, lambda m: F.struct(F.get(m, 0)["conv_id"].alias("conv_id"), turns.alias("turns")))
 
-    def with_reply(s: Column) -> Column:
-        last = F.array_max(F.transform(s["turns"], lambda t, i: F.when(t["role"].eqNullSafe(F.lit(LEARNT)), i + 1)))
-        return F.struct(s["conv_id"].alias("conv_id"), s["turns"].alias("turns"), last.alias("at"))
+def swapped_replies(conversations: DataFrame) -> DataFrame:
+    """Preference pairs (conv_id, chosen, rejected) of all conversations with a reply: in the rejected one the last reply
+    comes from the next conversation that has one, see next_replies().
 
-    sides = grouped.select(with_reply(side(0)).alias("a"), with_reply(side(1)).alias("b")).where("a.at is not null and b.at is not null")
-    each = sides.select(F.explode(F.array(F.struct(F.col("a").alias("mine"), F.col("b").alias("other")), F.struct(F.col("b").alias("mine"), F.col("a").alias("other")))).alias("p"))
-    shown = each.select("p.mine.conv_id", F.col("p.mine.turns").alias("turns"), F.col("p.mine.at").alias("at"), F.element_at("p.other.turns", F.col("p.other.at"))["text"].alias("reply"))
-    swapped = F.transform("turns", lambda t, i: F.when(i + 1 == F.col("at"), F.struct(t["role"].alias("role"), F.col("reply").alias("text"))).otherwise(t))
+    A table with one such conversation pairs it with itself. Turns are in the order of turn, role and text; repeated rows are
+    repeated turns; rows without an id go. Ids are of any type that has an order.
+    """
+    whole = conversations_to_turns(conversations).join(next_replies(conversations), "conv_id")
+    at = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"].eqNullSafe(F.lit(LEARNT)), i)))
+    shown = whole.withColumn("at", at)
+    swapped = F.transform("turns", lambda t, i: F.when(i == F.col("at"), F.struct(t["role"].alias("role"), F.col("reply").alias("text"))).otherwise(t))
     return shown.select("conv_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))
 
 
 def digest_rows(conversations: DataFrame) -> DataFrame:
+    """conv_id, n_prefix, prompt, and text and learnt spans of both completions, for every conversation with a reply; see swapped_replies()."""
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",")
     done = format_pairs(swapped_replies(conversations))
     return done.select("conv_id", "n_prefix", "prompt", "chosen_text", shown("chosen_spans").alias("chosen_learnt"), "rejected_text", shown("rejected_spans").alias("rejected_learnt"))

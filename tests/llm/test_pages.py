@@ -260,12 +260,28 @@ def test_swapped_replies_with_ties_and_repeats(spark):
     rows = [(-2, 0, "assistant", "m"), (-1, 0, "assistant", "n"), (4, 1, "assistant", "b"), (4, 1, "assistant", "a"), (4, 0, "user", "q"), (4, 0, "user", "q"), (5, None, "assistant", None), (5, 3, None, "t"), (7, 0, "assistant", "alone")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {x.conv_id: [tuple(t) for t in x.rejected] for x in preference.swapped_replies(c).collect()}
-    assert got == {-2: [("assistant", "n")], -1: [("assistant", "m")], 4: [("user", "q"), ("user", "q"), ("assistant", "a"), ("assistant", None)], 5: [("assistant", "b"), (None, "t")]}
+    assert got == {-2: [("assistant", "n")], -1: [("assistant", "b")], 4: [("user", "q"), ("user", "q"), ("assistant", "a"), ("assistant", None)], 5: [("assistant", "alone"), (None, "t")], 7: [("assistant", "m")]}
+    alone = {x.conv_id: [tuple(t) for t in x.rejected] for x in preference.swapped_replies(c.where("conv_id = 7")).collect()}
+    assert alone == {7: [("assistant", "alone")]}
+
+
+def test_all_conversations_with_a_reply_make_a_pair(spark):
+    r = random.Random(12)
+    rows = [(i, n, r.choice(["user", "assistant", None]), r.choice(["a", "b", None])) for i in r.sample(range(10**9), 300) for n in range(r.randint(1, 4))]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    last = {}
+    for i, n, role, text in sorted(rows, key=lambda x: x[:2]):
+        if role == "assistant":
+            last[i] = text
+    order = sorted(last)
+    want = {i: last[order[(k + 1) % len(order)]] for k, i in enumerate(order)}
+    assert {x.conv_id: x.reply for x in preference.next_replies(c).collect()} == want
+    assert {x.conv_id for x in preference.digest_rows(c).collect()} == set(want)
 
 
 def test_swapped_replies(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (1, 0, "user", "p"), (1, 1, "assistant", "a1"), (1, 2, "user", "thanks"), (2, 0, "user", "alone"), (3, 0, "assistant", "a3"), (None, 0, "assistant", "x")]
     c = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, chosen string")
     got = {r.conv_id: json.loads(r.x) for r in preference.swapped_replies(c).select("conv_id", F.to_json("rejected").alias("x")).collect()}
-    assert got == {0: [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a1"}], 1: [{"role": "user", "text": "p"}, {"role": "assistant", "text": "a0"}, {"role": "user", "text": "thanks"}]}
+    assert got == {0: [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a1"}], 1: [{"role": "user", "text": "p"}, {"role": "assistant", "text": "a3"}, {"role": "user", "text": "thanks"}], 3: [{"role": "assistant", "text": "a0"}]}
     assert preference.digest_rows(c.limit(0)).count() == 0
