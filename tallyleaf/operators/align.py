@@ -4,18 +4,17 @@ Level by level, outermost arrays first: rows of one array on both sides are pair
 values agree (then most addresses meet), and the index in the prediction's addresses becomes the
 partner's, or a label if there is none. An array that only one side has stays as it is.
 
-Three ways, by what the arrays hold. Scalars: equal values are matched by occurrence number, a plain
-join. Flat rows: weights by joins and aggregates, so that one huge array is spread over the cluster;
-only pairs that compete go to the solver. Rows with arrays inside: a group per array, priced from inside out.
+By what the arrays hold: of scalars, equal values are matched by occurrence number, a plain join. Rows,
+with or without arrays inside, are priced by joins and aggregates from the innermost arrays outwards
+(``pricing``), and the solver gets the edges of one array, or in large arrays those of one connected component
+(``large``). How many pairs a large array would make is known from counts before any is made; one with too
+many is crowded, and paired from its rare values.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Sequence
-from itertools import chain
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,9 +22,12 @@ from pyspark.sql import functions as F
 from tallyleaf.functions import addresses as A
 from tallyleaf.sources import tables
 
-from . import assignment
+from . import large, pricing
+from .pricing import is_ordered
 
 DOC = "doc_id"
+#: Rows of an array on both sides, multiplied, above which it is large; pairs above which a large one is crowded.
+LARGE, CROWDED = 1_000_000, 20_000_000
 
 
 def deepest(*leaves: DataFrame) -> int:
@@ -39,34 +41,25 @@ def at_level(leaves: DataFrame, level: int) -> DataFrame:
     return placed.select(DOC, F.slice("address", F.lit(1), F.col("_at") - 1).alias("array"), F.get("address", F.col("_at") - 1).alias("element"), F.slice("address", F.col("_at") + 1, F.size("address")).alias("rel"), "canon")
 
 
-def _ordered(node: Column, ordered: DataFrame | Sequence[Sequence[str]] | bool) -> Column:
-    """Whether an array, by node key, keeps its order."""
-    if isinstance(ordered, bool):
-        return F.lit(ordered)
-    return F.array_contains(F.lit([]).cast("array<array<string>>") if not ordered else F.array(*[F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in ordered]), node)
-
-
 def _inner_arrays(array: Column, rel: Column, ordered) -> Column:
     """Whether a leaf of a row lies in a further array that is to be paired."""
     prefixes = A.array_prefixes(rel)
     whole = lambda p: A.node_key(F.concat(array, F.array(F.lit(A.INDEX)), p))
     # Under an ordered array everything is compared by place.
-    first_ordered = F.exists(F.slice(prefixes, 1, 1), lambda p: _ordered(whole(p), ordered))
+    first_ordered = F.exists(F.slice(prefixes, 1, 1), lambda p: is_ordered(whole(p), ordered))
     return (F.size(prefixes) > 0) & ~first_ordered
 
 
 def _kinds(gold: DataFrame, pred: DataFrame, ordered) -> DataFrame:
-    """Arrays of both sides that are to be paired: doc_id, array, kind (scalar, flat or nested)."""
+    """Arrays of both sides that are to be paired: doc_id, array, kind (scalar, flat or nested), is_large."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         own = df.withColumn("_inner", _inner_arrays(F.col("array"), F.col("rel"), ordered))
-        return own.groupBy(DOC, "array").agg(F.max(F.size("rel") > 0).alias(f"{name}_rows"), F.max("_inner").alias(f"{name}_inner"))
-
-    both = side(gold, "g").join(side(pred, "p"), [DOC, "array"]).where(~_ordered(A.node_key(F.col("array")), ordered))
-    return both.select(DOC, "array", F.when(F.col("g_inner") | F.col("p_inner"), "nested").when(F.col("g_rows") | F.col("p_rows"), "flat").otherwise("scalar").alias("kind"))
+        return own.groupBy(DOC, "array").agg(F.max(F.size("rel") > 0).alias(f"{name}_rows"), F.max("_inner").alias(f"{name}_inner"), F.approx_count_distinct("element").alias(f"{name}_elements"))
 
-
-PAIR = f"{DOC} string, array array<string>, pred string, gold string, large int"
+    both = side(gold, "g").join(side(pred, "p"), [DOC, "array"]).where(~is_ordered(A.node_key(F.col("array")), ordered))
+    kind = F.when(F.col("g_inner") | F.col("p_inner"), "nested").when(F.col("g_rows") | F.col("p_rows"), "flat").otherwise("scalar")
+    return both.select(DOC, "array", kind.alias("kind"), (F.col("g_elements") * F.col("p_elements") > LARGE).alias("is_large"))
 
 
 def scalar_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -93,149 +86,59 @@ def weights(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return with_rows.select(DOC, "array", "pred", "gold", "matched", F.size(F.array_intersect("pred_rels", "gold_rels")).cast("long").alias("shared"), "pred_content", "gold_content")
 
 
-def pair_bounds(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """For arrays of flat rows of both sides the most pairs that can match anything: doc_id, array, pairs.
+def pair_bounds(gold: DataFrame, pred: DataFrame, flat: bool = True) -> DataFrame:
+    """For arrays of both sides the most pairs that can match anything: doc_id, array, pairs.
 
-    As many as equal values make, but no more than there are cells: known from counts alone, without a pair.
+    As many as equal values make, but of flat rows no more than there are cells: known from counts alone, without a pair.
     """
     items = lambda df, name: df.groupBy(DOC, "array", "rel", "canon").agg(F.count("*").alias(name))
     sizes = lambda df, name: df.groupBy(DOC, "array").agg(F.countDistinct("element").alias(name))
     met = items(gold, "g").join(items(pred, "p"), [DOC, "array", "rel", "canon"]).groupBy(DOC, "array").agg(F.sum(F.col("g") * F.col("p")).alias("met"))
     both = sizes(gold, "gold_rows").join(sizes(pred, "pred_rows"), [DOC, "array"]).join(met, [DOC, "array"], "left")
-    return both.select(DOC, "array", F.least(F.coalesce("met", F.lit(0)), F.col("gold_rows") * F.col("pred_rows")).alias("pairs"))
-
-
-def flat_pairs(weighted: DataFrame, scale: DataFrame) -> DataFrame:
-    """Best pairs: rows that have one partner each are paired at once, the others by the solver."""
-    w = weighted.join(scale, DOC).select(DOC, "array", "pred", "gold", "pred_content", "gold_content", (F.col("matched") * F.col("scale") + F.col("shared")).alias("weight"))
-    partners = w.withColumns({"_p": F.count("*").over(W.partitionBy(DOC, "array", "pred")), "_g": F.count("*").over(W.partitionBy(DOC, "array", "gold"))})
-    alone = partners.where("_p = 1 and _g = 1").select(DOC, "array", "pred", "gold", F.lit(None).cast("int").alias("large"))
-    competing = partners.where("_p > 1 or _g > 1").drop("_p", "_g")
-    return alone.union(competing.groupBy(DOC, "array").applyInArrow(_solve, _typed(weighted)))
-
-
-def _typed(df: DataFrame) -> str:
-    return PAIR.replace("string", df.schema[DOC].dataType.simpleString(), 1)
-
-
-def _solve(table: pa.Table) -> pa.Table:
-    """Pairs of one array from its weighted pairs. Rows are ordered by content, so the outcome doesn't depend on their order."""
-
-    def numbered(name: str) -> tuple[list[str], list[int]]:
-        """Elements in the order of content, and the place of each pair's element."""
-        coded = table[name].combine_chunks().dictionary_encode()
-        known, codes = coded.dictionary.to_pylist(), coded.indices.to_pylist()
-        content = dict(zip(codes, table[f"{name}_content"].to_pylist(), strict=True))
-        order = sorted(range(len(known)), key=lambda i: (content[i], known[i]))
-        place = {code: i for i, code in enumerate(order)}
-        return [known[i] for i in order], [place[c] for c in codes]
-
-    (left, p), (right, g) = numbered("pred"), numbered("gold")
-    pairs, inexact = assignment.assign(dict(zip(zip(p, g, strict=True), table["weight"].to_pylist(), strict=True)))
-    return _pair_table(table, left, right, pairs, inexact)
-
-
-def _pair_table(table: pa.Table, left: list, right: list, pairs: list[tuple[int, int]], inexact: list[int]) -> pa.Table:
-    doc, array = table[DOC][0].as_py(), table["array"][0].as_py()
-    n = len(pairs) + len(inexact)
-    # A row with a size and no pair says that a block was solved best-first.
-    return pa.table({DOC: pa.array([doc] * n, table.schema.field(DOC).type), "array": pa.array([array] * n, pa.list_(pa.string())), "pred": pa.array([left[p] for p, _ in pairs] + [None] * len(inexact), pa.string()), "gold": pa.array([right[g] for _, g in pairs] + [None] * len(inexact), pa.string()), "large": pa.array([None] * len(pairs) + inexact, pa.int32())})
-
-
-class _Row:
-    """An array element: its values by relative address, and the arrays inside it."""
-
-    def __init__(self):
-        self.named: dict[tuple[str, ...], str] = {}
-        self.inside: dict[tuple[str, ...], dict[str, _Row]] = defaultdict(dict)
-
-    def content(self):
-        if not hasattr(self, "_content"):
-            self._content = (sorted(self.named.items()), sorted((k, sorted(r.content() for r in rows.values())) for k, rows in self.inside.items()))
-        return self._content
-
-
-def _grown(rows: dict[str, _Row], element: str, rel: tuple[str, ...], canon: str, fixed, node: tuple[str, ...]) -> None:
-    row = rows.setdefault(element, _Row())
-    cut = next((i for i, s in enumerate(rel) if s[0] in "ij"), None)
-    if cut is None or fixed((*node, *rel[:cut])):
-        row.named[rel] = canon
-    else:
-        _grown(row.inside[rel[:cut]], rel[cut], rel[cut + 1 :], canon, fixed, (*node, *rel[:cut], A.INDEX))
-
-
-def _price(p: _Row, g: _Row, scale: int, inexact: list[int]) -> tuple[int, int]:
-    """(matched, shared) of two rows, with the best pairing of the arrays inside."""
-    common = p.named.keys() & g.named.keys()
-    matched, shared = sum(p.named[a] == g.named[a] for a in common), len(common)
-    for path in p.inside.keys() & g.inside.keys():
-        _, m, s = _best(p.inside[path], g.inside[path], scale, inexact)
-        matched, shared = matched + m, shared + s
-    return matched, shared
-
-
-def _said(row: _Row, above: tuple[str, ...] = ()) -> set:
-    """All values of a row, those of the arrays inside it without their places: rows that have none in common match nothing."""
-    out = {(above, rel, canon) for rel, canon in row.named.items()}
-    for path, rows in row.inside.items():
-        for r in rows.values():
-            out |= _said(r, (*above, *path, A.INDEX))
-    return out
-
-
-def _best(pred: dict[str, _Row], gold: dict[str, _Row], scale: int, inexact: list[int]) -> tuple[list[tuple[str, str]], int, int]:
-    """Pairs of elements, and what they match and share. Only pairs of rows with a value in common are priced."""
-    left, right = sorted(pred, key=lambda x: (pred[x].content(), x)), sorted(gold, key=lambda x: (gold[x].content(), x))
-    having = defaultdict(list)
-    for j, g in enumerate(right):
-        for v in _said(gold[g]):
-            having[v].append(j)
-    prices = {}
-    for i, p in enumerate(left):
-        row = pred[p]
-        common = Counter(chain.from_iterable(having[v] for v in _said(row) if v in having))
-        for j, n in common.items():
-            other = gold[right[j]]
-            # Without arrays inside, the values in common are those that match.
-            m, s = _price(row, other, scale, inexact) if row.inside and other.inside else (n, len(row.named.keys() & other.named.keys()))
-            if m:
-                prices[i, j] = (m, s)
-    pairs, large = assignment.assign({k: m * scale + s for k, (m, s) in prices.items()})
-    inexact += large
-    return [(left[i], right[j]) for i, j in pairs], sum(prices[k][0] for k in pairs), sum(prices[k][1] for k in pairs)
-
-
-def nested_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered) -> DataFrame:
-    """Best pairs of rows that have arrays inside; one group per array of one document."""
-    fixed = (lambda node: ordered) if isinstance(ordered, bool) else (lambda node, known=frozenset(map(tuple, ordered)): node in known)
-
-    def solve(table: pa.Table) -> pa.Table:
-        sides: dict[str, dict[str, _Row]] = {"gold": {}, "pred": {}}
-        node = tuple(s if s[0] == "k" else A.INDEX for s in table["array"][0].as_py())
-        for side, element, rel, canon in zip(*(table[c].to_pylist() for c in ("side", "element", "rel", "canon")), strict=True):
-            _grown(sides[side], element, tuple(rel), canon, fixed, (*node, A.INDEX))
-        inexact: list[int] = []
-        pairs, _, _ = _best(sides["pred"], sides["gold"], table["scale"][0].as_py(), inexact)
-        return _pair_table(table, [p for p, _ in pairs], [g for _, g in pairs], [(i, i) for i in range(len(pairs))], sorted(set(inexact)))
-
-    both = gold.withColumn("side", F.lit("gold")).union(pred.withColumn("side", F.lit("pred"))).join(scale, DOC)
-    return both.groupBy(DOC, "array").applyInArrow(solve, _typed(gold))
+    met_at_most = F.coalesce("met", F.lit(0))
+    return both.select(DOC, "array", (F.least(met_at_most, F.col("gold_rows") * F.col("pred_rows")) if flat else met_at_most).alias("pairs"))
+
+
+def _large_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, nested: bool, folder: str) -> DataFrame:
+    """Pairs of large arrays: crowded ones apart, as the numbers of pairs that they would make say."""
+    plain = lambda df: df.withColumn("rel", A.node_key(F.col("rel")))
+    found = pair_bounds(plain(gold), plain(pred), not nested).where(F.col("pairs") > CROWDED).select(DOC, "array")
+    found = tables.kept(found, f"{folder}/crowded")
+    if found.isEmpty():
+        edges, blocks = pricing.edges(gold, pred, scale, ordered, folder, nested)
+        return _with_blocks(large.matched(edges, folder), blocks)
+    of = lambda df, how: df.join(found, [DOC, "array"], how)
+    edges, blocks = pricing.edges(of(gold, "left_anti"), of(pred, "left_anti"), scale, ordered, folder, nested)
+    paired = large.crowded(of(plain(gold), "left_semi"), of(plain(pred), "left_semi"), scale, CROWDED, f"{folder}/few")
+    return _with_blocks(large.matched(edges, folder).union(paired), blocks)
+
+
+def _with_blocks(pairs: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """Pairs and, as rows without a pair, the sizes of blocks inside that weren't solved exactly."""
+    none = F.lit(None).cast("string")
+    for b in blocks:
+        pairs = pairs.union(b.select(DOC, F.lit(None).cast("array<string>").alias("array"), none.alias("pred"), none.alias("gold"), "large"))
+    return pairs
+
+
+def _small_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, nested: bool, folder: str) -> DataFrame:
+    edges, blocks = pricing.edges(gold, pred, scale, ordered, folder, nested)
+    return _with_blocks(pricing.groups_matched(edges, DOC, "block"), blocks)
 
 
 def level_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, folder: str) -> tuple[DataFrame | None, DataFrame]:
     """(pairs, arrays of both sides) of one level. Only the ways that some array needs are taken."""
-    kinds = tables.kept(_kinds(gold, pred, ordered), folder)
-    present = {r.kind for r in kinds.select("kind").distinct().collect()}
-    of = lambda df, kind: df if present == {kind} and ordered is False else df.join(kinds.where(F.col("kind") == kind).select(DOC, "array"), [DOC, "array"], "left_semi")
-    ways = {
-        "scalar": lambda g, p: scalar_pairs(g, p).withColumn("large", F.lit(None).cast("int")),
-        "flat": lambda g, p: flat_pairs(weights(g, p), scale),
-        "nested": lambda g, p: nested_pairs(g, p, scale, ordered),
-    }
-    found = [way(of(gold, kind), of(pred, kind)) for kind, way in ways.items() if kind in present]
-    pairs = found[0] if found else None
-    for more in found[1:]:
-        pairs = pairs.union(more)
+    kinds = tables.kept(_kinds(gold, pred, ordered), f"{folder}/kinds")
+    present = {(r.kind, r.is_large and r.kind != "scalar") for r in kinds.select("kind", "is_large").distinct().collect()}
+    pairs = None
+    for kind, is_large in sorted(present):
+        mine = kinds.where((F.col("kind") == kind) & (F.lit(kind == "scalar") | (F.col("is_large") == is_large))).select(DOC, "array")
+        g, p = ((df if len(present) == 1 and ordered is False else df.join(mine, [DOC, "array"], "left_semi")) for df in (gold, pred))
+        if kind == "scalar":
+            found = scalar_pairs(g, p).withColumn("large", F.lit(None).cast("int"))
+        else:
+            found = (_large_pairs if is_large else _small_pairs)(g, p, scale, ordered, kind == "nested", f"{folder}/{kind}-{'large' if is_large else 'small'}")
+        pairs = found if pairs is None else pairs.union(found)
     return pairs, kinds.select(DOC, "array")
 
 
@@ -253,10 +156,10 @@ def aligned(gold: DataFrame, pred: DataFrame, ordered: bool | Sequence[Sequence[
     folder = tables.work_folder(spark, "align")
     scale = pred.groupBy(DOC).agg((F.count("*") + 1).alias("scale"))
     for level in range(1, levels + 1):
-        pairs, both = level_pairs(at_level(gold, level), at_level(pred, level), scale, ordered, f"{folder}/kinds-{level}")
+        pairs, both = level_pairs(at_level(gold, level), at_level(pred, level), scale, ordered, f"{folder}/level-{level}")
         if pairs is None:
             continue
-        pairs = tables.kept(pairs, f"{folder}/pairs-{level}")
+        pairs = tables.kept(pairs, f"{folder}/level-{level}/pairs")
         blocks = blocks.union(pairs.where("large is not null").select(DOC, "large"))
         place = A.index_place(F.col("address"), level)
         placed = pred.withColumn("_at", place).withColumns({"array": F.when(F.col("_at").isNotNull(), F.slice("address", F.lit(1), F.col("_at") - 1)), "element": F.get("address", F.col("_at") - 1)})
@@ -265,5 +168,5 @@ def aligned(gold: DataFrame, pred: DataFrame, ordered: bool | Sequence[Sequence[
         label = F.concat(F.lit(A.LABEL + "p"), F.substring("element", 2, 1 << 30).try_cast("bigint").cast("string"))
         step = F.when(F.col("element").startswith(A.LABEL), F.col("element")).otherwise(F.coalesce("_to", label))
         renumbered = F.when(F.col("_both"), F.concat(F.col("array"), F.array(step), F.slice("address", F.col("_at") + 1, F.size("address")))).otherwise(F.col("address"))
-        pred = tables.kept(met.withColumn("address", renumbered).select(*pred.columns), f"{folder}/level-{level}")
+        pred = tables.kept(met.withColumn("address", renumbered).select(*pred.columns), f"{folder}/moved-{level}")
     return pred, blocks
