@@ -24,7 +24,7 @@ ARROW_BYTES, _DEFAULT_ARROW_BYTES = "16m", 64 << 20
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, and get texts in smaller batches unless the session sets a size."""
-    if str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "")).rstrip("bB") == str(_DEFAULT_ARROW_BYTES):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") == str(_DEFAULT_ARROW_BYTES):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
