@@ -6,15 +6,17 @@ A run's folder has ``run.json`` (its configuration), ``records``, ``scores``, ``
 from __future__ import annotations
 
 import argparse
+import difflib
 import json
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tallyleaf.operators import dialects, profile, schemas
 from tallyleaf.plans import grade, predict
-from tallyleaf.sources import manifest, runs
+from tallyleaf.sources import manifest, runs, tables
 
 
 def read_object(value: str, flag: str) -> str:
@@ -47,23 +49,33 @@ def _documents(spark: SparkSession, a: argparse.Namespace):
     return manifest.with_golds(docs, manifest.json_files(spark, f"{a.dataset}/{a.golds or CONFIG['golds']}", "gold"))
 
 
-CONFIG = {"system": None, "options": {}, "dataset": "dataset", "manifest": "manifest.parquet", "golds": "gold", "order": False}
+CONFIG = {"system": None, "options": {}, "dataset": "dataset", "manifest": "manifest.parquet", "golds": "gold", "order": False, "rows": {"limit": 0, "sample": 0, "only": []}, "timeout": int(predict.TIMEOUT), "workers": predict.WORKERS}
+
+
+def _paths(config: dict, above: str = "") -> list[str]:
+    """Dotted names of all that a configuration has."""
+    return [x for k, v in config.items() for x in (f"{above}{k}", *(_paths(v, f"{above}{k}.") if isinstance(v, dict) else []))]
 
 
 def configured(text: str, changes: list[str]) -> dict:
     """A configuration with changes such as dataset=x or options.dialect="strict"; values are JSON or plain texts."""
-    config = CONFIG | json.loads(text)
+    config = json.loads(json.dumps(CONFIG)) | json.loads(text)
     for change in changes:
         name, found, value = change.partition("=")
         at, *path = config, *name.split(".")
-        if not found or path[0] not in CONFIG:
-            raise ValueError(f"--set takes NAME=VALUE with one of {', '.join(CONFIG)}, not {change!r}")
+        known = _paths(CONFIG | {k: config[k] for k in ("options",)})
+        # A system's options are its own affair.
+        if not found or (name not in known and path[0] != "options"):
+            near = difflib.get_close_matches(name, known, 1, 0.0)
+            raise ValueError(f"--set takes NAME=VALUE with a name that the configuration has, not {change!r}; the nearest is {near[0]!r}")
         for step in path[:-1]:
             at = at.setdefault(step, {})
         try:
             at[path[-1]] = json.loads(value)
         except ValueError:
             at[path[-1]] = value
+    if unknown := set(config) - set(CONFIG):
+        raise ValueError(f"the configuration has an unknown {min(unknown)!r}; the nearest is {difflib.get_close_matches(min(unknown), list(CONFIG), 1, 0.0)[0]!r}")
     if not config["system"]:
         raise ValueError("the configuration names no system")
     return config
@@ -93,41 +105,51 @@ def _confirmed(a: argparse.Namespace, what: str) -> None:
         raise ValueError("nothing was done")
 
 
+def _wanted(spark: SparkSession, config: dict):
+    return runs.chosen(manifest.read(spark, config["dataset"], config["manifest"]), config["rows"])
+
+
 def _asked(spark: SparkSession, a: argparse.Namespace, config: dict, folder: str, retry_failed: bool) -> None:
     """Ask for what is missing, then grade everything."""
-    docs = manifest.read(spark, config["dataset"], config["manifest"])
-    done = predict.predict(docs, made := predict.system(config["system"], config["options"]), folder, retry_failed)
+    made = predict.system(config["system"], config["options"])
+    done = predict.predict(_wanted(spark, config), made, folder, retry_failed, config["workers"], config["timeout"])
     _graded(spark, config, folder, done, made.reader, False, not a.no_details)
 
 
 def _graded(spark: SparkSession, config: dict, folder: str, done, reader: str, partial: bool, details: bool) -> None:
-    docs = manifest.read(spark, config["dataset"], config["manifest"])
     golds = manifest.json_files(spark, f"{config['dataset']}/{config['golds']}", "gold")
-    graded = predict.grade_run(docs, golds, done, reader, folder, config["order"], partial, details)
-    show([r.asDict() for r in graded.summary.collect()])
+    _shown(predict.graded(predict.with_causes(_wanted(spark, config), golds, done, reader), folder, config["order"], partial, details))
+
+
+def _shown(graded) -> None:
+    show({k: v for k, v in json.loads(graded[1].select(F.to_json(F.struct("*"))).first()[0]).items() if v is not None})
+
+
+def _config_of(folder: str) -> str:
+    return f"{folder.rstrip('/')}/run.json"
 
 
-def _config_of(folder: str) -> Path:
-    return Path(folder.removeprefix("file://")) / "run.json"
+def _kept_config(spark: SparkSession, folder: str) -> dict:
+    return configured(tables.read_text(spark, _config_of(folder)), [])
 
 
 def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     config = configured(read_object(a.config, "--config"), a.set)
-    if _config_of(a.out).exists():
+    if tables.exists(spark, _config_of(a.out)):
         raise ValueError(f"{a.out} has a run; resume it")
-    _confirmed(a, f"Ask {config['system']} for the documents of {config['dataset']}?")
-    _config_of(a.out).parent.mkdir(parents=True, exist_ok=True)
-    _config_of(a.out).write_text(json.dumps(config, indent=2))
+    n = _wanted(spark, config).count()
+    _confirmed(a, f"Ask {config['system']} for {n} documents of {config['dataset']}?")
+    tables.write_text(spark, _config_of(a.out), json.dumps(config, indent=2))
     _asked(spark, a, config, a.out, False)
 
 
 def _resume(spark: SparkSession, a: argparse.Namespace) -> None:
-    _asked(spark, a, json.loads(_config_of(a.folder).read_text()), a.folder, a.retry_failed)
+    _asked(spark, a, _kept_config(spark, a.folder), a.folder, a.retry_failed)
 
 
 def _grade(spark: SparkSession, a: argparse.Namespace) -> None:
-    if a.dataset is None or _config_of(a.folder).exists():
-        config = json.loads(_config_of(a.folder).read_text()) | {k: v for k in ("dataset", "manifest", "golds") if (v := getattr(a, k)) is not None}
+    if a.dataset is None or tables.exists(spark, _config_of(a.folder)):
+        config = _kept_config(spark, a.folder) | {k: v for k in ("dataset", "manifest", "golds") if (v := getattr(a, k)) is not None}
         config["order"] = config["order"] if a.order_matters is None else _order(a.order_matters)
         done = predict.existing(spark, a.folder)
         if done is None:
@@ -135,12 +157,7 @@ def _grade(spark: SparkSession, a: argparse.Namespace) -> None:
         _graded(spark, config, a.folder, done, predict.system(config["system"], config["options"]).reader, a.partial, not a.no_details)
         return
     docs = manifest.with_predictions(_documents(spark, a), manifest.json_files(spark, f"{a.folder}/predictions", "pred"))
-    done = grade.grade(docs, _order(a.order_matters))
-    runs.write_scores(done.scores, a.folder)
-    if not a.no_details:
-        runs.write_details(done.verdicts, docs, a.folder)
-    runs.write_summary(done.summary, a.folder)
-    show([r.asDict() for r in done.summary.collect()])
+    _shown(predict.graded(docs, a.folder, _order(a.order_matters), a.partial, not a.no_details))
 
 
 def _check(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -43,10 +43,14 @@ def unified(scores: DataFrame) -> DataFrame:
     return by_suite.agg(F.count("*").alias("suites"), mean(F.col("accuracy")).alias("unified"))
 
 
-def coverage(lines: DataFrame, failure: str = "failure", unfinished: int = 0) -> DataFrame:
-    """Documents, answers, share answered, failures by cause (a null cause is an answer), and whether documents are unfinished."""
+def coverage(lines: DataFrame, failure: str = "failure", partial: bool = False) -> DataFrame:
+    """Documents, answers, share answered, failures by cause (a null cause is an answer), and, in a partial grading that
+    left documents unfinished (no_answer or not_scored), that it did and the first of their ids."""
     c = F.col(failure)
-    return lines.agg(F.count("*").alias("documents"), F.count_if(c.isNull()).alias("answered"), ratio(F.count_if(c.isNull()), F.count("*")).alias("coverage"), *[F.count_if(c == x).alias(x) for x in ("system", "unusable", "no_answer", "not_scored")], F.lit(unfinished > 0).alias("partial"))
+    left = c.isin("no_answer", "not_scored")
+    causes = [F.count_if(c == x).alias(x) for x in ("system", "unusable", "no_answer", "not_scored")]
+    some = [(F.count_if(left) > 0).alias("partial"), F.when(F.count_if(left) > 0, F.array(F.min(F.when(left, F.col("doc_id"))))).alias("examples")] if partial else [F.lit(False).alias("partial"), F.lit(None).cast("array<string>").alias("examples")]
+    return lines.agg(F.count("*").alias("documents"), F.count_if(c.isNull()).alias("answered"), ratio(F.count_if(c.isNull()), F.count("*")).alias("coverage"), *causes, *some)
 
 
 def total_cost(lines: DataFrame) -> DataFrame:

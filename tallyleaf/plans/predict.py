@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
+import uuid
 from collections.abc import Callable, Iterator
-from importlib.metadata import entry_points
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from importlib.metadata import entry_points
 from typing import Any, Protocol
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from tallyleaf.sources import manifest, runs, tables
 
 from . import grade
 
+#: Documents that a task asks for at a time, and seconds that one may take.
+WORKERS, TIMEOUT = 4, 1_800.0
 RECORD = "doc_id string, sent string, raw string, error_type string, error_status int, error_message string"
 
 
@@ -98,28 +104,95 @@ def job_payload(document: str, schema: dict, model: str, prompt: str = "", table
     return {"input": document, "instructions": wanted, "settings": how, "async": {"priority": False}, "parsing": {"enhance": {"agentic": [{"scope": "table", "mode": tables_by}]}}}
 
 
-def records(documents: DataFrame, system: Extractor) -> DataFrame:
+class Journal:
+    """Answers of one call, a file for each document, so that a task that is run again doesn't ask again."""
+
+    def __init__(self, folder: str):
+        self.system, self.root = fs.FileSystem.from_uri(folder)
+
+    def _at(self, doc_id: str) -> str:
+        name = hashlib.sha256(doc_id.encode()).hexdigest()
+        return f"{self.root}/{name[:2]}/{name}.json"
+
+    def read(self, doc_id: str) -> dict | None:
+        try:
+            with self.system.open_input_stream(self._at(doc_id)) as f:
+                return json.loads(f.read())
+        except FileNotFoundError:
+            return None
+
+    def write(self, row: dict) -> None:
+        """Under another name first: a file that is there is whole."""
+        path = self._at(row["doc_id"])
+        self.system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        made = f"{path}.{uuid.uuid4().hex}"
+        with self.system.open_output_stream(made) as f:
+            f.write(json.dumps(row).encode())
+        self.system.move(made, path)
+
+
+def _asked(system: Extractor, r: dict, timeout: float | None) -> dict:
+    """The record of one document. What is no failure of the system is raised."""
+    row = dict.fromkeys(("sent", "raw", "error_type", "error_status", "error_message")) | {"doc_id": r["doc_id"]}
+    try:
+        sent = question(r["schema"], system.dialect)
+        row["sent"] = json.dumps(sent, ensure_ascii=False)
+        row["raw"] = json.dumps(_within(timeout, system.extract, r["doc_path"], sent), ensure_ascii=False)
+    except (SystemFailed, TimeoutError, ConnectionError) as e:
+        failed = e if isinstance(e, SystemFailed) else unreachable("the system", e)
+        row |= {"error_type": failed.kind, "error_status": failed.status, "error_message": str(failed)}
+    return row
+
+
+def _within(seconds: float | None, call: Callable, *given: Any) -> Any:
+    """The call's outcome, or TimeoutError; a call that is too late is left to itself, in a thread that doesn't hold up the worker's end."""
+    if not seconds:
+        return call(*given)
+    out: list[tuple[bool, Any]] = []
+
+    def run() -> None:
+        try:
+            out.append((True, call(*given)))
+        except BaseException as e:  # noqa: BLE001
+            out.append((False, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not out:
+        raise TimeoutError(f"no answer within {seconds:g} seconds")
+    fine, found = out[0]
+    if not fine:
+        raise found
+    return found
+
+
+def records(documents: DataFrame, system: Extractor, journal: str | None = None, workers: int = WORKERS, timeout: float | None = TIMEOUT) -> DataFrame:
     """One record per document (doc_id, doc_path, schema): what was sent, the raw answer, or the error.
 
     The schema is sent with its conventions stated, in the system's dialect; one that the dialect can't
-    express fails the document for good.
+    express fails the document for good. A task asks for ``workers`` documents at a time, each of which may take
+    ``timeout`` seconds (none: any time). Every answer goes to the journal's folder at once; what is there
+    isn't asked again, whether a task is run anew or a run that stopped.
     """
     tables.ready(documents.sparkSession)
+    fields = pa.schema([(n, pa.int32() if n == "error_status" else pa.string()) for n in ("doc_id", "sent", "raw", "error_type", "error_status", "error_message")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                row = dict.fromkeys(("sent", "raw", "error_type", "error_status", "error_message")) | {"doc_id": r["doc_id"]}
-                try:
-                    sent = question(r["schema"], system.dialect)
-                    row["sent"] = json.dumps(sent, ensure_ascii=False)
-                    row["raw"] = json.dumps(system.extract(r["doc_path"], sent), ensure_ascii=False)
-                except (SystemFailed, TimeoutError, ConnectionError) as e:
-                    failed = e if isinstance(e, SystemFailed) else unreachable("the system", e)
-                    row |= {"error_type": failed.kind, "error_status": failed.status, "error_message": str(failed)}
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, pa.schema([(n, pa.int32() if n == "error_status" else pa.string()) for n in ("doc_id", "sent", "raw", "error_type", "error_status", "error_message")]))
+        kept = Journal(journal) if journal else None
+
+        def one(r: dict) -> dict:
+            row = kept.read(r["doc_id"]) if kept else None
+            if row is None:
+                row = _asked(system, r, timeout)
+                if kept:
+                    kept.write(row)
+            return row
+
+        with ThreadPoolExecutor(max(1, workers)) as pool:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 16 * max(1, workers)):
+                    yield pa.RecordBatch.from_pylist(list(pool.map(one, batch.slice(low, 16 * max(1, workers)).to_pylist())), fields)
 
     return _finished(documents.select("doc_id", "doc_path", "schema").mapInArrow(run, RECORD))
 
@@ -138,15 +211,18 @@ def _finished(made: DataFrame) -> DataFrame:
     return made.select("doc_id", "sent", "raw", F.when(F.col("error_type").isNotNull(), error).alias("error"), answers.cost(F.col("raw")).alias("cost"))
 
 
-def predict(documents: DataFrame, system: Extractor, folder: str, retry_failed: bool = False) -> DataFrame:
+def predict(documents: DataFrame, system: Extractor, folder: str, retry_failed: bool = False, workers: int = WORKERS, timeout: float | None = TIMEOUT) -> DataFrame:
     """Ask for documents that have no record in the folder (or a failure that may pass), and return all records, the newest of each.
 
-    Every call adds one directory, named by its number, so a run that stopped goes on where it was.
+    Every call adds one directory, named by its number, so a run that stopped goes on where it was; answers
+    of a call that never came to its end are in its journal, and count.
     """
     spark = documents.sparkSession
     old = existing(spark, folder)
     todo = documents if old is None else runs.pending(documents, old, retry_failed)
-    runs.add_call(records(todo, system), f"{folder}/records", old)
+    journal = f"{folder}/journal/call-{runs.next_call(old)}"
+    runs.add_call(records(todo, system, journal, workers, timeout), f"{folder}/records", old)
+    tables.dropped(spark, journal)
     return existing(spark, folder)
 
 
@@ -160,18 +236,34 @@ def predictions(done: DataFrame, reader: str) -> DataFrame:
     return done.select("doc_id", answers.extraction(F.col("raw"), reader)["extraction"].alias("pred"))
 
 
-def grade_run(documents: DataFrame, golds: DataFrame, done: DataFrame, reader: str, folder: str, order=False, partial: bool = False, details: bool = True) -> grade.Graded:
-    """Score all documents of a run and write scores, details, summary and coverage. A run that isn't finished is refused unless partial."""
-    missing = documents.join(done.select("doc_id"), "doc_id", "left_anti").count()
-    if missing and not partial:
-        raise ValueError(f"{missing} documents have no record yet")
-    asked = documents if not missing else documents.join(done.select("doc_id"), "doc_id", "left_semi")
-    docs = manifest.with_predictions(manifest.with_golds(asked, golds), predictions(done, reader))
-    graded = grade.grade(docs, order)
-    runs.write_scores(graded.scores, folder)
+def unfinished(docs: DataFrame, partial: bool) -> None:
+    """Refuse documents without an answer (failure no_answer), unless the grading is partial."""
+    told = docs.where("failure = 'no_answer'").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).first()
+    if told.n and not partial:
+        raise ValueError(f"it isn't finished: {told.n} documents have no answer, such as {told.first}; --partial grades them as failed")
+
+
+def with_causes(documents: DataFrame, golds: DataFrame, done: DataFrame, reader: str) -> DataFrame:
+    """Documents with gold, pred and failure: no_answer (no record), system (an error), unusable (no JSON object), or null."""
+    docs = manifest.with_predictions(manifest.with_golds(documents, golds), predictions(done, reader))
+    asked = done.select("doc_id", F.col("error").isNotNull().alias("_failed"))
+    cause = F.when(F.col("_failed").isNull(), "no_answer").when(F.col("_failed"), "system").when(F.col("failure").isNotNull(), "unusable")
+    return docs.join(asked, "doc_id", "left").withColumn("failure", cause).drop("_failed")
+
+
+def graded(docs: DataFrame, folder: str, order=False, partial: bool = False, details: bool = True) -> tuple[grade.Graded, DataFrame]:
+    """Score documents with gold, pred and failure, and write scores, details, summary and coverage. Failed documents count with 0."""
+    unfinished(docs, partial)
+    done = grade.grade(docs, order)
+    covered = summaries.coverage(docs, partial=partial)
+    runs.write_scores(done.scores, folder)
     if details:
-        runs.write_details(graded.verdicts, docs, folder)
-    runs.write_summary(graded.summary, folder)
-    causes = docs.join(done.select("doc_id", F.col("error").isNotNull().alias("_failed")), "doc_id").withColumn("failure", F.when(F.col("_failed"), "system").otherwise(F.col("failure")))
-    summaries.coverage(causes, unfinished=missing).coalesce(1).write.mode("overwrite").json(f"{folder}/coverage")
-    return graded
+        runs.write_details(done.verdicts, docs, folder)
+    runs.write_summary(done.summary, folder, covered)
+    covered.coalesce(1).write.mode("overwrite").json(f"{folder}/coverage")
+    return done, runs.summary_object(done.summary, covered)
+
+
+def grade_run(documents: DataFrame, golds: DataFrame, done: DataFrame, reader: str, folder: str, order=False, partial: bool = False, details: bool = True) -> grade.Graded:
+    """Score all documents of a run. One that isn't finished is refused unless partial: then documents without a record have failed."""
+    return graded(with_causes(documents, golds, done, reader), folder, order, partial, details)[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NEEDED = ("doc_id", "suite", "doc_path", "gt_path", "schema")
@@ -45,8 +46,18 @@ def checked(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("suite", default_suite(F.col("suite")))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of Parquet files with ``ordinal``, their number from 0 without gaps, by file and place in it: from counts per file, without a sort."""
+    placed = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "ordinal"], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    # One row for each file.
+    files = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_file")) - F.col("_n")
+    return placed.join(F.broadcast(files.select("_file", before.alias("_before"))), "_file").withColumn("ordinal", F.col("_before") + F.col("_place")).drop("_file", "_place", "_before")
+
+
 def read(spark: SparkSession, dataset: str, name: str = "manifest.parquet") -> DataFrame:
-    return checked(spark.read.parquet(f"{dataset.rstrip('/')}/{name}"))
+    """A dataset's manifest, checked, with the place of every document in it."""
+    return checked(numbered(spark.read.parquet(f"{dataset.rstrip('/')}/{name}")))
 
 
 def json_files(spark: SparkSession, folder: str, column: str) -> DataFrame:

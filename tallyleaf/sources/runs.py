@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyleaf.functions.addresses import show
 
+from . import tables
+
 #: Most files that the details of one suite are dealt to.
 DETAIL_FILES = 64
 
@@ -28,30 +30,38 @@ def write_details(verdicts: DataFrame, docs: DataFrame, folder: str) -> None:
     placed.sortWithinPartitions("of_suite", "doc_id", "address").write.mode("overwrite").partitionBy("of_suite").json(f"{folder}/details")
 
 
-def exists(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def newest(spark, path: str) -> DataFrame | None:
-    """Of a folder with one directory for each call, the newest row of each document; None if there is none yet."""
-    if not exists(spark, path):
+    """Of a folder with one directory for each call, the newest row of each document; None if no call has come to its end yet."""
+    calls = tables.committed(spark, f"{path}/call=*")
+    if not calls:
         return None
-    rows = spark.read.option("mergeSchema", True).parquet(path)
+    rows = spark.read.option("mergeSchema", True).option("basePath", path).parquet(*calls)
     return rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "call").alias("r")).select("doc_id", "r.*")
 
 
+def next_call(before: DataFrame | None) -> int:
+    """The number of the next call of such a folder, from its newest rows."""
+    return 0 if before is None else before.agg(F.max("call")).first()[0] + 1
+
+
 def add_call(df: DataFrame, path: str, before: DataFrame | None) -> None:
     """Write rows as the next call of such a folder."""
-    number = 0 if before is None else before.agg(F.max("call")).first()[0] + 1
+    number = next_call(before)
     df.write.mode("overwrite").parquet(f"{path}/call={number}")
 
 
-def write_summary(summary: DataFrame, folder: str) -> None:
-    """One object: means overall, and by suite."""
+def summary_object(summary: DataFrame, covered: DataFrame) -> DataFrame:
+    """One row: documents, headline and what it is, failures by cause, coverage, means overall and by suite, and, if documents are unfinished, how many and which."""
     means = F.struct(*[c for c in summary.columns if c not in ("grain", "suite")])
     one = summary.agg(F.max(F.when(F.col("grain") == "overall", means)).alias("overall"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("grain") == "suite", F.struct(F.col("suite"), means))))).alias("suites"))
-    one.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+    left = F.struct("no_answer", "not_scored", F.col("examples").alias("e.g."))
+    about = [F.col("overall.rows").alias("rows"), F.col("overall.accuracy").alias("headline"), F.lit("accuracy").alias("headline_is"), F.struct("system", "unusable", "no_answer", "not_scored").alias("failed"), "coverage", F.when(F.col("partial"), left).alias("partial")]
+    return one.crossJoin(covered).select(*about, "overall", "suites")
+
+
+def write_summary(summary: DataFrame, folder: str, covered: DataFrame) -> None:
+    """That object as a file of JSON."""
+    summary_object(summary, covered).coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -95,6 +105,22 @@ def sampled(manifest: DataFrame, n: int, by: str = "ordinal") -> DataFrame:
     return manifest.where(F.floor((at + 1) * n / rows) > F.floor(at * n / rows)) if n > 0 else manifest.limit(0)
 
 
+def chosen(manifest: DataFrame, rows: dict) -> DataFrame:
+    """The documents that a run asks for: all, or those of one of limit (the first n; 0: all), sample (n evenly spaced) and only (ids)."""
+    given = {k: v for k, v in rows.items() if v not in (None, 0, [])}
+    if unknown := set(given) - {"limit", "sample", "only"}:
+        raise ValueError(f"rows has no {min(unknown)!r}: it takes limit, sample or only")
+    if len(given) > 1:
+        raise ValueError(f"rows takes one of {' and '.join(sorted(given))}")
+    for way, value in given.items():
+        if way == "only":
+            return only(manifest, [value] if isinstance(value, str) else list(value))
+        if not isinstance(value, int) or isinstance(value, bool) or value < 0:
+            raise ValueError(f"rows.{way} is a number of documents, not {value!r}")
+        return first_rows(manifest, value) if way == "limit" else sampled(manifest, value)
+    return manifest
+
+
 def only(manifest: DataFrame, ids: list[str]) -> DataFrame:
     """Documents with the ids; unknown ids are an error."""
     found = manifest.where(F.col("doc_id").isin(ids))

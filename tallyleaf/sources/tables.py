@@ -46,3 +46,48 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it again, which cuts its lineage."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Without check sums beside local files, which people may edit.
+    checked = spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.ChecksumFileSystem").isInstance(system)
+    return where, system.getRawFileSystem() if checked else system
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system its path names."""
+    where, system = _located(spark, path)
+    return system.exists(where)
+
+
+def committed(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a pattern and that Spark has written to the end."""
+    where, system = _located(spark, f"{pattern}/_SUCCESS")
+    return sorted(f.getPath().getParent().toString() for f in system.globStatus(where) or ())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    where, system = _located(spark, path)
+    stream = system.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file, and its folder if there is none."""
+    where, system = _located(spark, path)
+    stream = system.create(where, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    where, system = _located(spark, path)
+    system.delete(where, True)

@@ -49,7 +49,7 @@ def test_folder_to_run_files(spark, tmp_path):
     out = str(tmp_path / "run")
     runs.write_scores(done.scores, out)
     runs.write_details(done.verdicts, docs, out)
-    runs.write_summary(done.summary, out)
+    runs.write_summary(done.summary, out, summaries.coverage(docs))
     assert spark.read.json(f"{out}/scores").where("row.suite = 'first'").count() == 1
     assert spark.read.json(f"{out}/details").where("document = 'd1'").first().result == "unfound"
     one = json.loads(spark.read.text(f"{out}/summary").first().value)
@@ -74,6 +74,16 @@ def test_profiles(spark, tmp_path):
         manifest.write_new(m, path, (f"file://{path}",))
 
 
+def test_manifests_are_numbered_in_their_order(spark, tmp_path):
+    path = str(tmp_path / "m.parquet")
+    rows(spark, *[{"doc_id": f"d{i:03d}"} for i in range(200)]).coalesce(1).sortWithinPartitions("doc_id").write.option("parquet.block.size", 2_000).parquet(path)
+    rows(spark, *[{"doc_id": f"e{i:03d}"} for i in range(70)]).repartition(4).write.mode("append").parquet(path)
+    got = manifest.read(spark, str(tmp_path), "m.parquet").select("doc_id", "ordinal").collect()
+    assert sorted(r.ordinal for r in got) == list(range(270))
+    at = {r.doc_id: r.ordinal for r in got}
+    assert [at[f"d{i:03d}"] - at["d000"] for i in range(200)] == list(range(200))
+
+
 def test_samples_and_checks(spark):
     m = spark.range(10).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.col("id").alias("ordinal"))
     assert sorted(r.doc_id for r in runs.sampled(m, 3).collect()) == ["d3", "d6", "d9"]
