@@ -109,14 +109,15 @@ class Scorer(Protocol):
     def summarize(self, lines: DataFrame) -> DataFrame: ...
 
 
-def grade_with(docs: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
+def grade_with(docs: DataFrame, scorer: Scorer, partial: bool = False) -> tuple[DataFrame, DataFrame]:
     """(lines, summary) of docs (doc_id, suite, gold, pred) by another scorer; a null prediction is a failure.
 
-    Documents are scored where they are, in Arrow batches, without a shuffle.
+    Documents are scored where they are, in Arrow batches, without a shuffle. An error of the scorer stops the grading; in
+    a partial one the document counts as a failure, and lines have a column ``failure`` that says not_scored.
     """
     tables.ready(docs.sparkSession)
     rows = docs.select(DOC, "suite", "gold", "pred")
-    lines = f"{DOC} {rows.schema[DOC].dataType.simpleString()}, suite string, {scorer.fields}"
+    lines = f"{DOC} {rows.schema[DOC].dataType.simpleString()}, suite string, {scorer.fields}" + ", failure string" * partial
     kinds = docs.sparkSession.createDataFrame([], lines).toArrow().schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +125,15 @@ def grade_with(docs: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
             out = []
             for r in batch.to_pylist():
                 gold = json.loads(r["gold"])
-                found = scorer.score_failure(gold) if r["pred"] is None else scorer.score(json.loads(r["pred"]), gold)
-                out.append({DOC: r[DOC], "suite": r["suite"]} | found)
+                cause = "no_answer" if r["pred"] is None else None
+                try:
+                    found = scorer.score(json.loads(r["pred"]), gold) if cause is None else None
+                except Exception:
+                    if not partial:
+                        raise
+                    found, cause = None, "not_scored"
+                found = scorer.score_failure(gold) if found is None else found
+                out.append({DOC: r[DOC], "suite": r["suite"]} | found | ({"failure": cause} if partial else {}))
             yield pa.RecordBatch.from_pylist(out, kinds)
 
     scored = rows.mapInArrow(run, lines)

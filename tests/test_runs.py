@@ -142,5 +142,16 @@ def test_own_scorer_and_fields(spark):
     docs = graded_documents(spark, ('{"a":"x"}', '{"a":"q"}'), ('{"a":"y","b":1}', '{"b":2}'), ('{"a":"z"}', None))
     lines, summary = grade.grade_with(docs, KeysFound())
     assert {r.doc_id: r.keys_found for r in lines.collect()} == {"d0": 1.0, "d1": 0.5, "d2": 0.0} and summary.first().keys_found == 0.5
+
+    class Broken(KeysFound):
+        def score(self, pred, gold):
+            return {"keys_found": 1 / (len(gold) - 1)}
+
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        grade.grade_with(docs, Broken())[0].collect()
+    part = grade.grade_with(docs, Broken(), partial=True)[0]
+    assert {r.doc_id: (r.keys_found, r.failure) for r in part.collect()} == {"d0": (0.0, "not_scored"), "d1": (1.0, None), "d2": (0.0, "no_answer")}
+    told = summaries.coverage(part, partial=True).first()
+    assert (told.answered, told.not_scored, told.no_answer, told.partial, told.examples) == (1, 1, 1, True, ["d0"])
     more = grade.with_fields(grade.grade(docs, levels=0).scores, docs.withColumn("mine", F.lit(7)), "mine")
     assert {r.mine for r in more.collect()} == {7}
