@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """Documents on as many tasks as there are cores: what is flattened in Python may come from one small file."""
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+def dealt(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows on as many tasks as there are cores: what is flattened in Python may come from one small file. Best before documents are built from them."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def every(key: str, n: int) -> Column:
@@ -56,7 +56,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat document per customer, suite: the nation. By key: every 3rd prediction spells money and name in another
     way, every 5th lacks the segment, every 7th has another balance, every 11th has a phone that the schema offers and
     every 13th a note that it doesn't."""
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = dealt(table(spark, sf_dir, "customer"), "c_custkey").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     k = "c_custkey"
     balance = F.when(every(k, 7), F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
     gold = document(name=F.col("c_name"), balance=money(F.col("c_acctbal")), segment=F.col("c_mktsegment"), nation_key=F.col("c_nationkey"))
@@ -68,7 +68,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         phone=F.when(every(k, 11), F.lit("555-0100")),
         note=F.when(every(k, 13), F.lit("see reverse")),
     )
-    return dealt(c.select(F.col(k).cast("string").alias("doc_id"), F.col("n_name").alias("suite"), gold.alias("gold"), pred.alias("pred"), schema(CUSTOMER).alias("schema")))
+    return c.select(F.col(k).cast("string").alias("doc_id"), F.col("n_name").alias("suite"), gold.alias("gold"), pred.alias("pred"), schema(CUSTOMER).alias("schema"))
 
 
 def lines_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def lines_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("quantity"), money(F.col("l_extendedprice")).alias("price"), F.col("l_returnflag").alias("flag"), "l_linenumber", "l_suppkey")
     w = W.partitionBy("o")
-    return li.withColumns({"i": F.row_number().over(w.orderBy("part", "quantity", "price", "flag", "l_linenumber", "l_suppkey")) - 1, "n": F.count("*").over(w)})
+    return dealt(li, "o").withColumns({"i": F.row_number().over(w.orderBy("part", "quantity", "price", "flag", "l_linenumber", "l_suppkey")) - 1, "n": F.count("*").over(w)})
 
 
 def orders(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame:
@@ -94,11 +94,12 @@ def orders(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame:
     read = F.struct(*[v.alias(k) for k, v in {**own, "part": F.col("part"), "quantity": F.when(F.col("part") % 5 == 0, F.col("quantity") + 1000).otherwise(F.col("quantity")), "price": F.concat(F.lit("$"), F.format_number(F.col("price"), 2)), "flag": F.lower("flag")}.items()])
     made = li.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("g"), F.array_sort(F.collect_list(F.when(~(every("o", 4) & (F.col("i") == F.col("n") - 1)), F.struct((-F.col("i")).alias("i"), read.alias("line"))))).alias("p"))
     extra = F.struct(*[v.alias(k) for k, v in {**({"tag": F.lit("invented")} if tagged else {}), "part": F.lit(-1).cast("bigint"), "quantity": F.lit(-1), "price": F.lit("$0.07"), "flag": F.lit("zz")}.items()])
-    o = table(spark, sf_dir, "orders").join(made, F.col("o_orderkey") == F.col("o"))
+    # Both sides are dealt by order already: the join moves nothing.
+    o = dealt(table(spark, sf_dir, "orders"), "o_orderkey").join(made, F.col("o_orderkey") == F.col("o"))
     golds = F.transform("g", lambda x: x["line"])
     preds = F.transform("p", lambda x: x["line"])
     preds = F.when(every("o", 6), F.array_append(preds, extra)).otherwise(preds)
     spec = dict(ORDER, lines={"type": "array", "items": {"type": "object", "properties": {**({"tag": TEXT} if tagged else {}), **LINE}}})
     gold = document(order=F.col("o"), status=F.col("o_orderstatus"), total=money(F.col("o_totalprice")), date=F.date_format("o_orderdate", "yyyy-MM-dd"), lines=golds)
     pred = document(order=F.col("o"), status=F.col("o_orderstatus"), total=dollars(F.col("o_totalprice")), date=F.date_format("o_orderdate", "MM/dd/yyyy"), lines=preds)
-    return dealt(o.select(F.col("o").cast("string").alias("doc_id"), F.col("o_orderpriority").alias("suite"), gold.alias("gold"), pred.alias("pred"), schema(spec).alias("schema")))
+    return o.select(F.col("o").cast("string").alias("doc_id"), F.col("o_orderpriority").alias("suite"), gold.alias("gold"), pred.alias("pred"), schema(spec).alias("schema"))
