@@ -167,10 +167,13 @@ def test_predictions_against_brute_force(spark):
     assert got == sorted((str(i), lang, round(score, 4), unsure) for (i, *_), (lang, score, unsure) in zip(rows, want, strict=True))
 
 
-def test_dirty_labels_do_not_fill_the_model(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+def test_dirty_labels_are_languages_too(spark, monkeypatch):
+    """None is left out, whether counts are held or stay a table."""
     rows = [("the and", x) for x in ["a"] * 4 + ["b"] * 3 + ["c"] * 2 + ["d", "e", "f"] + ["c2"] * 2]
-    assert language_id.fit(spark.createDataFrame(rows, "text string, lang string")).languages == ["a", "b", "c"]
+    for few in (500, 3):
+        monkeypatch.setattr(language_id, "FEW", few)
+        model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+        assert model.languages == ["a", "b", "c", "c2", "d", "e", "f"] and (model.codes.dtype == np.uint8) == (few == 3)
 
 
 def test_a_wrong_bit_is_corrected_and_a_tie_is_flagged():
