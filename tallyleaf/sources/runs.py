@@ -11,6 +11,8 @@ from . import tables
 
 #: Most files that the details of one suite are dealt to.
 DETAIL_FILES = 64
+#: Calls after which a snapshot of the newest rows is written.
+COMPACTED = 16
 
 
 def score_lines(scores: DataFrame) -> DataFrame:
@@ -30,15 +32,47 @@ def write_details(verdicts: DataFrame, docs: DataFrame, folder: str) -> None:
     placed.sortWithinPartitions("of_suite", "doc_id", "address").write.mode("overwrite").partitionBy("of_suite").json(f"{folder}/details")
 
 
-def newest(spark, path: str) -> DataFrame | None:
-    """Of a folder with one directory for each call, the newest row of each document; None if no call has come to its end yet."""
-    calls = tables.committed(spark, f"{path}/call=*")
-    if not calls:
+def _number(path: str) -> int:
+    return int(path.rsplit("=", 1)[1])
+
+
+def _parts(spark, path: str, below: int | None) -> tuple[str | None, list[str]]:
+    """Of a folder of calls: the newest snapshot, and the calls after it; only those below a number, if one is given."""
+    fits = lambda found: sorted((p for p in found if below is None or _number(p) < below), key=_number)
+    snapshot = next(reversed(fits(tables.committed(spark, f"{path}/snapshot=*"))), None)
+    calls = fits(tables.committed(spark, f"{path}/call=*"))
+    return snapshot, [c for c in calls if snapshot is None or _number(c) > _number(snapshot)]
+
+
+def newest(spark, path: str, below: int | None = None) -> DataFrame | None:
+    """Of a folder with one directory for each call, the newest row of each document; None if no call has come to its end yet.
+
+    Reads the newest snapshot and what was called after it. ``below`` leaves out calls from that number on.
+    """
+    snapshot, calls = _parts(spark, path, below)
+    if snapshot is None and not calls:
         return None
-    rows = spark.read.option("mergeSchema", True).option("basePath", path).parquet(*calls)
+    rows = None if snapshot is None else spark.read.parquet(snapshot)
+    if calls:
+        tails = spark.read.option("mergeSchema", True).option("basePath", path).parquet(*calls)
+        rows = tails if rows is None else rows.unionByName(tails, allowMissingColumns=True)
     return rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "call").alias("r")).select("doc_id", "r.*")
 
 
+def compact(spark, path: str, below: int | None = None, calls: int = COMPACTED) -> None:
+    """Write the newest rows as a snapshot if so many calls came after the last one. Calls stay; a snapshot that isn't finished doesn't count."""
+    _, found = _parts(spark, path, below)
+    if len(found) >= calls:
+        number = _number(found[-1])
+        newest(spark, path, number + 1).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+
+
+def last_call(spark, path: str, below: int | None = None) -> DataFrame | None:
+    """The rows of the last call alone."""
+    calls = _parts(spark, path, below)[1]
+    return spark.read.parquet(calls[-1]) if calls else None
+
+
 def next_call(before: DataFrame | None) -> int:
     """The number of the next call of such a folder, from its newest rows."""
     return 0 if before is None else before.agg(F.max("call")).first()[0] + 1
@@ -48,6 +82,7 @@ def add_call(df: DataFrame, path: str, before: DataFrame | None) -> None:
     """Write rows as the next call of such a folder."""
     number = next_call(before)
     df.write.mode("overwrite").parquet(f"{path}/call={number}")
+    compact(df.sparkSession, path)
 
 
 def summary_object(summary: DataFrame, covered: DataFrame) -> DataFrame:

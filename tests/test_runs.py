@@ -103,7 +103,37 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([(name, '{"a":"x"}')], "doc_id string, pred string").write.mode("append").parquet(source)
         stream = spark.readStream.schema("doc_id string, pred string").parquet(source)
         grading.grade_stream(stream, docs, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert {r.doc_id: r.accuracy for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"d": 1.0, "e": 0.0}
+    assert {r.doc_id: r.accuracy for r in grading.scores(spark, str(tmp_path / "out")).collect()} == {"d": 1.0, "e": 0.0}
+
+
+def test_the_last_answer_of_a_document_counts_once(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    docs = spark.createDataFrame([(f"d{i}", "st"[i % 2], '{"a":"x"}', SCHEMA) for i in range(6)], "doc_id string, suite string, gold string, schema string")
+    assert grading.summary(spark, out) is None is grading.scores(spark, out)
+    batches = [[("d0", "x", 1), ("d0", "y", 2), ("d1", "x", 1)], [("d0", "x", 3), ("d2", "y", 1), ("d2", "x", 0)], [("d3", None, 1), ("d1", "y", 9)], [("d9", "x", 1), ("d2", "x", 1)]]
+    for rows in batches:
+        spark.createDataFrame([(d, None if v is None else json.dumps({"a": v}), at) for d, v, at in rows], "doc_id string, pred string, at int").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id string, pred string, at int").parquet(source)
+        grading.grade_stream(stream, docs, out, str(tmp_path / "state"), by="at").awaitTermination()
+    found = grading.scores(spark, out)
+    assert {r.doc_id: r.accuracy for r in found.collect()} == {"d0": 1.0, "d1": 0.0, "d2": 1.0, "d3": 0.0}
+    shown = lambda df: [(r.grain, r.suite, r.rows, round(r.accuracy, 9), round(r.unfound_rate, 9), round(r.misread_rate, 9)) for r in df.collect()]
+    assert shown(grading.summary(spark, out)) == shown(summaries.summary(found)) and len(shown(grading.summary(spark, out))) == 3
+
+
+def test_history_is_read_from_a_snapshot(spark, tmp_path):
+    path = f"file://{tmp_path}/records"
+    for n in range(9):
+        rows = [(f"d{n % 4}", n), (f"only{n}", n)]
+        before = runs.newest(spark, path)
+        spark.createDataFrame(rows, "doc_id string, v int").coalesce(1).write.parquet(f"{path}/call={runs.next_call(before)}")
+        runs.compact(spark, path, calls=4)
+        (tmp_path / f"records/call={n + 100}").mkdir()  # never came to its end
+    snapshot, calls = runs._parts(spark, path, None)
+    assert snapshot.endswith("snapshot=7") and [c[-6:] for c in calls] == ["call=8"]
+    got = {r.doc_id: (r.v, r.call) for r in runs.newest(spark, path).collect()}
+    assert got == {f"d{k}": (max(n for n in range(9) if n % 4 == k),) * 2 for k in range(4)} | {f"only{n}": (n, n) for n in range(9)}
+    assert {r.v for r in runs.newest(spark, path, 3).collect()} == {0, 1, 2} and runs.last_call(spark, path, 8) is None and runs.last_call(spark, path).count() == 2
 
 
 def graded_documents(spark, *changes):
