@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -19,8 +19,8 @@ from . import schemas
 ENVELOPE_KEYS = frozenset({"citations", "citation", "confidence", "score", "reasoning", "evidence", "provenance", "source", "sources", "page", "pages", "bbox", "span", "spans", "offset", "offsets", "extraction_status", "status", "meta"})
 SIDECARS = ("_citations", "_meta")
 
-LEAF = "array<struct<address:array<string>,raw:string,canon:string,offered:boolean>>"
-_LEAF = pa.list_(pa.struct([("address", pa.list_(pa.string())), ("raw", pa.string()), ("canon", pa.string()), ("offered", pa.bool_())]))
+#: Leaves in a batch that leaves a task.
+LEAVES = 20_000
 _PATHS = pa.list_(pa.list_(pa.string()))
 #: What may be left out of a document without a difference.
 ABSENT: dict[str, Callable[[Any], bool]] = {"default": values.states_nothing, "never": lambda v: False, "null_only": lambda v: v is None}
@@ -51,23 +51,21 @@ def prepared(text: str | None, side: str) -> Any:
     return node
 
 
-def walk(node: Any, schema: Any, absent: Callable[[Any], bool]) -> tuple[list[tuple[Address, Any]], list[Address]]:
-    """Leaves in document order, and places of open maps, which are passed over."""
-    leaves, skipped = [], []
+def walked(node: Any, schema: Any, absent: Callable[[Any], bool]) -> Iterator[tuple[Address, Any, bool]]:
+    """(address, value, whether it is an open map, which is passed over) in document order."""
     todo: list[tuple[Any, Any, Address]] = [(node, schema, ())]
     while todo:
         value, raw, at = todo.pop()
         spec = schemas.chosen(raw)
         if schemas.is_open_map(spec):
-            skipped.append(at)
+            yield at, value, True
         elif isinstance(value, dict) and value:
             names = spec.get("properties") or {}
             todo += [(v, names.get(k), (*at, key_step(k))) for k, v in reversed(value.items())]
         elif isinstance(value, list) and value:
             todo += [(v, spec.get("items"), (*at, index_step(i))) for i, v in reversed(list(enumerate(value)))]
         elif at and not absent(value):
-            leaves.append((at, value))
-    return leaves, skipped
+            yield at, value, False
 
 
 def document_arrays(node: Any) -> set[Address]:
@@ -87,35 +85,77 @@ def _blank(address: Address) -> Address:
     return tuple(s if s[0] == "k" else INDEX for s in address)
 
 
-def flattened(document: Column, schema: Column, side: str, absent: str | Callable[[Any], bool] = "default", wanted: tuple[str, ...] = ("leaves", "skipped", "arrays")) -> Column:
-    """Struct (leaves, skipped, arrays) of JSON texts under schema texts; parts that aren't wanted are empty.
+def flattened(document: Column, schema: Column, side: str, wanted: tuple[str, ...] = ("skipped", "arrays")) -> Column:
+    """Struct (skipped, arrays) of JSON texts under schema texts: open maps met, and node keys of all arrays; parts that
+    aren't wanted are empty. Of equal keys in an object the last one counts. A null schema constrains nothing."""
 
-    ``absent`` says which values get no address: "default", "never", "null_only" or a function. Of equal
-    keys in an object the last one counts. A null schema constrains nothing and offers nothing.
-    """
-    judge = ABSENT[absent] if isinstance(absent, str) else absent
-
-    @F.arrow_udf(f"leaves {LEAF}, skipped array<array<string>>, arrays array<array<string>>")
+    @F.arrow_udf("skipped array<array<string>>, arrays array<array<string>>")
     def run(texts: pa.Array, specs: pa.Array) -> pa.Array:
-
-        leaves_of, skipped_of, arrays_of = [], [], []
+        skipped_of, arrays_of = [], []
         for text, spec_text in zip(texts.to_pylist(), specs.to_pylist(), strict=True):
-            spec, slots, _ = schemas.parsed(spec_text) if spec_text is not None else ({}, frozenset(), ())
-            node = prepared(text, side)
-            leaves, skipped = walk(node, spec, judge)
-            leaves_of.append([{"address": a, "raw": json.dumps(v, ensure_ascii=False), "canon": values.quick_key(v), "offered": (a in slots) or _blank(a) in slots} for a, v in leaves] if "leaves" in wanted else [])
-            skipped_of.append(skipped if "skipped" in wanted else [])
+            maps = "skipped" in wanted and spec_text is not None and schemas.may_skip(spec_text)
+            # Most schemas have no open map: then the document needn't be read for them.
+            node = prepared(text, side) if maps or "arrays" in wanted else None
+            skipped_of.append([at for at, _, is_map in walked(node, schemas.parsed(spec_text)[0], ABSENT["never"]) if is_map] if maps else [])
             arrays_of.append(sorted(document_arrays(node)) if "arrays" in wanted else [])
-        return pa.StructArray.from_arrays([pa.array(leaves_of, _LEAF), pa.array(skipped_of, _PATHS), pa.array(arrays_of, _PATHS)], names=["leaves", "skipped", "arrays"])
+        return pa.StructArray.from_arrays([pa.array(skipped_of, _PATHS), pa.array(arrays_of, _PATHS)], names=["skipped", "arrays"])
 
     return run(document, schema)
 
 
-def leaves(docs: DataFrame, document: str, schema: str | None, side: str, absent="default", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows (keys, address, raw, canon, offered), one per leaf; documents without any give none."""
+class _Leaves:
+    """Leaves of the documents of one batch, as columns."""
+
+    def __init__(self):
+        self.rows: list[int] = []
+        self.steps: list[str] = []
+        self.ends = [0]
+        self.raw: list[str] = []
+        self.canon: list[str | None] = []
+        self.offered: list[bool] = []
+
+    def add(self, row: int, at: Address, value: Any, offered: bool) -> None:
+        self.rows.append(row)
+        self.steps += at
+        self.ends.append(len(self.steps))
+        self.raw.append(json.dumps(value, ensure_ascii=False))
+        self.canon.append(values.quick_key(value))
+        self.offered.append(offered)
+
+    def batch(self, of: pa.RecordBatch, keys: tuple[str, ...]) -> pa.RecordBatch:
+        at = pa.array(self.rows, pa.int32())
+        addresses = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.steps, pa.string()))
+        return pa.RecordBatch.from_arrays([*(of[k].take(at) for k in keys), addresses, pa.array(self.raw, pa.string()), pa.array(self.canon, pa.string()), pa.array(self.offered, pa.bool_())], names=[*keys, "address", "raw", "canon", "offered"])
+
+
+def leaves(docs: DataFrame, document: str, schema: str | None, side: str, absent: str | Callable[[Any], bool] = "default", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Rows (keys, address, raw, canon, offered), one per leaf; documents without any give none.
+
+    Each document is parsed once, and its leaves leave the task LEAVES at a time. ``absent`` says which values get no
+    address: "default", "never", "null_only" or a function. Of equal keys in an object the last one counts. A null
+    schema constrains nothing and offers nothing.
+    """
+    judge = ABSENT[absent] if isinstance(absent, str) else absent
     spec = F.lit(None).cast("string") if schema is None else F.col(schema)
-    found = docs.select(*keys, flattened(F.col(document), spec, side, absent, ("leaves",)).alias("f"))
-    return found.select(*keys, F.explode("f.leaves").alias("l")).select(*keys, "l.address", "l.raw", "l.canon", "l.offered")
+    rows = docs.select(*keys, F.col(document).alias("_document"), spec.alias("_schema"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _Leaves()
+            for i, (text, spec_text) in enumerate(zip(batch["_document"].to_pylist(), batch["_schema"].to_pylist(), strict=True)):
+                spec, slots, _ = schemas.parsed(spec_text) if spec_text is not None else ({}, frozenset(), ())
+                for at, value, is_map in walked(prepared(text, side), spec, judge):
+                    if is_map:
+                        continue
+                    found.add(i, at, value, at in slots or _blank(at) in slots)
+                    if len(found.rows) >= LEAVES:
+                        yield found.batch(batch, keys)
+                        found = _Leaves()
+            if found.rows:
+                yield found.batch(batch, keys)
+
+    return rows.mapInArrow(run, f"{kinds}, address array<string>, raw string, canon string, offered boolean")
 
 
 def skipped(docs: DataFrame, sides: dict[str, str], schema: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
