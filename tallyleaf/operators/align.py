@@ -105,10 +105,10 @@ def _large_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, ne
     found = pair_bounds(plain(gold), plain(pred), not nested).where(F.col("pairs") > CROWDED).select(DOC, "array")
     found = tables.kept(found, f"{folder}/crowded")
     if found.isEmpty():
-        edges, blocks = pricing.edges(gold, pred, scale, ordered, folder, nested)
+        edges, blocks = pricing.edges(gold, pred, ordered, folder, nested)
         return _with_blocks(large.matched(edges, folder), blocks)
     of = lambda df, how: df.join(found, [DOC, "array"], how)
-    edges, blocks = pricing.edges(of(gold, "left_anti"), of(pred, "left_anti"), scale, ordered, folder, nested)
+    edges, blocks = pricing.edges(of(gold, "left_anti"), of(pred, "left_anti"), ordered, folder, nested)
     paired = large.crowded(of(plain(gold), "left_semi"), of(plain(pred), "left_semi"), scale, CROWDED, f"{folder}/few")
     return _with_blocks(large.matched(edges, folder).union(paired), blocks)
 
@@ -122,8 +122,8 @@ def _with_blocks(pairs: DataFrame, blocks: list[DataFrame]) -> DataFrame:
 
 
 def _small_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, nested: bool, folder: str) -> DataFrame:
-    edges, blocks = pricing.edges(gold, pred, scale, ordered, folder, nested)
-    return _with_blocks(pricing.groups_matched(edges, DOC, "block"), blocks)
+    edges, blocks = pricing.edges(gold, pred, ordered, folder, nested, not nested)
+    return _with_blocks(pricing.groups_matched(edges, *pricing.PLACE, dealt=not nested), blocks)
 
 
 def level_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, folder: str) -> tuple[DataFrame | None, DataFrame]:
@@ -159,7 +159,8 @@ def aligned(gold: DataFrame, pred: DataFrame, ordered: bool | Sequence[Sequence[
         pairs, both = level_pairs(at_level(gold, level), at_level(pred, level), scale, ordered, f"{folder}/level-{level}")
         if pairs is None:
             continue
-        pairs = tables.kept(pairs, f"{folder}/level-{level}/pairs")
+        with pricing.co_located(spark):
+            pairs = tables.kept(pairs, f"{folder}/level-{level}/pairs")
         blocks = blocks.union(pairs.where("large is not null").select(DOC, "large"))
         place = A.index_place(F.col("address"), level)
         placed = pred.withColumn("_at", place).withColumns({"array": F.when(F.col("_at").isNotNull(), F.slice("address", F.lit(1), F.col("_at") - 1)), "element": F.get("address", F.col("_at") - 1)})

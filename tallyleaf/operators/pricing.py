@@ -4,16 +4,20 @@ A row of an array is known by a hash of its place. For every level of arrays ins
 rows with an equal value are made by a join and counted by an aggregate; the arrays of one pair of
 outer rows are matched, and what their matching is worth goes into the price of that pair, by another
 aggregate. Only the matching itself runs in Python, group by group of sorted batches.
+
+All joins and aggregates have the document and a hash of the array among their keys: leaves that are dealt by these
+two once (flat rows of small arrays) are moved by none of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import addresses as A
@@ -22,6 +26,8 @@ from tallyleaf.sources import tables
 from . import assignment
 
 DOC = "doc_id"
+#: Where a leaf lies, in all keys.
+PLACE = (DOC, "block")
 
 
 def is_ordered(node: Column, ordered: DataFrame | Sequence[Sequence[str]] | bool) -> Column:
@@ -44,7 +50,7 @@ def placed(leaves: DataFrame, ordered) -> DataFrame:
     levels = F.transform(F.sequence(F.lit(0), F.col("depth")), lambda k: F.struct(F.xxhash64("array", "element", step(k)).alias("row"), F.xxhash64("array", A.node_key(step(k))).alias("slot")))
     rest = F.slice("rel", end(F.col("depth")) + 1, F.size("rel"))
     hashed = found.withColumns({"levels": levels, "_rest": rest})
-    return hashed.select(DOC, "array", "element", "depth", "levels", F.xxhash64("array", F.element_at("levels", -1)["slot"], F.size("_rest"), "_rest", "canon").alias("value"), F.xxhash64("_rest").alias("rel_hash"), F.xxhash64("_rest", "canon").alias("content"))
+    return hashed.select(DOC, F.xxhash64("array").alias("block"), "array", "element", "depth", "levels", F.xxhash64("array", F.element_at("levels", -1)["slot"], F.size("_rest"), "_rest", "canon").alias("value"), F.xxhash64("_rest").alias("rel_hash"), F.xxhash64("_rest", "canon").alias("content"))
 
 
 def _part(hash_: Column) -> Column:
@@ -53,36 +59,38 @@ def _part(hash_: Column) -> Column:
 
 
 def rows_at(leaves: DataFrame, k: int, deeper: DataFrame | None) -> DataFrame:
-    """Rows of level k of placed leaves: doc_id, row, slot, up (the row around it), rels, content; array and element of outermost rows."""
+    """Rows of level k of placed leaves: doc_id, block, row, slot, up (the row around it), rels, content; array and element of outermost rows."""
     at = F.get("levels", F.lit(k))
     own = F.col("depth") == k
-    found = leaves.where(F.col("depth") >= k).groupBy(DOC, at["row"].alias("row")).agg(
+    found = leaves.where(F.col("depth") >= k).groupBy(*PLACE, at["row"].alias("row")).agg(
         F.first(at["slot"]).alias("slot"),
-        F.first(F.get("levels", F.lit(k - 1))["row"] if k else F.xxhash64("array")).alias("up"),
+        F.first(F.get("levels", F.lit(k - 1))["row"] if k else F.col("block")).alias("up"),
         F.collect_set(F.when(own, F.col("rel_hash"))).alias("rels"),
         F.sum(F.when(own, _part(F.col("content"))).otherwise(0)).alias("content"),
         *([] if k else [F.first("array").alias("array"), F.first("element").alias("element")]),
     )
     if deeper is None:
         return found
-    inside = deeper.groupBy(DOC, F.col("up").alias("row")).agg(F.sum(_part(F.xxhash64("slot", "content"))).alias("inside"))
-    return found.join(inside, [DOC, "row"], "left").withColumn("content", F.xxhash64("content", F.coalesce("inside", F.lit(0)))).drop("inside")
+    inside = deeper.groupBy(*PLACE, F.col("up").alias("row")).agg(F.sum(_part(F.xxhash64("slot", "content"))).alias("inside"))
+    return found.join(inside, [*PLACE, "row"], "left").withColumn("content", F.xxhash64("content", F.coalesce("inside", F.lit(0)))).drop("inside")
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select(DOC, *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c not in (DOC, "slot")], *(["slot"] if name == "gold" else []))
+    return rows.select(*PLACE, *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c not in (*PLACE, "slot")], *(["slot"] if name == "gold" else []))
 
 
-def priced(pred: DataFrame, gold: DataFrame, k: int, pred_rows: DataFrame, gold_rows: DataFrame, inner: DataFrame | None, scale: DataFrame) -> DataFrame:
+def priced(pred: DataFrame, gold: DataFrame, k: int, pred_rows: DataFrame, gold_rows: DataFrame, inner: DataFrame | None) -> DataFrame:
     """Pairs of rows of level k with an equal value in or below them, with matched, shared and weight, and what rows_at says of both."""
-    values = lambda df, name: df.where(F.col("depth") == k).select(DOC, "value", F.get("levels", F.lit(k))["row"].alias(name))
-    met = values(pred, "pred_row").join(values(gold, "gold_row"), [DOC, "value"]).groupBy(DOC, "pred_row", "gold_row").agg(F.count("*").alias("matched"))
+    values = lambda df, name: df.where(F.col("depth") == k).select(*PLACE, "value", F.get("levels", F.lit(k))["row"].alias(name))
+    met = values(pred, "pred_row").join(values(gold, "gold_row"), [*PLACE, "value"]).groupBy(*PLACE, "pred_row", "gold_row").agg(F.count("*").alias("matched"))
     if inner is not None:
-        both = met.withColumn("shared", F.lit(0).cast("bigint")).union(inner.select(DOC, "pred_row", "gold_row", "matched", "shared"))
-        met = both.groupBy(DOC, "pred_row", "gold_row").agg(F.sum("matched").alias("matched"), F.sum("shared").alias("shared"))
-    joined = met.join(_side(pred_rows, "pred"), [DOC, "pred_row"]).join(_side(gold_rows, "gold"), [DOC, "gold_row"])
+        both = met.withColumn("shared", F.lit(0).cast("bigint")).union(inner.select(*PLACE, "pred_row", "gold_row", "matched", "shared"))
+        met = both.groupBy(*PLACE, "pred_row", "gold_row").agg(F.sum("matched").alias("matched"), F.sum("shared").alias("shared"))
+    joined = met.join(_side(pred_rows, "pred"), [*PLACE, "pred_row"]).join(_side(gold_rows, "gold"), [*PLACE, "gold_row"])
     shared = F.size(F.array_intersect("pred_rels", "gold_rels")).cast("bigint") + (F.col("shared") if inner is not None else 0)
-    return joined.withColumn("shared", shared).join(scale, DOC).withColumn("weight", F.col("matched") * F.col("scale") + F.col("shared")).drop("pred_rels", "gold_rels", "scale")
+    # One more than all leaves of the array that can be shared: what matches counts first.
+    scale = pred.groupBy(*PLACE).agg((F.count("*") + 1).alias("scale"))
+    return joined.withColumn("shared", shared).join(scale, list(PLACE)).withColumn("weight", F.col("matched") * F.col("scale") + F.col("shared")).drop("pred_rels", "gold_rels", "scale")
 
 
 def _changes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
@@ -138,14 +146,26 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [batch[c].to_numpy() for c in ("pred_row", "gold_row", "weight", "pred_content", "gold_content")]
 
 
+@contextmanager
+def co_located(spark: SparkSession):
+    """While a table is written: joins take sides that are dealt by some of their keys alike as they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _tasks(df: DataFrame) -> int:
     """Tasks that groups are dealt to: a set number, as matching is more work than its bytes say."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def inside_matched(prices: DataFrame) -> DataFrame:
-    """What the arrays inside pairs of outer rows are worth: doc_id, pred_row, gold_row (the outer ones), matched, shared, large."""
-    keys = (DOC, "pred_up", "gold_up", "slot")
+    """What the arrays inside pairs of outer rows are worth: doc_id, block, pred_row, gold_row (the outer ones), matched, shared, large."""
+    keys = (*PLACE, "pred_up", "gold_up", "slot")
     kind = prices.schema[DOC].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,15 +180,17 @@ def inside_matched(prices: DataFrame) -> DataFrame:
                     total[i] = batch[c].to_numpy()[low:high][made].sum()
                 large[i] = max(inexact, default=None)
             heads = batch.take(pa.array(starts))
-            yield pa.RecordBatch.from_arrays([heads[DOC], heads["pred_up"], heads["gold_up"], pa.array(sums[0]), pa.array(sums[1]), pa.array(large, pa.int32())], names=[DOC, "pred_row", "gold_row", "matched", "shared", "large"])
+            yield pa.RecordBatch.from_arrays([heads[DOC], heads["block"], heads["pred_up"], heads["gold_up"], pa.array(sums[0]), pa.array(sums[1]), pa.array(large, pa.int32())], names=[*PLACE, "pred_row", "gold_row", "matched", "shared", "large"])
 
     wanted = prices.select(*keys, "pred_row", "gold_row", "pred_content", "gold_content", "matched", "shared", "weight")
-    return wanted.repartition(_tasks(wanted), *keys).sortWithinPartitions(*keys).mapInArrow(run, f"{DOC} {kind}, pred_row long, gold_row long, matched long, shared long, large int")
+    return wanted.repartition(_tasks(wanted), *keys).sortWithinPartitions(*keys).mapInArrow(run, f"{DOC} {kind}, block long, pred_row long, gold_row long, matched long, shared long, large int")
 
 
-def groups_matched(edges: DataFrame, *keys: str) -> DataFrame:
+def groups_matched(edges: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
     """Pairs (doc_id, array, pred, gold, large) of outermost rows, from their edges; each group of keys is matched by itself.
 
+    ``dealt`` says that each group is in one partition already.
+
     A row with ``large`` and no pair says that a component of that size wasn't solved exactly.
     """
     kind = edges.schema[DOC].dataType.simpleString()
@@ -189,12 +211,18 @@ def groups_matched(edges: DataFrame, *keys: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*told.columns, *[pa.nulls(len(large), pa.string())] * 2, pa.array([n for _, n in large], pa.int32())], names=names)
 
     wanted = edges.select(DOC, "array", "pred", "gold", *[k for k in keys if k != DOC], "pred_row", "gold_row", "pred_content", "gold_content", "weight")
-    return wanted.repartition(_tasks(wanted), *keys).sortWithinPartitions(*keys).mapInArrow(run, f"{DOC} {kind}, array array<string>, pred string, gold string, large int")
+    placed_ = wanted if dealt else wanted.repartition(_tasks(wanted), *keys)
+    return placed_.sortWithinPartitions(*keys).mapInArrow(run, f"{DOC} {kind}, array array<string>, pred string, gold string, large int")
+
 
+def edges(gold: DataFrame, pred: DataFrame, ordered, folder: str, nested: bool, dealt: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges of outermost rows, blocks inside that weren't solved exactly): doc_id, array, pred, gold, rows, contents, matched, shared, weight.
 
-def edges(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, folder: str, nested: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """(edges of outermost rows, blocks inside that weren't solved exactly): doc_id, array, pred, gold, rows, contents, matched, shared, weight."""
+    ``dealt``: leaves of flat rows are dealt by array first, once.
+    """
     g, p = placed(gold, ordered), placed(pred, ordered)
+    if dealt:
+        g, p = (df.repartition(_tasks(df), *PLACE) for df in (g, p))
     depth, blocks = 0, []
     if nested:
         g, p = tables.kept(g, f"{folder}/gold"), tables.kept(p, f"{folder}/pred")
@@ -208,9 +236,9 @@ def edges(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, folder: s
             rows = [tables.kept(df, f"{folder}/{name}-rows-{k}") for df, name in zip(rows, ("pred", "gold"), strict=True)]
         below.append(rows)
     for k in range(depth, -1, -1):
-        found = priced(p, g, k, *below[depth - k], inner, scale)
+        found = priced(p, g, k, *below[depth - k], inner)
         if k:
             inner = tables.kept(inside_matched(found), f"{folder}/inside-{k}")
             blocks.append(inner.where("large is not null").select(DOC, "large"))
-    named = found.select(DOC, F.col("gold_array").alias("array"), F.col("gold_up").alias("block"), F.col("pred_element").alias("pred"), F.col("gold_element").alias("gold"), "pred_row", "gold_row", "pred_content", "gold_content", "matched", "shared", "weight")
+    named = found.select(DOC, "block", F.col("gold_array").alias("array"), F.col("pred_element").alias("pred"), F.col("gold_element").alias("gold"), "pred_row", "gold_row", "pred_content", "gold_content", "matched", "shared", "weight")
     return named, blocks

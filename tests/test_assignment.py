@@ -78,8 +78,7 @@ def test_nested_rows_against_all_pairs(spark, tmp_path):
     r = random.Random(9)
     docs = {f"d{n}": [[random_row(r, 2) for _ in range(r.randint(1, 4))] for _ in range(2)] for n in range(80)}
     sides = [spark.createDataFrame([(d, ["kx"], f"i{i:010d}", list(rel), v) for d, both in docs.items() for i, x in enumerate(both[k]) for rel, v in leaves_of(x)], LEAF) for k in (0, 1)]
-    scale = spark.createDataFrame([(d, 1000) for d in docs], "doc_id string, scale long")
-    edges, _ = pricing.edges(sides[1], sides[0], scale, False, f"file://{tmp_path}", True)
+    edges, _ = pricing.edges(sides[1], sides[0], False, f"file://{tmp_path}", True)
     edges.write.parquet(f"file://{tmp_path}/edges")
     edges = spark.read.parquet(f"file://{tmp_path}/edges")
     for way in (pricing.groups_matched(edges, "doc_id", "block"), large.matched(edges, f"file://{tmp_path}/large")):
@@ -92,11 +91,23 @@ def test_ordered_arrays_inside_rows_keep_their_order(spark, tmp_path):
     leaf = lambda rel, v: ("d", ["kx"], "i0000000000", rel, v)
     i = "i000000000"
     sides = [spark.createDataFrame([leaf(["ko", f"{i}{a}", "ku", f"{i}0"], "x"), leaf(["ku", f"{i}{a}"], "y"), leaf(["kv"], "z")], LEAF) for a in (0, 1)]
-    scale = spark.createDataFrame([("d", 1000)], "doc_id string, scale long")
-    got = pricing.edges(*sides, scale, [["kx", "i", "ko"]], f"file://{tmp_path}", True)[0].first()
+    got = pricing.edges(*sides, [["kx", "i", "ko"]], f"file://{tmp_path}", True)[0].first()
     assert (got.matched, got.shared) == (2, 2)
 
 
+def test_leaves_of_small_arrays_move_once(spark, tmp_path):
+    """Pricing and matching flat rows has one exchange for each side's leaves, and joins and aggregates none."""
+    rows = [("d", ["kx"], f"i{i:010d}", ["ka"], str(i)) for i in range(9)]
+    side = spark.createDataFrame(rows, LEAF)
+    edges, _ = pricing.edges(side, side, False, f"file://{tmp_path}", False, True)
+    plan = pricing.groups_matched(edges, *pricing.PLACE, dealt=True)
+    with pricing.co_located(spark):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in text.splitlines() if "Exchange" in x and "Reused" not in x]
+    assert moved and all("hashpartitioning(doc_id" in x and ", REPARTITION_BY_NUM" in x or "Broadcast" in x for x in moved), text
+    assert plan.where("pred = gold").count() == 9
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 100])
 def test_groups_are_whole_in_any_batches(size):
     rows = [(d, k) for d in "abc" for k in range(3) for _ in range(1 + k * 2)]
