@@ -36,9 +36,9 @@ def deepest(*leaves: DataFrame) -> int:
 
 
 def at_level(leaves: DataFrame, level: int) -> DataFrame:
-    """Leaves inside arrays of that level: doc_id, array, element, rel, canon."""
+    """Leaves inside arrays of that level: doc_id, array, element, rel, and canon if they have it."""
     placed = leaves.withColumn("_at", A.index_place(F.col("address"), level)).where("_at is not null")
-    return placed.select(DOC, F.slice("address", F.lit(1), F.col("_at") - 1).alias("array"), F.get("address", F.col("_at") - 1).alias("element"), F.slice("address", F.col("_at") + 1, F.size("address")).alias("rel"), "canon")
+    return placed.select(DOC, F.slice("address", F.lit(1), F.col("_at") - 1).alias("array"), F.get("address", F.col("_at") - 1).alias("element"), F.slice("address", F.col("_at") + 1, F.size("address")).alias("rel"), *[c for c in ("canon",) if c in leaves.columns])
 
 
 def _inner_arrays(array: Column, rel: Column, ordered) -> Column:

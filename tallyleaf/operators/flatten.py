@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from json.encoder import encode_basestring
 from typing import Any
 
 import pyarrow as pa
@@ -45,9 +47,15 @@ def without_sidecars(node: Any) -> Any:
 
 def prepared(text: str | None, side: str) -> Any:
     """A document as it is compared. A prediction that is missing or isn't an object answers nothing."""
-    node = unwrapped(json.loads(text)) if text is not None else {}
+    node = json.loads(text) if text is not None else {}
+    # Keys are in the text as they are, but for escapes: without the word no object has one.
+    may_have = lambda key_end: key_end in text or "\\" in text
+    if node and may_have('value"'):
+        node = unwrapped(node)
     if side == "pred":
-        return without_sidecars(node) if isinstance(node, dict) else {}
+        if not isinstance(node, dict):
+            return {}
+        return without_sidecars(node) if node and any(may_have(f'{ending}"') for ending in SIDECARS) else node
     return node
 
 
@@ -103,59 +111,135 @@ def flattened(document: Column, schema: Column, side: str, wanted: tuple[str, ..
     return run(document, schema)
 
 
+class _Place:
+    """A place in documents of one schema: what the schema says of it, and the places below that were met."""
+
+    __slots__ = ("address", "spec", "is_map", "offered", "slots", "below")
+    #: Places that a worker remembers.
+    MOST, held = 200_000, 0
+
+    def __init__(self, address: Address, raw: Any, slots: frozenset[Address]):
+        self.address, self.spec, self.slots, self.below = address, schemas.chosen(raw), slots, {}
+        self.is_map = schemas.is_open_map(self.spec)
+        self.offered = address in slots or _blank(address) in slots
+
+    def at(self, key: str | int) -> _Place:
+        """The place of an object's key or an array's index."""
+        if isinstance(key, str):
+            found = _Place((*self.address, key_step(key)), (self.spec.get("properties") or {}).get(key), self.slots)
+        else:
+            found = _Place((*self.address, index_step(key)), self.spec.get("items"), self.slots)
+        if _Place.held < _Place.MOST:
+            _Place.held += 1
+            self.below[key] = found
+        return found
+
+
+@lru_cache(maxsize=256)
+def _root(spec_text: str | None) -> _Place:
+    spec, slots, _ = schemas.parsed(spec_text) if spec_text is not None else ({}, frozenset(), ())
+    return _Place((), spec, slots)
+
+
+def _below(value: Any, place: _Place) -> tuple[Iterator[tuple[str | int, Any]], _Place]:
+    return iter(value.items()) if isinstance(value, dict) else iter(enumerate(value)), place
+
+
+_KEY_OF: dict[str, str] = {}
+
+
+def _raw(value: Any) -> str:
+    """JSON text of a leaf."""
+    kind = type(value)
+    return encode_basestring(value) if kind is str else str(value) if kind is int else json.dumps(value, ensure_ascii=False)
+
+
+def _canon(value: Any) -> str:
+    """values.quick_key; of texts a worker remembers some."""
+    if type(value) is not str:
+        return values.quick_key(value)
+    found = _KEY_OF.get(value)
+    if found is None:
+        if len(_KEY_OF) >= 1 << 16:
+            _KEY_OF.clear()
+        found = _KEY_OF[value] = values.quick_key(value)
+    return found
+
+
+#: Columns of leaves besides keys and address.
+COLUMNS = ("raw", "canon", "offered")
+
+
 class _Leaves:
     """Leaves of the documents of one batch, as columns."""
 
     def __init__(self):
         self.rows: list[int] = []
-        self.steps: list[str] = []
-        self.ends = [0]
-        self.raw: list[str] = []
-        self.canon: list[str | None] = []
-        self.offered: list[bool] = []
-
-    def add(self, row: int, at: Address, value: Any, offered: bool) -> None:
-        self.rows.append(row)
-        self.steps += at
-        self.ends.append(len(self.steps))
-        self.raw.append(json.dumps(value, ensure_ascii=False))
-        self.canon.append(values.quick_key(value))
-        self.offered.append(offered)
-
-    def batch(self, of: pa.RecordBatch, keys: tuple[str, ...]) -> pa.RecordBatch:
-        at = pa.array(self.rows, pa.int32())
-        addresses = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.steps, pa.string()))
-        return pa.RecordBatch.from_arrays([*(of[k].take(at) for k in keys), addresses, pa.array(self.raw, pa.string()), pa.array(self.canon, pa.string()), pa.array(self.offered, pa.bool_())], names=[*keys, "address", "raw", "canon", "offered"])
-
-
-def leaves(docs: DataFrame, document: str, schema: str | None, side: str, absent: str | Callable[[Any], bool] = "default", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        self.places: list[_Place] = []
+        self.values: list[Any] = []
+
+    def batch(self, of: pa.RecordBatch, keys: tuple[str, ...], columns: tuple[str, ...]) -> pa.RecordBatch:
+        """The leaves so far; each address is built once."""
+        at, number = pa.array(self.rows, pa.int32()), {}
+        nth = pa.array([number.setdefault(p, len(number)) for p in self.places], pa.int32())
+        addresses = pa.array([p.address for p in number], pa.list_(pa.string())).take(nth)
+        made = {
+            "raw": lambda: pa.array(list(map(_raw, self.values)), pa.string()),
+            "canon": lambda: pa.array(list(map(_canon, self.values)), pa.string()),
+            "offered": lambda: pa.array([p.offered for p in number], pa.bool_()).take(nth),
+        }
+        found = pa.RecordBatch.from_arrays([*(of[k].take(at) for k in keys), addresses, *(made[c]() for c in columns)], names=[*keys, "address", *columns])
+        self.rows, self.places, self.values = [], [], []
+        return found
+
+
+def leaves(docs: DataFrame, document: str, schema: str | None, side: str, absent: str | Callable[[Any], bool] = "default", keys: tuple[str, ...] = ("doc_id",), columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Rows (keys, address, raw, canon, offered), one per leaf; documents without any give none.
 
     Each document is parsed once, and its leaves leave the task LEAVES at a time. ``absent`` says which values get no
     address: "default", "never", "null_only" or a function. Of equal keys in an object the last one counts. A null
-    schema constrains nothing and offers nothing.
+    schema constrains nothing and offers nothing. ``columns`` names those that are made besides keys and address.
     """
     judge = ABSENT[absent] if isinstance(absent, str) else absent
+    states = judge is values.states_nothing
     spec = F.lit(None).cast("string") if schema is None else F.col(schema)
     rows = docs.select(*keys, F.col(document).alias("_document"), spec.alias("_schema"))
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    types = {"raw": "raw string", "canon": "canon string", "offered": "offered boolean"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _Leaves()
             for i, (text, spec_text) in enumerate(zip(batch["_document"].to_pylist(), batch["_schema"].to_pylist(), strict=True)):
-                spec, slots, _ = schemas.parsed(spec_text) if spec_text is not None else ({}, frozenset(), ())
-                for at, value, is_map in walked(prepared(text, side), spec, judge):
-                    if is_map:
-                        continue
-                    found.add(i, at, value, at in slots or _blank(at) in slots)
-                    if len(found.rows) >= LEAVES:
-                        yield found.batch(batch, keys)
-                        found = _Leaves()
+                if _Place.held >= _Place.MOST:
+                    _root.cache_clear()
+                    _Place.held = 0
+                root, whole = _root(spec_text), prepared(text, side)
+                todo = [_below(whole, root)] if isinstance(whole, (dict, list)) and not root.is_map else []
+                while todo:
+                    items, place = todo[-1]
+                    known = place.below
+                    for key, value in items:
+                        inner = known.get(key) or place.at(key)
+                        if inner.is_map:
+                            continue
+                        kind = type(value)
+                        if (kind is dict or kind is list) and value:
+                            todo.append(_below(value, inner))
+                            break
+                        # What begins with a letter or digit states something.
+                        if states and (kind is int or (kind is str and value[:1].isalnum())) or not judge(value):
+                            found.rows.append(i)
+                            found.places.append(inner)
+                            found.values.append(value)
+                            if len(found.rows) >= LEAVES:
+                                yield found.batch(batch, keys, columns)
+                    else:
+                        todo.pop()
             if found.rows:
-                yield found.batch(batch, keys)
+                yield found.batch(batch, keys, columns)
 
-    return rows.mapInArrow(run, f"{kinds}, address array<string>, raw string, canon string, offered boolean")
+    return rows.mapInArrow(run, ", ".join([kinds, "address array<string>", *(types[c] for c in columns)]))
 
 
 def skipped(docs: DataFrame, sides: dict[str, str], schema: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -171,3 +171,19 @@ def test_schema_rules():
 def test_quoted_names(spark):
     row = spark.createDataFrame([(["ka.b", "i", "kc[d]", "kit's."],)], "n array<string>").select(A.format_node(F.col("n"))).first()
     assert row[0] == "'a.b'[*].'c[d]'.\"it's.\""
+
+
+def test_leaves_make_the_wanted_columns_from_remembered_places(spark, monkeypatch):
+    texts = ['{"a": [{"b": 1, "c": "x y"}, {"b": null, "value": 2}], "m_meta": 3, "m": 4}', '{"a": [{"b": "$1.50", "c": ""}]}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, doc string").coalesce(1)
+    rows = lambda df: [(r.doc_id, *r.address) for r in df.collect()]
+    bare = flatten.leaves(docs, "doc", None, "pred", columns=())
+    assert bare.columns == ["doc_id", "address"]
+    whole = flatten.leaves(docs, "doc", None, "pred")
+    assert rows(bare) == rows(whole) and len(rows(bare)) == 5
+    assert [(r.raw, r.canon) for r in whole.collect()] == [("1", "1"), ('"x y"', "xy"), ("2", "2"), ("4", "4"), ('"$1.50"', "1.5")]
+    root = flatten._root('{"properties": {"a": {"items": {"properties": {"b": {}}}}}}')
+    first = root.at("a").at(0).at("b")
+    assert root.below["a"].below[0].below["b"] is first and first.offered
+    monkeypatch.setattr(flatten._Place, "held", flatten._Place.MOST)
+    assert root.at("z").address == ("kz",) and "z" not in root.below
