@@ -41,6 +41,11 @@ def at_level(leaves: DataFrame, level: int) -> DataFrame:
     return placed.select(DOC, F.slice("address", F.lit(1), F.col("_at") - 1).alias("array"), F.get("address", F.col("_at") - 1).alias("element"), F.slice("address", F.col("_at") + 1, F.size("address")).alias("rel"), *[c for c in ("canon",) if c in leaves.columns])
 
 
+def laid(leaves: DataFrame, level: int, path: str) -> DataFrame:
+    """at_level, written: what joins infer of arrays and elements is looked up then, where it would be derived from addresses anew each time."""
+    return tables.kept(at_level(leaves, level), path)
+
+
 def _inner_arrays(array: Column, rel: Column, ordered) -> Column:
     """Whether a leaf of a row lies in a further array that is to be paired."""
     prefixes = A.array_prefixes(rel)
@@ -74,16 +79,8 @@ def scalar_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def weights(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Pairs of flat rows with an equal value: doc_id, array, pred, gold, matched, shared and content hashes."""
-
-    def rows(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(DOC, "array", "element").agg(F.collect_set("rel").alias(f"{name}_rels"), F.bit_xor(F.xxhash64("rel", "canon")).alias(f"{name}_content")).withColumnRenamed("element", name)
-
-    def values(df: DataFrame, name: str) -> DataFrame:
-        return df.select(DOC, "array", "rel", "canon", F.col("element").alias(name))
-
-    equal = values(pred, "pred").join(values(gold, "gold"), [DOC, "array", "rel", "canon"]).groupBy(DOC, "array", "pred", "gold").agg(F.count("*").alias("matched"))
-    with_rows = equal.join(rows(pred, "pred"), [DOC, "array", "pred"]).join(rows(gold, "gold"), [DOC, "array", "gold"])
-    return with_rows.select(DOC, "array", "pred", "gold", "matched", F.size(F.array_intersect("pred_rels", "gold_rels")).cast("long").alias("shared"), "pred_content", "gold_content")
+    found, _ = pricing.edges(gold, pred, True, "", False, True)
+    return found.select(DOC, "array", "pred", "gold", "matched", "shared", "pred_content", "gold_content")
 
 
 def pair_bounds(gold: DataFrame, pred: DataFrame, flat: bool = True) -> DataFrame:
@@ -91,9 +88,9 @@ def pair_bounds(gold: DataFrame, pred: DataFrame, flat: bool = True) -> DataFram
 
     As many as equal values make, but of flat rows no more than there are cells: known from counts alone, without a pair.
     """
-    items = lambda df, name: df.groupBy(DOC, "array", "rel", "canon").agg(F.count("*").alias(name))
-    sizes = lambda df, name: df.groupBy(DOC, "array").agg(F.countDistinct("element").alias(name))
-    met = items(gold, "g").join(items(pred, "p"), [DOC, "array", "rel", "canon"]).groupBy(DOC, "array").agg(F.sum(F.col("g") * F.col("p")).alias("met"))
+    items = lambda df, name: df.groupBy(DOC, "array", F.xxhash64(F.size("rel"), "rel", "canon").alias("value")).agg(F.count("*").alias(name))
+    sizes = lambda df, name: df.select(DOC, "array", "element").distinct().groupBy(DOC, "array").agg(F.count("*").alias(name))
+    met = items(gold, "g").join(items(pred, "p"), [DOC, "array", "value"]).groupBy(DOC, "array").agg(F.sum(F.col("g") * F.col("p")).alias("met"))
     both = sizes(gold, "gold_rows").join(sizes(pred, "pred_rows"), [DOC, "array"]).join(met, [DOC, "array"], "left")
     met_at_most = F.coalesce("met", F.lit(0))
     return both.select(DOC, "array", (F.least(met_at_most, F.col("gold_rows") * F.col("pred_rows")) if flat else met_at_most).alias("pairs"))
@@ -156,7 +153,8 @@ def aligned(gold: DataFrame, pred: DataFrame, ordered: bool | Sequence[Sequence[
     folder = tables.work_folder(spark, "align")
     scale = pred.groupBy(DOC).agg((F.count("*") + 1).alias("scale"))
     for level in range(1, levels + 1):
-        pairs, both = level_pairs(at_level(gold, level), at_level(pred, level), scale, ordered, f"{folder}/level-{level}")
+        sides = [laid(df, level, f"{folder}/level-{level}/{name}") for df, name in ((gold, "gold"), (pred, "pred"))]
+        pairs, both = level_pairs(*sides, scale, ordered, f"{folder}/level-{level}")
         if pairs is None:
             continue
         with pricing.co_located(spark):

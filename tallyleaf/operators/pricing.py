@@ -53,6 +53,13 @@ def placed(leaves: DataFrame, ordered) -> DataFrame:
     return hashed.select(DOC, F.xxhash64("array").alias("block"), "array", "element", "depth", "levels", F.xxhash64("array", F.element_at("levels", -1)["slot"], F.size("_rest"), "_rest", "canon").alias("value"), F.xxhash64("_rest").alias("rel_hash"), F.xxhash64("_rest", "canon").alias("content"))
 
 
+def placed_flat(leaves: DataFrame) -> DataFrame:
+    """As placed, of leaves with no arrays inside the rows that are to be matched: without a look at their steps."""
+    none = F.array().cast("array<string>")
+    hashed = leaves.withColumns({"depth": F.lit(0), "_slot": F.xxhash64("array", none), "_row": F.xxhash64("array", "element", none)})
+    return hashed.select(DOC, F.xxhash64("array").alias("block"), "array", "element", "depth", F.array(F.struct(F.col("_row").alias("row"), F.col("_slot").alias("slot"))).alias("levels"), F.xxhash64("array", "_slot", F.size("rel"), "rel", "canon").alias("value"), F.xxhash64("rel").alias("rel_hash"), F.xxhash64("rel", "canon").alias("content"))
+
+
 def _part(hash_: Column) -> Column:
     """A hash as a number that many of can be summed."""
     return F.shiftrightunsigned(hash_, 24)
@@ -220,7 +227,7 @@ def edges(gold: DataFrame, pred: DataFrame, ordered, folder: str, nested: bool,
 
     ``dealt``: leaves of flat rows are dealt by array first, once.
     """
-    g, p = placed(gold, ordered), placed(pred, ordered)
+    g, p = (placed(df, ordered) if nested else placed_flat(df) for df in (gold, pred))
     if dealt:
         g, p = (df.repartition(_tasks(df), *PLACE) for df in (g, p))
     depth, blocks = 0, []

@@ -224,3 +224,17 @@ def test_the_largest_array(spark, words):
     done = grade.grade(docs, levels=1).scores.first()
     assert time.time() - began < 300
     assert (done.matched, done.misread, done.unfound, done.matching_exact) == (3 * 3_450, 0, 3 * 3_450, True)
+
+
+def test_prices_of_flat_rows_look_at_no_steps(spark, tmp_path, capsys):
+    """Filters that joins infer once walked through addresses for every leaf, several times."""
+    from tallyleaf.operators import align, pricing
+
+    rows = [("d", ["krows", f"i{i:010d}", k], str(v)) for i in range(3) for k, v in (("ka", i), ("kb", 7))]
+    leaves = spark.createDataFrame(rows, "doc_id string, address array<string>, canon string")
+    sides = [align.laid(leaves, 1, f"file://{tmp_path}/{name}") for name in ("gold", "pred")]
+    for found in (pricing.edges(*sides, False, f"file://{tmp_path}", False, True)[0], align.weights(*sides)):
+        capsys.readouterr()
+        found.explain()
+        assert "lambda" not in capsys.readouterr().out
+        assert sorted((r.pred[-1], r.gold[-1], r.matched, r.shared) for r in found.collect()) == sorted((str(p), str(g), 1 + (p == g), 2) for p in range(3) for g in range(3))
