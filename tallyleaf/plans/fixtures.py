@@ -18,9 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows on as many tasks as there are cores: what is flattened in Python may come from one small file. Best before documents are built from them."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+#: Rows of a table that one task builds documents from.
+ROWS_OF_A_TASK = 250_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks for a table, as many as there are cores at least; a task's rows don't grow with the table. The count comes from the file's footer."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_OF_A_TASK))
+
+
+def dealt(rows: DataFrame, key: str = "doc_id", tasks: int | None = None) -> DataFrame:
+    """Rows on as many tasks as are named or there are cores: what is flattened in Python may come from one small file. Best before documents are built from them."""
+    return rows.repartition(tasks or rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def every(key: str, n: int) -> Column:
@@ -56,7 +65,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat document per customer, suite: the nation. By key: every 3rd prediction spells money and name in another
     way, every 5th lacks the segment, every 7th has another balance, every 11th has a phone that the schema offers and
     every 13th a note that it doesn't."""
-    c = dealt(table(spark, sf_dir, "customer"), "c_custkey").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf_dir, "customer")
+    c = dealt(rows, "c_custkey", tasks_for(rows)).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     k = "c_custkey"
     balance = F.when(every(k, 7), F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
     gold = document(name=F.col("c_name"), balance=money(F.col("c_acctbal")), segment=F.col("c_mktsegment"), nation_key=F.col("c_nationkey"))
@@ -71,13 +81,13 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col(k).cast("string").alias("doc_id"), F.col("n_name").alias("suite"), gold.alias("gold"), pred.alias("pred"), schema(CUSTOMER).alias("schema"))
 
 
-def lines_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_of_orders(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """Lineitems numbered within their order by all their columns: o (key), i (from 0), n (of the order), part, quantity, price, flag."""
     from pyspark.sql import Window as W
 
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("quantity"), money(F.col("l_extendedprice")).alias("price"), F.col("l_returnflag").alias("flag"), "l_linenumber", "l_suppkey")
     w = W.partitionBy("o")
-    return dealt(li, "o").withColumns({"i": F.row_number().over(w.orderBy("part", "quantity", "price", "flag", "l_linenumber", "l_suppkey")) - 1, "n": F.count("*").over(w)})
+    return dealt(li, "o", tasks or tasks_for(li)).withColumns({"i": F.row_number().over(w.orderBy("part", "quantity", "price", "flag", "l_linenumber", "l_suppkey")) - 1, "n": F.count("*").over(w)})
 
 
 def orders(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame:
@@ -87,7 +97,8 @@ def orders(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame:
     order; a line whose part is a multiple of 5 has another quantity; in every 4th order the last line is missing, and in
     every 6th there is one more, which shares nothing with any.
     """
-    li = lines_of_orders(spark, sf_dir)
+    tasks = tasks_for(table(spark, sf_dir, "lineitem"))
+    li = lines_of_orders(spark, sf_dir, tasks)
     tag = F.concat(F.lit("line x"), F.col("i").cast("string"))
     own = {"tag": tag} if tagged else {}
     line = F.struct(*[v.alias(k) for k, v in {**own, "part": F.col("part"), "quantity": F.col("quantity"), "price": F.col("price").cast("string"), "flag": F.col("flag")}.items()])
@@ -95,7 +106,7 @@ def orders(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame:
     made = li.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("g"), F.array_sort(F.collect_list(F.when(~(every("o", 4) & (F.col("i") == F.col("n") - 1)), F.struct((-F.col("i")).alias("i"), read.alias("line"))))).alias("p"))
     extra = F.struct(*[v.alias(k) for k, v in {**({"tag": F.lit("invented")} if tagged else {}), "part": F.lit(-1).cast("bigint"), "quantity": F.lit(-1), "price": F.lit("$0.07"), "flag": F.lit("zz")}.items()])
     # Both sides are dealt by order already: the join moves nothing.
-    o = dealt(table(spark, sf_dir, "orders"), "o_orderkey").join(made, F.col("o_orderkey") == F.col("o"))
+    o = dealt(table(spark, sf_dir, "orders"), "o_orderkey", tasks).join(made, F.col("o_orderkey") == F.col("o"))
     golds = F.transform("g", lambda x: x["line"])
     preds = F.transform("p", lambda x: x["line"])
     preds = F.when(every("o", 6), F.array_append(preds, extra)).otherwise(preds)

@@ -34,3 +34,16 @@ def test_query_is_its_sql(spark, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert shown(got, columns) == shown(want, columns)
+
+
+def test_a_task_builds_no_more_documents_as_tables_grow(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallyleaf.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "ROWS_OF_A_TASK", 500)
+    for docs, tasks in ((fixtures.orders(spark, DATA), 10), (fixtures.customers(spark, DATA), 2)):
+        per_task = docs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+        assert len(per_task) >= tasks and max(r.n for r in per_task) < 300
+        if tasks > 2:
+            assert docs.count() == fixtures.table(spark, DATA, "orders").join(fixtures.table(spark, DATA, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey").count()
