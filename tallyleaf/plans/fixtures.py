@@ -32,6 +32,12 @@ def dealt(rows: DataFrame, key: str = "doc_id", tasks: int | None = None) -> Dat
     return rows.repartition(tasks or rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows Python works on, dealt by a key: a small file would be one task, however many rows it has."""
+    rows = table(spark, sf_dir, name)
+    return dealt(rows, key, tasks_for(rows))
+
+
 def every(key: str, n: int) -> Column:
     return F.col(key) % n == 0
 

@@ -47,3 +47,14 @@ def test_a_task_builds_no_more_documents_as_tables_grow(spark, monkeypatch):
         assert len(per_task) >= tasks and max(r.n for r in per_task) < 300
         if tasks > 2:
             assert docs.count() == fixtures.table(spark, DATA, "orders").join(fixtures.table(spark, DATA, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey").count()
+
+
+def test_tables_that_python_works_on_are_dealt(spark, monkeypatch):
+    from tallyleaf.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "ROWS_OF_A_TASK", 40)
+    # One small file is one split; 150 customers of these tables make four tasks.
+    for name in ("compare_leaves", "canon_sign", "canon_money", "envelope_unwrap", "flatten_events_props", "gold_chars"):
+        rows = catalog.QUERIES[name](spark, DATA)
+        assert rows.rdd.getNumPartitions() >= 2, name
+    assert catalog.compare_leaves(spark, DATA).rdd.getNumPartitions() == 4
