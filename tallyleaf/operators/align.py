@@ -58,9 +58,10 @@ def _inner_arrays(array: Column, rel: Column, ordered) -> Column:
 def _kinds(gold: DataFrame, pred: DataFrame, ordered) -> DataFrame:
     """Arrays of both sides that are to be paired: doc_id, array, kind (scalar, flat or nested), is_large."""
 
+    # Elements are no more than leaves and than the largest index says: numbers that take no room, unlike a sketch per array.
     def side(df: DataFrame, name: str) -> DataFrame:
         own = df.withColumn("_inner", _inner_arrays(F.col("array"), F.col("rel"), ordered))
-        return own.groupBy(DOC, "array").agg(F.max(F.size("rel") > 0).alias(f"{name}_rows"), F.max("_inner").alias(f"{name}_inner"), F.approx_count_distinct("element").alias(f"{name}_elements"))
+        return own.groupBy(DOC, "array").agg(F.max(F.size("rel") > 0).alias(f"{name}_rows"), F.max("_inner").alias(f"{name}_inner"), F.least(F.count("*"), F.max(F.substring("element", 2, 1 << 30).cast("long")) + 1).alias(f"{name}_elements"))
 
     both = side(gold, "g").join(side(pred, "p"), [DOC, "array"]).where(~is_ordered(A.node_key(F.col("array")), ordered))
     kind = F.when(F.col("g_inner") | F.col("p_inner"), "nested").when(F.col("g_rows") | F.col("p_rows"), "flat").otherwise("scalar")
@@ -139,12 +140,17 @@ def level_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, fol
     return pairs, kinds.select(DOC, "array")
 
 
-def aligned(gold: DataFrame, pred: DataFrame, ordered: bool | Sequence[Sequence[str]] = False, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+def aligned(gold: DataFrame, pred: DataFrame, ordered: bool | Sequence[Sequence[str]] = False, levels: int | None = None, rows: int = 0) -> tuple[DataFrame, DataFrame]:
     """(prediction leaves with the gold's numbering, large blocks that were paired best-first: doc_id, large).
 
     ``ordered`` names arrays, by node key, that are compared by place; True all, False none. ``levels`` is
-    the depth of arrays, if it is known.
+    the depth of arrays, if it is known, and ``rows`` the leaves of both sides: tasks grow with them.
     """
+    with tables.sized(gold.sparkSession, rows):
+        return _aligned(gold, pred, ordered, levels)
+
+
+def _aligned(gold: DataFrame, pred: DataFrame, ordered: bool | Sequence[Sequence[str]], levels: int | None) -> tuple[DataFrame, DataFrame]:
     spark = tables.ready(gold.sparkSession)
     levels = deepest(gold, pred) if levels is None else levels
     blocks = spark.createDataFrame([], f"{DOC} {gold.schema[DOC].dataType.simpleString()}, large int")

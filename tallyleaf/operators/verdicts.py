@@ -18,10 +18,15 @@ def classify_extra(address: Column, offered: Column) -> Column:
     return F.when(F.exists(address, lambda s: s.startswith(A.LABEL)), "invented_item").when(offered, "fabricated").otherwise("invented_field")
 
 
-def verdicts(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """One row per address of either side: doc_id, address, gold_raw, pred_raw, gold_canon, pred_canon, result."""
+def verdicts(gold: DataFrame, pred: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row per address of either side: doc_id, address, gold_raw, pred_raw, gold_canon, pred_canon, result.
+
+    ``tasks``: as many as the sides are dealt to; otherwise the session says it.
+    """
     g = gold.select(DOC, "address", F.col("raw").alias("gold_raw"), F.col("canon").alias("gold_canon"))
     p = pred.select(DOC, "address", F.col("raw").alias("pred_raw"), F.col("canon").alias("pred_canon"), "offered")
+    if tasks:
+        g, p = (df.repartition(tasks, DOC, "address") for df in (g, p))
     result = F.when(F.col("pred_canon").isNull(), "unfound").when(F.col("gold_canon").isNull(), classify_extra(F.col("address"), F.coalesce("offered", F.lit(False)))).when(F.col("gold_canon") == F.col("pred_canon"), "matched").otherwise("misread")
     return g.join(p, [DOC, "address"], "full_outer").select(DOC, "address", "gold_raw", "pred_raw", "gold_canon", "pred_canon", result.alias("result"))
 

@@ -6,11 +6,15 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 _MADE: list[str] = []
+#: Rows that one task works on, and bytes of a shuffle that one takes at most where tasks are joined: leaves are packed to a tenth there.
+ROWS_OF_A_TASK, SHUFFLED_BYTES = 250_000, 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -48,6 +52,29 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a number of rows: as many as the session's shuffles have at least; a task's rows don't grow with the table."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_OF_A_TASK))
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While tables of that many rows are written: shuffles have as many tasks as rows need, and few bytes each."""
+    wanted = {"spark.sql.shuffle.partitions": str(tasks_for(spark, rows))}
+    advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    # Unless the session says it.
+    if spark.conf.get(advised, None) is None:
+        wanted[advised] = str(SHUFFLED_BYTES)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _located(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark._jsc.hadoopConfiguration())

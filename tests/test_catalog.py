@@ -86,3 +86,26 @@ def test_a_schema_is_changed_once_in_a_batch_and_schemas_are_dealt(spark, monkey
     monkeypatch.setattr(fixtures, "ROWS_OF_A_TASK", 25)
     for name in ("dialect_strict", "dialect_identity", "restore_reserved", "inline_references"):
         assert catalog.QUERIES[name](spark, DATA).rdd.getNumPartitions() == 8, name
+
+
+def test_tasks_that_judge_arrays_grow_with_their_leaves(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallyleaf.operators import align
+    from tallyleaf.plans import fixtures, grade
+    from tallyleaf.sources import tables
+
+    monkeypatch.setattr(fixtures, "ROWS_OF_A_TASK", 500)
+    monkeypatch.setattr(tables, "ROWS_OF_A_TASK", 500, raising=False)
+    names, seen, kinds = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"), [], align._kinds
+    monkeypatch.setattr(align, "_kinds", lambda *a: seen.append((kinds(*a), int(spark.conf.get(names[0])))) or seen[0][0])
+    before = [spark.conf.get(n, None) for n in names]
+    docs = catalog._flags(spark, DATA)
+    assert max(r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()) < 250
+    judged, _ = grade.judged(docs, levels=1)
+    lines = fixtures.table(spark, DATA, "lineitem").count()
+    held = [r["count"] for r in judged.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) >= 2 * lines // 500 and max(held) < 1_000
+    # Arrays are sized by numbers, without a sketch each, in as many tasks.
+    assert seen[0][1] >= 2 * lines // 500 and "approx_count" not in seen[0][0]._jdf.queryExecution().toString()
+    assert [spark.conf.get(n, None) for n in names] == before
