@@ -69,6 +69,7 @@ def judged(docs: DataFrame, order: bool | Iterable[str] = False, absent="default
     folder = tables.work_folder(spark, "grade")
     gold, pred = tables.kept(gold, f"{folder}/gold"), tables.kept(pred, f"{folder}/pred")
     counts = [df.count() for df in (gold, pred)]
+    gold, pred = (tables.spread(df, n, f"{folder}/{name}-spread", DOC, "address") for df, n, name in zip((gold, pred), counts, ("gold", "pred"), strict=True))
     moved, blocks = align.aligned(gold, pred, nodes, levels, sum(counts))
     # What is returned is planned by the caller: a number of tasks that its session doesn't have goes with it.
     tasks = tables.tasks_for(spark, sum(counts))

@@ -75,6 +75,14 @@ def sized(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def spread(df: DataFrame, rows: int, path: str, *keys: str) -> DataFrame:
+    """A kept table of that many rows, dealt anew by keys to the cores at least if a few files hold it."""
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    if rows < ROWS_OF_A_TASK or files >= max(cores, rows // ROWS_OF_A_TASK):
+        return df
+    return kept(df.repartition(max(cores, -(-rows // ROWS_OF_A_TASK)), *keys), path)
+
+
 def _located(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark._jsc.hadoopConfiguration())

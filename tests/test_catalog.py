@@ -109,3 +109,17 @@ def test_tasks_that_judge_arrays_grow_with_their_leaves(spark, monkeypatch):
     # Arrays are sized by numbers, without a sketch each, in as many tasks.
     assert seen[0][1] >= 2 * lines // 500 and "approx_count" not in seen[0][0]._jdf.queryExecution().toString()
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_leaves_of_few_large_documents_are_dealt_anew(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyleaf.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_OF_A_TASK", 500)
+    rows = spark.range(3_000).select((F.col("id") % 2).alias("doc_id"), F.array(F.col("id").cast("string")).alias("address"))
+    one = tables.kept(rows.coalesce(1), f"file://{tmp_path}/one")
+    dealt = tables.spread(one, 3_000, f"file://{tmp_path}/dealt", "doc_id", "address")
+    assert len(dealt.inputFiles()) == 6 and dealt.exceptAll(rows).isEmpty() and dealt.count() == 3_000
+    assert tables.spread(dealt, 3_000, f"file://{tmp_path}/again", "doc_id", "address") is dealt
+    assert tables.spread(one, 400, f"file://{tmp_path}/few", "doc_id", "address") is one
