@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyleaf.functions import addresses as A
 from tallyleaf.sources import tables
 
-from . import large, pricing
+from . import flatten, large, pricing, small
 from .pricing import is_ordered
 
 DOC = "doc_id"
@@ -97,6 +97,35 @@ def pair_bounds(gold: DataFrame, pred: DataFrame, flat: bool = True) -> DataFram
     return both.select(DOC, "array", (F.least(met_at_most, F.col("gold_rows") * F.col("pred_rows")) if flat else met_at_most).alias("pairs"))
 
 
+def sorted_out(docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """(documents that are paired where they are, the others, values of all at most) of docs with gold and pred; None for no document."""
+    own = small.is_small(LARGE)
+    found = docs.agg(F.count_if(own).alias("few"), F.count_if(~own).alias("others"), F.sum(small.values_at_most(F.col("gold")) + small.values_at_most(F.col("pred"))).alias("values")).first()
+    if not found.others:
+        return docs, None, found["values"] or 0
+    return (docs.where(own) if found.few else None), (docs.where(~own) if found.few else docs), found["values"]
+
+
+def _of_documents(docs: DataFrame, near, far) -> DataFrame:
+    """What ``near`` finds in small documents and ``far`` in the leaves of the others: gold and pred, as at_level 1 has them."""
+    few, others, _ = sorted_out(docs)
+    if others is None:
+        return near(few)
+    folder = tables.work_folder(docs.sparkSession, "lines")
+    found = far(*(laid(flatten.leaves(others, side, "schema", side, columns=("canon",)), 1, f"{folder}/{side}") for side in ("gold", "pred")))
+    return found if few is None else near(few).union(found)
+
+
+def document_weights(docs: DataFrame) -> DataFrame:
+    """Pairs of rows with an equal value in flat arrays of docs (doc_id, gold, pred, schema): doc_id, array, pred, gold, matched, shared."""
+    return _of_documents(docs, small.weights, lambda gold, pred: weights(gold, pred).drop("pred_content", "gold_content"))
+
+
+def document_bounds(docs: DataFrame) -> DataFrame:
+    """pair_bounds of the flat arrays of docs (doc_id, gold, pred, schema)."""
+    return _of_documents(docs, small.pair_bounds, pair_bounds)
+
+
 def _large_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, nested: bool, folder: str) -> DataFrame:
     """Pairs of large arrays: crowded ones apart, as the numbers of pairs that they would make say."""
     plain = lambda df: df.withColumn("rel", A.node_key(F.col("rel")))

@@ -114,7 +114,7 @@ def flattened(document: Column, schema: Column, side: str, wanted: tuple[str, ..
 class _Place:
     """A place in documents of one schema: what the schema says of it, and the places below that were met."""
 
-    __slots__ = ("address", "spec", "is_map", "offered", "slots", "below")
+    __slots__ = ("address", "spec", "is_map", "offered", "slots", "below", "row")
     #: Places that a worker remembers.
     MOST, held = 200_000, 0
 
@@ -122,6 +122,8 @@ class _Place:
         self.address, self.spec, self.slots, self.below = address, schemas.chosen(raw), slots, {}
         self.is_map = schemas.is_open_map(self.spec)
         self.offered = address in slots or _blank(address) in slots
+        #: Outermost array around it, element there, and the way from the element; None outside of arrays.
+        self.row = next(((address[:i], int(s[1:]), address[i + 1 :]) for i, s in enumerate(address) if s[0] == INDEX), None)
 
     def at(self, key: str | int) -> _Place:
         """The place of an object's key or an array's index."""
@@ -148,13 +150,13 @@ def _below(value: Any, place: _Place) -> tuple[Iterator[tuple[str | int, Any]],
 _KEY_OF: dict[str, str] = {}
 
 
-def _raw(value: Any) -> str:
+def raw_of(value: Any) -> str:
     """JSON text of a leaf."""
     kind = type(value)
     return encode_basestring(value) if kind is str else str(value) if kind is int else json.dumps(value, ensure_ascii=False)
 
 
-def _canon(value: Any) -> str:
+def canon_of(value: Any) -> str:
     """values.quick_key; of texts a worker remembers some."""
     if type(value) is not str:
         return values.quick_key(value)
@@ -166,6 +168,37 @@ def _canon(value: Any) -> str:
     return found
 
 
+def walker(side: str, absent: str | Callable[[Any], bool] = "default") -> Callable[[str | None, str | None], Iterator[tuple[_Place, Any]]]:
+    """A function of a document's and its schema's text that gives the places and values of its leaves, in document order."""
+    judge = ABSENT[absent] if isinstance(absent, str) else absent
+    states = judge is values.states_nothing
+
+    def walk(text: str | None, spec_text: str | None) -> Iterator[tuple[_Place, Any]]:
+        if _Place.held >= _Place.MOST:
+            _root.cache_clear()
+            _Place.held = 0
+        root, whole = _root(spec_text), prepared(text, side)
+        todo = [_below(whole, root)] if isinstance(whole, (dict, list)) and not root.is_map else []
+        while todo:
+            items, place = todo[-1]
+            known = place.below
+            for key, value in items:
+                inner = known.get(key) or place.at(key)
+                if inner.is_map:
+                    continue
+                kind = type(value)
+                if (kind is dict or kind is list) and value:
+                    todo.append(_below(value, inner))
+                    break
+                # What begins with a letter or digit states something.
+                if states and (kind is int or (kind is str and value[:1].isalnum())) or not judge(value):
+                    yield inner, value
+            else:
+                todo.pop()
+
+    return walk
+
+
 #: Columns of leaves besides keys and address.
 COLUMNS = ("raw", "canon", "offered")
 
@@ -184,8 +217,8 @@ class _Leaves:
         nth = pa.array([number.setdefault(p, len(number)) for p in self.places], pa.int32())
         addresses = pa.array([p.address for p in number], pa.list_(pa.string())).take(nth)
         made = {
-            "raw": lambda: pa.array(list(map(_raw, self.values)), pa.string()),
-            "canon": lambda: pa.array(list(map(_canon, self.values)), pa.string()),
+            "raw": lambda: pa.array(list(map(raw_of, self.values)), pa.string()),
+            "canon": lambda: pa.array(list(map(canon_of, self.values)), pa.string()),
             "offered": lambda: pa.array([p.offered for p in number], pa.bool_()).take(nth),
         }
         found = pa.RecordBatch.from_arrays([*(of[k].take(at) for k in keys), addresses, *(made[c]() for c in columns)], names=[*keys, "address", *columns])
@@ -200,42 +233,23 @@ def leaves(docs: DataFrame, document: str, schema: str | None, side: str, absent
     address: "default", "never", "null_only" or a function. Of equal keys in an object the last one counts. A null
     schema constrains nothing and offers nothing. ``columns`` names those that are made besides keys and address.
     """
-    judge = ABSENT[absent] if isinstance(absent, str) else absent
-    states = judge is values.states_nothing
     spec = F.lit(None).cast("string") if schema is None else F.col(schema)
     rows = docs.select(*keys, F.col(document).alias("_document"), spec.alias("_schema"))
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     types = {"raw": "raw string", "canon": "canon string", "offered": "offered boolean"}
 
+    walk = walker(side, absent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _Leaves()
             for i, (text, spec_text) in enumerate(zip(batch["_document"].to_pylist(), batch["_schema"].to_pylist(), strict=True)):
-                if _Place.held >= _Place.MOST:
-                    _root.cache_clear()
-                    _Place.held = 0
-                root, whole = _root(spec_text), prepared(text, side)
-                todo = [_below(whole, root)] if isinstance(whole, (dict, list)) and not root.is_map else []
-                while todo:
-                    items, place = todo[-1]
-                    known = place.below
-                    for key, value in items:
-                        inner = known.get(key) or place.at(key)
-                        if inner.is_map:
-                            continue
-                        kind = type(value)
-                        if (kind is dict or kind is list) and value:
-                            todo.append(_below(value, inner))
-                            break
-                        # What begins with a letter or digit states something.
-                        if states and (kind is int or (kind is str and value[:1].isalnum())) or not judge(value):
-                            found.rows.append(i)
-                            found.places.append(inner)
-                            found.values.append(value)
-                            if len(found.rows) >= LEAVES:
-                                yield found.batch(batch, keys, columns)
-                    else:
-                        todo.pop()
+                for place, value in walk(text, spec_text):
+                    found.rows.append(i)
+                    found.places.append(place)
+                    found.values.append(value)
+                    if len(found.rows) >= LEAVES:
+                        yield found.batch(batch, keys, columns)
             if found.rows:
                 yield found.batch(batch, keys, columns)
 
