@@ -106,24 +106,15 @@ def sorted_out(docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None, int
     return (docs.where(own) if found.few else None), (docs.where(~own) if found.few else docs), found["values"]
 
 
-def _of_documents(docs: DataFrame, near, far) -> DataFrame:
-    """What ``near`` finds in small documents and ``far`` in the leaves of the others: gold and pred, as at_level 1 has them."""
+def document_weights(docs: DataFrame) -> DataFrame:
+    """Pairs of rows with an equal value in flat arrays of docs (doc_id, gold, pred, schema): doc_id, array, pred, gold, matched, shared."""
     few, others, _ = sorted_out(docs)
     if others is None:
-        return near(few)
+        return small.weights(few)
     folder = tables.work_folder(docs.sparkSession, "lines")
-    found = far(*(laid(flatten.leaves(others, side, "schema", side, columns=("canon",)), 1, f"{folder}/{side}") for side in ("gold", "pred")))
-    return found if few is None else near(few).union(found)
-
-
-def document_weights(docs: DataFrame) -> DataFrame:
-    """Pairs of rows with an equal value in flat arrays of docs (doc_id, gold, pred, schema): doc_id, array, pred, gold, matched, shared."""
-    return _of_documents(docs, small.weights, lambda gold, pred: weights(gold, pred).drop("pred_content", "gold_content"))
-
-
-def document_bounds(docs: DataFrame) -> DataFrame:
-    """pair_bounds of the flat arrays of docs (doc_id, gold, pred, schema)."""
-    return _of_documents(docs, small.pair_bounds, pair_bounds)
+    gold, pred = (laid(flatten.leaves(others, side, "schema", side, columns=("canon",)), 1, f"{folder}/{side}") for side in ("gold", "pred"))
+    found = weights(gold, pred).drop("pred_content", "gold_content")
+    return found if few is None else small.weights(few).union(found)
 
 
 def _large_pairs(gold: DataFrame, pred: DataFrame, scale: DataFrame, ordered, nested: bool, folder: str) -> DataFrame:

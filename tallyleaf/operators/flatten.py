@@ -168,35 +168,83 @@ def canon_of(value: Any) -> str:
     return found
 
 
+def _started(text: str | None, spec_text: str | None, side: str) -> tuple[Any, _Place]:
+    """A prepared document and the place of its root."""
+    if _Place.held >= _Place.MOST:
+        _root.cache_clear()
+        _Place.held = 0
+    return prepared(text, side), _root(spec_text)
+
+
+def _leaves_in(whole: Any, root: _Place, judge: Callable[[Any], bool]) -> Iterator[tuple[_Place, Any]]:
+    """Places and values of the leaves of a value at a place, in document order."""
+    states = judge is values.states_nothing
+    todo = [_below(whole, root)] if isinstance(whole, (dict, list)) and not root.is_map else []
+    while todo:
+        items, place = todo[-1]
+        known = place.below
+        for key, value in items:
+            inner = known.get(key) or place.at(key)
+            if inner.is_map:
+                continue
+            kind = type(value)
+            if (kind is dict or kind is list) and value:
+                todo.append(_below(value, inner))
+                break
+            # What begins with a letter or digit states something.
+            if states and (kind is int or (kind is str and value[:1].isalnum())) or not judge(value):
+                yield inner, value
+        else:
+            todo.pop()
+
+
 def walker(side: str, absent: str | Callable[[Any], bool] = "default") -> Callable[[str | None, str | None], Iterator[tuple[_Place, Any]]]:
     """A function of a document's and its schema's text that gives the places and values of its leaves, in document order."""
     judge = ABSENT[absent] if isinstance(absent, str) else absent
-    states = judge is values.states_nothing
+    return lambda text, spec_text: _leaves_in(*_started(text, spec_text, side), judge)
+
+
+def row_reader(side: str) -> Callable[[str | None, str | None], dict[Address, dict[int, dict[Address, str]]]]:
+    """A function of a document's and its schema's text that gives its outermost arrays: canonical keys by the way from the element, by element.
+
+    Elements of an array have one place in the schema: what is known of the first one's is known of all.
+    """
+    judge = values.states_nothing
+
+    def row(value: Any, place: _Place) -> dict[Address, str]:
+        if type(value) is not dict:
+            if type(value) is list and value:
+                return {inner.row[2]: canon_of(x) for inner, x in _leaves_in(value, place, judge)}
+            return {} if judge(value) else {(): canon_of(value)}
+        found, known = {}, place.below
+        for key, x in value.items():
+            inner = known.get(key) or place.at(key)
+            if inner.is_map:
+                continue
+            kind = type(x)
+            if (kind is dict or kind is list) and x:
+                found.update((deep.row[2], canon_of(v)) for deep, v in _leaves_in(x, inner, judge))
+            elif kind is int or (kind is str and x[:1].isalnum()) or not judge(x):
+                found[inner.row[2]] = canon_of(x)
+        return found
 
-    def walk(text: str | None, spec_text: str | None) -> Iterator[tuple[_Place, Any]]:
-        if _Place.held >= _Place.MOST:
-            _root.cache_clear()
-            _Place.held = 0
-        root, whole = _root(spec_text), prepared(text, side)
-        todo = [_below(whole, root)] if isinstance(whole, (dict, list)) and not root.is_map else []
+    def read(text: str | None, spec_text: str | None) -> dict[Address, dict[int, dict[Address, str]]]:
+        whole, root = _started(text, spec_text, side)
+        arrays, todo = {}, [(whole, root)]
         while todo:
-            items, place = todo[-1]
-            known = place.below
-            for key, value in items:
-                inner = known.get(key) or place.at(key)
-                if inner.is_map:
-                    continue
-                kind = type(value)
-                if (kind is dict or kind is list) and value:
-                    todo.append(_below(value, inner))
-                    break
-                # What begins with a letter or digit states something.
-                if states and (kind is int or (kind is str and value[:1].isalnum())) or not judge(value):
-                    yield inner, value
-            else:
-                todo.pop()
-
-    return walk
+            value, place = todo.pop()
+            if place.is_map or not value:
+                continue
+            if isinstance(value, dict):
+                todo += [(x, place.below.get(key) or place.at(key)) for key, x in value.items() if isinstance(x, (dict, list))]
+            elif isinstance(value, list):
+                element = place.below.get(0) or place.at(0)
+                rows = {} if element.is_map else {i: found for i, x in enumerate(value) if (found := row(x, element))}
+                if rows:
+                    arrays[place.address] = rows
+        return arrays
+
+    return read
 
 
 #: Columns of leaves besides keys and address.

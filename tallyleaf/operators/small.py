@@ -7,7 +7,7 @@ the gold's numbering. All other documents are priced by joins (``pricing``); pri
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
@@ -72,8 +72,11 @@ def edges(gold: Rows, pred: Rows) -> dict[tuple[int, int], tuple[int, int]]:
 
 def bound(gold: Rows, pred: Rows) -> int:
     """The most pairs of rows that can match anything: as many as equal values make, no more than there are cells."""
-    counts = [Counter(value for named in rows.values() for value in named.items()) for rows in (gold, pred)]
-    return min(sum(n * counts[1][value] for value, n in counts[0].items()), len(gold) * len(pred))
+    counts: dict[tuple, int] = {}
+    for named in gold.values():
+        for value in named.items():
+            counts[value] = counts.get(value, 0) + 1
+    return min(sum(counts.get(value, 0) for named in pred.values() for value in named.items()), len(gold) * len(pred))
 
 
 def _numbers(rows: Rows) -> dict[int, int]:
@@ -115,7 +118,7 @@ def _canons(walked: list[tuple[Any, Any]]) -> list[str]:
 
 def _per_array(docs: DataFrame, kind: str, say: Callable[[A.Address, Rows, Rows], list[tuple]]) -> DataFrame:
     """doc_id and the rows, of that kind, that are said of each array of both sides."""
-    walks = flatten.walker("gold"), flatten.walker("pred")
+    readers = flatten.row_reader("gold"), flatten.row_reader("pred")
     names, types = zip(*(x.split(" ") for x in kind.split(", ")), strict=True)
     arrow = {"string": pa.string(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string())}
 
@@ -123,8 +126,7 @@ def _per_array(docs: DataFrame, kind: str, say: Callable[[A.Address, Rows, Rows]
     def run(golds: pa.Array, preds: pa.Array, specs: pa.Array) -> pa.Array:
         out, starts = [], [0]
         for gold, pred, spec in zip(golds.to_pylist(), preds.to_pylist(), specs.to_pylist(), strict=True):
-            sides = [[x for x in walk(text, spec) if x[0].row is not None] for walk, text in zip(walks, (gold, pred), strict=True)]
-            g, p = (rows_of([place for place, _ in side], _canons(side)) for side in sides)
+            g, p = (read(text, spec) for read, text in zip(readers, (gold, pred), strict=True))
             for array in p.keys() & g.keys():
                 out += say(array, g[array], p[array])
             starts.append(len(out))
@@ -141,7 +143,7 @@ def weights(docs: DataFrame) -> DataFrame:
 
 
 def pair_bounds(docs: DataFrame) -> DataFrame:
-    """For arrays of both sides the most pairs that can match anything: doc_id, array, pairs."""
+    """For arrays of both sides the most pairs that can match anything: doc_id, array, pairs. Counts alone: documents may be of any size."""
     return _per_array(docs, "array array<string>, pairs bigint", lambda array, gold, pred: [(array, bound(gold, pred))])
 
 

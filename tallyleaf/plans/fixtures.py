@@ -109,12 +109,11 @@ def orders(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFrame:
     own = {"tag": tag} if tagged else {}
     line = F.struct(*[v.alias(k) for k, v in {**own, "part": F.col("part"), "quantity": F.col("quantity"), "price": F.col("price").cast("string"), "flag": F.col("flag")}.items()])
     read = F.struct(*[v.alias(k) for k, v in {**own, "part": F.col("part"), "quantity": F.when(F.col("part") % 5 == 0, F.col("quantity") + 1000).otherwise(F.col("quantity")), "price": F.concat(F.lit("$"), F.format_number(F.col("price"), 2)), "flag": F.lower("flag")}.items()])
-    made = li.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("g"), F.array_sort(F.collect_list(F.when(~(every("o", 4) & (F.col("i") == F.col("n") - 1)), F.struct((-F.col("i")).alias("i"), read.alias("line"))))).alias("p"))
+    made = li.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("i", line.alias("line")))).alias("g"), F.sort_array(F.collect_list(F.when(~(every("o", 4) & (F.col("i") == F.col("n") - 1)), F.struct((-F.col("i")).alias("i"), read.alias("line"))))).alias("p"))
     extra = F.struct(*[v.alias(k) for k, v in {**({"tag": F.lit("invented")} if tagged else {}), "part": F.lit(-1).cast("bigint"), "quantity": F.lit(-1), "price": F.lit("$0.07"), "flag": F.lit("zz")}.items()])
     # Both sides are dealt by order already: the join moves nothing.
     o = dealt(table(spark, sf_dir, "orders"), "o_orderkey", tasks).join(made, F.col("o_orderkey") == F.col("o"))
-    golds = F.transform("g", lambda x: x["line"])
-    preds = F.transform("p", lambda x: x["line"])
+    golds, preds = F.col("g")["line"], F.col("p")["line"]
     preds = F.when(every("o", 6), F.array_append(preds, extra)).otherwise(preds)
     spec = dict(ORDER, lines={"type": "array", "items": {"type": "object", "properties": {**({"tag": TEXT} if tagged else {}), **LINE}}})
     gold = document(order=F.col("o"), status=F.col("o_orderstatus"), total=money(F.col("o_totalprice")), date=F.date_format("o_orderdate", "yyyy-MM-dd"), lines=golds)
