@@ -222,9 +222,14 @@ def row_reader(side: str) -> Callable[[str | None, str | None], dict[Address, di
             if inner.is_map:
                 continue
             kind = type(x)
-            if (kind is dict or kind is list) and x:
+            if kind is str:
+                if x[:1].isalnum() or not judge(x):
+                    found[inner.row[2]] = _KEY_OF.get(x) or canon_of(x)
+            elif kind is int:
+                found[inner.row[2]] = str(x) if -(10**15) < x < 10**15 else canon_of(x)
+            elif (kind is dict or kind is list) and x:
                 found.update((deep.row[2], canon_of(v)) for deep, v in _leaves_in(x, inner, judge))
-            elif kind is int or (kind is str and x[:1].isalnum()) or not judge(x):
+            elif not judge(x):
                 found[inner.row[2]] = canon_of(x)
         return found
 

@@ -155,3 +155,17 @@ def test_bounds_write_nothing_and_move_nothing(spark, monkeypatch):
     """Leaves once were written, and dealt five times."""
     monkeypatch.setattr(tables, "kept", None)
     assert "Exchange" not in small.pair_bounds(documents(spark, 9))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weights_of_documents_are_those_of_their_leaves(spark, monkeypatch, tmp_path):
+    """Small documents are priced where they are, others by joins."""
+    big = json.dumps({"rows": [{"a": f"n{i}", "b": f"word {i % 7}"} for i in range(700)]})
+    bare = lambda c: F.replace(c, F.lit('\\"'), F.lit(""))
+    docs = documents(spark, 30).withColumns({"gold": bare("gold"), "pred": bare("pred")}).union(spark.createDataFrame([("big", "s", big, big, json.dumps(SPEC))], DOCS))
+    got = shown(align.document_weights(docs), "array", "pred", "gold", "matched", "shared")
+    assert got == shown(align.weights(*sides(docs, tmp_path)), "array", "pred", "gold", "matched", "shared")
+    few, others, _ = align.sorted_out(docs)
+    assert [x.doc_id for x in others.select("doc_id").collect()] == ["big"] and few.count() == 30
+    monkeypatch.setattr(tables, "kept", None)
+    plan = align.document_weights(few)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
