@@ -89,7 +89,7 @@ def test_the_best_pairing_needn_t_give_each_row_its_best():
 
 
 def test_small_documents_are_neither_written_nor_dealt(spark, monkeypatch):
-    """Their leaves once were written four times and moved six times, over 40 times the tables' bytes."""
+    """Their leaves once were written and dealt anew several times, which took most of the disk."""
     docs = documents(spark)
     docs = docs.where(~F.contains("gold", F.lit("\\")) & ~F.contains(F.coalesce("pred", F.lit("")), F.lit("\\")))
 
@@ -152,7 +152,7 @@ def test_bounds_of_documents_are_those_of_their_leaves(spark, tmp_path):
 
 
 def test_bounds_write_nothing_and_move_nothing(spark, monkeypatch):
-    """Leaves once were written, and dealt five times."""
+    """Leaves once were written, and dealt several times."""
     monkeypatch.setattr(tables, "kept", None)
     assert "Exchange" not in small.pair_bounds(documents(spark, 9))._jdf.queryExecution().executedPlan().toString()
 
